@@ -90,9 +90,10 @@ def multi_hot(arr: Column, measure: str, mode: str = "lenient") -> Column:
     """
     vocab = labels_for(measure)
     if mode == "lenient":
-        return F.array(*[
-            F.exists(arr, lambda x, v=v: (x == v) | (x == the_form(v))).cast("int") for v in vocab
-        ])
+        def hit(v: str):
+            return lambda x: (x == F.lit(v)) | (x == F.lit(the_form(v)))
+
+        return F.array(*[F.exists(arr, hit(v)).cast("int") for v in vocab])
     if mode == "strict":
         low = F.transform(arr, lambda x: F.lower(x))
         return F.array(*[F.array_contains(low, v.lower()).cast("int") for v in vocab])

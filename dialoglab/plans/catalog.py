@@ -99,3 +99,258 @@ def q_binary_metrics(spark, sf):
 @query("leaderboard")
 def q_leaderboard(spark, sf):
     return E.leaderboard(binary_predictions(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# S: sources and sinks (fixture written to the shared scratch folder, read back)
+# ---------------------------------------------------------------------------
+
+from ..operators import annotators as G  # noqa: E402
+from ..operators import stats as A  # noqa: E402
+from ..sources import readers as S  # noqa: E402
+from ..sources import writers as W  # noqa: E402
+
+LANGS = ["en", "fr", "de", "es"]
+
+
+@query("read_labelled_csv")
+def q_read_labelled_csv(spark, sf):
+    gold = fx.fx_gold(spark, sf)
+    src = gold.select(*[F.col(a).alias(b) for a, b in zip(
+        ["id", "dialogue", "manipulative", "technique", "vulnerability"], S.LABELLED_COLUMNS)])
+    path = W.write_csv(src, W.new_path(src, "labelled"))
+    return S.read_labelled_csv(spark, path)
+
+
+@query("read_annotations")
+def q_read_annotations(spark, sf):
+    ann = fx.fx_annotations(spark, sf)
+    path = W.write_csv(ann, W.new_path(ann, "annotations"))
+    return S.read_annotations(spark, path)
+
+
+@query("read_thread_jsonl")
+def q_read_thread_jsonl(spark, sf):
+    conv = fx.table(spark, sf, "conversations")
+    path = W.write_threads(conv, W.new_path(conv, "threads"), "conv_id", "turn", "text")
+    return S.read_thread_jsonl(spark, path)
+
+
+@query("read_turn_table")
+def q_read_turn_table(spark, sf):
+    conv = fx.table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("Number"), F.col("turn").cast("string").alias("Turn"),
+        F.col("text").alias("utterance"))
+    path = W.write_csv(conv, W.new_path(conv, "turns"), sep="\t")
+    return S.read_turn_table(spark, path)
+
+
+@query("read_text_column_csv")
+def q_read_text_column_csv(spark, sf):
+    dia = fx.fx_dialogues(spark, sf)
+    path = W.write_csv(dia, W.new_path(dia, "textcol"))
+    return S.read_text_column_csv(spark, path, index=1, skip_header=True)
+
+
+def corpora(spark, sf) -> DataFrame:
+    c = fx.fx_corpora(spark, sf)
+    return S.union_corpora({lang: c.filter(F.col("dataset") == lang) for lang in LANGS})
+
+
+@query("union_corpora")
+def q_union_corpora(spark, sf):
+    return corpora(spark, sf)
+
+
+@query("write_results")
+def q_write_results(spark, sf):
+    stats = A.token_stats(fx.fx_corpora(spark, sf))
+    path = W.write_results(stats, W.new_path(stats, "token_stats"), "json", "dataset")
+    return spark.read.json(path).select("dataset", "mean")
+
+
+# ---------------------------------------------------------------------------
+# P: scalars on dialogue text and labels
+# ---------------------------------------------------------------------------
+
+
+@query("normalize_speakers")
+def q_normalize_speakers(spark, sf):
+    tagged = fx.fx_dialogues(spark, sf).select(F.concat(F.lit("c"), "id").alias("id"), "dialogue")
+    plain = fx.fx_corpora(spark, sf).select(F.concat(F.lit("d"), "id").alias("id"), "dialogue")
+    return tagged.unionByName(plain).select("id", T.normalize_speakers("dialogue").alias("text"))
+
+
+@query("strip_speakers")
+def q_strip_speakers(spark, sf):
+    return fx.fx_dialogues(spark, sf).select("id", T.strip_speakers("dialogue", "person").alias("text"))
+
+
+@query("parse_turns")
+def q_parse_turns(spark, sf):
+    t = T.parse_turns(fx.fx_dialogues(spark, sf))
+    return t.withColumn("turn", F.col("turn").cast("bigint"))
+
+
+@query("count_tokens")
+def q_count_tokens(spark, sf):
+    c = fx.fx_corpora(spark, sf)
+    return c.select("id", T.count_tokens(T.strip_speakers("dialogue", "person")).alias("n_tokens"))
+
+
+@query("truncate_tokens")
+def q_truncate_tokens(spark, sf):
+    c = fx.fx_corpora(spark, sf)
+    return c.select("id", T.truncate_tokens("dialogue", 500, "first").alias("text"))
+
+
+@query("truncate_tokens_last")
+def q_truncate_tokens_last(spark, sf):
+    c = fx.fx_corpora(spark, sf)
+    return c.select("id", T.truncate_tokens("dialogue", 4096, "last").alias("text"))
+
+
+@query("binarize_label")
+def q_binarize_label(spark, sf):
+    return fx.fx_gold(spark, sf).select("id", L.binarize_label("manipulative", "one").alias("label"))
+
+
+@query("resolve_label_column")
+def q_resolve_label_column(spark, sf):
+    return L.resolve_label_column(fx.fx_aux(spark, sf), "train")
+
+
+@query("filter_measured")
+def q_filter_measured(spark, sf):
+    g = L.filter_measured(fx.fx_gold(spark, sf), "technique")
+    return g.select("id", "dialogue", "manipulative", "technique", "vulnerability")
+
+
+@query("canonicalize_labels")
+def q_canonicalize_labels(spark, sf):
+    g = fx.fx_gold(spark, sf)
+    return g.select("id", F.array_join(L.canonicalize_labels(L.split_labels("technique"), "the"), ",").alias("labels"))
+
+
+@query("multi_hot")
+def q_multi_hot(spark, sf):
+    g = fx.fx_gold(spark, sf)
+    return g.select("id", L.bits_string(L.multi_hot(L.split_labels("technique"), "technique")).alias("bits"))
+
+
+@query("parse_label_list")
+def q_parse_label_list(spark, sf):
+    r = fx.fx_label_responses(spark, sf)
+    tech = F.array_join(L.parse_label_list("response", "technique"), ",")
+    vul = F.array_join(L.parse_label_list("response", "vulnerability"), ",")
+    return r.select("id", "measure", F.when(F.col("measure") == "technique", tech).otherwise(vul).alias("labels"))
+
+
+@query("threshold_scores")
+def q_threshold_scores(spark, sf):
+    lg = fx.fx_logits(spark, sf)
+    arr = lg.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("j", "logit"))).alias("s"))
+    logits = F.transform(F.col("s"), lambda x: x["logit"])
+    return arr.select("id", L.bits_string(L.threshold_scores(logits, 0.5)).alias("bits"))
+
+
+@query("top_emotion")
+def q_top_emotion(spark, sf):
+    return fx.fx_emotions(spark, sf).select("id", L.top_emotion(F.col("scores")).alias("emotion"))
+
+
+# ---------------------------------------------------------------------------
+# A: statistics
+# ---------------------------------------------------------------------------
+
+
+def gold_with_lang(spark, sf) -> DataFrame:
+    docs = fx.table(spark, sf, "documents")
+    g = docs.select(F.col("lang").alias("dataset"), F.col("doc_id").cast("string").alias("id"),
+                    F.expr(fx.MANIP).alias("manipulative"), F.expr(fx.GOLD_TECH).alias("technique"))
+    return g
+
+
+@query("dataset_summary")
+def q_dataset_summary(spark, sf):
+    g = R.split_exact(gold_with_lang(spark, sf), (0.6, 0.2, 0.2), seed=17)
+    return A.dataset_summary(g, ("dataset", "split"))
+
+
+@query("label_counts")
+def q_label_counts(spark, sf):
+    return A.label_counts(fx.fx_gold(spark, sf), "technique")
+
+
+@query("label_cooccurrence")
+def q_label_cooccurrence(spark, sf):
+    return A.label_cooccurrence(fx.fx_gold(spark, sf), "technique", "technique")
+
+
+@query("label_cross_cooccurrence")
+def q_label_cross_cooccurrence(spark, sf):
+    return A.label_cross_cooccurrence(fx.fx_gold(spark, sf))
+
+
+@query("token_stats")
+def q_token_stats(spark, sf):
+    return A.token_stats(corpora(spark, sf))
+
+
+@query("turn_stats")
+def q_turn_stats(spark, sf):
+    return A.turn_stats(corpora(spark, sf))
+
+
+@query("ccdf")
+def q_ccdf(spark, sf):
+    return A.ccdf(corpora(spark, sf), T.count_lines("dialogue"), "dataset")
+
+
+@query("emotion_distribution")
+def q_emotion_distribution(spark, sf):
+    e = fx.fx_emotions(spark, sf).select(L.top_emotion(F.col("scores")).alias("emotion"), "class")
+    return A.emotion_distribution(e)
+
+
+@query("split_label_share")
+def q_split_label_share(spark, sf):
+    return A.split_label_share(gold_split(spark, sf))
+
+
+@query("compare_datasets")
+def q_compare_datasets(spark, sf):
+    g = gold_with_lang(spark, sf)
+    return S.union_corpora({lang: A.label_counts(g.filter(F.col("dataset") == lang)) for lang in LANGS},
+                           cols=("label", "n"))
+
+
+# ---------------------------------------------------------------------------
+# G: gold labels from annotators
+# ---------------------------------------------------------------------------
+
+
+@query("unpivot_annotators")
+def q_unpivot_annotators(spark, sf):
+    return G.unpivot_annotators(fx.fx_annotations(spark, sf)).select(
+        "id", "annotator_no", "annotator", "manipulative", "technique", "confidence")
+
+
+@query("gold_consensus")
+def q_gold_consensus(spark, sf):
+    return G.gold_labels(fx.fx_annotations(spark, sf), "consensus")
+
+
+@query("gold_majority")
+def q_gold_majority(spark, sf):
+    return G.gold_labels(fx.fx_annotations(spark, sf), "majority")
+
+
+@query("vote_labels")
+def q_vote_labels(spark, sf):
+    return G.vote_labels(fx.fx_annotations(spark, sf), "technique", 2)
+
+
+@query("annotator_agreement")
+def q_annotator_agreement(spark, sf):
+    return G.annotator_agreement(fx.fx_annotations(spark, sf))

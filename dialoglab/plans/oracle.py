@@ -77,3 +77,194 @@ ORACLE: dict[str, str] = {
         *BINPRED,
     ),
 }
+
+
+# ---------------------------------------------------------------------------
+# sources, scalars, statistics, annotators
+# ---------------------------------------------------------------------------
+
+from ..functions.vocab import ALIASES, EMOTIONS, TECHNIQUES, VULNERABILITIES  # noqa: E402
+from .fixtures import ANNOTATION_COLS, _q  # noqa: E402
+
+STRIP_RE = r"'^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$'"
+TOKEN_RE = r"'[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'"
+LINE_TAG_RE = r"'^((?:Person|Turn |utterance )\d+):\s?'"
+LANG_LIST = "('en', 'fr', 'de', 'es')"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, {STRIP_RE}, '', 'g')"
+
+
+def _values(col: str, vals) -> str:
+    return "(SELECT * FROM (VALUES " + ", ".join(f"({_q(v)})" for v in vals) + f") t({col}))"
+
+
+def _tokens(x: str) -> str:
+    return f"len(regexp_extract_all({x}, {TOKEN_RE}))"
+
+
+NO_PERSON = "replace(replace(dialogue, 'Person1: ', ''), 'Person2: ', '')"
+ANN_NAMES = ", ".join(f'"{n}"' for n, _ in ANNOTATION_COLS)
+
+_unpivot = " UNION ALL ".join(
+    f"SELECT id, {k} AS annotator_no, annotator_{k} AS annotator, CAST(manipulative_{k} AS INT) AS manipulative, "
+    f"technique_{k} AS technique, vulnerability_{k} AS vulnerability, CAST(confidence_{k} AS INT) AS confidence "
+    "FROM fx_annotations" for k in (1, 2, 3)
+)
+ORACLE_VIEWS["fx_long"] = _unpivot
+
+
+def _bits(col: str, labels) -> str:
+    parts = []
+    for lab in labels:
+        alt = ALIASES.get(lab)
+        cond = f"list_contains(string_split({col}, ','), {_q(lab)})"
+        if alt:
+            cond = f"({cond} OR list_contains(string_split({col}, ','), {_q(alt)}))"
+        parts.append(f"CASE WHEN {cond} THEN '1' ELSE '0' END")
+    return "concat(" + ", ".join(parts) + ")"
+
+
+def _found(col: str, labels) -> str:
+    return "concat_ws(',', " + ", ".join(
+        f"CASE WHEN strpos(lower({col}), {_q(ALIASES.get(lab, lab).lower())}) > 0 THEN {_q(lab)} END" for lab in labels
+    ) + ")"
+
+
+ORACLE.update({
+    "read_labelled_csv": with_views(
+        "SELECT id, dialogue, manipulative, technique, vulnerability FROM fx_gold", "fx_gold"),
+    "read_annotations": with_views(f"SELECT {ANN_NAMES} FROM fx_annotations", "fx_annotations"),
+    "read_thread_jsonl": (
+        "SELECT CAST(conv_id AS VARCHAR) AS id, string_agg('utterance ' || CAST(i AS VARCHAR) || ': ' || "
+        + _strip("CASE WHEN i = 0 THEN array_to_string(string_split(text, chr(10))[2:], ' ') ELSE text END")
+        + ", chr(10) ORDER BY i) AS dialogue FROM (SELECT conv_id, text, "
+        "row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) t GROUP BY conv_id"
+    ),
+    "read_turn_table": (
+        "SELECT CAST(conv_id AS VARCHAR) AS id, string_agg('Turn ' || CAST(turn AS VARCHAR) || ': ' || "
+        + _strip("replace(text, '@USER', '')")
+        + ", chr(10) ORDER BY turn) AS dialogue FROM conversations GROUP BY conv_id"
+    ),
+    "read_text_column_csv": with_views(f"SELECT {_strip('dialogue')} AS dialogue FROM fx_dialogues", "fx_dialogues"),
+    "union_corpora": with_views(f"SELECT dataset, id, dialogue FROM fx_corpora WHERE dataset IN {LANG_LIST}",
+                                "fx_corpora"),
+    "write_results": with_views(
+        f"SELECT dataset, round(avg({_tokens(NO_PERSON)}), 6) AS mean FROM fx_corpora GROUP BY dataset", "fx_corpora"),
+    "normalize_speakers": with_views(
+        "SELECT id, CASE WHEN strpos(t, '<person>:') > 0 THEN t ELSE "
+        "array_to_string(list_transform(string_split(t, chr(10)), lambda l: '<person>: ' || l), chr(10)) END AS text "
+        "FROM (SELECT id, regexp_replace(regexp_replace(regexp_replace(dialogue, 'Person\\d+:', '<person>:', 'g'), "
+        "'Turn \\d+:', '<person>:', 'g'), 'utterance \\d+:', '<person>:', 'g') AS t FROM ("
+        "SELECT 'c' || id AS id, dialogue FROM fx_dialogues UNION ALL SELECT 'd' || id, dialogue FROM fx_corpora) x) y",
+        "fx_dialogues", "fx_corpora"),
+    "strip_speakers": with_views(f"SELECT id, {NO_PERSON} AS text FROM fx_dialogues", "fx_dialogues"),
+    "parse_turns": with_views(
+        f"SELECT id, CAST(turn AS BIGINT) AS turn, regexp_extract(line, {LINE_TAG_RE}, 1) AS speaker, "
+        f"regexp_replace(line, {LINE_TAG_RE}, '') AS text FROM (SELECT id, unnest(generate_series(0, len(parts) - 1)) "
+        "AS turn, unnest(parts) AS line FROM (SELECT id, string_split(dialogue, chr(10)) AS parts FROM fx_dialogues) a) b",
+        "fx_dialogues"),
+    "count_tokens": with_views(f"SELECT id, CAST({_tokens(NO_PERSON)} AS BIGINT) AS n_tokens FROM fx_corpora",
+                               "fx_corpora"),
+    "truncate_tokens": with_views(
+        "SELECT id, array_to_string(list_slice(regexp_extract_all(dialogue, '\\S+'), 1, 500), ' ') AS text "
+        "FROM fx_corpora", "fx_corpora"),
+    "truncate_tokens_last": with_views(
+        "SELECT id, array_to_string(list_slice(w, greatest(len(w) - 4096, 0) + 1, len(w)), ' ') AS text "
+        "FROM (SELECT id, regexp_extract_all(dialogue, '\\S+') AS w FROM fx_corpora) t", "fx_corpora"),
+    "binarize_label": with_views(
+        "SELECT id, CASE WHEN manipulative = '1' THEN 1 ELSE 0 END AS label FROM fx_gold", "fx_gold"),
+    "resolve_label_column": with_views('SELECT "Dialogue" AS text, "Hate Speech" AS label FROM fx_aux', "fx_aux"),
+    "filter_measured": with_views(
+        "SELECT id, dialogue, manipulative, technique, vulnerability FROM fx_gold WHERE technique <> ''", "fx_gold"),
+    "canonicalize_labels": with_views(
+        "SELECT id, replace(replace(technique, 'Playing Victim Role', 'Playing the Victim Role'), "
+        "'Playing Servant Role', 'Playing the Servant Role') AS labels FROM fx_gold", "fx_gold"),
+    "multi_hot": with_views(f"SELECT id, {_bits('technique', TECHNIQUES)} AS bits FROM fx_gold", "fx_gold"),
+    "parse_label_list": with_views(
+        f"SELECT id, measure, CASE WHEN measure = 'technique' THEN {_found('response', TECHNIQUES)} "
+        f"ELSE {_found('response', VULNERABILITIES)} END AS labels FROM fx_label_responses", "fx_label_responses"),
+    "threshold_scores": with_views(
+        "SELECT id, string_agg(CASE WHEN 1 / (1 + exp(-logit)) >= 0.5 THEN '1' ELSE '0' END, '' ORDER BY j) AS bits "
+        "FROM fx_logits GROUP BY id", "fx_logits"),
+    "top_emotion": with_views(
+        "SELECT id, label AS emotion FROM (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY score DESC, j) "
+        "AS rn FROM fx_emotion_scores) t WHERE rn = 1", "fx_emotion_scores"),
+    "dataset_summary": with_views(
+        "SELECT dataset, COALESCE(split, 'all') AS split, count(*) AS n, count(*) FILTER (WHERE manipulative = '1') "
+        "AS n_pos, count(*) FILTER (WHERE manipulative = '0') AS n_neg, CASE WHEN count(*) FILTER (WHERE "
+        "manipulative = '0') > 0 THEN round(count(*) FILTER (WHERE manipulative = '1') / count(*) FILTER (WHERE "
+        "manipulative = '0'), 6) END AS ratio FROM (SELECT s.*, d.lang AS dataset FROM fx_split s JOIN documents d "
+        "ON s.doc_id = d.doc_id) t GROUP BY GROUPING SETS ((dataset, split), (dataset))",
+        "fx_gold", "fx_split"),
+    "label_counts": with_views(
+        "SELECT label, count(*) AS n FROM (SELECT unnest(string_split(technique, ',')) AS label FROM fx_gold "
+        "WHERE technique <> '') t GROUP BY label", "fx_gold"),
+    "label_cooccurrence": with_views(
+        "WITH l AS (SELECT DISTINCT id, label FROM (SELECT id, unnest(string_split(technique, ',')) AS label "
+        "FROM fx_gold WHERE technique <> '') x), c AS (SELECT a.label AS label_a, b.label AS label_b, count(*) AS n "
+        "FROM l a JOIN l b ON a.id = b.id AND a.label <> b.label GROUP BY 1, 2) "
+        f"SELECT va.label AS label_a, vb.label AS label_b, COALESCE(c.n, 0) AS n FROM {_values('label', TECHNIQUES)} va "
+        f"CROSS JOIN {_values('label', TECHNIQUES)} vb LEFT JOIN c ON c.label_a = va.label AND c.label_b = vb.label",
+        "fx_gold"),
+    "label_cross_cooccurrence": with_views(
+        "WITH t AS (SELECT id, unnest(string_split(technique, ',')) AS a FROM fx_gold WHERE technique <> '' "
+        "AND vulnerability <> ''), v AS (SELECT id, unnest(string_split(vulnerability, ',')) AS b FROM fx_gold "
+        "WHERE technique <> '' AND vulnerability <> ''), c AS (SELECT a, b, count(*) AS n FROM t JOIN v "
+        "ON t.id = v.id GROUP BY 1, 2) "
+        f"SELECT va.label AS label_a, vb.label AS label_b, COALESCE(c.n, 0) AS n FROM {_values('label', TECHNIQUES)} va "
+        f"CROSS JOIN {_values('label', VULNERABILITIES)} vb LEFT JOIN c ON c.a = va.label AND c.b = vb.label",
+        "fx_gold"),
+    "token_stats": with_views(
+        f"SELECT dataset, round(avg({_tokens(NO_PERSON)}), 6) AS mean FROM fx_corpora WHERE dataset IN {LANG_LIST} "
+        "GROUP BY dataset", "fx_corpora"),
+    "turn_stats": with_views(
+        "SELECT dataset, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS stdev FROM (SELECT dataset, "
+        f"len(string_split(dialogue, chr(10))) AS n FROM fx_corpora WHERE dataset IN {LANG_LIST}) t GROUP BY dataset",
+        "fx_corpora"),
+    "ccdf": with_views(
+        "SELECT dataset, value, count(*) AS n, round(1 - min(i) / max(tot), 6) AS p_first, "
+        "round(1 - max(i) / max(tot), 6) AS p_last FROM (SELECT dataset, value, "
+        "row_number() OVER (PARTITION BY dataset ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY dataset) AS tot "
+        f"FROM (SELECT dataset, len(string_split(dialogue, chr(10))) AS value FROM fx_corpora "
+        f"WHERE dataset IN {LANG_LIST}) a) b GROUP BY dataset, value", "fx_corpora"),
+    "emotion_distribution": with_views(
+        "WITH top AS (SELECT id, class, label AS emotion FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "
+        "score DESC, j) AS rn FROM fx_emotion_scores) t WHERE rn = 1), c AS (SELECT emotion, class, count(*) AS n "
+        "FROM top GROUP BY 1, 2) "
+        f"SELECT e.emotion, k.class, COALESCE(c.n, 0) AS n FROM {_values('emotion', EMOTIONS)} e "
+        f"CROSS JOIN {_values('class', ['1', '0'])} k LEFT JOIN c ON c.emotion = e.emotion AND c.class = k.class",
+        "fx_emotion_scores"),
+    "split_label_share": with_views(
+        "WITH rows_ AS (SELECT * FROM fx_split WHERE technique <> '' AND vulnerability <> ''), "
+        "l AS (SELECT split, unnest(string_split(technique, ',')) AS label FROM rows_ UNION ALL "
+        "SELECT split, unnest(string_split(vulnerability, ',')) FROM rows_), "
+        "c AS (SELECT label, split, count(*) AS n FROM l GROUP BY 1, 2), "
+        "g AS (SELECT DISTINCT c.label, s.split FROM c, (VALUES ('train'), ('valid'), ('test')) s(split) "
+        "WHERE c.split = 'train') "
+        "SELECT g.label, g.split, COALESCE(c.n, 0) AS n, round(COALESCE(c.n, 0) / sum(COALESCE(c.n, 0)) "
+        "OVER (PARTITION BY g.label), 6) AS share FROM g LEFT JOIN c ON c.label = g.label AND c.split = g.split",
+        "fx_gold", "fx_split"),
+    "compare_datasets": (
+        "SELECT lang AS dataset, label, count(*) AS n FROM (SELECT lang, unnest(string_split(t, ',')) AS label FROM "
+        f"(SELECT lang, {__import__('dialoglab.plans.fixtures', fromlist=['GOLD_TECH']).GOLD_TECH} AS t "
+        f"FROM documents WHERE lang IN {LANG_LIST}) a WHERE t <> '') b GROUP BY 1, 2"
+    ),
+    "unpivot_annotators": with_views(
+        "SELECT id, annotator_no, annotator, manipulative, technique, confidence FROM fx_long",
+        "fx_annotations", "fx_long"),
+    "gold_consensus": with_views(
+        "SELECT id, CAST(min(manipulative) AS VARCHAR) AS manipulative FROM fx_long GROUP BY id "
+        "HAVING min(manipulative) = max(manipulative) AND count(*) = 3", "fx_annotations", "fx_long"),
+    "gold_majority": with_views(
+        "SELECT id, CASE WHEN sum(manipulative) >= 2 THEN '1' ELSE '0' END AS manipulative FROM fx_long GROUP BY id",
+        "fx_annotations", "fx_long"),
+    "vote_labels": with_views(
+        "SELECT id, label, count(DISTINCT annotator_no) AS n_votes FROM (SELECT id, annotator_no, "
+        "unnest(string_split(technique, ',')) AS label FROM fx_long WHERE technique <> '') t GROUP BY id, label "
+        "HAVING count(DISTINCT annotator_no) >= 2", "fx_annotations", "fx_long"),
+    "annotator_agreement": with_views(
+        "SELECT id, round(greatest(sum(manipulative), 3 - sum(manipulative)) / 3, 6) AS agreement, "
+        "round(avg(confidence), 6) AS mean_confidence FROM fx_long GROUP BY id", "fx_annotations", "fx_long"),
+})
