@@ -354,3 +354,183 @@ def q_vote_labels(spark, sf):
 @query("annotator_agreement")
 def q_annotator_agreement(spark, sf):
     return G.annotator_agreement(fx.fx_annotations(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# R: samples
+# ---------------------------------------------------------------------------
+
+from ..operators import phrases as PH  # noqa: E402
+from ..operators import prompts as B  # noqa: E402
+from ..operators import scoring as M  # noqa: E402
+
+
+@query("sample_cap")
+def q_sample_cap(spark, sf):
+    return R.sample_cap(fx.fx_corpora(spark, sf).select("id"), n=5000, seed=42)
+
+
+@query("holdout")
+def q_holdout(spark, sf):
+    return R.holdout(fx.fx_corpora(spark, sf).select("id"), 0.2, seed=42)
+
+
+@query("balance_classes")
+def q_balance_classes(spark, sf):
+    g = fx.fx_gold(spark, sf).select("id", "manipulative")
+    return R.balance_classes(g, "manipulative", seed=0)
+
+
+@query("sample_per_group")
+def q_sample_per_group(spark, sf):
+    return R.sample_per_group(fx.fx_corpora(spark, sf).select("id", "dataset"), "dataset", n=500, seed=11)
+
+
+def train_examples(spark, sf) -> DataFrame:
+    """R6 on the train split: 2 positives and 1 negative (seed 0)."""
+    train = R.split_exact(fx.fx_gold(spark, sf), seed=17).filter(F.col("split") == "train")
+    return R.select_examples(train, "manipulative", {"1": 2, "0": 1}, seed=0)
+
+
+@query("select_examples")
+def q_select_examples(spark, sf):
+    return train_examples(spark, sf).select("id", "manipulative", F.col("example_no").cast("bigint"))
+
+
+# ---------------------------------------------------------------------------
+# B / J2: prompts and training text
+# ---------------------------------------------------------------------------
+
+
+def test_rows(spark, sf) -> DataFrame:
+    return R.split_exact(fx.fx_gold(spark, sf), seed=17).filter(F.col("split") == "test")
+
+
+@query("zeroshot_messages")
+def q_zeroshot_messages(spark, sf):
+    return B.zeroshot_messages(test_rows(spark, sf), "binary")
+
+
+@query("zeroshot_messages_technique")
+def q_zeroshot_messages_technique(spark, sf):
+    return B.zeroshot_messages(test_rows(spark, sf), "technique")
+
+
+@query("fewshot_messages")
+def q_fewshot_messages(spark, sf):
+    return B.fewshot_messages(test_rows(spark, sf), train_examples(spark, sf), "binary")
+
+
+@query("attach_examples")
+def q_attach_examples(spark, sf):
+    return B.attach_examples(test_rows(spark, sf), train_examples(spark, sf))
+
+
+@query("sft_text_binary")
+def q_sft_text_binary(spark, sf):
+    return B.sft_text(fx.fx_gold(spark, sf), "dialogue", "manipulative", "dialogue")
+
+
+@query("sft_text_multilabel")
+def q_sft_text_multilabel(spark, sf):
+    g = L.filter_measured(fx.fx_gold(spark, sf), "technique")
+    return B.sft_text_multilabel(g, "technique")
+
+
+@query("classifier_table")
+def q_classifier_table(spark, sf):
+    return B.classifier_table(fx.fx_aux(spark, sf), "binary")
+
+
+# ---------------------------------------------------------------------------
+# M: scoring and models
+# ---------------------------------------------------------------------------
+
+
+@query("batch_score")
+def q_batch_score(spark, sf):
+    return M.batch_score(test_rows(spark, sf), M.keyword_stub(("the ", "que ")), "dialogue", "response")
+
+
+@query("train_binary")
+def q_train_binary(spark, sf):
+    g = R.split_exact(fx.fx_gold(spark, sf), seed=17).select(
+        "id", F.col("dialogue").alias("text"), L.binarize_label("manipulative").alias("label"), "split")
+    return M.train_binary(g.filter("split = 'train'"), g.filter("split = 'valid'"), g.filter("split = 'test'"))
+
+
+@query("train_multilabel")
+def q_train_multilabel(spark, sf):
+    g = L.filter_measured(fx.fx_gold(spark, sf), "technique")
+    g = R.split_exact(g, seed=17).select(
+        "id", F.col("dialogue").alias("text"), L.multi_hot(L.split_labels("technique"), "technique").alias("labels"),
+        "split")
+    return M.train_multilabel(g.filter("split = 'train'"), g.filter("split = 'test'"), "technique")
+
+
+def fold_metrics(spark, sf) -> DataFrame:
+    """Micro-F1 of every (model/setting, fold) on the test split - a run x epoch table from data."""
+    bp = binary_predictions(spark, sf).select(
+        F.concat_ws("/", "model", "setting").alias("run"),
+        (F.pmod(F.col("id").cast("bigint"), F.lit(5)) + 1).cast("bigint").alias("epoch"), "y", "p")
+    return E.binary_metrics(bp, ("run", "epoch")).select("run", "epoch", F.col("micro_f1").alias("f1"))
+
+
+@query("best_run")
+def q_best_run(spark, sf):
+    return M.best_run(fold_metrics(spark, sf))
+
+
+@query("standardize_embeddings")
+def q_standardize_embeddings(spark, sf):
+    return M.standardize(fx.fx_embeddings(spark, sf), "class")
+
+
+@query("project_2d")
+def q_project_2d(spark, sf):
+    return M.project_2d(fx.fx_embeddings(spark, sf), "class")
+
+
+# ---------------------------------------------------------------------------
+# Multi-label evaluation
+# ---------------------------------------------------------------------------
+
+
+def multilabel_predictions(spark, sf) -> DataFrame:
+    """Gold technique vectors (non-empty lists) joined with parsed stored label answers."""
+    g = L.filter_measured(fx.fx_gold(spark, sf), "technique").select(
+        "id", L.multi_hot(L.split_labels("technique"), "technique").alias("y"))
+    r = fx.fx_label_responses(spark, sf).filter(F.col("measure") == "technique").select(
+        "id", L.multi_hot(L.parse_label_list("response", "technique"), "technique").alias("p"))
+    return g.join(r, "id")
+
+
+@query("confusion_multilabel")
+def q_confusion_multilabel(spark, sf):
+    return E.confusion_multilabel(multilabel_predictions(spark, sf), "technique")
+
+
+@query("multilabel_metrics")
+def q_multilabel_metrics(spark, sf):
+    return E.multilabel_metrics(multilabel_predictions(spark, sf), "technique")
+
+
+@query("per_label_metrics")
+def q_per_label_metrics(spark, sf):
+    return E.per_label_metrics(multilabel_predictions(spark, sf), "technique")
+
+
+@query("pooled_auc")
+def q_pooled_auc(spark, sf):
+    lg = fx.fx_logits(spark, sf).select("y", F.col("logit").alias("score"))
+    return E.pooled_auc(lg, "thresholded").unionByName(E.pooled_auc(lg, "score"))
+
+
+# ---------------------------------------------------------------------------
+# Key phrases
+# ---------------------------------------------------------------------------
+
+
+@query("match_key_phrases")
+def q_match_key_phrases(spark, sf):
+    return PH.match_key_phrases(fx.fx_corpora(spark, sf), fx.fx_phrases(spark))

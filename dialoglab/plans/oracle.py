@@ -11,7 +11,7 @@ from .fixtures import ORACLE_VIEWS, with_views
 
 # Extra oracle-only views.
 ORACLE_VIEWS["fx_split"] = (
-    "SELECT id, doc_id, manipulative, technique, vulnerability, "
+    "SELECT id, doc_id, dialogue, manipulative, technique, vulnerability, "
     "CASE WHEN rk <= floor(n * CAST(0.6 AS DOUBLE)) THEN 'train' "
     "WHEN rk <= floor(n * CAST(0.6 AS DOUBLE)) + floor(n * CAST(0.2 AS DOUBLE)) THEN 'valid' "
     "ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (ORDER BY md5('17:' || id), id) AS rk, "
@@ -268,3 +268,140 @@ ORACLE.update({
         "SELECT id, round(greatest(sum(manipulative), 3 - sum(manipulative)) / 3, 6) AS agreement, "
         "round(avg(confidence), 6) AS mean_confidence FROM fx_long GROUP BY id", "fx_annotations", "fx_long"),
 })
+
+
+# ---------------------------------------------------------------------------
+# samples, prompts, scoring, multi-label evaluation, key phrases
+# ---------------------------------------------------------------------------
+
+from ..functions.vocab import the_form  # noqa: E402
+from ..operators.prompts import DEFAULT_TEMPLATES, system_prompt  # noqa: E402
+
+SPLIT = ("fx_gold", "fx_split")
+
+
+def _rk(seed: int, part: str = "") -> str:
+    p = f"PARTITION BY {part} " if part else ""
+    return f"row_number() OVER ({p}ORDER BY md5('{seed}:' || id), id)"
+
+
+_EXAMPLES = (
+    f"SELECT id, manipulative, dialogue, {_rk(0, 'manipulative')} AS example_no FROM fx_split WHERE split = 'train'"
+)
+ORACLE_VIEWS["fx_examples"] = (
+    f"SELECT * FROM ({_EXAMPLES}) e WHERE (manipulative = '1' AND example_no <= 2) "
+    "OR (manipulative = '0' AND example_no <= 1)"
+)
+EXAMPLES = ("fx_gold", "fx_split", "fx_examples")
+
+
+def _msg(role: str, content: str) -> str:
+    return f"{{'role': '{role}', 'content': {content}}}"
+
+
+_SFT_HEAD = "### Instruction:\n{q}\n\n### Dialogue:\n"
+_SFT_TAIL = "\n\n### Answer:\n"
+_TECH_V = "(SELECT * FROM (VALUES " + ", ".join(
+    f"({_q(lab)}, {_q(the_form(lab))}, {_q(the_form(lab).lower())})" for lab in TECHNIQUES
+) + ") t(label, alt, m))"
+ORACLE_VIEWS["fx_mlong"] = (
+    f"WITH v AS {_TECH_V}, g AS (SELECT id, technique FROM fx_gold WHERE technique <> ''), "
+    "r AS (SELECT id, response FROM fx_label_responses WHERE measure = 'technique'), "
+    "ok AS (SELECT g.id, g.technique, r.response FROM g JOIN r ON g.id = r.id "
+    "WHERE EXISTS (SELECT 1 FROM v WHERE strpos(lower(r.response), v.m) > 0)) "
+    "SELECT ok.id, v.label, CASE WHEN list_contains(string_split(ok.technique, ','), v.label) "
+    "OR list_contains(string_split(ok.technique, ','), v.alt) THEN 1 ELSE 0 END AS y, "
+    "CASE WHEN strpos(lower(ok.response), v.m) > 0 THEN 1 ELSE 0 END AS p FROM ok CROSS JOIN v"
+)
+MLONG = ("fx_gold", "fx_label_responses", "fx_mlong")
+_MCONF = (
+    "count(*) FILTER (WHERE y = 0 AND p = 0) AS tn, count(*) FILTER (WHERE y = 0 AND p = 1) AS fp, "
+    "count(*) FILTER (WHERE y = 1 AND p = 0) AS fn, count(*) FILTER (WHERE y = 1 AND p = 1) AS tp"
+)
+
+ORACLE.update({
+    "sample_cap": with_views(f"SELECT id FROM (SELECT id, {_rk(42)} AS rk FROM fx_corpora) t WHERE rk <= 5000",
+                             "fx_corpora"),
+    "holdout": with_views(
+        "SELECT id, CASE WHEN rk <= ceil(n * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split "
+        f"FROM (SELECT id, {_rk(42)} AS rk, count(*) OVER () AS n FROM fx_corpora) t", "fx_corpora"),
+    "balance_classes": with_views(
+        f"WITH r AS (SELECT id, manipulative, {_rk(0, 'manipulative')} AS rk FROM fx_gold), "
+        "m AS (SELECT min(c) AS k FROM (SELECT count(*) AS c FROM fx_gold GROUP BY manipulative) x) "
+        "SELECT id, manipulative FROM r, m WHERE rk <= k", "fx_gold"),
+    "sample_per_group": with_views(
+        f"SELECT id, dataset FROM (SELECT id, dataset, {_rk(11, 'dataset')} AS rk FROM fx_corpora) t WHERE rk <= 500",
+        "fx_corpora"),
+    "select_examples": with_views("SELECT id, manipulative, example_no FROM fx_examples", *EXAMPLES),
+    "zeroshot_messages": with_views(
+        f"SELECT id, to_json([{_msg('system', _q(system_prompt('binary')))}, {_msg('user', 'dialogue')}]) "
+        "AS messages FROM fx_split WHERE split = 'test'", *SPLIT),
+    "zeroshot_messages_technique": with_views(
+        f"SELECT id, to_json([{_msg('system', _q(system_prompt('technique')))}, {_msg('user', 'dialogue')}]) "
+        "AS messages FROM fx_split WHERE split = 'test'", *SPLIT),
+    "fewshot_messages": with_views(
+        "WITH ex AS (SELECT row_number() OVER (ORDER BY CASE WHEN manipulative = '1' THEN 0 ELSE 1 END, example_no) "
+        "AS i, manipulative, dialogue FROM fx_examples), "
+        "blk AS (SELECT count(*) AS k, flatten(list([" + _msg("user", "'Example ' || CAST(i AS VARCHAR) || ':' || chr(10) "
+        "|| dialogue") + ", " + _msg("assistant", "CASE WHEN manipulative = '1' THEN 'Yes' ELSE 'No' END")
+        + "] ORDER BY i)) AS m FROM ex) "
+        f"SELECT t.id, to_json(list_concat([{_msg('system', _q(system_prompt('binary') + chr(10)) + ' || replace(' + _q(DEFAULT_TEMPLATES['fewshot_intro']) + ', ' + _q('{k}') + ', CAST(blk.k AS VARCHAR))')}], "
+        f"blk.m, [{_msg('user', 't.dialogue')}])) AS messages FROM fx_split t, blk WHERE t.split = 'test'",
+        *EXAMPLES),
+    "attach_examples": with_views(
+        "SELECT id, (SELECT count(*) FROM fx_examples) AS n_examples FROM fx_split WHERE split = 'test'", *EXAMPLES),
+    "sft_text_binary": with_views(
+        f"SELECT id, {_q(_SFT_HEAD.format(q=DEFAULT_TEMPLATES['sft_question_dialogue']))} || dialogue || "
+        f"{_q(_SFT_TAIL)} || CASE WHEN manipulative = '1' THEN 'Yes.' ELSE 'No.' END AS sft_text FROM fx_gold",
+        "fx_gold"),
+    "sft_text_multilabel": with_views(
+        f"SELECT id, {_q(_SFT_HEAD.format(q=DEFAULT_TEMPLATES['sft_question_labels'].replace('{measure}', 'technique')))}"
+        f" || dialogue || {_q(_SFT_TAIL)} || replace(replace(replace(technique, ',', chr(10)), "
+        "'Playing Victim Role', 'Playing the Victim Role'), 'Playing Servant Role', 'Playing the Servant Role') "
+        "AS sft_text FROM fx_gold WHERE technique <> ''", "fx_gold"),
+    "classifier_table": with_views(
+        'SELECT "Dialogue" AS text, CASE WHEN "Hate Speech" = \'0\' THEN 0 ELSE 1 END AS label FROM fx_aux', "fx_aux"),
+    "batch_score": with_views(
+        "SELECT id, CASE WHEN strpos(lower(dialogue), 'the ') > 0 OR strpos(lower(dialogue), 'que ') > 0 "
+        "THEN 'Yes.' ELSE 'No.' END AS response FROM fx_split WHERE split = 'test'", *SPLIT),
+    "best_run": with_views(
+        "WITH f AS (SELECT model || '/' || setting AS run, CAST(CAST(id AS BIGINT) % 5 + 1 AS BIGINT) AS epoch, "
+        "round(avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END), 6) AS f1 FROM fx_binpred WHERE p <> -1 GROUP BY 1, 2) "
+        "SELECT run, epoch, f1 FROM f ORDER BY f1 DESC, run, epoch LIMIT 1", *BINPRED),
+    "standardize_embeddings": with_views(
+        "WITH l AS (SELECT id, class, unnest(generate_series(0, len(embedding) - 1)) AS pos, "
+        "CAST(unnest(embedding) AS DOUBLE) AS x FROM fx_embeddings), "
+        "st AS (SELECT class, pos, avg(x) AS mu, stddev_pop(x) AS sd FROM l GROUP BY class, pos) "
+        "SELECT id, CAST(l.pos AS BIGINT) AS pos, round((x - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 6) AS z "
+        "FROM l JOIN st ON l.class = st.class AND l.pos = st.pos", "fx_embeddings"),
+    "confusion_multilabel": with_views(f"SELECT label, {_MCONF} FROM fx_mlong GROUP BY label", *MLONG),
+    "per_label_metrics": with_views(
+        f"WITH c AS (SELECT label, {_MCONF} FROM fx_mlong GROUP BY label) SELECT label, "
+        "round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, "
+        "round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall FROM c", *MLONG),
+    "multilabel_metrics": with_views(
+        f"WITH c AS (SELECT label, {_MCONF} FROM fx_mlong GROUP BY label), "
+        "a AS (SELECT avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS acc FROM (SELECT id, bool_and(y = p) AS ok "
+        "FROM fx_mlong GROUP BY id) x), "
+        "s AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN "
+        "2 * tp / (2 * tp + fp + fn) ELSE 0 END) AS macro FROM c) "
+        "SELECT round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, "
+        "round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(a.acc, 6) AS accuracy, "
+        "round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS micro_f1, "
+        "round(macro, 6) AS macro_f1 FROM s, a", *MLONG),
+    "pooled_auc": with_views(
+        "WITH t AS (SELECT y, CASE WHEN 1 / (1 + exp(-logit)) >= 0.5 THEN 1 ELSE 0 END AS p FROM fx_logits), "
+        "c AS (SELECT count(*) FILTER (WHERE y = 1 AND p = 1) AS tp, count(*) FILTER (WHERE y = 1 AND p = 0) AS fn, "
+        "count(*) FILTER (WHERE y <> 1 AND p = 0) AS tn, count(*) FILTER (WHERE y <> 1 AND p = 1) AS fp FROM t), "
+        "r AS (SELECT y, rank() OVER (ORDER BY logit) + (count(*) OVER (PARTITION BY logit) - 1) / 2.0 AS ar "
+        "FROM fx_logits), "
+        "u AS (SELECT sum(ar) FILTER (WHERE y = 1) AS rs, count(*) FILTER (WHERE y = 1) AS np, "
+        "count(*) FILTER (WHERE y <> 1) AS nn FROM r) "
+        "SELECT 'thresholded' AS mode, round(((CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END) + "
+        "(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END)) / 2, 6) AS auc FROM c "
+        "UNION ALL SELECT 'score', round((rs - np * (np + 1) / 2.0) / (np * nn), 6) FROM u", "fx_logits"),
+    "match_key_phrases": with_views(
+        "WITH d AS (SELECT id, ' ' || trim(regexp_replace(lower(dialogue), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' "
+        "AS t FROM fx_corpora) SELECT p.phrase, count(d.id) AS n_dialogues FROM fx_phrases p LEFT JOIN d "
+        "ON strpos(d.t, ' ' || p.phrase || ' ') > 0 GROUP BY p.phrase", "fx_corpora", "fx_phrases"),
+})

@@ -112,7 +112,8 @@ def running_sums(
     """
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = hist.select(F.percentile_approx(F.col(value_col).cast("double"), probs, 10000)).scalar()
-    b = hist.withColumn("_bkt", quantile_bucket(F.col(value_col).cast("double"), bounds))
+    b = hist.withColumn("_bounds", bounds)
+    b = b.withColumn("_bkt", quantile_bucket(F.col(value_col).cast("double"), F.col("_bounds"))).drop("_bounds")
     totals = b.groupBy("_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
