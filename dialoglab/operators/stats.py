@@ -58,10 +58,22 @@ def dataset_summary(df: DataFrame, by=("dataset", "split"), label_col: str = "ma
     return g.withColumn("ratio", ratio)
 
 
-def label_counts(df: DataFrame, col: str = "technique") -> DataFrame:
+def label_counts(df: DataFrame, col: str = "technique", by=None) -> DataFrame:
     """A2: how often every label occurs (empty lists skipped), most frequent first, then by label."""
-    ex = df.select(F.explode(split_labels(col)).alias("label"))
-    return ex.groupBy("label").agg(F.count(F.lit(1)).cast("bigint").alias("n")).orderBy(F.desc("n"), "label")
+    b = _by(by)
+    ex = df.select(*b, F.explode(split_labels(col)).alias("label"))
+    counts = ex.groupBy(*b, "label").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return counts.orderBy(*b, F.desc("n"), "label")
+
+
+def compare_datasets(corpora, col: str = "technique") -> DataFrame:
+    """Label counts of several labelled corpora stacked with a ``dataset`` column.
+
+    The corpora are unioned first (no shuffle) and counted in one aggregation.
+    """
+    from ..sources.readers import union_corpora
+
+    return label_counts(union_corpora(corpora, cols=(col,)), col, by="dataset")
 
 
 def label_cooccurrence(df: DataFrame, col: str, measure: str) -> DataFrame:

@@ -294,17 +294,17 @@ def q_label_cross_cooccurrence(spark, sf):
 
 @query("token_stats")
 def q_token_stats(spark, sf):
-    return A.token_stats(corpora(spark, sf))
+    return A.token_stats(fx.fx_corpora(spark, sf))
 
 
 @query("turn_stats")
 def q_turn_stats(spark, sf):
-    return A.turn_stats(corpora(spark, sf))
+    return A.turn_stats(fx.fx_corpora(spark, sf))
 
 
 @query("ccdf")
 def q_ccdf(spark, sf):
-    return A.ccdf(corpora(spark, sf), T.count_lines("dialogue"), "dataset")
+    return A.ccdf(fx.fx_corpora(spark, sf), T.count_lines("dialogue"), "dataset")
 
 
 @query("emotion_distribution")
@@ -321,8 +321,7 @@ def q_split_label_share(spark, sf):
 @query("compare_datasets")
 def q_compare_datasets(spark, sf):
     g = gold_with_lang(spark, sf)
-    return S.union_corpora({lang: A.label_counts(g.filter(F.col("dataset") == lang)) for lang in LANGS},
-                           cols=("label", "n"))
+    return A.compare_datasets({lang: g.filter(F.col("dataset") == lang) for lang in LANGS}, "technique")
 
 
 # ---------------------------------------------------------------------------

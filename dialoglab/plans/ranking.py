@@ -91,8 +91,12 @@ def seeded_rank(
 
 
 def quantile_bucket(value: Column, bounds: Column) -> Column:
-    """Number of bounds strictly below ``value`` - monotone in ``value``."""
-    return F.size(F.filter(bounds, lambda b: b < value))
+    """Number of bounds strictly below ``value`` - monotone in ``value``.
+
+    Wrapped in ``coalesce`` so that the optimizer does not infer a NOT NULL
+    filter on it and push the bound search below the aggregation.
+    """
+    return F.coalesce(F.size(F.filter(bounds, lambda b: b < value)), F.lit(0))
 
 
 def running_sums(
@@ -110,6 +114,12 @@ def running_sums(
     balanced whatever the value distribution; results are exact because the
     running offset of each bucket is summed from the true per-bucket totals.
     """
+    from ..session import checkpoint_dir
+
+    # the histogram feeds three branches (bounds, bucket totals, rows): write it
+    # once to the shared checkpoint folder instead of recomputing it from the data
+    checkpoint_dir(hist.sparkSession)
+    hist = hist.checkpoint(eager=True)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = hist.select(F.percentile_approx(F.col(value_col).cast("double"), probs, 10000)).scalar()
     b = hist.withColumn("_bounds", bounds)
