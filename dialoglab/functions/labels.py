@@ -65,7 +65,7 @@ def filter_measured(df: DataFrame, measure: str, tech_col: str = "technique",
 def split_labels(col: str | Column, sep: str = ",") -> Column:
     """Comma list -> array, empty string -> empty array."""
     c = F.coalesce(_c(col), F.lit(""))
-    return F.filter(F.split(c, sep), lambda x: x != "")
+    return F.array_remove(F.split(c, sep), "")
 
 
 def canonicalize_labels(arr: Column, style: str = "the") -> Column:
@@ -88,12 +88,16 @@ def multi_hot(arr: Column, measure: str, mode: str = "lenient") -> Column:
     labels, unknown names ignored.  ``strict``: lower-cased comparison with
     the gold spelling only.  Validity is reported by :func:`multi_hot_invalid`.
     """
+    # no lambdas: array_contains stays in generated code, and the shared
+    # ``arr`` sub-expression is evaluated once per row (common subexpression
+    # elimination does not reach inside lambda functions)
     vocab = labels_for(measure)
     if mode == "lenient":
-        def hit(v: str):
-            return lambda x: (x == F.lit(v)) | (x == F.lit(the_form(v)))
+        def hit(v: str) -> Column:
+            c = F.array_contains(arr, F.lit(v))
+            return (c | F.array_contains(arr, F.lit(the_form(v)))) if v in ALIASES else c
 
-        return F.array(*[F.exists(arr, hit(v)).cast("int") for v in vocab])
+        return F.array(*[hit(v).cast("int") for v in vocab])
     if mode == "strict":
         low = F.transform(arr, lambda x: F.lower(x))
         return F.array(*[F.array_contains(low, v.lower()).cast("int") for v in vocab])
@@ -112,7 +116,7 @@ def unknown_labels(arr: Column, measure: str, mode: str = "lenient") -> Column:
 
 def multi_hot_invalid(bits: Column) -> Column:
     """The lenient encoder rejects an all-zero vector."""
-    return F.aggregate(bits, F.lit(0), lambda a, x: a + x) == 0
+    return ~F.array_contains(bits, 1)
 
 
 def bits_string(bits: Column) -> Column:
@@ -143,7 +147,7 @@ def parse_label_list(col: str | Column, measure: str) -> Column:
     low = F.lower(_c(col))
     vocab = labels_for(measure)
     hits = [F.when(F.instr(low, the_form(v).lower()) > 0, F.lit(v)) for v in vocab]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    return F.array_compact(F.array(*hits))
 
 
 def threshold_scores(arr: Column, t: float = 0.5) -> Column:

@@ -99,12 +99,19 @@ def binary_metrics(df: DataFrame, by=("model", "setting"), y: str = "y", p: str
 
 
 def multilabel_long(df: DataFrame, measure: str, y: str = "y", p: str = "p", by=None) -> DataFrame:
-    """(by.., label, y, p) rows for processed rows; ``y`` / ``p`` are 0/1 arrays in vector order."""
+    """(by.., label, y, p) rows; ``y`` / ``p`` are 0/1 arrays in vector order.
+
+    Rows whose prediction is empty (all zero) get ``p = -1`` on every label,
+    which the confusion counts skip.  The processed-row test is folded into
+    the aggregates rather than applied as a filter, so the optimizer has no
+    predicate to push below joins into the (possibly large) expressions that
+    produced ``p``.
+    """
     vocab = F.array(*[F.lit(x) for x in labels_for(measure)])
-    ok = F.aggregate(F.col(p), F.lit(0), lambda a, x: a + x) > 0
-    z = df.filter(ok).select(*_by(by), F.posexplode(F.arrays_zip(F.col(y).alias("y"), F.col(p).alias("p"))).alias("pos", "yp"))
+    z = df.select(*_by(by), F.array_contains(F.col(p), 1).alias("_ok"),
+                  F.posexplode(F.arrays_zip(F.col(y).alias("y"), F.col(p).alias("p"))).alias("pos", "yp"))
     return z.select(*_by(by), F.element_at(vocab, F.col("pos") + 1).alias("label"),
-                    F.col("yp.y").alias("y"), F.col("yp.p").alias("p"))
+                    F.col("yp.y").alias("y"), F.when(F.col("_ok"), F.col("yp.p")).otherwise(F.lit(-1)).alias("p"))
 
 
 def confusion_multilabel(df: DataFrame, measure: str, y: str = "y", p: str = "p", by=None) -> DataFrame:
@@ -122,8 +129,8 @@ def multilabel_metrics(df: DataFrame, measure: str, y: str = "y", p: str = "p",
     pooled = per_label.groupBy(*b).agg(
         F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.avg("f1").alias("macro")
     )
-    ok = F.aggregate(F.col(p), F.lit(0), lambda a, x: a + x) > 0
-    exact = df.filter(ok).groupBy(*b).agg(F.avg((F.col(y) == F.col(p)).cast("double")).alias("acc"))
+    ok = F.array_contains(F.col(p), 1)
+    exact = df.groupBy(*b).agg(F.avg(F.when(ok, (F.col(y) == F.col(p)).cast("double"))).alias("acc"))
     if b:
         joined = pooled.join(exact, b, "inner")
     else:  # both sides are one row: attach the accuracy as a scalar subquery
