@@ -3,11 +3,10 @@
 A phrase matches a dialogue when it occurs as whole words in the
 normalised text (lower case, every run of non letters/digits -> one
 space).  Instead of testing every phrase against every dialogue, each
-dialogue emits its distinct word n-grams of the lengths that occur in the
-phrase list, and the n-grams are equi-joined with the phrase table; the
-phrase table is a parameter-sized list and is broadcast.  Counting is a
-hash aggregate with map-side partials, so a phrase that occurs in most
-dialogues is no hot spot.
+dialogue builds its word n-grams of the lengths that occur in the phrase
+list and intersects them with the (parameter-sized) phrase set; only the
+hits leave the row.  Counting is a hash aggregate with map-side partials,
+so a phrase that occurs in most dialogues is no hot spot.
 """
 
 from __future__ import annotations
@@ -23,26 +22,43 @@ def normalize_text(col: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), NON_WORD, " "))
 
 
-def _ngrams(words: Column, n: int) -> Column:
-    count = F.size(words) - F.lit(n) + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-                                         lambda i: F.array_join(F.slice(words, i, n), " "))
-                  ).otherwise(F.array().cast("array<string>"))
+def word_ngrams(norm: Column, n: int) -> Column:
+    """All word n-grams of a normalised text (single spaces), without lambdas.
+
+    A regex match cannot overlap, so pass ``k`` (0 <= k < n) drops the first
+    ``k`` words and extracts the non-overlapping n-grams from there; the
+    passes together hold every n-gram.  Everything stays in JVM regex code.
+    """
+    if n == 1:
+        return F.split(norm, " ")
+    gram = r"[^ ]+" + r"(?: [^ ]+)" * (n - 1)
+    passes = []
+    for k in range(n):
+        t = norm if k == 0 else F.regexp_replace(norm, r"^(?:[^ ]+ ){" + str(k) + "}", "")
+        passes.append(F.regexp_extract_all(t, F.lit(gram), 0))
+    return F.concat(*passes)
 
 
 def dialogue_phrases(df: DataFrame, phrases: DataFrame, text_col: str = "dialogue", id_col: str = "id",
                      phrase_col: str = "phrase") -> DataFrame:
-    """``(id, phrase)`` for every phrase found in a dialogue (each pair once)."""
+    """``(id, phrase)`` for every phrase found in a dialogue (each pair once).
+
+    The phrase list is parameter-sized: it is aggregated into one array and
+    attached as a scalar subquery (evaluated once, shipped with the tasks),
+    and every dialogue intersects its distinct n-grams with it, so only the
+    hits are exploded.
+    """
     norm_phr = phrases.select(normalize_text(phrase_col).alias("_p"), F.col(phrase_col).alias("phrase"))
     # the distinct phrase lengths (a handful of small integers) decide which n-grams to build
     lengths = sorted({r[0] for r in norm_phr.select(F.size(F.split("_p", " "))).distinct().collect()})
-    # the words are a column of their own projection: referenced from inside
-    # the n-gram lambda as an expression, the whole text would be normalised
-    # again for every position (quadratic in the text length)
-    w = df.select(F.col(id_col).alias("id"), F.split(normalize_text(text_col), " ").alias("_w"))
-    grams = F.array_distinct(F.flatten(F.array(*[_ngrams(F.col("_w"), n) for n in lengths])))
-    g = w.select("id", F.explode(grams).alias("_p"))
-    return g.join(F.broadcast(norm_phr), "_p").select("id", "phrase")
+    wanted = norm_phr.select(F.collect_set("_p")).scalar()
+    # the normalised text is a column of its own projection, so the n-gram
+    # passes below share it instead of normalising the text once per pass
+    w = df.select(F.col(id_col).alias("id"), normalize_text(text_col).alias("_t")).withColumn("_want", wanted)
+    grams = F.concat(*[word_ngrams(F.col("_t"), n) for n in lengths])
+    hits = w.select("id", F.explode(F.array_intersect(grams, F.col("_want"))).alias("_p"))
+    # map normalised hits back to the phrases as given (a phrase-sized table)
+    return hits.join(F.broadcast(norm_phr), "_p").select("id", "phrase")
 
 
 def match_key_phrases(df: DataFrame, phrases: DataFrame, text_col: str = "dialogue", id_col: str = "id",

@@ -101,15 +101,26 @@ def train_binary(train: DataFrame, valid: DataFrame, test: DataFrame, text_col:
     """M2: fit on train, keep the regularisation with the best validation accuracy (= micro-F1), score test."""
     from pyspark.ml.classification import LogisticRegression
 
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(train.sparkSession)
     feats = _featurizer(text_col).fit(train)
-    tr = feats.transform(train).select("features", F.col(label_col).cast("double").alias("_y"))
-    va = feats.transform(valid).select("features", F.col(label_col).cast("double").alias("_y"))
-    best, best_acc = None, -1.0
-    for reg in reg_params:  # a handful of model fits, each one distributed
+    # the learner passes over its input once per iteration and per candidate:
+    # write the featurised sets to the shared checkpoint folder once instead of
+    # recomputing split and features (reliable, unlike a cache, if executors go)
+    tr = feats.transform(train).select("features", F.col(label_col).cast("double").alias("_y")).checkpoint()
+    va = feats.transform(valid).select("features", F.col(label_col).cast("double").alias("_y")).checkpoint()
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit(reg: float):
         model = LogisticRegression(featuresCol="features", labelCol="_y", regParam=reg, maxIter=max_iter).fit(tr)
-        acc = _accuracy(model.transform(va), "_y")
-        if acc > best_acc:
-            best, best_acc = model, acc
+        return _accuracy(model.transform(va), "_y"), model
+
+    # the candidate fits are independent distributed jobs: submit them together
+    with ThreadPoolExecutor(max_workers=len(reg_params)) as pool:
+        results = list(pool.map(fit, reg_params))
+    best_acc = max(a for a, _ in results)
+    best = next(m for a, m in results if a == best_acc)  # first (smallest listed) on ties
     te = feats.transform(test)
     out = best.transform(te)
     return out.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"),
@@ -148,7 +159,10 @@ def train_multilabel(train: DataFrame, test: DataFrame, measure: str = "techniqu
         HashingTF(inputCol="_ctok", outputCol="_tf", numFeatures=num_features),
         IDF(inputCol="_tf", outputCol="features"),
     ])
-    tr = crossed(train)
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(train.sparkSession)
+    tr = crossed(train).checkpoint()  # read by the IDF fit and by every iteration of the learner
     fitted = feats.fit(tr)
     model = LogisticRegression(featuresCol="features", labelCol="_y", regParam=reg, maxIter=max_iter,
                                threshold=threshold).fit(fitted.transform(tr))
