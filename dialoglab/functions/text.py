@@ -34,7 +34,9 @@ def normalize_speakers(col: str | Column) -> Column:
     out = _c(col)
     for p in SPEAKER_PATTERNS:
         out = F.regexp_replace(out, p, PERSON_TAG)
-    tagged_lines = F.array_join(F.transform(F.split(out, "\n"), lambda line: F.concat(F.lit(PERSON_TAG + " "), line)), "\n")
+    # tag the start of the text and the start after every newline (also a
+    # trailing one), exactly like splitting on '\n' and prefixing each piece
+    tagged_lines = F.regexp_replace(out, r"(^|\n)", "$1" + PERSON_TAG + " ")
     return F.when(F.instr(out, PERSON_TAG) > 0, out).otherwise(tagged_lines)
 
 
@@ -63,8 +65,8 @@ def tokens(col: str | Column) -> Column:
 
 
 def count_tokens(col: str | Column) -> Column:
-    """Number of word/punctuation tokens."""
-    return F.size(tokens(col)).cast("bigint")
+    """Number of word/punctuation tokens (counted by the regex engine, no token array is built)."""
+    return F.regexp_count(_c(col), F.lit(TOKEN_PATTERN)).cast("bigint")
 
 
 def truncate_tokens(col: str | Column, n: int, side: str = "first") -> Column:
