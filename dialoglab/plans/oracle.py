@@ -334,19 +334,19 @@ ORACLE.update({
         "fx_corpora"),
     "select_examples": with_views("SELECT id, manipulative, example_no FROM fx_examples", *EXAMPLES),
     "zeroshot_messages": with_views(
-        f"SELECT id, to_json([{_msg('system', _q(system_prompt('binary')))}, {_msg('user', 'dialogue')}]) "
-        "AS messages FROM fx_split WHERE split = 'test'", *SPLIT),
+        f"SELECT id, CAST(to_json([{_msg('system', _q(system_prompt('binary')))}, {_msg('user', 'dialogue')}]) "
+        "AS VARCHAR) AS messages FROM fx_split WHERE split = 'test'", *SPLIT),
     "zeroshot_messages_technique": with_views(
-        f"SELECT id, to_json([{_msg('system', _q(system_prompt('technique')))}, {_msg('user', 'dialogue')}]) "
-        "AS messages FROM fx_split WHERE split = 'test'", *SPLIT),
+        f"SELECT id, CAST(to_json([{_msg('system', _q(system_prompt('technique')))}, {_msg('user', 'dialogue')}]) "
+        "AS VARCHAR) AS messages FROM fx_split WHERE split = 'test'", *SPLIT),
     "fewshot_messages": with_views(
         "WITH ex AS (SELECT row_number() OVER (ORDER BY CASE WHEN manipulative = '1' THEN 0 ELSE 1 END, example_no) "
         "AS i, manipulative, dialogue FROM fx_examples), "
         "blk AS (SELECT count(*) AS k, flatten(list([" + _msg("user", "'Example ' || CAST(i AS VARCHAR) || ':' || chr(10) "
         "|| dialogue") + ", " + _msg("assistant", "CASE WHEN manipulative = '1' THEN 'Yes' ELSE 'No' END")
         + "] ORDER BY i)) AS m FROM ex) "
-        f"SELECT t.id, to_json(list_concat([{_msg('system', _q(system_prompt('binary') + chr(10)) + ' || replace(' + _q(DEFAULT_TEMPLATES['fewshot_intro']) + ', ' + _q('{k}') + ', CAST(blk.k AS VARCHAR))')}], "
-        f"blk.m, [{_msg('user', 't.dialogue')}])) AS messages FROM fx_split t, blk WHERE t.split = 'test'",
+        f"SELECT t.id, CAST(to_json(list_concat([{_msg('system', _q(system_prompt('binary') + chr(10)) + ' || replace(' + _q(DEFAULT_TEMPLATES['fewshot_intro']) + ', ' + _q('{k}') + ', CAST(blk.k AS VARCHAR))')}], "
+        f"blk.m, [{_msg('user', 't.dialogue')}])) AS VARCHAR) AS messages FROM fx_split t, blk WHERE t.split = 'test'",
         *EXAMPLES),
     "attach_examples": with_views(
         "SELECT id, (SELECT count(*) FROM fx_examples) AS n_examples FROM fx_split WHERE split = 'test'", *EXAMPLES),
