@@ -313,6 +313,12 @@ def q_emotion_distribution(spark, sf):
     return A.emotion_distribution(e)
 
 
+@query("emotion_counts")
+def q_emotion_counts(spark, sf):
+    e = fx.fx_emotions(spark, sf, with_dataset=True).select("dataset", L.top_emotion(F.col("scores")).alias("emotion"))
+    return A.emotion_counts(e, "dataset")
+
+
 @query("split_label_share")
 def q_split_label_share(spark, sf):
     return A.split_label_share(gold_split(spark, sf))

@@ -176,16 +176,17 @@ def fx_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sel(x, [("id", "CAST(doc_id AS STRING)"), ("j", "j"), ("y", LOGIT_Y_SQL), ("logit", LOGIT_SQL)])
 
 
-def fx_emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
+def fx_emotions(spark: SparkSession, sf_dir: str, with_dataset: bool = False) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     scores = F.array(
         *[
             F.struct(F.lit(e).alias("label"), F.expr(EMOTION_SCORE_SQL.replace("j + 3", f"{j} + 3")).alias("score"))
             for j, e in enumerate(EMOTIONS)
         ]
     )
+    extra = [F.col("lang").alias("dataset")] if with_dataset else []
     return docs.select(
-        F.col("doc_id").cast("string").alias("id"), F.expr(MANIP).alias("class"), scores.alias("scores")
+        *extra, F.col("doc_id").cast("string").alias("id"), F.expr(MANIP).alias("class"), scores.alias("scores")
     )
 
 
@@ -242,7 +243,7 @@ ORACLE_VIEWS: dict[str, str] = {
     "(SELECT unnest(['technique', 'vulnerability']) AS measure) mm",
     "fx_logits": f"SELECT CAST(doc_id AS VARCHAR) AS id, j, {LOGIT_Y_SQL} AS y, {LOGIT_SQL} AS logit "
     f"FROM documents, (SELECT unnest(range(0, {len(TECHNIQUES)})) AS j) jj",
-    "fx_emotion_scores": f"SELECT CAST(doc_id AS VARCHAR) AS id, {MANIP} AS class, e.j, e.label, "
+    "fx_emotion_scores": f"SELECT lang AS dataset, CAST(doc_id AS VARCHAR) AS id, {MANIP} AS class, e.j, e.label, "
     f"{EMOTION_SCORE_SQL} AS score FROM documents, ({_EMO_ROWS}) e",
     "fx_corpora": "SELECT lang AS dataset, CAST(doc_id AS VARCHAR) AS id, text AS dialogue FROM documents",
     "fx_aux": 'SELECT d.text AS "Dialogue", CAST(l.toxic AS VARCHAR) AS "Hate Speech" '

@@ -236,6 +236,10 @@ ORACLE.update({
         f"SELECT e.emotion, k.class, COALESCE(c.n, 0) AS n FROM {_values('emotion', EMOTIONS)} e "
         f"CROSS JOIN {_values('class', ['1', '0'])} k LEFT JOIN c ON c.emotion = e.emotion AND c.class = k.class",
         "fx_emotion_scores"),
+    "emotion_counts": with_views(
+        "SELECT dataset, label AS emotion, count(*) AS n FROM (SELECT dataset, label, row_number() OVER "
+        "(PARTITION BY id ORDER BY score DESC, j) AS rn FROM fx_emotion_scores) t WHERE rn = 1 GROUP BY 1, 2",
+        "fx_emotion_scores"),
     "split_label_share": with_views(
         "WITH rows_ AS (SELECT * FROM fx_split WHERE technique <> '' AND vulnerability <> ''), "
         "l AS (SELECT split, unnest(string_split(technique, ',')) AS label FROM rows_ UNION ALL "

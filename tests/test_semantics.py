@@ -262,3 +262,29 @@ def test_assemble_dialogues_orders_turns_numerically(spark):
     df = spark.createDataFrame([("n", "10", "@USER late"), ("n", "2", " early ")], "Number string, Turn string, utterance string")
     got = S.assemble_dialogues(df, "Number", "Turn", "utterance").first().dialogue
     assert got == "Turn 2: early\nTurn 10: late"
+
+
+def test_strip_speakers_tag_sets(spark):
+    df = one_col(spark, ["utterance 0: a\nutterance 1: b\nutterance 2: c", "Turn 0: x\nTurn 1: y"])
+    got = [r[0] for r in df.select(T.strip_speakers("x", "all")).collect()]
+    assert got == ["a\nb\nutterance 2: c", "x\ny"]
+
+
+def test_select_examples_any_class(spark):
+    from dialoglab.operators import sampling as R
+
+    df = spark.createDataFrame([(str(i), str(i % 2)) for i in range(20)], "id string, manipulative string")
+    assert R.select_examples(df, None, 3, seed=1).count() == 3
+    by_class = R.select_examples(df, "manipulative", {"1": 2, "0": 1}, seed=1).groupBy("manipulative").count()
+    assert {r.manipulative: r["count"] for r in by_class.collect()} == {"1": 2, "0": 1}
+
+
+def test_batch_score_vector_output(spark):
+    import pandas as pd
+
+    def make():
+        return lambda s: pd.Series([[float(len(t)), 1.0] for t in s])
+
+    df = spark.createDataFrame([("1", "abc"), ("2", "")], "id string, text string")
+    got = dict(M.batch_score(df, make, "text", "vec", "array<double>").collect())
+    assert got == {"1": [3.0, 1.0], "2": [0.0, 1.0]}
