@@ -138,15 +138,17 @@ def parse_yes_no(col: str | Column, mode: str = "substring") -> Column:
     raise ValueError("mode must be substring or prefix_first")
 
 
-def parse_label_list(col: str | Column, measure: str) -> Column:
+def parse_label_list(col: str | Column, measure: str, form: str = "gold") -> Column:
     """Labels whose match text occurs in the lower-cased answer, in vector order.
 
     The match text of the two role labels is the ``the`` form.  Returns the
-    gold spelling; an empty array means the answer is unusable.
+    gold spelling (``form='gold'``) or the ``the`` spelling (``form='the'``);
+    an empty array means the answer is unusable.
     """
     low = F.lower(_c(col))
     vocab = labels_for(measure)
-    hits = [F.when(F.instr(low, the_form(v).lower()) > 0, F.lit(v)) for v in vocab]
+    out = (lambda v: v) if form == "gold" else the_form
+    hits = [F.when(F.instr(low, the_form(v).lower()) > 0, F.lit(out(v))) for v in vocab]
     return F.array_compact(F.array(*hits))
 
 

@@ -421,6 +421,18 @@ def q_zeroshot_messages_technique(spark, sf):
     return B.zeroshot_messages(test_rows(spark, sf), "technique")
 
 
+@query("zeroshot_messages_vulnerability")
+def q_zeroshot_messages_vulnerability(spark, sf):
+    return B.zeroshot_messages(test_rows(spark, sf), "vulnerability")
+
+
+@query("fewshot_messages_technique")
+def q_fewshot_messages_technique(spark, sf):
+    split = R.split_exact(L.filter_measured(fx.fx_gold(spark, sf), "technique"), seed=17)
+    examples = R.select_examples(split.filter(F.col("split") == "train"), None, 3, seed=0)
+    return B.fewshot_messages(split.filter(F.col("split") == "test"), examples, "technique")
+
+
 @query("fewshot_messages")
 def q_fewshot_messages(spark, sf):
     return B.fewshot_messages(test_rows(spark, sf), train_examples(spark, sf), "binary")
@@ -501,28 +513,26 @@ def q_project_2d(spark, sf):
 # ---------------------------------------------------------------------------
 
 
-def multilabel_predictions(spark, sf) -> DataFrame:
-    """Gold technique vectors (non-empty lists) joined with parsed stored label answers."""
-    g = L.filter_measured(fx.fx_gold(spark, sf), "technique").select(
-        "id", L.multi_hot(L.split_labels("technique"), "technique").alias("y"))
-    r = fx.fx_label_responses(spark, sf).filter(F.col("measure") == "technique").select(
-        "id", L.multi_hot(L.parse_label_list("response", "technique"), "technique").alias("p"))
+def multilabel_predictions(spark, sf, measure: str = "technique") -> DataFrame:
+    """Gold label vectors (non-empty lists) joined with parsed stored label answers."""
+    g = L.filter_measured(fx.fx_gold(spark, sf), measure).select(
+        "id", L.multi_hot(L.split_labels(measure), measure).alias("y"))
+    r = fx.fx_label_responses(spark, sf).filter(F.col("measure") == measure).select(
+        "id", L.multi_hot(L.parse_label_list("response", measure), measure).alias("p"))
     return g.join(r, "id")
 
 
-@query("confusion_multilabel")
-def q_confusion_multilabel(spark, sf):
-    return E.confusion_multilabel(multilabel_predictions(spark, sf), "technique")
-
-
-@query("multilabel_metrics")
-def q_multilabel_metrics(spark, sf):
-    return E.multilabel_metrics(multilabel_predictions(spark, sf), "technique")
+def _register_multilabel(measure: str, suffix: str) -> None:
+    QUERIES[f"confusion_multilabel{suffix}"] = lambda spark, sf: E.confusion_multilabel(
+        multilabel_predictions(spark, sf, measure), measure)
+    QUERIES[f"multilabel_metrics{suffix}"] = lambda spark, sf: E.multilabel_metrics(
+        multilabel_predictions(spark, sf, measure), measure)
+    QUERIES[f"per_label_metrics{suffix}"] = lambda spark, sf: E.per_label_metrics(
+        multilabel_predictions(spark, sf, measure), measure)
 
 
-@query("per_label_metrics")
-def q_per_label_metrics(spark, sf):
-    return E.per_label_metrics(multilabel_predictions(spark, sf), "technique")
+_register_multilabel("technique", "")
+_register_multilabel("vulnerability", "_vulnerability")
 
 
 @query("pooled_auc")

@@ -305,18 +305,6 @@ def _msg(role: str, content: str) -> str:
 
 _SFT_HEAD = "### Instruction:\n{q}\n\n### Dialogue:\n"
 _SFT_TAIL = "\n\n### Answer:\n"
-_TECH_V = "(SELECT * FROM (VALUES " + ", ".join(
-    f"({_q(lab)}, {_q(the_form(lab))}, {_q(the_form(lab).lower())})" for lab in TECHNIQUES
-) + ") t(label, alt, m))"
-ORACLE_VIEWS["fx_mlong"] = (
-    f"WITH v AS {_TECH_V}, g AS (SELECT id, technique FROM fx_gold WHERE technique <> ''), "
-    "r AS (SELECT id, response FROM fx_label_responses WHERE measure = 'technique'), "
-    "ok AS (SELECT g.id, g.technique, r.response FROM g JOIN r ON g.id = r.id "
-    "WHERE EXISTS (SELECT 1 FROM v WHERE strpos(lower(r.response), v.m) > 0)) "
-    "SELECT ok.id, v.label, CASE WHEN list_contains(string_split(ok.technique, ','), v.label) "
-    "OR list_contains(string_split(ok.technique, ','), v.alt) THEN 1 ELSE 0 END AS y, "
-    "CASE WHEN strpos(lower(ok.response), v.m) > 0 THEN 1 ELSE 0 END AS p FROM ok CROSS JOIN v"
-)
 MLONG = ("fx_gold", "fx_label_responses", "fx_mlong")
 _MCONF = (
     "count(*) FILTER (WHERE y = 0 AND p = 0) AS tn, count(*) FILTER (WHERE y = 0 AND p = 1) AS fp, "
@@ -378,21 +366,6 @@ ORACLE.update({
         "st AS (SELECT class, pos, avg(x) AS mu, stddev_pop(x) AS sd FROM l GROUP BY class, pos) "
         "SELECT id, CAST(l.pos AS BIGINT) AS pos, round((x - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 6) AS z "
         "FROM l JOIN st ON l.class = st.class AND l.pos = st.pos", "fx_embeddings"),
-    "confusion_multilabel": with_views(f"SELECT label, {_MCONF} FROM fx_mlong GROUP BY label", *MLONG),
-    "per_label_metrics": with_views(
-        f"WITH c AS (SELECT label, {_MCONF} FROM fx_mlong GROUP BY label) SELECT label, "
-        "round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, "
-        "round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall FROM c", *MLONG),
-    "multilabel_metrics": with_views(
-        f"WITH c AS (SELECT label, {_MCONF} FROM fx_mlong GROUP BY label), "
-        "a AS (SELECT avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS acc FROM (SELECT id, bool_and(y = p) AS ok "
-        "FROM fx_mlong GROUP BY id) x), "
-        "s AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN "
-        "2 * tp / (2 * tp + fp + fn) ELSE 0 END) AS macro FROM c) "
-        "SELECT round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, "
-        "round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(a.acc, 6) AS accuracy, "
-        "round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS micro_f1, "
-        "round(macro, 6) AS macro_f1 FROM s, a", *MLONG),
     "pooled_auc": with_views(
         "WITH t AS (SELECT y, CASE WHEN 1 / (1 + exp(-logit)) >= 0.5 THEN 1 ELSE 0 END AS p FROM fx_logits), "
         "c AS (SELECT count(*) FILTER (WHERE y = 1 AND p = 1) AS tp, count(*) FILTER (WHERE y = 1 AND p = 0) AS fn, "
@@ -409,3 +382,78 @@ ORACLE.update({
         "AS t FROM fx_corpora) SELECT p.phrase, count(d.id) AS n_dialogues FROM fx_phrases p LEFT JOIN d "
         "ON strpos(d.t, ' ' || p.phrase || ' ') > 0 GROUP BY p.phrase", "fx_corpora", "fx_phrases"),
 })
+
+
+# ---------------------------------------------------------------------------
+# second measure (vulnerability) and multi-label few-shot prompts
+# ---------------------------------------------------------------------------
+
+
+def _mlong_sql(measure: str, labels) -> str:
+    values = "(SELECT * FROM (VALUES " + ", ".join(
+        f"({_q(lab)}, {_q(the_form(lab))}, {_q(the_form(lab).lower())})" for lab in labels
+    ) + ") t(label, alt, m))"
+    return (
+        f"WITH v AS {values}, g AS (SELECT id, {measure} AS lst FROM fx_gold WHERE {measure} <> ''), "
+        f"r AS (SELECT id, response FROM fx_label_responses WHERE measure = '{measure}'), "
+        "ok AS (SELECT g.id, g.lst, r.response FROM g JOIN r ON g.id = r.id "
+        "WHERE EXISTS (SELECT 1 FROM v WHERE strpos(lower(r.response), v.m) > 0)) "
+        "SELECT ok.id, v.label, CASE WHEN list_contains(string_split(ok.lst, ','), v.label) "
+        "OR list_contains(string_split(ok.lst, ','), v.alt) THEN 1 ELSE 0 END AS y, "
+        "CASE WHEN strpos(lower(ok.response), v.m) > 0 THEN 1 ELSE 0 END AS p FROM ok CROSS JOIN v"
+    )
+
+
+ORACLE_VIEWS["fx_mlong_vul"] = _mlong_sql("vulnerability", VULNERABILITIES)
+MLONG_VUL = ("fx_gold", "fx_label_responses", "fx_mlong_vul")
+
+
+
+def _multilabel_oracles(view: str, deps: tuple[str, ...], suffix: str) -> dict[str, str]:
+    """E4-E6 over a long (id, label, y, p) view of processed rows."""
+    conf = f"SELECT label, {_MCONF} FROM {view} GROUP BY label"
+    return {
+        f"confusion_multilabel{suffix}": with_views(conf, *deps),
+        f"per_label_metrics{suffix}": with_views(
+            f"WITH c AS ({conf}) SELECT label, "
+            "round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, "
+            "round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall FROM c", *deps),
+        f"multilabel_metrics{suffix}": with_views(
+            f"WITH c AS ({conf}), "
+            "a AS (SELECT avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS acc FROM (SELECT id, bool_and(y = p) AS ok "
+            f"FROM {view} GROUP BY id) x), "
+            "s AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN "
+            "2 * tp / (2 * tp + fp + fn) ELSE 0 END) AS macro FROM c) "
+            "SELECT round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, "
+            "round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(a.acc, 6) AS accuracy, "
+            "round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS micro_f1, "
+            "round(macro, 6) AS macro_f1 FROM s, a", *deps),
+    }
+
+
+ORACLE_VIEWS["fx_mlong"] = _mlong_sql("technique", TECHNIQUES)
+ORACLE.update(_multilabel_oracles("fx_mlong", MLONG, ""))
+ORACLE.update(_multilabel_oracles("fx_mlong_vul", MLONG_VUL, "_vulnerability"))
+
+_TECH_ANSWER = (
+    "replace(replace(replace(technique, ',', chr(10)), 'Playing Victim Role', 'Playing the Victim Role'), "
+    "'Playing Servant Role', 'Playing the Servant Role') || chr(10)"
+)
+ORACLE_VIEWS["fx_msplit"] = (
+    "SELECT *, CASE WHEN rk <= floor(n * CAST(0.6 AS DOUBLE)) THEN 'train' "
+    "WHEN rk <= floor(n * CAST(0.6 AS DOUBLE)) + floor(n * CAST(0.2 AS DOUBLE)) THEN 'valid' ELSE 'test' END "
+    f"AS split FROM (SELECT *, {_rk(17)} AS rk, count(*) OVER () AS n FROM fx_gold WHERE technique <> '') t"
+)
+
+ORACLE.update({
+    "zeroshot_messages_vulnerability": with_views(
+        f"SELECT id, CAST(to_json([{_msg('system', _q(system_prompt('vulnerability')))}, {_msg('user', 'dialogue')}]) "
+        "AS VARCHAR) AS messages FROM fx_split WHERE split = 'test'", *SPLIT),
+    "fewshot_messages_technique": with_views(
+        f"WITH ex AS (SELECT * FROM (SELECT *, {_rk(0)} AS o FROM fx_msplit WHERE split = 'train') e WHERE o <= 3), "
+        "blk AS (SELECT count(*) AS k, flatten(list([" + _msg("user", "'Example ' || CAST(o AS VARCHAR) || ':' || chr(10) "
+        "|| dialogue") + ", " + _msg("assistant", _TECH_ANSWER) + "] ORDER BY o)) AS m FROM ex) "
+        f"SELECT t.id, CAST(to_json(list_concat([{_msg('system', _q(system_prompt('technique') + chr(10)) + ' || replace(' + _q(DEFAULT_TEMPLATES['fewshot_intro']) + ', ' + _q('{k}') + ', CAST(blk.k AS VARCHAR))')}], "
+        f"blk.m, [{_msg('user', 't.dialogue')}])) AS VARCHAR) AS messages FROM fx_msplit t, blk WHERE t.split = 'test'",
+        "fx_gold", "fx_msplit"),
+})

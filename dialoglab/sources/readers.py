@@ -14,6 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+# --- fixed values -------------------------------------------------------------
+# Field holding the list of posts in the thread JSON-lines format.
+THREAD_FIELD = "reddit_thread"
+# --------------------------------------------------------------------------------
+
 # Python's str.strip() whitespace, as a regex on both ends.
 _STRIP = r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$"
 
@@ -58,7 +63,7 @@ def read_annotations(spark: SparkSession, path) -> DataFrame:
 
 THREAD_SCHEMA = Ty.StructType([
     Ty.StructField("id", Ty.StringType()),
-    Ty.StructField("reddit_thread", Ty.ArrayType(Ty.StructType([Ty.StructField("text", Ty.StringType())]))),
+    Ty.StructField(THREAD_FIELD, Ty.ArrayType(Ty.StructType([Ty.StructField("text", Ty.StringType())]))),
 ])
 
 
@@ -76,9 +81,9 @@ def thread_dialogue(thread: Column) -> Column:
 
 
 def read_thread_jsonl(spark: SparkSession, paths) -> DataFrame:
-    """S3: JSON lines with a ``reddit_thread`` array of posts -> ``(id, dialogue)``."""
+    """S3: JSON lines with an array of posts (``THREAD_FIELD``) -> ``(id, dialogue)``."""
     df = spark.read.schema(THREAD_SCHEMA).json(paths)
-    return df.select("id", thread_dialogue(F.col("reddit_thread")).alias("dialogue"))
+    return df.select("id", thread_dialogue(F.col(THREAD_FIELD)).alias("dialogue"))
 
 
 def assemble_dialogues(df: DataFrame, id_col: str, turn_col: str, text_col: str,
