@@ -4,6 +4,11 @@ All text columns stay strings exactly as in the files; an empty field is
 the empty string, never NULL.  Quoted fields may span lines (``multiLine``);
 doubled quotes are the escape (RFC 4180), which is what Python's ``csv``
 writes.  Readers are lazy: nothing is read until an action runs.
+
+Scale note: a CSV read with ``multiLine`` cannot be split inside a file, so
+each file is read by one task.  Large corpora should arrive as many files
+(one task each); when no field contains a newline, ``multi_line=False``
+lets Spark split every file into blocks.  JSON lines are always splittable.
 """
 
 from __future__ import annotations
@@ -34,8 +39,9 @@ def strip(col: str | Column) -> Column:
     return F.regexp_replace(c, _STRIP, "")
 
 
-def _csv(spark: SparkSession, path, header: bool, sep: str = ",", schema: Ty.StructType | None = None):
-    r = (spark.read.option("header", header).option("multiLine", True).option("quote", '"')
+def _csv(spark: SparkSession, path, header: bool, sep: str = ",", schema: Ty.StructType | None = None,
+         multi_line: bool = True):
+    r = (spark.read.option("header", header).option("multiLine", multi_line).option("quote", '"')
          .option("escape", '"').option("sep", sep).option("inferSchema", False))
     if schema is not None:
         r = r.schema(schema)
@@ -46,9 +52,10 @@ def _all_strings(columns: Sequence[str]) -> Ty.StructType:
     return Ty.StructType([Ty.StructField(c, Ty.StringType()) for c in columns])
 
 
-def read_labelled_csv(spark: SparkSession, path, drop_id: bool = False, lower_names: bool = True) -> DataFrame:
+def read_labelled_csv(spark: SparkSession, path, drop_id: bool = False, lower_names: bool = True,
+                      multi_line: bool = True) -> DataFrame:
     """Header CSV of final labels (``ID, Dialogue, Manipulative, Technique, Vulnerability``, ...)."""
-    df = _csv(spark, path, header=True).na.fill("")
+    df = _csv(spark, path, header=True, multi_line=multi_line).na.fill("")
     if drop_id and "ID" in df.columns:
         df = df.drop("ID")
     if lower_names:
@@ -56,9 +63,9 @@ def read_labelled_csv(spark: SparkSession, path, drop_id: bool = False, lower_na
     return df
 
 
-def read_annotations(spark: SparkSession, path) -> DataFrame:
+def read_annotations(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
     """The wide three-annotator CSV, fixed all-string schema."""
-    return _csv(spark, path, header=True, schema=_all_strings(ANNOTATION_COLUMNS)).na.fill("")
+    return _csv(spark, path, header=True, schema=_all_strings(ANNOTATION_COLUMNS), multi_line=multi_line).na.fill("")
 
 
 THREAD_SCHEMA = Ty.StructType([
@@ -90,8 +97,9 @@ def assemble_dialogues(df: DataFrame, id_col: str, turn_col: str, text_col: str,
                        prefix: str = "Turn ", remove: Sequence[str] = ("@USER",)) -> DataFrame:
     """Turn rows -> one dialogue per id: clean, tag ``Turn <n>: ``, join by newline in turn order.
 
-    One string per dialogue is the output by definition; the turns of a
-    dialogue are sorted inside that one group.
+    One string per dialogue is the output by definition, so the turns of one
+    dialogue meet in one task (the output row itself has that size); all
+    other dialogues are spread by the hash of their id.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     for r in remove:
@@ -103,15 +111,17 @@ def assemble_dialogues(df: DataFrame, id_col: str, turn_col: str, text_col: str,
         .alias("dialogue"))
 
 
-def read_turn_table(spark: SparkSession, path) -> DataFrame:
+def read_turn_table(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
     """TSV ``Number, Turn, utterance`` -> ``(id, dialogue)``."""
-    df = _csv(spark, path, header=True, sep="\t", schema=_all_strings(["Number", "Turn", "utterance"]))
+    df = _csv(spark, path, header=True, sep="\t", schema=_all_strings(["Number", "Turn", "utterance"]),
+              multi_line=multi_line)
     return assemble_dialogues(df.na.fill(""), "Number", "Turn", "utterance")
 
 
-def read_text_column_csv(spark: SparkSession, path, index: int, skip_header: bool) -> DataFrame:
+def read_text_column_csv(spark: SparkSession, path, index: int, skip_header: bool,
+                         multi_line: bool = True) -> DataFrame:
     """One text column picked by position, stripped -> ``(dialogue)``."""
-    df = _csv(spark, path, header=skip_header)
+    df = _csv(spark, path, header=skip_header, multi_line=multi_line)
     return df.select(strip(F.coalesce(F.col(f"`{df.columns[index]}`"), F.lit(""))).alias("dialogue"))
 
 

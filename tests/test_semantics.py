@@ -288,3 +288,11 @@ def test_batch_score_vector_output(spark):
     df = spark.createDataFrame([("1", "abc"), ("2", "")], "id string, text string")
     got = dict(M.batch_score(df, make, "text", "vec", "array<double>").collect())
     assert got == {"1": [3.0, 1.0], "2": [0.0, 1.0]}
+
+
+def test_labelled_csv_splittable_mode(spark, tmp_path):
+    rows = [(str(i), f'say "{i}", twice', "1", "Denial", "") for i in range(50)]
+    df = spark.createDataFrame(rows, "ID string, Dialogue string, Manipulative string, Technique string, Vulnerability string")
+    path = W.write_csv(df.repartition(3), str(tmp_path / "flat"))
+    back = sorted(tuple(r) for r in S.read_labelled_csv(spark, path, multi_line=False).collect())
+    assert back == sorted(rows)
