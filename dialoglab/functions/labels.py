@@ -114,6 +114,20 @@ def unknown_labels(arr: Column, measure: str, mode: str = "lenient") -> Column:
     return F.filter(arr, lambda x: ~F.array_contains(known, F.lower(x)))
 
 
+def multi_hot_checked(arr: Column, measure: str, mode: str = "lenient") -> Column:
+    """P10 with the original failure rules, raised inside the task:
+
+    ``lenient`` fails on an all-zero vector, ``strict`` fails on an unknown label.
+    """
+    bits = multi_hot(arr, measure, mode)
+    if mode == "lenient":
+        bad, msg = multi_hot_invalid(bits), F.concat(F.lit("label vector is all zeros: "), F.array_join(arr, ","))
+    else:
+        unknown = unknown_labels(arr, measure, "strict")
+        bad, msg = F.size(unknown) > 0, F.concat(F.lit("unknown label: "), F.array_join(unknown, ","))
+    return F.when(bad, F.raise_error(msg)).otherwise(bits)
+
+
 def multi_hot_invalid(bits: Column) -> Column:
     """The lenient encoder rejects an all-zero vector."""
     return ~F.array_contains(bits, 1)

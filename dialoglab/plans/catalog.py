@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import text as T
 from ..operators import evaluation as E
+from ..operators import joins as J
 from ..operators import sampling as R
 from . import fixtures as fx
 
@@ -47,7 +48,7 @@ def binary_predictions(spark: SparkSession, sf: str) -> DataFrame:
         "id", L.binarize_label("manipulative", "one").alias("y")
     )
     resp = fx.fx_responses(spark, sf).select("id", "model", "setting", L.parse_yes_no("response").alias("p"))
-    return test.join(resp, "id", "inner").select("id", "model", "setting", "y", "p")
+    return J.join_predictions(test, resp).select("id", "model", "setting", "y", "p")
 
 
 # ---------------------------------------------------------------------------
@@ -81,6 +82,13 @@ def q_join_predictions(spark, sf):
     return binary_predictions(spark, sf)
 
 
+@query("unanswered")
+def q_unanswered(spark, sf):
+    test = gold_split(spark, sf).filter(F.col("split") == "test").select("id")
+    resp = fx.fx_responses(spark, sf).select("id", "model", "setting")
+    return J.unanswered(test, resp)
+
+
 @query("response_quality")
 def q_response_quality(spark, sf):
     return E.response_quality(binary_predictions(spark, sf))

@@ -57,6 +57,10 @@ ORACLE: dict[str, str] = {
         "fx_responses",
     ),
     "join_predictions": with_views("SELECT id, model, setting, y, p FROM fx_binpred", *BINPRED),
+    "unanswered": with_views(
+        "SELECT r.model, r.setting, (SELECT count(DISTINCT id) FROM fx_split WHERE split = 'test') - "
+        "count(DISTINCT r.id) AS n_unanswered FROM fx_responses r WHERE r.id IN (SELECT id FROM fx_split "
+        "WHERE split = 'test') GROUP BY r.model, r.setting", "fx_gold", "fx_split", "fx_responses"),
     "response_quality": with_views(
         "SELECT model, setting, count(*) AS n_total, count(*) FILTER (WHERE p = -1) AS n_corrupted, "
         "count(*) FILTER (WHERE p <> -1) AS n_processed, count(*) FILTER (WHERE p <> -1 AND y = 1) AS n_gold_pos, "

@@ -296,3 +296,46 @@ def test_labelled_csv_splittable_mode(spark, tmp_path):
     path = W.write_csv(df.repartition(3), str(tmp_path / "flat"))
     back = sorted(tuple(r) for r in S.read_labelled_csv(spark, path, multi_line=False).collect())
     assert back == sorted(rows)
+
+
+def test_multi_hot_checked_raises(spark):
+    ok = one_col(spark, ["Denial"]).select(L.multi_hot_checked(L.split_labels("x"), "technique")).first()[0]
+    assert ok[0] == 1
+    with pytest.raises(Exception, match="all zeros"):
+        one_col(spark, ["Bogus"]).select(L.multi_hot_checked(L.split_labels("x"), "technique")).collect()
+    with pytest.raises(Exception, match="unknown label"):
+        one_col(spark, ["denial,bogus"]).select(
+            L.multi_hot_checked(L.split_labels("x"), "technique", "strict")).collect()
+
+
+def test_unanswered_counts(spark):
+    from dialoglab.operators import joins as J
+
+    gold = spark.createDataFrame([("1",), ("2",), ("3",)], "id string")
+    preds = spark.createDataFrame([("1", "m", "s"), ("1", "m", "s"), ("2", "m", "s"), ("9", "m", "s"),
+                                   ("3", "n", "s")], "id string, model string, setting string")
+    got = {(r.model, r.setting): r.n_unanswered for r in J.unanswered(gold, preds).collect()}
+    assert got == {("m", "s"): 1, ("n", "s"): 2}
+    assert [r.id for r in J.unanswered_ids(gold, preds.filter("model = 'm'")).collect()] == ["3"]
+
+
+def test_text_column_without_header_skip(spark, tmp_path):
+    df = spark.createDataFrame([("h1", " first "), ("x", "second\n")], "a string, b string")
+    path = W.write_csv(df.coalesce(1), str(tmp_path / "t"), header=False)
+    got = sorted(r.dialogue for r in S.read_text_column_csv(spark, path, 1, skip_header=False).collect())
+    assert got == ["first", "second\n".strip()]
+
+
+def test_resolve_eval_fallback_and_sft_text_kind(spark):
+    from dialoglab.operators import prompts as B
+
+    df = spark.createDataFrame([("d", "1")], "Dialogue string, Toxicity string")
+    assert tuple(L.resolve_label_column(df, "eval").first()) == ("d", "1")
+    t = B.sft_text(spark.createDataFrame([("1", "hello", "0")], "id string, text string, label string"),
+                   "text", "label", "text").first().sft_text
+    assert "piece of text" in t and t.endswith("### Answer:\nNo.") and "### Dialogue:\nhello" in t
+
+
+def test_binarize_cast(spark):
+    df = one_col(spark, ["1", "0"])
+    assert [r[0] for r in df.select(L.binarize_label("x", "cast")).collect()] == [1, 0]
