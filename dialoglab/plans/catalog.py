@@ -14,9 +14,16 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as T
+from ..operators import annotators as G
 from ..operators import evaluation as E
 from ..operators import joins as J
+from ..operators import phrases as PH
+from ..operators import prompts as B
 from ..operators import sampling as R
+from ..operators import scoring as M
+from ..operators import stats as A
+from ..sources import readers as S
+from ..sources import writers as W
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,10 +120,6 @@ def q_leaderboard(spark, sf):
 # S: sources and sinks (fixture written to the shared scratch folder, read back)
 # ---------------------------------------------------------------------------
 
-from ..operators import annotators as G  # noqa: E402
-from ..operators import stats as A  # noqa: E402
-from ..sources import readers as S  # noqa: E402
-from ..sources import writers as W  # noqa: E402
 
 LANGS = ["en", "fr", "de", "es"]
 
@@ -373,10 +376,6 @@ def q_annotator_agreement(spark, sf):
 # R: samples
 # ---------------------------------------------------------------------------
 
-from ..operators import phrases as PH  # noqa: E402
-from ..operators import prompts as B  # noqa: E402
-from ..operators import scoring as M  # noqa: E402
-
 
 @query("sample_cap")
 def q_sample_cap(spark, sf):

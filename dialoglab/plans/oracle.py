@@ -7,7 +7,9 @@ Written independently of the Spark operators: plain window functions,
 
 from __future__ import annotations
 
-from .fixtures import ORACLE_VIEWS, with_views
+from ..functions.vocab import ALIASES, EMOTIONS, TECHNIQUES, VULNERABILITIES, the_form
+from ..operators.prompts import DEFAULT_TEMPLATES, system_prompt
+from .fixtures import ANNOTATION_COLS, GOLD_TECH, ORACLE_VIEWS, _q, with_views
 
 # Extra oracle-only views.
 ORACLE_VIEWS["fx_split"] = (
@@ -87,8 +89,6 @@ ORACLE: dict[str, str] = {
 # sources, scalars, statistics, annotators
 # ---------------------------------------------------------------------------
 
-from ..functions.vocab import ALIASES, EMOTIONS, TECHNIQUES, VULNERABILITIES  # noqa: E402
-from .fixtures import ANNOTATION_COLS, _q  # noqa: E402
 
 STRIP_RE = r"'^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$'"
 TOKEN_RE = r"'[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'"
@@ -256,7 +256,7 @@ ORACLE.update({
         "fx_gold", "fx_split"),
     "compare_datasets": (
         "SELECT lang AS dataset, label, count(*) AS n FROM (SELECT lang, unnest(string_split(t, ',')) AS label FROM "
-        f"(SELECT lang, {__import__('dialoglab.plans.fixtures', fromlist=['GOLD_TECH']).GOLD_TECH} AS t "
+        f"(SELECT lang, {GOLD_TECH} AS t "
         f"FROM documents WHERE lang IN {LANG_LIST}) a WHERE t <> '') b GROUP BY 1, 2"
     ),
     "unpivot_annotators": with_views(
@@ -282,8 +282,6 @@ ORACLE.update({
 # samples, prompts, scoring, multi-label evaluation, key phrases
 # ---------------------------------------------------------------------------
 
-from ..functions.vocab import the_form  # noqa: E402
-from ..operators.prompts import DEFAULT_TEMPLATES, system_prompt  # noqa: E402
 
 SPLIT = ("fx_gold", "fx_split")
 
@@ -412,7 +410,6 @@ ORACLE_VIEWS["fx_mlong_vul"] = _mlong_sql("vulnerability", VULNERABILITIES)
 MLONG_VUL = ("fx_gold", "fx_label_responses", "fx_mlong_vul")
 
 
-
 def _multilabel_oracles(view: str, deps: tuple[str, ...], suffix: str) -> dict[str, str]:
     """E4-E6 over a long (id, label, y, p) view of processed rows."""
     conf = f"SELECT label, {_MCONF} FROM {view} GROUP BY label"
