@@ -103,10 +103,18 @@ def label_cross_cooccurrence(df: DataFrame, tech_col: str = "technique", vul_col
         "label_a", "label_b", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-def token_stats(df: DataFrame, by="dataset", text_col: str = "dialogue", tags="person") -> DataFrame:
-    """A5: mean number of tokens per dialogue after removing speaker tags."""
+def token_stats(df: DataFrame, by="dataset", text_col: str = "dialogue", tags="person",
+                extra: bool = False) -> DataFrame:
+    """A5: mean number of tokens per dialogue after removing speaker tags.
+
+    ``extra`` adds min, max and approximate quartiles (one pass, mergeable sketches).
+    """
     n = T.count_tokens(T.strip_speakers(text_col, tags) if tags else F.col(text_col))
-    return df.groupBy(*_by(by)).agg(F.round(F.avg(n), ROUND).alias("mean"))
+    aggs = [F.round(F.avg(n), ROUND).alias("mean")]
+    if extra:
+        aggs += [F.min(n).alias("min"), F.max(n).alias("max"),
+                 F.percentile_approx(n, [0.25, 0.5, 0.75], 10000).alias("quartiles")]
+    return df.groupBy(*_by(by)).agg(*aggs)
 
 
 def turn_stats(df: DataFrame, by="dataset", text_col: str = "dialogue", constant: int | None = None) -> DataFrame:

@@ -433,11 +433,21 @@ def q_zeroshot_messages_vulnerability(spark, sf):
     return B.zeroshot_messages(test_rows(spark, sf), "vulnerability")
 
 
+def fewshot_measure(spark, sf, measure: str) -> DataFrame:
+    """B2 for a label measure: rows with labels, split, 3 train examples of any class."""
+    split = R.split_exact(L.filter_measured(fx.fx_gold(spark, sf), measure), seed=17)
+    examples = R.select_examples(split.filter(F.col("split") == "train"), None, 3, seed=0)
+    return B.fewshot_messages(split.filter(F.col("split") == "test"), examples, measure)
+
+
 @query("fewshot_messages_technique")
 def q_fewshot_messages_technique(spark, sf):
-    split = R.split_exact(L.filter_measured(fx.fx_gold(spark, sf), "technique"), seed=17)
-    examples = R.select_examples(split.filter(F.col("split") == "train"), None, 3, seed=0)
-    return B.fewshot_messages(split.filter(F.col("split") == "test"), examples, "technique")
+    return fewshot_measure(spark, sf, "technique")
+
+
+@query("fewshot_messages_vulnerability")
+def q_fewshot_messages_vulnerability(spark, sf):
+    return fewshot_measure(spark, sf, "vulnerability")
 
 
 @query("fewshot_messages")

@@ -436,25 +436,39 @@ ORACLE_VIEWS["fx_mlong"] = _mlong_sql("technique", TECHNIQUES)
 ORACLE.update(_multilabel_oracles("fx_mlong", MLONG, ""))
 ORACLE.update(_multilabel_oracles("fx_mlong_vul", MLONG_VUL, "_vulnerability"))
 
-_TECH_ANSWER = (
-    "replace(replace(replace(technique, ',', chr(10)), 'Playing Victim Role', 'Playing the Victim Role'), "
-    "'Playing Servant Role', 'Playing the Servant Role') || chr(10)"
-)
-ORACLE_VIEWS["fx_msplit"] = (
-    "SELECT *, CASE WHEN rk <= floor(n * CAST(0.6 AS DOUBLE)) THEN 'train' "
-    "WHEN rk <= floor(n * CAST(0.6 AS DOUBLE)) + floor(n * CAST(0.2 AS DOUBLE)) THEN 'valid' ELSE 'test' END "
-    f"AS split FROM (SELECT *, {_rk(17)} AS rk, count(*) OVER () AS n FROM fx_gold WHERE technique <> '') t"
-)
+def _answer_sql(measure: str) -> str:
+    return (
+        f"replace(replace(replace({measure}, ',', chr(10)), 'Playing Victim Role', 'Playing the Victim Role'), "
+        "'Playing Servant Role', 'Playing the Servant Role') || chr(10)"
+    )
+
+
+def _msplit_sql(measure: str) -> str:
+    return (
+        "SELECT *, CASE WHEN rk <= floor(n * CAST(0.6 AS DOUBLE)) THEN 'train' "
+        "WHEN rk <= floor(n * CAST(0.6 AS DOUBLE)) + floor(n * CAST(0.2 AS DOUBLE)) THEN 'valid' ELSE 'test' END "
+        f"AS split FROM (SELECT *, {_rk(17)} AS rk, count(*) OVER () AS n FROM fx_gold WHERE {measure} <> '') t"
+    )
+
+
+def _fewshot_measure_sql(measure: str) -> str:
+    view = f"fx_msplit_{measure}"
+    ORACLE_VIEWS[view] = _msplit_sql(measure)
+    intro = (_q(system_prompt(measure) + chr(10)) + " || replace(" + _q(DEFAULT_TEMPLATES["fewshot_intro"]) + ", "
+             + _q("{k}") + ", CAST(blk.k AS VARCHAR))")
+    return with_views(
+        f"WITH ex AS (SELECT * FROM (SELECT *, {_rk(0)} AS o FROM {view} WHERE split = 'train') e WHERE o <= 3), "
+        "blk AS (SELECT count(*) AS k, flatten(list([" + _msg("user", "'Example ' || CAST(o AS VARCHAR) || ':' || "
+        "chr(10) || dialogue") + ", " + _msg("assistant", _answer_sql(measure)) + "] ORDER BY o)) AS m FROM ex) "
+        f"SELECT t.id, CAST(to_json(list_concat([{_msg('system', intro)}], blk.m, [{_msg('user', 't.dialogue')}])) "
+        f"AS VARCHAR) AS messages FROM {view} t, blk WHERE t.split = 'test'",
+        "fx_gold", view)
+
 
 ORACLE.update({
     "zeroshot_messages_vulnerability": with_views(
         f"SELECT id, CAST(to_json([{_msg('system', _q(system_prompt('vulnerability')))}, {_msg('user', 'dialogue')}]) "
         "AS VARCHAR) AS messages FROM fx_split WHERE split = 'test'", *SPLIT),
-    "fewshot_messages_technique": with_views(
-        f"WITH ex AS (SELECT * FROM (SELECT *, {_rk(0)} AS o FROM fx_msplit WHERE split = 'train') e WHERE o <= 3), "
-        "blk AS (SELECT count(*) AS k, flatten(list([" + _msg("user", "'Example ' || CAST(o AS VARCHAR) || ':' || chr(10) "
-        "|| dialogue") + ", " + _msg("assistant", _TECH_ANSWER) + "] ORDER BY o)) AS m FROM ex) "
-        f"SELECT t.id, CAST(to_json(list_concat([{_msg('system', _q(system_prompt('technique') + chr(10)) + ' || replace(' + _q(DEFAULT_TEMPLATES['fewshot_intro']) + ', ' + _q('{k}') + ', CAST(blk.k AS VARCHAR))')}], "
-        f"blk.m, [{_msg('user', 't.dialogue')}])) AS VARCHAR) AS messages FROM fx_msplit t, blk WHERE t.split = 'test'",
-        "fx_gold", "fx_msplit"),
+    "fewshot_messages_technique": _fewshot_measure_sql("technique"),
+    "fewshot_messages_vulnerability": _fewshot_measure_sql("vulnerability"),
 })

@@ -339,3 +339,9 @@ def test_resolve_eval_fallback_and_sft_text_kind(spark):
 def test_binarize_cast(spark):
     df = one_col(spark, ["1", "0"])
     assert [r[0] for r in df.select(L.binarize_label("x", "cast")).collect()] == [1, 0]
+
+
+def test_token_stats_extra(spark):
+    df = spark.createDataFrame([("d", "a b"), ("d", "a b c d"), ("d", "x")], "dataset string, dialogue string")
+    r = A.token_stats(df, extra=True).first()
+    assert (r.mean, r.min, r.max, r.quartiles[1]) == (round(7 / 3, 6), 1, 4, 2)
