@@ -99,48 +99,62 @@ def binary_metrics(df: DataFrame, by=("model", "setting"), y: str = "y", p: str
 
 
 def multilabel_long(df: DataFrame, measure: str, y: str = "y", p: str = "p", by=None) -> DataFrame:
-    """(by.., label, y, p) rows; ``y`` / ``p`` are 0/1 arrays in vector order.
+    """(by.., label, y, p, _row, _exact) rows; ``y`` / ``p`` are 0/1 arrays in vector order.
 
     Rows whose prediction is empty (all zero) get ``p = -1`` on every label,
     which the confusion counts skip.  The processed-row test is folded into
     the aggregates rather than applied as a filter, so the optimizer has no
     predicate to push below joins into the (possibly large) expressions that
-    produced ``p``.
+    produced ``p``.  ``_row`` marks one exploded row per processed input row
+    and ``_exact`` whether its whole vector matched, so row-level accuracy
+    comes out of the same single aggregation as the per-label counts.
     """
     vocab = F.array(*[F.lit(x) for x in labels_for(measure)])
-    z = df.select(*_by(by), F.array_contains(F.col(p), 1).alias("_ok"),
+    ok = F.array_contains(F.col(p), 1)
+    z = df.select(*_by(by), ok.alias("_ok"), (F.col(y) == F.col(p)).alias("_eq"),
                   F.posexplode(F.arrays_zip(F.col(y).alias("y"), F.col(p).alias("p"))).alias("pos", "yp"))
     return z.select(*_by(by), F.element_at(vocab, F.col("pos") + 1).alias("label"),
-                    F.col("yp.y").alias("y"), F.when(F.col("_ok"), F.col("yp.p")).otherwise(F.lit(-1)).alias("p"))
+                    F.col("yp.y").alias("y"), F.when(F.col("_ok"), F.col("yp.p")).otherwise(F.lit(-1)).alias("p"),
+                    (F.col("_ok") & (F.col("pos") == 0)).alias("_row"), F.col("_eq").alias("_exact"))
+
+
+def _multilabel_counts(df: DataFrame, measure: str, y: str, p: str, by) -> DataFrame:
+    long = multilabel_long(df, measure, y, p, by)
+    ok = F.col("p") != -1
+    yy, pp = F.col("y") == 1, F.col("p") == 1
+    return long.groupBy(*_by(by), "label").agg(
+        _cnt(ok & ~yy & ~pp).alias("tn"), _cnt(ok & ~yy & pp).alias("fp"),
+        _cnt(ok & yy & ~pp).alias("fn"), _cnt(ok & yy & pp).alias("tp"),
+        _cnt(F.col("_row")).alias("_rows"), _cnt(F.col("_row") & F.col("_exact")).alias("_exact_rows"),
+    )
 
 
 def confusion_multilabel(df: DataFrame, measure: str, y: str = "y", p: str = "p", by=None) -> DataFrame:
     """Per label tn, fp, fn, tp over processed rows (non-empty prediction)."""
-    long = multilabel_long(df, measure, y, p, by)
-    return confusion_binary(long, [*_by(by), "label"], "y", "p")
+    return _multilabel_counts(df, measure, y, p, by).select(*_by(by), "label", "tn", "fp", "fn", "tp")
 
 
 def multilabel_metrics(df: DataFrame, measure: str, y: str = "y", p: str = "p", by=None) -> DataFrame:
-    """E5: micro precision / recall / F1, macro-F1 over all labels, exact-match accuracy."""
+    """E5: micro precision / recall / F1, macro-F1 over all labels, exact-match accuracy.
+
+    One pass over the data: the per-label counts carry the row-level
+    exact-match counts, and the roll-up runs on the per-label table.
+    """
     b = _by(by)
-    per_label = confusion_multilabel(df, measure, y, p, by).withColumn(
+    per_label = _multilabel_counts(df, measure, y, p, by).withColumn(
         "f1", _safe(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
     )
     pooled = per_label.groupBy(*b).agg(
-        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.avg("f1").alias("macro")
+        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.avg("f1").alias("macro"),
+        F.sum("_rows").alias("_rows"), F.sum("_exact_rows").alias("_exact_rows"),
     )
-    ok = F.array_contains(F.col(p), 1)
-    exact = df.groupBy(*b).agg(F.avg(F.when(ok, (F.col(y) == F.col(p)).cast("double"))).alias("acc"))
-    if b:
-        joined = pooled.join(exact, b, "inner")
-    else:  # both sides are one row: attach the accuracy as a scalar subquery
-        joined = pooled.withColumn("acc", exact.select("acc").scalar())
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return joined.select(
+    acc = F.when(F.col("_rows") > 0, F.col("_exact_rows") / F.col("_rows"))
+    return pooled.select(
         *b,
         _r(_safe(tp, tp + fp)).alias("precision"),
         _r(_safe(tp, tp + fn)).alias("recall"),
-        _r(F.col("acc")).alias("accuracy"),
+        _r(acc).alias("accuracy"),
         _r(_safe(2 * tp, 2 * tp + fp + fn)).alias("micro_f1"),
         _r(F.col("macro")).alias("macro_f1"),
     )
