@@ -60,7 +60,7 @@ def batch_score(
     """
     keep = list(keep)
     schema = Ty.StructType(
-        [df.schema[c] for c in keep] + [Ty.StructField(output_col, Ty._parse_datatype_string(output_type))]
+        [df.schema[c] for c in keep] + [Ty.StructField(output_col, Ty.DataType.fromDDL(output_type))]
     )
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
