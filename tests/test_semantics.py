@@ -345,3 +345,25 @@ def test_token_stats_extra(spark):
     df = spark.createDataFrame([("d", "a b"), ("d", "a b c d"), ("d", "x")], "dataset string, dialogue string")
     r = A.token_stats(df, extra=True).first()
     assert (r.mean, r.min, r.max, r.quartiles[1]) == (round(7 / 3, 6), 1, 4, 2)
+
+
+def test_vocabulary_table_and_helpers(spark):
+    from dialoglab.functions import vocab as V
+
+    t = V.vocab_table(spark)
+    assert t.count() == 16
+    vic = t.filter("label = 'Playing Victim Role'").first()
+    assert (vic.measure, vic.ordinal, vic.short_code, vic.match_text) == ("technique", 4, "VIC", "playing the victim role")
+    assert V.gold_form("Playing the Servant Role") == "Playing Servant Role"
+    assert V.labels_for("vul") == V.VULNERABILITIES
+    e = one_col(spark, ["love", "anger", "bogus"]).select(L.emotion_ordinal("x")).collect()
+    assert [r[0] for r in e] == [4, 0, -1]
+
+
+def test_fixture_turns_view(spark):
+    from conftest import SF_SMALL
+    from dialoglab.plans import fixtures as fx
+
+    turns = fx.fx_turns(spark, SF_SMALL)
+    dialogues = fx.fx_dialogues(spark, SF_SMALL)
+    assert turns.select("id").distinct().count() == dialogues.count()
