@@ -367,3 +367,16 @@ def test_fixture_turns_view(spark):
     turns = fx.fx_turns(spark, SF_SMALL)
     dialogues = fx.fx_dialogues(spark, SF_SMALL)
     assert turns.select("id").distinct().count() == dialogues.count()
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet", "json"])
+def test_write_results_formats(spark, fmt):
+    from dialoglab.session import scratch_path
+
+    df = spark.createDataFrame([("a", "1", 0.5, 1.5), ("b", "2", -1.0, 2.0), ("a", "3", 2.0, 0.0)],
+                               "dataset string, id string, x double, y double")
+    path = W.write_results(df, scratch_path(spark, f"results-{fmt}"), fmt, "dataset")
+    reader = spark.read.option("header", True).schema("id string, x double, y double, dataset string") \
+        if fmt == "csv" else spark.read
+    back = getattr(reader, fmt)(path).select("dataset", "id", "x", "y")
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
