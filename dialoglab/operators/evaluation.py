@@ -98,7 +98,8 @@ def binary_metrics(df: DataFrame, by=("model", "setting"), y: str = "y", p: str
     return metrics_from_confusion(confusion_binary(df, by, y, p), _by(by))
 
 
-def multilabel_long(df: DataFrame, measure: str, y: str = "y", p: str = "p", by=None) -> DataFrame:
+def multilabel_long(df: DataFrame, measure: str, y: str = "y", p: str = "p", by=None,
+                    skip_empty: bool = True) -> DataFrame:
     """(by.., label, y, p, _row, _exact) rows; ``y`` / ``p`` are 0/1 arrays in vector order.
 
     Rows whose prediction is empty (all zero) get ``p = -1`` on every label,
@@ -108,9 +109,12 @@ def multilabel_long(df: DataFrame, measure: str, y: str = "y", p: str = "p", by=
     produced ``p``.  ``_row`` marks one exploded row per processed input row
     and ``_exact`` whether its whole vector matched, so row-level accuracy
     comes out of the same single aggregation as the per-label counts.
+
+    ``skip_empty=False`` keeps all-zero predictions (a classifier's valid
+    "no label" answer) instead of treating them as unusable answers.
     """
     vocab = F.array(*[F.lit(x) for x in labels_for(measure)])
-    ok = F.array_contains(F.col(p), 1)
+    ok = F.array_contains(F.col(p), 1) if skip_empty else F.lit(True)
     z = df.select(*_by(by), ok.alias("_ok"), (F.col(y) == F.col(p)).alias("_eq"),
                   F.posexplode(F.arrays_zip(F.col(y).alias("y"), F.col(p).alias("p"))).alias("pos", "yp"))
     return z.select(*_by(by), F.element_at(vocab, F.col("pos") + 1).alias("label"),
@@ -118,8 +122,8 @@ def multilabel_long(df: DataFrame, measure: str, y: str = "y", p: str = "p", by=
                     (F.col("_ok") & (F.col("pos") == 0)).alias("_row"), F.col("_eq").alias("_exact"))
 
 
-def _multilabel_counts(df: DataFrame, measure: str, y: str, p: str, by) -> DataFrame:
-    long = multilabel_long(df, measure, y, p, by)
+def _multilabel_counts(df: DataFrame, measure: str, y: str, p: str, by, skip_empty: bool = True) -> DataFrame:
+    long = multilabel_long(df, measure, y, p, by, skip_empty)
     ok = F.col("p") != -1
     yy, pp = F.col("y") == 1, F.col("p") == 1
     return long.groupBy(*_by(by), "label").agg(
@@ -129,19 +133,21 @@ def _multilabel_counts(df: DataFrame, measure: str, y: str, p: str, by) -> DataF
     )
 
 
-def confusion_multilabel(df: DataFrame, measure: str, y: str = "y", p: str = "p", by=None) -> DataFrame:
-    """Per label tn, fp, fn, tp over processed rows (non-empty prediction)."""
-    return _multilabel_counts(df, measure, y, p, by).select(*_by(by), "label", "tn", "fp", "fn", "tp")
+def confusion_multilabel(df: DataFrame, measure: str, y: str = "y", p: str = "p", by=None,
+                         skip_empty: bool = True) -> DataFrame:
+    """Per label tn, fp, fn, tp over processed rows (non-empty prediction unless ``skip_empty=False``)."""
+    return _multilabel_counts(df, measure, y, p, by, skip_empty).select(*_by(by), "label", "tn", "fp", "fn", "tp")
 
 
-def multilabel_metrics(df: DataFrame, measure: str, y: str = "y", p: str = "p", by=None) -> DataFrame:
+def multilabel_metrics(df: DataFrame, measure: str, y: str = "y", p: str = "p", by=None,
+                       skip_empty: bool = True) -> DataFrame:
     """E5: micro precision / recall / F1, macro-F1 over all labels, exact-match accuracy.
 
     One pass over the data: the per-label counts carry the row-level
     exact-match counts, and the roll-up runs on the per-label table.
     """
     b = _by(by)
-    per_label = _multilabel_counts(df, measure, y, p, by).withColumn(
+    per_label = _multilabel_counts(df, measure, y, p, by, skip_empty).withColumn(
         "f1", _safe(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
     )
     pooled = per_label.groupBy(*b).agg(
@@ -160,9 +166,10 @@ def multilabel_metrics(df: DataFrame, measure: str, y: str = "y", p: str = "p",
     )
 
 
-def per_label_metrics(df: DataFrame, measure: str, y: str = "y", p: str = "p", by=None) -> DataFrame:
+def per_label_metrics(df: DataFrame, measure: str, y: str = "y", p: str = "p", by=None,
+                      skip_empty: bool = True) -> DataFrame:
     """Precision and recall of every label."""
-    cm = confusion_multilabel(df, measure, y, p, by)
+    cm = confusion_multilabel(df, measure, y, p, by, skip_empty)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return cm.select(*_by(by), "label", _r(_safe(tp, tp + fp)).alias("precision"),
                      _r(_safe(tp, tp + fn)).alias("recall"))

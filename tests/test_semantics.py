@@ -380,3 +380,13 @@ def test_write_results_formats(spark, fmt):
         if fmt == "csv" else spark.read
     back = getattr(reader, fmt)(path).select("dataset", "id", "x", "y")
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
+
+
+def test_multilabel_keeps_empty_predictions_for_classifiers(spark):
+    rows = [("a", [1, 0, 0, 0, 0], [1, 0, 0, 0, 0]), ("c", [0, 1, 0, 0, 0], [0, 0, 0, 0, 0]),
+            ("d", [0, 0, 0, 0, 0], [0, 0, 0, 0, 0])]
+    df = spark.createDataFrame(rows, "id string, y array<int>, p array<int>")
+    m = E.multilabel_metrics(df, "vulnerability", skip_empty=False).first()
+    assert m.accuracy == pytest.approx(2 / 3) and m.recall == pytest.approx(0.5)
+    cm = {r.label: (r.tn, r.fp, r.fn, r.tp) for r in E.confusion_multilabel(df, "vulnerability", skip_empty=False).collect()}
+    assert cm["Dependency"] == (2, 0, 1, 0)
