@@ -277,6 +277,8 @@ def test_select_examples_any_class(spark):
     assert R.select_examples(df, None, 3, seed=1).count() == 3
     by_class = R.select_examples(df, "manipulative", {"1": 2, "0": 1}, seed=1).groupBy("manipulative").count()
     assert {r.manipulative: r["count"] for r in by_class.collect()} == {"1": 2, "0": 1}
+    per_class = R.select_examples(df, "manipulative", 4, seed=1).groupBy("manipulative").count()
+    assert {r.manipulative: r["count"] for r in per_class.collect()} == {"1": 4, "0": 4}
 
 
 def test_batch_score_vector_output(spark):
