@@ -85,13 +85,11 @@ def answer_text(task: str, label_col: str) -> Column:
 
 
 def example_block(examples: DataFrame, task: str = "binary", text_col: str = "dialogue",
-                  class_col: str = "manipulative", order_col: str = "example_no",
-                  templates: Mapping[str, str] | None = None) -> Column:
+                  class_col: str = "manipulative", order_col: str = "example_no") -> Column:
     """All examples as one array of message pairs - a scalar subquery (k rows, k bounded by the caller).
 
     Positives come before negatives; inside a class the sampling order is kept.
     """
-    t = {**DEFAULT_TEMPLATES, **(templates or {})}
     label_col = class_col if task == "binary" else task
     rows = examples.select(
         F.struct(
@@ -109,7 +107,7 @@ def fewshot_messages(df: DataFrame, examples: DataFrame, task: str = "binary", t
                      templates: Mapping[str, str] | None = None) -> DataFrame:
     """B2: system (with the example count), example user/assistant pairs, then the dialogue."""
     t = {**DEFAULT_TEMPLATES, **(templates or {})}
-    df = df.withColumn("_ex", example_block(examples, task, text_col, class_col, templates=templates))
+    df = df.withColumn("_ex", example_block(examples, task, text_col, class_col))
     ex = F.col("_ex")
     intro = F.concat(F.lit(system_prompt(task, templates) + "\n"),
                      F.replace(F.lit(t["fewshot_intro"]), F.lit("{k}"), F.size(ex).cast("string")))

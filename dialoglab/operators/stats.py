@@ -80,6 +80,8 @@ def label_cooccurrence(df: DataFrame, col: str, measure: str) -> DataFrame:
     """A3: symmetric label x label count of dialogues having both labels; zero diagonal; full grid.
 
     Pairs are formed inside each row (no self-join); a label counts once per row.
+    A row emits at most L(L-1) pairs for its L distinct labels, and labels
+    come from the fixed vocabulary, so the expansion is bounded per row.
     """
     labs = F.array_distinct(split_labels(col))
     pairs = F.flatten(F.transform(labs, lambda a: F.transform(F.filter(labs, lambda b: b != a),
