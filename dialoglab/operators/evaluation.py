@@ -155,14 +155,18 @@ def multilabel_metrics(df: DataFrame, measure: str, y: str = "y", p: str = "p",
         F.sum("_rows").alias("_rows"), F.sum("_exact_rows").alias("_exact_rows"),
     )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    acc = F.when(F.col("_rows") > 0, F.col("_exact_rows") / F.col("_rows"))
+    live = F.col("_rows") > 0  # no processed rows -> NULL metrics
+
+    def m(c: Column) -> Column:
+        return F.when(live, _r(c))
+
     return pooled.select(
         *b,
-        _r(_safe(tp, tp + fp)).alias("precision"),
-        _r(_safe(tp, tp + fn)).alias("recall"),
-        _r(acc).alias("accuracy"),
-        _r(_safe(2 * tp, 2 * tp + fp + fn)).alias("micro_f1"),
-        _r(F.col("macro")).alias("macro_f1"),
+        m(_safe(tp, tp + fp)).alias("precision"),
+        m(_safe(tp, tp + fn)).alias("recall"),
+        m(F.col("_exact_rows") / F.col("_rows")).alias("accuracy"),
+        m(_safe(2 * tp, 2 * tp + fp + fn)).alias("micro_f1"),
+        m(F.col("macro")).alias("macro_f1"),
     )
 
 

@@ -392,3 +392,9 @@ def test_multilabel_keeps_empty_predictions_for_classifiers(spark):
     assert m.accuracy == pytest.approx(2 / 3) and m.recall == pytest.approx(0.5)
     cm = {r.label: (r.tn, r.fp, r.fn, r.tp) for r in E.confusion_multilabel(df, "vulnerability", skip_empty=False).collect()}
     assert cm["Dependency"] == (2, 0, 1, 0)
+
+
+def test_multilabel_no_processed_rows_gives_nulls(spark):
+    df = spark.createDataFrame([("a", [1, 0, 0, 0, 0], [0, 0, 0, 0, 0])], "id string, y array<int>, p array<int>")
+    m = E.multilabel_metrics(df, "vulnerability").first()
+    assert m.precision is None and m.accuracy is None and m.macro_f1 is None
