@@ -16,6 +16,7 @@ The result equals ``row_number() over (partition by group order by key)``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,6 +100,18 @@ def quantile_bucket(value: Column, bounds: Column) -> Column:
     return F.coalesce(F.size(F.filter(bounds, lambda b: b < value)), F.lit(0))
 
 
+def two_level_bucket(value: Column, bounds: Column, coarse: Column, step: int) -> Column:
+    """``quantile_bucket`` with about ``2 * step`` comparisons instead of ``size(bounds)``.
+
+    ``coarse[k]`` is ``bounds[(k+1)*step]`` (1-based).  If ``c`` coarse bounds are
+    below ``value``, the first ``c*step`` bounds are below it too (the array is
+    sorted), and only the next ``step`` bounds need a look.
+    """
+    c = F.coalesce(F.size(F.filter(coarse, lambda b: b < value)), F.lit(0))
+    segment = F.slice(bounds, c * step + 1, F.lit(step))
+    return c * step + F.coalesce(F.size(F.filter(segment, lambda b: b < value)), F.lit(0))
+
+
 def running_sums(
     hist: DataFrame,
     value_col: str,
@@ -121,9 +134,17 @@ def running_sums(
     checkpoint_dir(hist.sparkSession)
     hist = hist.checkpoint(eager=True)
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = hist.select(F.percentile_approx(F.col(value_col).cast("double"), probs, 10000)).scalar()
-    b = hist.withColumn("_bounds", bounds)
-    b = b.withColumn("_bkt", quantile_bucket(F.col(value_col).cast("double"), F.col("_bounds"))).drop("_bounds")
+    step = max(1, math.isqrt(n_buckets))
+    # bounds and every step-th bound, computed once inside the scalar subquery
+    q = hist.select(F.percentile_approx(F.col(value_col).cast("double"), probs, 10000).alias("b"))
+    n_coarse = (n_buckets - 1) // step
+    q = q.select(F.struct("b", F.transform(F.sequence(F.lit(1), F.lit(max(n_coarse, 1))),
+                                           lambda k: F.element_at("b", k * step)).alias("c")).alias("bc"))
+    if n_coarse == 0:
+        q = q.select(F.struct(F.col("bc.b").alias("b"), F.array().cast("array<double>").alias("c")).alias("bc"))
+    b = hist.withColumn("_bc", q.scalar())
+    v = F.col(value_col).cast("double")
+    b = b.withColumn("_bkt", two_level_bucket(v, F.col("_bc.b"), F.col("_bc.c"), step)).drop("_bc")
     totals = b.groupBy("_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

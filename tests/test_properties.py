@@ -155,3 +155,20 @@ def test_models_run_and_predict_binary(spark):
     ml = QUERIES["train_multilabel"](spark, SF_SMALL)
     labels = {r.label for r in ml.select("label").distinct().collect()}
     assert len(labels) == 11
+
+
+@pytest.mark.parametrize("n_buckets", [2, 5, 16, 1024])
+def test_two_level_bucket_equals_full_count(spark, n_buckets):
+    import math
+
+    from dialoglab.plans.ranking import quantile_bucket, two_level_bucket
+
+    rng = np.random.default_rng(n_buckets)
+    bounds = sorted(rng.integers(0, 50, size=n_buckets - 1).astype(float).tolist())
+    step = max(1, math.isqrt(n_buckets))
+    coarse = [bounds[(k + 1) * step - 1] for k in range((n_buckets - 1) // step)]
+    df = spark.createDataFrame([(float(v),) for v in range(-1, 52)], "v double")
+    b = F.array(*[F.lit(x) for x in bounds]) if bounds else F.array().cast("array<double>")
+    c = F.array(*[F.lit(x) for x in coarse]) if coarse else F.array().cast("array<double>")
+    rows = df.select(quantile_bucket(F.col("v"), b).alias("a"), two_level_bucket(F.col("v"), b, c, step).alias("t")).collect()
+    assert all(r.a == r.t for r in rows)
