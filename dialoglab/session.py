@@ -8,9 +8,13 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "dialoglab") -> SparkSession:
+def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "dialoglab",
+              driver_memory: str | None = None) -> SparkSession:
+    b = SparkSession.builder
+    if driver_memory:  # only effective when this call starts the JVM (local mode)
+        b = b.config("spark.driver.memory", driver_memory)
     return (
-        SparkSession.builder.master(master)
+        b.master(master)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
