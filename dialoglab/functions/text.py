@@ -35,8 +35,10 @@ def normalize_speakers(col: str | Column) -> Column:
     for p in SPEAKER_PATTERNS:
         out = F.regexp_replace(out, p, PERSON_TAG)
     # tag the start of the text and the start after every newline (also a
-    # trailing one), exactly like splitting on '\n' and prefixing each piece
-    tagged_lines = F.regexp_replace(out, r"(^|\n)", "$1" + PERSON_TAG + " ")
+    # leading or trailing one), exactly like splitting on '\n' and prefixing
+    # each piece; plain string replacement, no regex or lambda
+    tag = PERSON_TAG + " "
+    tagged_lines = F.concat(F.lit(tag), F.replace(out, F.lit("\n"), F.lit("\n" + tag)))
     return F.when(F.instr(out, PERSON_TAG) > 0, out).otherwise(tagged_lines)
 
 

@@ -77,10 +77,10 @@ def test_canonicalize_both_directions(spark):
 
 
 def test_normalize_speakers_tags_untagged_lines(spark):
-    df = one_col(spark, ["Person1: hi\nPerson2: yo", "Turn 3: a", "plain\ntext", "end\n", ""])
+    df = one_col(spark, ["Person1: hi\nPerson2: yo", "Turn 3: a", "plain\ntext", "end\n", "", "\nlead"])
     got = [r[0] for r in df.select(T.normalize_speakers("x")).collect()]
     assert got == ["<person>: hi\n<person>: yo", "<person>: a", "<person>: plain\n<person>: text",
-                   "<person>: end\n<person>: ", "<person>: "]
+                   "<person>: end\n<person>: ", "<person>: ", "<person>: \n<person>: lead"]
 
 
 def test_strip_and_parse_turns(spark):
