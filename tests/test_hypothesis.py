@@ -74,3 +74,109 @@ def test_parse_label_list_matches_rule(spark, values):
     got = [r[0] for r in _col(spark, values).select(L.parse_label_list("x", "technique")).collect()]
     want = [[lab for lab in TECHNIQUES if the_form(lab).lower() in v.lower()] for v in values]
     assert got == want
+
+
+@SETTINGS
+@given(texts)
+def test_count_tokens_matches_rule(spark, values):
+    import regex
+
+    got = [r[0] for r in _col(spark, values).select(T.count_tokens("x")).collect()]
+    assert got == [len(regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]", v)) for v in values]
+
+
+LABEL_PIECES = TECHNIQUES + ["Playing the Victim Role", "Playing the Servant Role", "bogus", "denial"]
+
+
+@SETTINGS
+@given(st.lists(st.lists(st.sampled_from(LABEL_PIECES), max_size=5).map(",".join), min_size=1, max_size=30))
+def test_multi_hot_lenient_matches_rule(spark, values):
+    got = [r[0] for r in _col(spark, values).select(L.multi_hot(L.split_labels("x"), "technique")).collect()]
+    want = []
+    for v in values:
+        parts = [p for p in v.split(",") if p]
+        want.append([int(lab in parts or the_form(lab) in parts) for lab in TECHNIQUES])
+    assert got == want
+
+
+pairs = st.lists(st.tuples(st.integers(0, 1), st.integers(-1, 1)), min_size=1, max_size=60)
+
+
+@SETTINGS
+@given(pairs)
+def test_binary_metrics_match_formulas(spark, yp):
+    from dialoglab.operators import evaluation as E
+
+    df = spark.createDataFrame([("m", "s", y, p) for y, p in yp], "model string, setting string, y int, p int")
+    got = E.binary_metrics(df).first()
+    ok = [(y, p) for y, p in yp if p != -1]
+    if not ok:
+        assert got.precision is None
+        return
+    tp = sum(1 for y, p in ok if y == 1 and p == 1)
+    fp = sum(1 for y, p in ok if y == 0 and p == 1)
+    fn = sum(1 for y, p in ok if y == 1 and p == 0)
+    tn = sum(1 for y, p in ok if y == 0 and p == 0)
+    prec = tp / (tp + fp) if tp + fp else 0.0
+    rec = tp / (tp + fn) if tp + fn else 0.0
+    f1s = []
+    if tp + fp + fn:
+        f1s.append(2 * tp / (2 * tp + fp + fn))
+    if tn + fp + fn:
+        f1s.append(2 * tn / (2 * tn + fp + fn))
+    assert got.precision == round(prec, 6) and got.recall == round(rec, 6)
+    assert got.accuracy == round((tp + tn) / len(ok), 6)
+    assert abs(got.macro_f1 - sum(f1s) / len(f1s)) < 1e-6
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(-4, 4)), min_size=2, max_size=80))
+def test_score_auc_matches_pairwise(spark, ys):
+    from dialoglab.operators import evaluation as E
+
+    pos = [s for y, s in ys if y == 1]
+    neg = [s for y, s in ys if y == 0]
+    df = spark.createDataFrame([(y, float(s)) for y, s in ys], "y int, score double")
+    got = E.pooled_auc(df, "score").first().auc
+    if not pos or not neg:
+        assert got is None
+        return
+    wins = sum(1.0 if a > b else 0.5 if a == b else 0.0 for a in pos for b in neg)
+    assert abs(got - wins / (len(pos) * len(neg))) < 1e-6
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 9)), min_size=1, max_size=80))
+def test_ccdf_matches_sorted_points(spark, rows):
+    from dialoglab.operators import stats as A
+
+    df = spark.createDataFrame(rows, "dataset string, v int")
+    got = {(r.dataset, r.value): (r.n, r.p_first, r.p_last) for r in A.ccdf(df, "v").collect()}
+    for ds in {d for d, _ in rows}:
+        vals = sorted(v for d, v in rows if d == ds)
+        n = len(vals)
+        for v in set(vals):
+            idx = [i for i, x in enumerate(vals) if x == v]
+            assert got[(ds, v)] == (len(idx), round(1 - idx[0] / n, 6), round(1 - idx[-1] / n, 6))
+
+
+posts = st.lists(st.lists(st.sampled_from(["Title", "line", " pad ", "\n", "x y", "", "\t"]), max_size=6).map("".join),
+                 min_size=1, max_size=5)
+
+
+@SETTINGS
+@given(posts)
+def test_thread_dialogue_matches_rule(spark, thread):
+    from pyspark.sql import Row
+    from pyspark.sql import functions as F
+
+    from dialoglab.sources import readers as S
+
+    df = spark.createDataFrame([("t", [Row(text=t) for t in thread])], "id string, reddit_thread array<struct<text:string>>")
+    got = df.select(S.thread_dialogue(F.col("reddit_thread"))).first()[0]
+    ws = " \t\n\r\f\x0b"
+    parts = []
+    for i, t in enumerate(thread):
+        body = " ".join(t.split("\n")[1:]).strip(ws) if i == 0 else t.strip(ws)
+        parts.append(f"utterance {i}: {body}")
+    assert got == "\n".join(parts)
