@@ -180,3 +180,78 @@ def test_thread_dialogue_matches_rule(spark, thread):
         body = " ".join(t.split("\n")[1:]).strip(ws) if i == 0 else t.strip(ws)
         parts.append(f"utterance {i}: {body}")
     assert got == "\n".join(parts)
+
+
+VOC5 = ["Naivete", "Dependency", "Over-responsibility", "Over-intellectualization", "Low self-esteem"]
+lists5 = st.lists(st.sampled_from(VOC5), max_size=4).map(",".join)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(lists5, lists5, lists5), min_size=1, max_size=25))
+def test_vote_labels_matches_rule(spark, rows):
+    from dialoglab.operators import annotators as G
+
+    data = [(str(i), a, b, c) for i, (a, b, c) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id string, vulnerability_1 string, vulnerability_2 string, vulnerability_3 string")
+    got = sorted((r.id, r.label, r.n_votes) for r in G.vote_labels(df, "vulnerability").collect())
+    want = []
+    for i, *ann in data:
+        sets = [set(x for x in a.split(",") if x) for a in ann]
+        for lab in set().union(*sets):
+            n = sum(lab in s for s in sets)
+            if n >= 2:
+                want.append((i, lab, n))
+    assert got == sorted(want)
+
+
+@SETTINGS
+@given(st.lists(lists5, min_size=1, max_size=40))
+def test_cooccurrence_matches_brute_force(spark, rows):
+    from dialoglab.operators import stats as A
+
+    df = spark.createDataFrame([(r,) for r in rows], "vulnerability string")
+    got = {(r.label_a, r.label_b): r.n for r in A.label_cooccurrence(df, "vulnerability", "vulnerability").collect()}
+    for a in VOC5:
+        for b in VOC5:
+            want = 0 if a == b else sum(1 for r in rows if a in r.split(",") and b in r.split(","))
+            assert got[(a, b)] == want
+
+
+bits5 = st.lists(st.integers(0, 1), min_size=5, max_size=5)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(bits5, bits5), min_size=1, max_size=30))
+def test_multilabel_metrics_match_formulas(spark, rows):
+    from dialoglab.operators import evaluation as E
+
+    df = spark.createDataFrame([(str(i), y, p) for i, (y, p) in enumerate(rows)], "id string, y array<int>, p array<int>")
+    got = E.multilabel_metrics(df, "vulnerability").first()
+    ok = [(y, p) for y, p in rows if any(p)]
+    if not ok:
+        assert got.precision is None
+        return
+    tp = sum(a & b for y, p in ok for a, b in zip(y, p))
+    fp = sum((1 - a) & b for y, p in ok for a, b in zip(y, p))
+    fn = sum(a & (1 - b) for y, p in ok for a, b in zip(y, p))
+    f1 = []
+    for j in range(5):
+        t = sum(y[j] & p[j] for y, p in ok)
+        f_p = sum((1 - y[j]) & p[j] for y, p in ok)
+        f_n = sum(y[j] & (1 - p[j]) for y, p in ok)
+        f1.append(2 * t / (2 * t + f_p + f_n) if 2 * t + f_p + f_n else 0.0)
+    assert got.precision == round(tp / (tp + fp) if tp + fp else 0.0, 6)
+    assert got.recall == round(tp / (tp + fn) if tp + fn else 0.0, 6)
+    assert got.accuracy == round(sum(y == p for y, p in ok) / len(ok), 6)
+    assert abs(got.macro_f1 - sum(f1) / 5) < 1e-6
+
+
+@SETTINGS
+@given(st.integers(min_value=1, max_value=400), st.integers(min_value=0, max_value=10**6))
+def test_split_sizes_for_any_n(spark, n, seed):
+    from dialoglab.operators import sampling as R
+
+    df = spark.range(n).selectExpr("CAST(id AS STRING) AS id")
+    sizes = {r.split: r["count"] for r in R.split_exact(df, seed=seed).groupBy("split").count().collect()}
+    assert sizes.get("train", 0) == int(0.6 * n) and sizes.get("valid", 0) == int(0.2 * n)
+    assert sum(sizes.values()) == n
