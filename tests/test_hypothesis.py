@@ -255,3 +255,74 @@ def test_split_sizes_for_any_n(spark, n, seed):
     sizes = {r.split: r["count"] for r in R.split_exact(df, seed=seed).groupBy("split").count().collect()}
     assert sizes.get("train", 0) == int(0.6 * n) and sizes.get("valid", 0) == int(0.2 * n)
     assert sum(sizes.values()) == n
+
+
+TECH4 = TECHNIQUES[:4]
+lists_t = st.lists(st.sampled_from(TECH4), max_size=3).map(",".join)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(lists_t, lists5), min_size=1, max_size=30))
+def test_cross_cooccurrence_matches_rule(spark, rows):
+    from dialoglab.operators import stats as A
+
+    df = spark.createDataFrame(rows, "technique string, vulnerability string")
+    got = {(r.label_a, r.label_b): r.n for r in A.label_cross_cooccurrence(df).collect()}
+    want = {}
+    for t, v in rows:
+        if t and v:
+            for a in t.split(","):
+                for b in v.split(","):
+                    want[(a, b)] = want.get((a, b), 0) + 1
+    assert {k: n for k, n in got.items() if n} == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(lists_t, lists5, st.sampled_from(["train", "valid", "test"])), min_size=1, max_size=40))
+def test_split_label_share_matches_rule(spark, rows):
+    from dialoglab.operators import stats as A
+
+    df = spark.createDataFrame(rows, "technique string, vulnerability string, split string")
+    got = {(r.label, r.split): (r.n, r.share) for r in A.split_label_share(df).collect()}
+    counts = {}
+    for t, v, s in rows:
+        if t and v:
+            for lab in t.split(",") + v.split(","):
+                counts[(lab, s)] = counts.get((lab, s), 0) + 1
+    labels = {lab for lab, s in counts if s == "train"}
+    want = {}
+    for lab in labels:
+        tot = sum(counts.get((lab, s), 0) for s in ("train", "valid", "test"))
+        for s in ("train", "valid", "test"):
+            n = counts.get((lab, s), 0)
+            want[(lab, s)] = (n, round(n / tot, 6))
+    assert got == want
+
+
+@SETTINGS
+@given(texts)
+def test_parse_turns_matches_rule(spark, values):
+    df = spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "id string, dialogue string")
+    got = sorted((r.id, r.turn, r.speaker, r.text) for r in T.parse_turns(df).collect())
+    tag = re.compile(r"^((?:Person|Turn |utterance )\d+):\s?")
+    want = []
+    for i, v in enumerate(values):
+        for k, line in enumerate(v.split("\n")):
+            m = tag.match(line)
+            want.append((str(i), k, m.group(1) if m else "", tag.sub("", line, count=1)))
+    assert got == sorted(want)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["n1", "n2"]), st.integers(0, 30), st.sampled_from(["@USER hi", " a ", "b\n", ""])),
+                min_size=1, max_size=20, unique_by=lambda x: (x[0], x[1])))
+def test_assemble_dialogues_matches_rule(spark, rows):
+    from dialoglab.sources import readers as S
+
+    df = spark.createDataFrame([(n, str(t), u) for n, t, u in rows], "Number string, Turn string, utterance string")
+    got = {r.id: r.dialogue for r in S.assemble_dialogues(df, "Number", "Turn", "utterance").collect()}
+    want = {}
+    for n in {n for n, _, _ in rows}:
+        turns = sorted((t, u) for m, t, u in rows if m == n)
+        want[n] = "\n".join(f"Turn {t}: {u.replace('@USER', '').strip()}" for t, u in turns)
+    assert got == want
