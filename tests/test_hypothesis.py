@@ -326,3 +326,21 @@ def test_assemble_dialogues_matches_rule(spark, rows):
         turns = sorted((t, u) for m, t, u in rows if m == n)
         want[n] = "\n".join(f"Turn {t}: {u.replace('@USER', '').strip()}" for t, u in turns)
     assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.text(max_size=40), min_size=1, max_size=20))
+def test_messages_are_valid_json_round_trip(spark, values):
+    import json
+
+    from dialoglab.operators import prompts as B
+
+    df = spark.createDataFrame([(str(i), v, str(i % 2)) for i, v in enumerate(values)],
+                               "id string, dialogue string, manipulative string")
+    zs = {r.id: json.loads(r.messages) for r in B.zeroshot_messages(df).collect()}
+    for i, v in enumerate(values):
+        assert zs[str(i)] == [{"role": "system", "content": B.system_prompt("binary")}, {"role": "user", "content": v}]
+    examples = df.filter("id = '0'").withColumn("example_no", df.id.cast("int") + 1)
+    fs = json.loads(B.fewshot_messages(df.filter("id = '0'"), examples).first().messages)
+    assert [m["role"] for m in fs] == ["system", "user", "assistant", "user"]
+    assert fs[1]["content"] == "Example 1:\n" + values[0] and fs[-1]["content"] == values[0]
