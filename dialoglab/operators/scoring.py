@@ -129,47 +129,43 @@ def train_binary(train: DataFrame, valid: DataFrame, test: DataFrame, text_col:
 
 def train_multilabel(train: DataFrame, test: DataFrame, measure: str = "technique", text_col: str = "text",
                      labels_col: str = "labels", id_col: str = "id", reg: float = 0.01, max_iter: int = 30,
-                     threshold: float = 0.5, num_features: int = 1 << 16) -> DataFrame:
-    """M3: binary relevance - one independent sigmoid output per label, threshold 0.5.
-
-    Instead of fitting one model per label (one distributed fit each), every
-    row is repeated once per label and its tokens are crossed with the label
-    (``"<j>:<token>"`` plus a per-label bias token).  A single logistic
-    regression over the crossed features has disjoint weights per label, so
-    with the separable L2 penalty it is the set of per-label models, fitted
-    in one pass over the data.  ``labels_col`` holds a 0/1 array in vector
-    order.  Output ``(id, label, y, p)``.
+                     threshold: float = 0.5, tol: float = 1e-4, parallelism: int = 4) -> DataFrame:
+    """M3: binary relevance - one independent logistic regression per label, threshold 0.5.
+
+    Documents are featurised once (hashing TF-IDF) and written to the shared
+    checkpoint folder; every label's model reads that table, and the fits
+    are submitted from a small thread pool so Spark runs a few of these
+    independent jobs side by side.  ``labels_col`` holds a 0/1 array in
+    vector order.  Output ``(id, label, y, p)``.
     """
-    from pyspark.ml import Pipeline
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
-    vocab = labels_for(measure)
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[\p{L}\p{N}_]+", gaps=False)
-
-    def crossed(df: DataFrame) -> DataFrame:
-        t = tok.transform(df.select(F.col(id_col).alias("id"), text_col, labels_col))
-        x = t.select("id", "_tok", F.posexplode(labels_col).alias("j", "y"))
-        toks = F.concat(F.transform("_tok", lambda w: F.concat(F.col("j").cast("string"), F.lit(":"), w)),
-                        F.array(F.concat(F.col("j").cast("string"), F.lit(":__bias__"))))
-        return x.select("id", "j", F.col("y").cast("double").alias("_y"), toks.alias("_ctok"))
-
-    feats = Pipeline(stages=[
-        HashingTF(inputCol="_ctok", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="features"),
-    ])
     from ..session import checkpoint_dir
 
+    vocab = labels_for(measure)
     checkpoint_dir(train.sparkSession)
-    tr = crossed(train).checkpoint()  # read by the IDF fit and by every iteration of the learner
-    fitted = feats.fit(tr)
-    model = LogisticRegression(featuresCol="features", labelCol="_y", regParam=reg, maxIter=max_iter,
-                               threshold=threshold).fit(fitted.transform(tr))
-    scored = model.transform(fitted.transform(crossed(test)))
-    label = F.element_at(F.array(*[F.lit(v) for v in vocab]), F.col("j") + 1)
-    return scored.select("id", label.alias("label"), F.col("_y").cast("int").alias("y"),
-                         (vector_to_array("probability")[1] >= threshold).cast("int").alias("p"))
+    feats = _featurizer(text_col).fit(train)
+    tr = feats.transform(train).select("features", labels_col).checkpoint()
+    te = feats.transform(test).select(F.col(id_col).alias("id"), "features", labels_col).checkpoint()
+
+    def fit(j: int):
+        trj = tr.select("features", F.element_at(labels_col, j + 1).cast("double").alias("_y"))
+        # a label with a single value in training gets zero weights and the constant intercept
+        return LogisticRegression(featuresCol="features", labelCol="_y", regParam=reg, maxIter=max_iter,
+                                  threshold=threshold, standardization=False, tol=tol).fit(trj)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(vocab)))) as pool:
+        models = list(pool.map(fit, range(len(vocab))))
+    out = None
+    for j, (lab, model) in enumerate(zip(vocab, models)):
+        pj = model.transform(te).select(
+            "id", F.lit(lab).alias("label"), F.element_at(labels_col, j + 1).cast("int").alias("y"),
+            (vector_to_array("probability")[1] >= threshold).cast("int").alias("p"))
+        out = pj if out is None else out.unionByName(pj)
+    return out
 
 
 # --------------------------------------------------------------------------
