@@ -3,7 +3,7 @@
 * M1 is the one Python surface: a user-supplied batch function runs inside
   ``mapInPandas`` (Arrow batches), built once per task.
 * M2 / M3 are ``pyspark.ml`` pipelines (hashing TF-IDF + logistic
-  regression); M3 is binary relevance on one shared, cached feature table.
+  regression); M3 is binary relevance on one shared, checkpointed feature table.
 * M5 / M6 aggregate per (group, dimension) with map-side partials; M6 fits
   a PCA per group from the group's mean and covariance (a d x d summary,
   independent of the row count) and projects rows with JVM expressions.
