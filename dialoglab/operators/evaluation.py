@@ -180,31 +180,32 @@ def per_label_metrics(df: DataFrame, measure: str, y: str = "y", p: str = "p", b
 
 
 def pooled_auc(long: DataFrame, mode: str = "thresholded", y: str = "y", score: str = "score",
-               threshold: float = 0.5) -> DataFrame:
-    """Micro (pooled) ROC-AUC over all (row, label) pairs.
+               threshold: float = 0.5, by=None) -> DataFrame:
+    """Micro (pooled) ROC-AUC over all (row, label) pairs, per ``by`` group.
 
     ``thresholded``: the score is first turned into 0/1 by sigmoid >= threshold,
     which makes the AUC (TPR + TNR) / 2.  ``score``: the true AUC of the raw
     scores, ties counted one half, computed from the histogram of distinct
     scores with exact running sums (no single-partition sort of the pairs).
     """
+    b = _by(by)
     if mode == "thresholded":
         pred = ((F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(score)))) >= F.lit(threshold)).cast("int")
-        cm = confusion_binary(long.withColumn("_p", pred), None, y, "_p")
+        cm = confusion_binary(long.withColumn("_p", pred), b, y, "_p")
         tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
         auc = (_safe(tp, tp + fn) + _safe(tn, tn + fp)) / 2
-        return cm.select(F.lit("thresholded").alias("mode"), _r(auc).alias("auc"))
+        return cm.select(*b, F.lit("thresholded").alias("mode"), _r(auc).alias("auc"))
     if mode == "score":
-        hist = long.groupBy(F.col(score).cast("double").alias("v")).agg(
+        hist = long.groupBy(*b, F.col(score).cast("double").alias("v")).agg(
             _cnt(F.col(y) == 1).alias("pos"), _cnt(F.col(y) != 1).alias("neg")
         )
-        cum = running_sums(hist, "v", ["neg"])
-        total = cum.agg(
+        cum = running_sums(hist, "v", ["neg"], partition_cols=b)
+        total = cum.groupBy(*b).agg(
             F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5)).alias("w"),
             F.sum("pos").alias("P"), F.sum("neg").alias("N"),
         )
         auc = F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("w") / (F.col("P") * F.col("N")))
-        return total.select(F.lit("score").alias("mode"), _r(auc).alias("auc"))
+        return total.select(*b, F.lit("score").alias("mode"), _r(auc).alias("auc"))
     raise ValueError("mode must be thresholded or score")
 
 

@@ -1,7 +1,8 @@
 """Scoring and models (M1-M6), re-aimed at Spark.
 
-* M1 is the one Python surface: a user-supplied batch function runs inside
-  ``mapInPandas`` (Arrow batches), built once per task.
+* M1 runs a user-supplied batch function inside ``mapInPandas`` (Arrow
+  batches), built once per task; M6 uses numpy inside tasks for partial Gram
+  matrices and one eigen-decomposition per group.
 * M2 / M3 are ``pyspark.ml`` pipelines (hashing TF-IDF + logistic
   regression); M3 is binary relevance on one shared, checkpointed feature table.
 * M5 / M6 aggregate per (group, dimension) with map-side partials; M6 fits

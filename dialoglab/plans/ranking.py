@@ -117,18 +117,22 @@ def running_sums(
     value_col: str,
     sum_cols: Sequence[str],
     n_buckets: int = 1024,
+    partition_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact cumulative sums of ``sum_cols`` over ascending ``value_col``.
-
-    ``hist`` should already hold one row per distinct value.  Adds
-    ``<c>_below`` (sum over strictly smaller values) for every ``c``.
-    The bucket bounds are approximate quantiles of the values, computed as a
-    scalar subquery (an array of ``n_buckets - 1`` numbers), so buckets stay
-    balanced whatever the value distribution; results are exact because the
-    running offset of each bucket is summed from the true per-bucket totals.
+    """Exact cumulative sums of ``sum_cols`` over ascending ``value_col`` (per group).
+
+    ``hist`` should already hold one row per (group, distinct value).  Adds
+    ``<c>_below`` (sum over strictly smaller values in the same group) for
+    every ``c``.  The bucket bounds are approximate quantiles of all values,
+    computed as a scalar subquery (an array of ``n_buckets - 1`` numbers), so
+    buckets stay balanced whatever the value distribution; results are exact
+    because the running offset of each (group, bucket) is summed from the
+    true per-bucket totals.  The offset window runs over at most
+    groups x ``n_buckets`` rows; without groups that table is broadcast.
     """
     from ..session import checkpoint_dir
 
+    parts = list(partition_cols)
     # the histogram feeds three branches (bounds, bucket totals, rows): write it
     # once to the shared checkpoint folder instead of recomputing it from the data
     checkpoint_dir(hist.sparkSession)
@@ -145,13 +149,15 @@ def running_sums(
     b = hist.withColumn("_bc", q.scalar())
     v = F.col(value_col).cast("double")
     b = b.withColumn("_bkt", two_level_bucket(v, F.col("_bc.b"), F.col("_bc.c"), step)).drop("_bc")
-    totals = b.groupBy("_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    totals = b.groupBy(*parts, "_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    before = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_bkt", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols]
+        *parts, "_bkt", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols]
     )
-    joined = b.join(F.broadcast(offsets), "_bkt")  # <= n_buckets rows
-    inner = Window.partitionBy("_bkt").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+    if not parts:
+        offsets = F.broadcast(offsets)  # <= n_buckets rows
+    joined = b.join(offsets, [*parts, "_bkt"])
+    inner = Window.partitionBy(*parts, "_bkt").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
     out = joined
     for c in sum_cols:
         out = out.withColumn(f"{c}_below", F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(inner), F.lit(0)))

@@ -344,3 +344,20 @@ def test_messages_are_valid_json_round_trip(spark, values):
     fs = json.loads(B.fewshot_messages(df.filter("id = '0'"), examples).first().messages)
     assert [m["role"] for m in fs] == ["system", "user", "assistant", "user"]
     assert fs[1]["content"] == "Example 1:\n" + values[0] and fs[-1]["content"] == values[0]
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["m1", "m2"]), st.integers(0, 1), st.integers(-3, 3)), min_size=2, max_size=80))
+def test_grouped_score_auc_matches_pairwise(spark, rows):
+    from dialoglab.operators import evaluation as E
+
+    df = spark.createDataFrame([(g, y, float(s)) for g, y, s in rows], "model string, y int, score double")
+    got = {r.model: r.auc for r in E.pooled_auc(df, "score", by="model").collect()}
+    for g in {g for g, _, _ in rows}:
+        pos = [s for h, y, s in rows if h == g and y == 1]
+        neg = [s for h, y, s in rows if h == g and y == 0]
+        if not pos or not neg:
+            assert got[g] is None
+            continue
+        wins = sum(1.0 if a > b else 0.5 if a == b else 0.0 for a in pos for b in neg)
+        assert abs(got[g] - wins / (len(pos) * len(neg))) < 1e-6
