@@ -51,6 +51,7 @@ from .operators.stats import (
     dataset_summary,
     emotion_counts,
     emotion_distribution,
+    emotion_distribution_wide,
     label_cooccurrence,
     label_counts,
     label_cross_cooccurrence,

@@ -53,11 +53,14 @@ def batch_score(
     output_type: str = "string",
     keep: Sequence[str] = ("id",),
     batch_rows: int = 64,
+    num_partitions: int | None = None,
 ) -> DataFrame:
     """M1: call ``make_fn()`` once per task, then score ``batch_rows`` rows at a time.
 
-    Responses of a real model are expensive and not repeatable: write the
-    result (parquet) before evaluating it, or Spark may call the model again.
+    ``num_partitions`` spreads the rows evenly over that many tasks first
+    (bounding the work, and the model copies, per task).  Responses of a real
+    model are expensive and not repeatable: write the result (parquet)
+    before evaluating it, or Spark may call the model again.
     """
     keep = list(keep)
     schema = Ty.StructType(
@@ -73,7 +76,10 @@ def batch_score(
                 out[output_col] = list(fn(part[input_col]))
                 yield out
 
-    return df.select(*keep, input_col).mapInPandas(run, schema)
+    src = df.select(*keep, input_col)
+    if num_partitions:
+        src = src.repartition(num_partitions)
+    return src.mapInPandas(run, schema)
 
 
 # --------------------------------------------------------------------------

@@ -160,6 +160,18 @@ def emotion_distribution(df: DataFrame, emotion_col: str = "emotion", class_col:
         "emotion", "class", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
+def emotion_distribution_wide(df: DataFrame, emotion_col: str = "emotion", class_col: str = "class",
+                              classes: Sequence[str] = ("1", "0")) -> DataFrame:
+    """A8 (wide form): one row per emotion in the fixed order, one count column per class.
+
+    The pivot values are given, so Spark needs no extra job to find them.
+    """
+    long = emotion_distribution(df, emotion_col, class_col, classes)
+    wide = long.groupBy("emotion").pivot("class", list(classes)).agg(F.sum("n"))
+    order = F.array_position(F.array(*[F.lit(e) for e in EMOTIONS]), F.col("emotion"))
+    return wide.orderBy(order).select("emotion", *[F.col(f"`{c}`").cast("bigint").alias(c) for c in classes])
+
+
 def emotion_counts(df: DataFrame, by="dataset", emotion_col: str = "emotion") -> DataFrame:
     """A8 (corpus form): plain emotion counts per corpus."""
     return df.groupBy(*_by(by), F.col(emotion_col).alias("emotion")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))

@@ -398,3 +398,16 @@ def test_multilabel_no_processed_rows_gives_nulls(spark):
     df = spark.createDataFrame([("a", [1, 0, 0, 0, 0], [0, 0, 0, 0, 0])], "id string, y array<int>, p array<int>")
     m = E.multilabel_metrics(df, "vulnerability").first()
     assert m.precision is None and m.accuracy is None and m.macro_f1 is None
+
+
+def test_emotion_distribution_wide(spark):
+    df = spark.createDataFrame([("joy", "1"), ("joy", "0"), ("anger", "1"), ("joy", "1")], "emotion string, class string")
+    rows = [tuple(r) for r in A.emotion_distribution_wide(df).collect()]
+    assert rows[0] == ("anger", 1, 0) and rows[1] == ("joy", 2, 1) and len(rows) == 6
+
+
+def test_batch_score_with_repartition(spark):
+    df = spark.createDataFrame([(str(i), "the x" if i % 2 else "y") for i in range(40)], "id string, text string")
+    out = M.batch_score(df, M.keyword_stub(("the ",)), "text", num_partitions=5)
+    got = dict(out.collect())
+    assert len(got) == 40 and got["1"] == "Yes." and got["2"] == "No."
