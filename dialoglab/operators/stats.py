@@ -128,21 +128,35 @@ def turn_stats(df: DataFrame, by="dataset", text_col: str = "dialogue", constant
                                     F.round(F.stddev_samp(n), ROUND).alias("stdev"))
 
 
-def ccdf(df: DataFrame, value: str | Column, by="dataset") -> DataFrame:
+def ccdf(df: DataFrame, value: str | Column, by="dataset", method: str = "window") -> DataFrame:
     """CCDF points per distinct value.
 
     Sorted values v_0..v_{n-1} get 1 - i/n.  For a distinct value v:
     ``p_first`` = 1 - count(< v)/n (its first point), ``p_last`` =
-    1 - (count(<= v) - 1)/n (its last point).  The window runs over the
-    histogram of distinct values, not over the rows.
+    1 - (count(<= v) - 1)/n (its last point).  Work runs on the histogram of
+    distinct values, never on the rows.  ``method='window'`` runs one window
+    per group over that histogram (right for counts such as turns or tokens,
+    whose distinct values are bounded by the longest dialogue);
+    ``method='buckets'`` uses the exact bucketed running sums, for value
+    columns with very many distinct values.
     """
     by = _by(by)
     v = F.col(value) if isinstance(value, str) else value
     hist = df.groupBy(*by, v.alias("value")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    before = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("n").over(Window.partitionBy(*by))
-    lt = F.coalesce(F.sum("n").over(before), F.lit(0))
-    out = hist.select(*by, "value", "n", lt.alias("_lt"), total.alias("_tot"))
+    if method == "window":
+        before = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        lt = F.coalesce(F.sum("n").over(before), F.lit(0))
+        out = hist.select(*by, "value", "n", lt.alias("_lt"), total.alias("_tot"))
+    elif method == "buckets":
+        from ..plans.ranking import running_sums
+
+        cum = running_sums(hist, "value", ["n"], partition_cols=by)
+        totals = hist.groupBy(*by).agg(F.sum("n").alias("_tot"))  # one row per group
+        out = cum.join(totals, by) if by else cum.withColumn("_tot", hist.select(F.sum("n")).scalar())
+        out = out.select(*by, "value", "n", F.col("n_below").alias("_lt"), "_tot")
+    else:
+        raise ValueError("method must be window or buckets")
     return out.select(
         *by, "value", "n",
         F.round(1 - F.col("_lt") / F.col("_tot"), ROUND).alias("p_first"),

@@ -364,3 +364,15 @@ def test_grouped_score_auc_matches_pairwise(spark, rows):
             continue
         wins = sum(1.0 if a > b else 0.5 if a == b else 0.0 for a in pos for b in neg)
         assert abs(got[g] - wins / (len(pos) * len(neg))) < 1e-6
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.floats(-5, 5, allow_nan=False).map(lambda x: round(x, 1))),
+                min_size=1, max_size=80))
+def test_ccdf_bucket_method_equals_window(spark, rows):
+    from dialoglab.operators import stats as A
+
+    df = spark.createDataFrame(rows, "dataset string, v double")
+    w = sorted(tuple(r) for r in A.ccdf(df, "v", method="window").collect())
+    b = sorted(tuple(r) for r in A.ccdf(df, "v", method="buckets").collect())
+    assert w == b

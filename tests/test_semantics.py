@@ -411,3 +411,9 @@ def test_batch_score_with_repartition(spark):
     out = M.batch_score(df, M.keyword_stub(("the ",)), "text", num_partitions=5)
     got = dict(out.collect())
     assert len(got) == 40 and got["1"] == "Yes." and got["2"] == "No."
+
+
+def test_ccdf_buckets_without_groups(spark):
+    df = spark.createDataFrame([(v,) for v in [1, 2, 2, 3]], "v int")
+    got = {r.value: (r.n, r.p_first, r.p_last) for r in A.ccdf(df, "v", by=None, method="buckets").collect()}
+    assert got == {1: (1, 1.0, 1.0), 2: (2, 0.75, 0.5), 3: (1, 0.25, 0.25)}
