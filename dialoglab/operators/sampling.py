@@ -81,13 +81,20 @@ def select_examples(
     """
     if k_by_class is None:
         k_by_class = {"1": 2, "0": 1}
+    # rank only the (id, class) keys - no text moves through the shuffle - and
+    # bring back the chosen rows with a broadcast join of at most sum(k) ids
     if label_col is None:  # k rows of any class
         k = k_by_class if isinstance(k_by_class, int) else sum(k_by_class.values())
-        ranked = seeded_rank(train, id_col, seed, total_col=None)
-        return ranked.filter(F.col("_rank") <= k).withColumnRenamed("_rank", "example_no")
-    ranked = seeded_rank(train, id_col, seed, partition_cols=[label_col], total_col=None)
-    if isinstance(k_by_class, int):  # the same k for every class
-        return ranked.filter(F.col("_rank") <= k_by_class).withColumnRenamed("_rank", "example_no")
-    kmap = F.create_map(*[x for c, k in k_by_class.items() for x in (F.lit(str(c)), F.lit(int(k)))])
-    limit = F.coalesce(F.try_element_at(kmap, F.col(label_col).cast("string")), F.lit(0))
-    return ranked.filter(F.col("_rank") <= limit).withColumnRenamed("_rank", "example_no")
+        ranked = seeded_rank(train.select(id_col), id_col, seed, total_col=None)
+        chosen = ranked.filter(F.col("_rank") <= k)
+    else:
+        keys = train.select(id_col, label_col)
+        ranked = seeded_rank(keys, id_col, seed, partition_cols=[label_col], total_col=None)
+        if isinstance(k_by_class, int):  # the same k for every class
+            chosen = ranked.filter(F.col("_rank") <= k_by_class)
+        else:
+            kmap = F.create_map(*[x for c, k in k_by_class.items() for x in (F.lit(str(c)), F.lit(int(k)))])
+            limit = F.coalesce(F.try_element_at(kmap, F.col(label_col).cast("string")), F.lit(0))
+            chosen = ranked.filter(F.col("_rank") <= limit)
+    picked = chosen.select(id_col, F.col("_rank").alias("example_no"))
+    return train.join(F.broadcast(picked), id_col)

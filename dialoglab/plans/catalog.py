@@ -398,10 +398,23 @@ def q_sample_per_group(spark, sf):
     return R.sample_per_group(fx.fx_corpora(spark, sf).select("id", "dataset"), "dataset", n=500, seed=11)
 
 
+def pick_examples(gold: DataFrame, label_col: str | None, k, measure_filter: str | None = None) -> DataFrame:
+    """R6 on the train split of ``gold`` (seed 17 split, seed 0 examples), text included.
+
+    The split and the example ranking run on the keys only; the at most
+    ``sum(k)`` chosen ids are broadcast-joined to ``gold`` for their text, so
+    no dialogue text goes through a shuffle.
+    """
+    rows = L.filter_measured(gold, measure_filter) if measure_filter else gold
+    keys = rows.select("id", *([label_col] if label_col else []))
+    train_keys = R.split_exact(keys, seed=17).filter(F.col("split") == "train")
+    picked = R.select_examples(train_keys, label_col, k, seed=0).select("id", "example_no")
+    return rows.join(F.broadcast(picked), "id")
+
+
 def train_examples(spark, sf) -> DataFrame:
-    """R6 on the train split: 2 positives and 1 negative (seed 0)."""
-    train = R.split_exact(fx.fx_gold(spark, sf), seed=17).filter(F.col("split") == "train")
-    return R.select_examples(train, "manipulative", {"1": 2, "0": 1}, seed=0)
+    """2 positives and 1 negative from the train split."""
+    return pick_examples(fx.fx_gold(spark, sf), "manipulative", {"1": 2, "0": 1})
 
 
 @query("select_examples")
@@ -435,8 +448,9 @@ def q_zeroshot_messages_vulnerability(spark, sf):
 
 def fewshot_measure(spark, sf, measure: str) -> DataFrame:
     """B2 for a label measure: rows with labels, split, 3 train examples of any class."""
-    split = R.split_exact(L.filter_measured(fx.fx_gold(spark, sf), measure), seed=17)
-    examples = R.select_examples(split.filter(F.col("split") == "train"), None, 3, seed=0)
+    gold = fx.fx_gold(spark, sf)
+    split = R.split_exact(L.filter_measured(gold, measure), seed=17)
+    examples = pick_examples(gold, None, 3, measure_filter=measure)
     return B.fewshot_messages(split.filter(F.col("split") == "test"), examples, measure)
 
 
