@@ -155,17 +155,23 @@ def train_multilabel(train: DataFrame, test: DataFrame, measure: str = "techniqu
     vocab = labels_for(measure)
     checkpoint_dir(train.sparkSession)
     feats = _featurizer(text_col).fit(train)
-    tr = feats.transform(train).select("features", labels_col).checkpoint()
+    # one table with a label column per label: every fit reads this same
+    # persisted table (checkpointed first, so a lost executor recomputes from
+    # the checkpoint), instead of each fit caching its own copy of the features
+    ys = [F.element_at(labels_col, j + 1).cast("double").alias(f"_y{j}") for j in range(len(vocab))]
+    tr = feats.transform(train).select("features", *ys).checkpoint().persist()
     te = feats.transform(test).select(F.col(id_col).alias("id"), "features", labels_col).checkpoint()
 
     def fit(j: int):
-        trj = tr.select("features", F.element_at(labels_col, j + 1).cast("double").alias("_y"))
         # a label with a single value in training gets zero weights and the constant intercept
-        return LogisticRegression(featuresCol="features", labelCol="_y", regParam=reg, maxIter=max_iter,
-                                  threshold=threshold, standardization=False, tol=tol).fit(trj)
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(vocab)))) as pool:
-        models = list(pool.map(fit, range(len(vocab))))
+        return LogisticRegression(featuresCol="features", labelCol=f"_y{j}", regParam=reg, maxIter=max_iter,
+                                  threshold=threshold, standardization=False, tol=tol).fit(tr)
+
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(vocab)))) as pool:
+            models = list(pool.map(fit, range(len(vocab))))
+    finally:
+        tr.unpersist()
     out = None
     for j, (lab, model) in enumerate(zip(vocab, models)):
         pj = model.transform(te).select(
