@@ -117,6 +117,7 @@ def train_binary(train: DataFrame, valid: DataFrame, test: DataFrame, text_col:
     # recomputing split and features (reliable, unlike a cache, if executors go)
     tr = feats.transform(train).select("features", F.col(label_col).cast("double").alias("_y")).checkpoint()
     va = feats.transform(valid).select("features", F.col(label_col).cast("double").alias("_y")).checkpoint()
+    tr = tr.persist()  # one shared in-memory copy for all candidate fits
     from concurrent.futures import ThreadPoolExecutor
 
     def fit(reg: float):
@@ -124,8 +125,11 @@ def train_binary(train: DataFrame, valid: DataFrame, test: DataFrame, text_col:
         return _accuracy(model.transform(va), "_y"), model
 
     # the candidate fits are independent distributed jobs: submit them together
-    with ThreadPoolExecutor(max_workers=len(reg_params)) as pool:
-        results = list(pool.map(fit, reg_params))
+    try:
+        with ThreadPoolExecutor(max_workers=len(reg_params)) as pool:
+            results = list(pool.map(fit, reg_params))
+    finally:
+        tr.unpersist()
     best_acc = max(a for a, _ in results)
     best = next(m for a, m in results if a == best_acc)  # first (smallest listed) on ties
     te = feats.transform(test)
