@@ -21,7 +21,7 @@ TABLES = [
 RESPONSE_TEXTS = ["Yes.", "No", "I cannot say", "No, but yes", "Unclear", "YES!", "Perhaps"]
 MODELS = ["model_a", "model_b"]
 SETTINGS = ["zeroshot", "fewshot"]
-# Short phrase list taken from the fixture prose (not the reference list).
+# Short phrase list of our own, taken from the fixture prose.
 PHRASES = ["the", "of the", "in the", "and the", "de la", "le un", "der die", "que la", "thou", "is the"]
 
 
