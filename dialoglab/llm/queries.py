@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, sharding
+from . import bpe, exact_dedup, mixing, quality, sharding, token_count, token_files
 from .common import documents
 
 
@@ -19,16 +19,35 @@ def op2_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op6_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocab
+
+    return bpe.digest(bpe.encode_documents(documents(spark, sf_dir), vocab.path("byte_bpe_multi_50k.tiktoken"), vocab.PATTERN))
+
+
 def op7_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
 
 
+def op8_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocab
+
+    return token_files.round_trip(documents(spark, sf_dir), vocab.path("byte_bpe_50k.json"))
+
+
+def op9_rank_synchronous_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocab
+
+    return token_count.count_tokens(documents(spark, sf_dir), vocab.path("piece_bpe_32k.model"), limit=4096)
+
+
 def op10_hypergeometric_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir)).drop("shards")
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_kd_tree_sharding, op2_cuckoo_exact_dedup, op7_adaptive_quality_rules, op10_hypergeometric_mixing,
+    op1_kd_tree_sharding, op2_cuckoo_exact_dedup, op6_segment_tree_bpe, op7_adaptive_quality_rules, op8_rans_token_files,
+    op9_rank_synchronous_token_counts, op10_hypergeometric_mixing,
 )}
 
 #: DuckDB SQL of the queries that SQL can express.
