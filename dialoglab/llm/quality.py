@@ -111,7 +111,7 @@ def sketches(measured: DataFrame, stats: str) -> DataFrame:
 def _limits(sketch: DataFrame, by: list[str], at: str) -> DataFrame:
     """Per group: ``at`` = struct(n, <measure>_low, <measure>_high ...) from the merged sketch."""
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*by, "measure")
+    w = Window.partitionBy(*by, "measure")  # a few thousand buckets at most
     run = merged.select(*by, "measure", "bucket", F.sum("n").over(w).alias("all"),
                         F.sum("n").over(w.orderBy("bucket")).alias("upto"))
     value = lambda b: F.when(b == _NONE, F.lit(0.0)).otherwise(
@@ -130,9 +130,9 @@ def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """One row for each (lang, source) of the sketch: the limits that hold there and where they come from."""
     own = _limits(sketch, ["lang", "source"], "own")
     lang = _limits(sketch, ["lang"], "by_lang").withColumnRenamed("lang", "l_lang")
-    every = _limits(sketch.withColumn("every", F.lit(1)), ["every"], "by_all")
+    every = _limits(sketch, [], "by_all")
     j = null_safe(own, lang, [("lang", "l_lang")], "left").drop("l_lang")
-    j = j.withColumn("every", F.lit(1)).join(every, "every", "left").drop("every")
+    j = j.withColumn("by_all", every.select("by_all").scalar())
     enough = lambda c: F.col(c)["n"] >= min_group
     pick = F.when(enough("own"), F.col("own")).when(enough("by_lang"), F.col("by_lang")).otherwise(F.col("by_all"))
     level = F.when(enough("own"), "source").when(enough("by_lang"), "lang").otherwise("all")
