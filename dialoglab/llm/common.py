@@ -75,7 +75,7 @@ def bitmap(df: DataFrame, key: Column, bits: int = 1 << 23) -> np.ndarray:
     rows = (
         df.select(probes.alias("p"))
         .groupBy(F.shiftright("p", 5).cast("int").alias("w"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1), F.pmod("p", F.lit(32)).cast("int"))).alias("m"))
+        .agg(F.bit_or(F.expr("shiftleft(1, cast(pmod(p, 32) AS int))")).alias("m"))
         .collect()  # at most bits/32 rows
     )
     out = np.zeros(words, np.uint32)

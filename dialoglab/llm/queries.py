@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality, sharding, token_count, token_files
+from . import bpe, exact_dedup, line_dedup, mixing, quality, sharding, token_count, token_files
 from .common import documents
 
 
@@ -19,6 +19,10 @@ def op2_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op5_perfect_hash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir), min_docs=10, min_chars=1)
+
+
 def op6_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocab
 
@@ -46,7 +50,7 @@ def op10_hypergeometric_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_kd_tree_sharding, op2_cuckoo_exact_dedup, op6_segment_tree_bpe, op7_adaptive_quality_rules, op8_rans_token_files,
+    op1_kd_tree_sharding, op2_cuckoo_exact_dedup, op5_perfect_hash_line_dedup, op6_segment_tree_bpe, op7_adaptive_quality_rules, op8_rans_token_files,
     op9_rank_synchronous_token_counts, op10_hypergeometric_mixing,
 )}
 
@@ -63,4 +67,19 @@ ORACLE = {
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
         FROM d JOIN g USING (text_sha256)
     """,
+    "op5_perfect_hash_line_dedup": r"""
+        WITH l AS (
+          SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), x AS (
+          SELECT r, unnest(range(1, len(lines) + 1)) AS k, unnest(lines) AS line FROM l
+        ), y AS (
+          SELECT r, k, line, translate(trim(line, E' \t\n\x0b\f\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x
+        ), c AS (
+          SELECT key FROM y WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10
+        ), z AS (
+          SELECT r, count(c.key) AS n_dropped, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE c.key IS NULL) AS kept
+          FROM y LEFT JOIN c USING (key) GROUP BY r
+        )
+        SELECT doc_id, len(lines) AS n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM l JOIN z USING (r)
+    """,
 }
