@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, ngram_join, quality, sharding, token_count, token_files
+from . import bpe, exact_dedup, license_scan, line_dedup, mixing, ngram_join, quality, sharding, token_count, token_files
 from .common import documents
 
 
@@ -24,6 +24,10 @@ def op3_divide_skip_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("name")
 
 
+def op4_license_paragraph_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(documents(spark, sf_dir))
+
+
 def op5_perfect_hash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(documents(spark, sf_dir), min_docs=10, min_chars=1)
 
@@ -55,8 +59,8 @@ def op10_hypergeometric_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_kd_tree_sharding, op2_cuckoo_exact_dedup, op3_divide_skip_jaccard_join, op5_perfect_hash_line_dedup, op6_segment_tree_bpe, op7_adaptive_quality_rules, op8_rans_token_files,
-    op9_rank_synchronous_token_counts, op10_hypergeometric_mixing,
+    op1_kd_tree_sharding, op2_cuckoo_exact_dedup, op3_divide_skip_jaccard_join, op4_license_paragraph_classifier,
+    op5_perfect_hash_line_dedup, op6_segment_tree_bpe, op7_adaptive_quality_rules, op8_rans_token_files, op9_rank_synchronous_token_counts, op10_hypergeometric_mixing,
 )}
 
 #: DuckDB SQL of the queries that SQL can express.
