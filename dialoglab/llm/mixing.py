@@ -66,10 +66,10 @@ def targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def _in_blocks(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """``rows`` (source, __h, ...) with ``__block`` and their source's columns as ``s_...``."""
-    s = sources.select(*[F.col(c).alias(f"s_{c}") for c in sources.columns])
-    return null_safe(rows, s, [("source", "s_source")], "inner").withColumn(
-        "__block", F.pmod(F.xxhash64(F.lit(SEED + 1), "__h"), F.col("s_n_blocks")))
+    """``rows`` (source, __h, ...) with ``__block`` and their source's columns as ``__s_...``."""
+    s = sources.select(*[F.col(c).alias(f"__s_{c}") for c in sources.columns])
+    return null_safe(rows, s, [("source", "__s_source")], "inner").withColumn(
+        "__block", F.pmod(F.xxhash64(F.lit(SEED + 1), "__h"), F.col("__s_n_blocks")))
 
 
 def mix_tables(rows: DataFrame, cap: int = CAP, shards: int = SHARDS, block_words: int = BLOCK_WORDS
@@ -87,7 +87,7 @@ def mix_tables(rows: DataFrame, cap: int = CAP, shards: int = SHARDS, block_word
     placed = _in_blocks(rows.filter("__size > 0"), src)
     perm = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(SEED + 2), "block"), "block")
     blocks = (
-        placed.groupBy("source", F.col("__block").alias("block"), F.col("s_passes").alias("passes"), F.col("s_part").alias("part"))
+        placed.groupBy("source", F.col("__block").alias("block"), F.col("__s_passes").alias("passes"), F.col("__s_part").alias("part"))
         .agg(F.sum("__size").alias("words"))
         .withColumn("place", F.row_number().over(perm))
         .withColumn("before", F.sum("words").over(perm) - F.col("words"))
@@ -135,11 +135,11 @@ def _deal(taken: DataFrame, shards: int) -> DataFrame:
 
 def _assign(rows: DataFrame, src: DataFrame, draws: DataFrame) -> DataFrame:
     """Append ``__shards``: the output shard of each time that a row is taken, and its source's columns."""
-    d = draws.select(*[F.col(c).alias(f"d_{c}") for c in draws.columns])
-    j = null_safe(_in_blocks(rows, src), d, [("source", "d_source"), ("__block", "d_block")], "left")
-    mine = F.filter("d_draws", lambda x: (x["pass"] <= F.col("d_passes")) | F.col("d_last_h").isNull()
-                    | (F.col("__h") <= F.col("d_last_h")))
-    return j.withColumn("__shards", F.when((F.col("__size") > 0) & F.col("d_draws").isNotNull(),
+    d = draws.select(*[F.col(c).alias(f"__d_{c}") for c in draws.columns])
+    j = null_safe(_in_blocks(rows, src), d, [("source", "__d_source"), ("__block", "__d_block")], "left")
+    mine = F.filter("__d_draws", lambda x: (x["pass"] <= F.col("__d_passes")) | F.col("__d_last_h").isNull()
+                    | (F.col("__h") <= F.col("__d_last_h")))
+    return j.withColumn("__shards", F.when((F.col("__size") > 0) & F.col("__d_draws").isNotNull(),
                                            F.transform(mine, lambda x: x["shard"]))
                         .otherwise(F.array().cast("array<int>")))
 
@@ -148,8 +148,8 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
     """One row per document: size, source_size, target, taken words and the output shards it goes to."""
     rows = stage_table(_keyed(docs.select("doc_id", "source", "text")).drop("text"), "words")
     out = _assign(rows, *mix_tables(rows, **how))
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("s_source_size").alias("source_size"),
-                      F.col("s_target").alias("target"),
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__s_source_size").alias("source_size"),
+                      F.col("__s_target").alias("target"),
                       (F.col("__size") * F.size("__shards")).cast("long").alias("taken"), F.col("__shards").alias("shards"))
 
 
