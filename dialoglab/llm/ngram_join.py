@@ -255,8 +255,9 @@ class InvertedLists:
     def lists(self, query: np.ndarray, below: int) -> list[np.ndarray]:
         """The query's lists, cut before set number ``below``, without empty ones."""
         at = np.searchsorted(self.keys, query)
-        at = at[at < len(self.keys)] if len(self.keys) else at[:0]
-        at = at[np.isin(self.keys[at], query, assume_unique=True)]
+        here = at < len(self.keys)
+        here[here] = self.keys[at[here]] == query[here]
+        at = at[here]
         out = []
         for i in at.tolist():
             x = self.post[self.start[i] : self.start[i + 1]]
