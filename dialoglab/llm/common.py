@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +98,16 @@ def in_bitmap(words: np.ndarray, *probes: np.ndarray) -> np.ndarray:
     return hit
 
 
+def maybe_in(words, key: Column, bits: int = 1 << 23) -> Column:
+    """Whether ``key`` may be in a broadcast bitmap (some others are, too)."""
+
+    @F.arrow_udf("boolean")
+    def maybe(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(words.value, a.to_numpy(), b.to_numpy()))
+
+    return maybe.asNondeterministic()(*probe_columns(key, bits))
+
+
 # --- hashing in tasks ------------------------------------------------------------------------------
 
 
@@ -192,6 +203,4 @@ def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, i
 
 def utf8(column) -> list[bytes]:
     """Texts of an Arrow column as bytes; NULL counts as empty."""
-    import pyarrow as pa
-
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

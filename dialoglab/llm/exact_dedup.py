@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import bitmap, maybe_in, stage_table
 
 #: Digests that a task's index holds at most.
 MAX_LIVE = 200_000
@@ -183,8 +183,6 @@ def drop_copies(docs: DataFrame, bits: int = 1 << 23) -> DataFrame:
     Only rows of groups with copies go through a join; rows whose digest occurs once pass by a bitmap of the digests
     that occur more often (it may only let too many through, never too few).
     """
-    from .common import bitmap, in_bitmap, probe_columns
-
     keyed = stage_table(digests(docs), "digests")
     many = stage_table(verdicts(keyed).filter("n > 1"), "verdicts")
     words = docs.sparkSession.sparkContext.broadcast(bitmap(many, F.col("digest"), bits))
@@ -193,11 +191,7 @@ def drop_copies(docs: DataFrame, bits: int = 1 << 23) -> DataFrame:
     digest = F.unhex(F.sha2(F.regexp_replace(text, r"[ \t-\r]+", "").cast("binary"), 256))
     marked = docs.withColumn("__digest", digest).withColumn("__length", F.char_length(text).cast("long"))
 
-    @F.arrow_udf("boolean")
-    def maybe(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(in_bitmap(words.value, a.to_numpy(), b.to_numpy()))
-
-    marked = marked.withColumn("__maybe", maybe.asNondeterministic()(*probe_columns(F.col("__digest"), bits)))
+    marked = marked.withColumn("__maybe", maybe_in(words, F.col("__digest"), bits))
     single = marked.filter("NOT __maybe").select(*docs.columns)
     v = many.select(F.col("digest").alias("__v"), F.col("best_id").alias("__best"), F.col("length").alias("__best_length"))
     rest = marked.filter("__maybe")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, bitmap, in_bitmap, mix, null_safe, probe_columns, stage_table, utf8
+from .common import SPACE_BYTES, bitmap, maybe_in, mix, null_safe, stage_table, utf8
 
 MIN_CHARS = 1
 MIN_DOCS = 10
@@ -211,10 +211,6 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     drops = common_lines(docs, min_docs, min_chars, **how)
     words = docs.sparkSession.sparkContext.broadcast(bitmap(drops, F.col("doc_id"), bits))
 
-    @F.arrow_udf("boolean")
-    def maybe(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(in_bitmap(words.value, a.to_numpy(), b.to_numpy()))
-
     @F.arrow_udf("struct<text:string,n_dropped:bigint>")
     def without(text: pa.Array, drop: pa.Array) -> pa.Array:
         kept, gone = [], []
@@ -231,7 +227,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    marked = docs.withColumn("__maybe", maybe.asNondeterministic()(*probe_columns(F.col("doc_id"), bits)))
+    marked = docs.withColumn("__maybe", maybe_in(words, F.col("doc_id"), bits))
     rest = marked.filter("NOT __maybe").select(
         *docs.columns, text.alias("__kept_text"), n_lines.alias("__n_lines"), F.lit(0).cast("long").alias("__n_dropped"))
     d = drops.select(F.col("doc_id").alias("__drop_id"), F.col("drop").alias("__drop"))

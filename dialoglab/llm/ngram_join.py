@@ -11,8 +11,8 @@ copies are never compared.  The join is exact (up to 64-bit hashes of n-grams);
    where its larger partners are.  Signatures leave the tasks packed by partition, and each partition links the sets of
    equal signatures in a chain.  Connected components of these chains are the blocks: linked sets are always in one.
    Copies of the most frequent sets sign once (an exact rule on a bounded list), so hot copies make no hot signature.
-3. Search.  A block's sets are sorted by size and cut into runs of ``RUN_GRAMS`` elements; each pair of runs is a
-   task's work of bounded memory, so a large block is spread.  One run becomes inverted lists (n-gram -> sets, ascending); each
+3. Search.  A large block is dealt into runs of about ``RUN_GRAMS`` elements and ``RUN_SETS`` sets of like size; each pair of runs
+   whose sizes can link is a piece of work of bounded memory, so a large block is spread over tasks.  One run becomes inverted lists (n-gram -> sets, ascending); each
    set of the other is a query with threshold T for its smallest possible partner: the longest lists are put aside, the
    short ones are merged with a heap that skips ahead where T can't be reached, and the surviving candidates are
    looked up in the long lists by binary search.  Those that reach their own T are links.
@@ -32,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bitmap, chunks, in_bitmap, mix, null_safe, probe_columns, stage_table, utf8
+from .common import Words, bitmap, chunks, in_bitmap, maybe_in, mix, null_safe, probe_columns, stage_table, utf8
 
 #: Elements (8 bytes each) of a run of sets.
 RUN_GRAMS = 400_000
@@ -60,6 +60,10 @@ class Measure:
         """Of a partner of a set of ``a``."""
         return -(-self.num * a // self.den)
 
+    def most_size(self, a: int) -> int:
+        """Of a partner of a set of ``a``."""
+        return self.den * a // self.num
+
     def band(self, size: int) -> int:
         while self.first[-1] <= size:
             self.first.append(self.first[-1] * self.den // self.num + 1)
@@ -127,8 +131,9 @@ def signatures(s: np.ndarray, measure: Measure) -> np.ndarray:
 
 
 def sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, name (16 bytes; empty sets: NULL)."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    """doc_id, n_shingles, name (16 bytes; empty sets: NULL), text_hash."""
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,9 +143,10 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
                 own = gram_sets(texts[a:z], n)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(a, z - a), pa.array([len(s) for s in own], pa.int64()),
-                     pa.array([set_name(s) if len(s) else None for s in own], pa.binary())], ["doc_id", "n_shingles", "name"])
+                     pa.array([set_name(s) if len(s) else None for s in own], pa.binary()), b.column(2).slice(a, z - a)],
+                    ["doc_id", "n_shingles", "name", "text_hash"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, name binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, name binary, text_hash bigint")
 
 
 def _packed_signatures(docs: DataFrame, n: int, measure: Measure, parts: int, hot: dict[bytes, object]) -> DataFrame:
@@ -341,11 +347,12 @@ class Forest:
 def links(index: list[np.ndarray], queries: list[np.ndarray] | None, measure: Measure) -> Iterator[tuple[int, int]]:
     """(number in the index, number of the query) of all linked pairs; None: the index against itself.
 
-    Index sets are sorted by size, and no query is smaller than an index set.
+    Index sets are sorted by size; queries may have any size.
     """
     inverted = InvertedLists(index)
     for q, s in enumerate(index if queries is None else queries):
-        below = q if queries is None else len(index)
+        most = measure.most_size(len(s))
+        below = q if queries is None else bisect_left(inverted.sizes, most + 1)
         first = bisect_left(inverted.sizes, measure.least_size(len(s)), 0, below)
         if first >= below:
             continue
@@ -401,7 +408,7 @@ def _search(batches: Iterator[pa.RecordBatch], measure: Measure) -> Iterator[pa.
 
 
 def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits: int = 1 << 23) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (documents linked directly, copies included), name."""
+    """doc_id, n_shingles, component_id, n_links (documents linked directly, copies included), name, text_hash."""
     measure = Measure(num, den)
     own = stage_table(sets(docs.select("doc_id", "text"), n), "sets")
     nodes = stage_table(own.filter("name IS NOT NULL").groupBy("name").agg(
@@ -432,22 +439,29 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits
             texts = utf8(b.column(1).take(pa.array(some)))
             for a, z in chunks(texts):
                 got = [s for s in gram_sets(texts[a:z], n) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in got], pa.binary()),
-                                                  pa.array([s.tobytes() for s in got], pa.binary())], ["g_name", "grams"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([set_name(s) for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary()),
+                     pa.array([measure.band(len(s)) for s in got], pa.int32())], ["g_name", "grams", "band"])
 
-    found = rows.mapInArrow(again, "g_name binary, grams binary").join(
+    found = rows.mapInArrow(again, "g_name binary, grams binary, band int").join(
         members, F.col("g_name") == members["name"]).dropDuplicates(["name"]).drop("g_name", "first_id")
 
-    # runs of a block, and the pairs of runs whose sizes can link
+    # runs of a block: one, or for a large block some for each band of sizes, dealt by a hash; pairs of runs that can link
     found = stage_table(found, "grams")
-    w = Window.partitionBy("block").orderBy("size", "name")
-    run = F.greatest(F.floor((F.sum("size").over(w) - F.col("size")) / RUN_GRAMS), F.floor((F.row_number().over(w) - 1) / RUN_SETS))
-    placed = found.select("name", "block", "size", "copies").withColumn("run", run.cast("int"))
-    placed = stage_table(placed, "runs")
+    keys = found.select("name", "block", "size", "copies", "band")
+    whole = keys.groupBy(F.col("block").alias("w_block")).agg(F.sum("size").alias("w_size"), F.count(F.lit(1)).alias("w_n"))
+    whole = whole.filter((F.col("w_size") > RUN_GRAMS) | (F.col("w_n") > RUN_SETS))
+    per_band = keys.groupBy(F.col("block").alias("b_block"), F.col("band").alias("b_band")).agg(
+        F.greatest(F.ceil(F.sum("size") / RUN_GRAMS), F.ceil(F.count(F.lit(1)) / RUN_SETS)).alias("subs"))
+    per_band = per_band.join(whole, F.col("b_block") == F.col("w_block")).select("b_block", "b_band", "subs")
+    placed = keys.join(per_band, (F.col("block") == F.col("b_block")) & (F.col("band") == F.col("b_band")), "left")
+    sub = F.pmod(F.xxhash64("name"), F.col("subs"))
+    run = F.when(F.col("subs").isNull(), F.lit(0)).otherwise(1 + F.col("band").cast("long") * (1 << 40) + sub).cast("long")
+    placed = stage_table(placed.select("name", "block", "size", "copies", run.alias("run")), "runs")
     spans = placed.groupBy("block", "run").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     x, y = spans.alias("x"), spans.alias("y")
     tasks = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.run") <= F.col("y.run"))
-                   & (F.col("x.hi") * den >= F.col("y.lo") * num))
+                   & (F.col("x.hi") * den >= F.col("y.lo") * num) & (F.col("y.hi") * den >= F.col("x.lo") * num))
     tasks = tasks.select(F.col("x.block").alias("t_block"), F.col("x.run").alias("i"), F.col("y.run").alias("j"))
     sides = tasks.select("t_block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("t_run"))
     several = placed.join(sides, (placed["block"] == sides["t_block"]) & (placed["run"] == sides["t_run"])).select(
@@ -469,11 +483,21 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits
                          (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = own.join(named, own["name"] == named["m_name"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("c")).alias("component_id"),
-                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "name")
+                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "name", "text_hash")
+
 
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits: int = 1 << 23) -> DataFrame:
+    """``docs`` with one document for each group (the one with the smallest doc_id); documents with empty sets all stay.
 
-def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """``docs`` with one row for each group (its smallest doc_id); documents with empty sets all stay."""
-    found = stage_table(jaccard_groups(docs, n, num, den).select("doc_id", "component_id", "n_shingles"), "groups")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return null_safe(docs, gone, [("doc_id", "__gone")], "left_anti")
+    Rows go by doc_id and a hash of the text, so another text under the same doc_id isn't touched; a group
+    without any doc_id stays whole.  Only rows that a bitmap lets through are joined.
+    """
+    text = F.xxhash64(F.col("text").cast("string"))
+    found = jaccard_groups(docs, n, num, den)
+    gone = stage_table(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_text")).distinct(), "gone")
+    words = docs.sparkSession.sparkContext.broadcast(bitmap(gone, F.xxhash64("__gone", "__gone_text"), bits))
+    marked = docs.withColumn("__text", text)
+    marked = marked.withColumn("__maybe", maybe_in(words, F.xxhash64("doc_id", "__text"), bits))
+    rest = null_safe(marked.filter("__maybe"), gone, [("doc_id", "__gone"), ("__text", "__gone_text")], "left_anti")
+    return marked.filter("NOT __maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))

@@ -21,7 +21,7 @@ def op2_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_divide_skip_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join.jaccard_groups(documents(spark, sf_dir), n=3, num=90, den=100)
-    return out.drop("name")
+    return out.drop("name", "text_hash")
 
 
 def op4_license_paragraph_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
