@@ -67,12 +67,20 @@ def tokens(col: str | Column) -> Column:
 
 
 def count_tokens(col: str | Column) -> Column:
-    """Number of word/punctuation tokens (counted by the regex engine, no token array is built)."""
-    return F.regexp_count(_c(col), F.lit(TOKEN_PATTERN)).cast("bigint")
+    """Number of word/punctuation tokens.
+
+    A token with the space before it becomes one letter (no space is left over except at the end), so the length of
+    the result is the count and no array of tokens is built.
+    """
+    text = F.regexp_replace(_c(col), r"\s*(?:" + TOKEN_PATTERN + ")", "x")
+    return F.length(F.regexp_replace(text, r"\s+", "")).cast("bigint")
 
 
 def truncate_tokens(col: str | Column, n: int, side: str = "first") -> Column:
-    """P5: keep the first or last ``n`` whitespace tokens, re-joined with one space."""
+    """P5: keep the first or last ``n`` whitespace tokens, re-joined with one space.
+
+    A text of at most ``n`` tokens stays as it is, with its newlines.
+    """
     words = F.regexp_extract_all(_c(col), F.lit(r"\S+"), 0)
     if side == "first":
         kept = F.slice(words, 1, n)
@@ -80,7 +88,7 @@ def truncate_tokens(col: str | Column, n: int, side: str = "first") -> Column:
         kept = F.slice(words, F.greatest(F.size(words) - F.lit(n), F.lit(0)) + F.lit(1), F.lit(n))
     else:
         raise ValueError("side must be 'first' or 'last'")
-    return F.array_join(kept, " ")
+    return F.when(F.size(words) <= n, _c(col)).otherwise(F.array_join(kept, " "))
 
 
 def count_lines(col: str | Column) -> Column:

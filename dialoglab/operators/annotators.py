@@ -17,23 +17,26 @@ K = (1, 2, 3)
 
 
 def unpivot_annotators(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """G1: one row per (dialogue, annotator)."""
+    """G1: one row per (dialogue, annotator); a blank vote or confidence is NULL."""
     parts = []
     for k in K:
         parts += [
             f"{k}",
             f"annotator_{k}",
-            f"CAST(manipulative_{k} AS INT)",
+            f"TRY_CAST(manipulative_{k} AS INT)",
             f"technique_{k}",
+            f"victim_{k}",
             f"vulnerability_{k}",
-            f"CAST(confidence_{k} AS INT)",
+            f"marks_{k}",
+            f"TRY_CAST(confidence_{k} AS INT)",
         ]
-    stack = f"stack(3, {', '.join(parts)}) AS (annotator_no, annotator, manipulative, technique, vulnerability, confidence)"
+    stack = f"stack(3, {', '.join(parts)}) AS (annotator_no, annotator, manipulative, " \
+            "technique, victim, vulnerability, marks, confidence)"
     return df.select(F.col(id_col).alias("id"), F.expr(stack))
 
 
 def _n_manip() -> Column:
-    return sum((F.col(f"manipulative_{k}") == "1").cast("int") for k in K)
+    return sum(F.coalesce(F.col(f"manipulative_{k}") == "1", F.lit(False)).cast("int") for k in K)
 
 
 def gold_labels(df: DataFrame, version: str = "consensus", id_col: str = "id") -> DataFrame:
@@ -58,9 +61,15 @@ def vote_labels(df: DataFrame, measure: str = "technique", min_votes: int = 2, i
 
 
 def annotator_agreement(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """Share of annotators on the majority side, and mean confidence."""
+    """Share of the three annotators on the majority side, and the mean of the confidences given.
+
+    As in G3, a blank vote counts on the ``0`` side; a blank confidence is left out (all blank: NULL).
+    """
     n = _n_manip()
-    conf = sum(F.col(f"confidence_{k}").cast("double") for k in K) / 3
+    given = [F.col(f"confidence_{k}").try_cast("double") for k in K]
+    total = sum(F.coalesce(c, F.lit(0.0)) for c in given)
+    count = sum(c.isNotNull().cast("int") for c in given)
+    conf = F.when(count > 0, total / count)
     return df.select(
         F.col(id_col).alias("id"),
         F.round(F.greatest(n, 3 - n) / 3.0, 6).alias("agreement"),

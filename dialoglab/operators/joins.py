@@ -22,17 +22,30 @@ def unanswered(gold: DataFrame, preds: DataFrame, by: Sequence[str] = ("model",
                id_col: str = "id") -> DataFrame:
     """Per prediction group, how many gold ids got no prediction.
 
-    ``n_gold`` minus the distinct gold ids answered in the group: a semi-join
+    ``n_gold`` minus the distinct gold ids answered in the group: one left join on the id
     and a count per group, no (gold x group) product.  Groups are the ones
-    present in ``preds``.
+    present in ``preds``, also those that answered no gold id at all.
     """
     by = list(by)
     n_gold = gold.select(F.count_distinct(id_col)).scalar()
-    answered = preds.select(*by, id_col).join(gold.select(id_col), id_col, "left_semi")
-    per_group = answered.groupBy(*by).agg(F.count_distinct(id_col).alias("_answered"))
+    known = gold.select(F.col(id_col).alias("_gold_id")).distinct()
+    rows = preds.select(*by, id_col).join(known, F.col(id_col) == F.col("_gold_id"), "left")
+    per_group = rows.groupBy(*by).agg(F.count_distinct("_gold_id").alias("_answered"))
     return per_group.select(*by, (n_gold - F.col("_answered")).cast("bigint").alias("n_unanswered"))
 
 
-def unanswered_ids(gold: DataFrame, preds: DataFrame, id_col: str = "id") -> DataFrame:
-    """Gold rows without any prediction (anti-join)."""
-    return gold.join(preds.select(id_col), id_col, "left_anti")
+def unanswered_ids(gold: DataFrame, preds: DataFrame, id_col: str = "id", by: Sequence[str] = ()) -> DataFrame:
+    """Gold rows without any prediction (anti-join); with ``by``, for each group of predictions.
+
+    The table of groups is one row per model and setting; every gold row is repeated for each of them, which is
+    the size of a complete answer file.
+    """
+    by = list(by)
+    if not by:
+        return gold.join(preds.select(id_col), id_col, "left_anti")
+    groups = preds.select(F.struct(*by).alias("g")).distinct().agg(F.collect_list("g")).scalar()
+    each = gold.withColumn("_g", F.explode(groups)).select("*", *[F.col(f"_g.{c}").alias(c) for c in by]).drop("_g")
+    cond = each[id_col] == preds[id_col]
+    for c in by:
+        cond = cond & each[c].eqNullSafe(preds[c])
+    return each.join(preds, cond, "left_anti")

@@ -2,9 +2,7 @@
 
 A phrase matches a dialogue when it occurs as whole words in the
 normalised text (lower case, every run of non letters/digits -> one
-space).  Instead of testing every phrase against every dialogue, each
-dialogue builds its word n-grams of the lengths that occur in the phrase
-list and intersects them with the (parameter-sized) phrase set; only the
+space).  Each dialogue tests the (parameter-sized, size-checked) phrase list and only the
 hits leave the row.  Counting is a hash aggregate with map-side partials,
 so a phrase that occurs in most dialogues is no hot spot.
 """
@@ -39,32 +37,45 @@ def word_ngrams(norm: Column, n: int) -> Column:
     return F.concat(*passes)
 
 
+#: Up to so many phrases, one substring test each is cheaper than n-grams; more than MAX_PHRASES is no parameter.
+FEW_PHRASES, MAX_PHRASES = 256, 20_000
+
+
 def dialogue_phrases(df: DataFrame, phrases: DataFrame, text_col: str = "dialogue", id_col: str = "id",
                      phrase_col: str = "phrase") -> DataFrame:
-    """``(id, phrase)`` for every phrase found in a dialogue (each pair once).
+    """``(id, phrase)`` for every phrase found in a dialogue (each pair once, however often the list repeats it).
 
-    The phrase list is parameter-sized: it is aggregated into one array and
-    attached as a scalar subquery (evaluated once, shipped with the tasks),
-    and every dialogue intersects its distinct n-grams with it, so only the
-    hits are exploded.
+    The phrase list is a parameter: its distinct phrases are read by the driver, at most ``MAX_PHRASES`` of them (more
+    is an error).  The text is normalised once.  A short list becomes one substring test for each phrase in a generated
+    projection; a long one is intersected with the text's n-grams of the lengths that occur.
     """
-    norm_phr = phrases.select(normalize_text(phrase_col).alias("_p"), F.col(phrase_col).alias("phrase"))
-    # the distinct phrase lengths (a handful of small integers) decide which n-grams to build
-    lengths = sorted({r[0] for r in norm_phr.select(F.size(F.split("_p", " "))).distinct().collect()})
-    wanted = norm_phr.select(F.collect_set("_p")).scalar()
-    # the normalised text is a column of its own projection, so the n-gram
-    # passes below share it instead of normalising the text once per pass
-    w = df.select(F.col(id_col).alias("id"), normalize_text(text_col).alias("_t")).withColumn("_want", wanted)
-    grams = F.concat(*[word_ngrams(F.col("_t"), n) for n in lengths])
-    hits = w.select("id", F.explode(F.array_intersect(grams, F.col("_want"))).alias("_p"))
-    # map normalised hits back to the phrases as given (a phrase-sized table)
-    return hits.join(F.broadcast(norm_phr), "_p").select("id", "phrase")
+    listed = phrases.select(F.col(phrase_col).alias("phrase"), normalize_text(phrase_col).alias("_p")).distinct()
+    listed = [tuple(r) for r in listed.filter("_p <> ''").limit(MAX_PHRASES + 1).collect()]
+    if len(listed) > MAX_PHRASES:
+        raise ValueError(f"more than {MAX_PHRASES} phrases")
+    forms: dict[str, list[str]] = {}
+    for phrase, norm in sorted(listed):
+        forms.setdefault(norm, []).append(phrase)
+    w = df.select(F.col(id_col).alias("id"), normalize_text(text_col).alias("_t"))
+    if len(forms) <= FEW_PHRASES:
+        w = w.withColumn("_t", F.concat(F.lit(" "), "_t", F.lit(" ")))
+        tests = [F.when(F.contains(F.col("_t"), F.lit(f" {p} ")), F.lit(p)) for p in forms]
+        found = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
+    else:
+        lengths = sorted({p.count(" ") + 1 for p in forms})
+        grams = F.concat(*[word_ngrams(F.col("_t"), n) for n in lengths])
+        found = F.array_intersect(grams, F.lit(list(forms)))
+    hits = w.select("id", F.explode(found).alias("_p"))
+    if all(v == [k] for k, v in forms.items()):  # phrases are given in normal form
+        return hits.select("id", F.col("_p").alias("phrase"))
+    as_given = F.create_map(*[x for k, v in forms.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return hits.select("id", F.explode(F.element_at(as_given, F.col("_p"))).alias("phrase"))
 
 
 def match_key_phrases(df: DataFrame, phrases: DataFrame, text_col: str = "dialogue", id_col: str = "id",
                       phrase_col: str = "phrase") -> DataFrame:
-    """For every phrase, the number of dialogues containing it (0 when none)."""
+    """For every distinct phrase, the number of dialogues containing it (0 when none)."""
     hits = dialogue_phrases(df, phrases, text_col, id_col, phrase_col)
     counts = hits.groupBy("phrase").agg(F.count(F.lit(1)).cast("bigint").alias("n_dialogues"))
-    return phrases.select(F.col(phrase_col).alias("phrase")).join(counts, "phrase", "left").select(
+    return phrases.select(F.col(phrase_col).alias("phrase")).distinct().join(counts, "phrase", "left").select(
         "phrase", F.coalesce("n_dialogues", F.lit(0)).cast("bigint").alias("n_dialogues"))

@@ -152,10 +152,13 @@ def sft_text_multilabel(df: DataFrame, measure: str = "technique", text_col: str
 
 
 def classifier_table(df: DataFrame, task: str = "binary") -> DataFrame:
-    """``(text, label)`` - label column resolved (train rule) and binarised ('0' -> 0, else 1)."""
-    from ..functions.labels import binarize_label, multi_hot, resolve_label_column
+    """``(text, label)`` - label column resolved (train rule) and binarised ('0' -> 0, else 1).
+
+    The multi-label form fails on a label outside the vocabulary.
+    """
+    from ..functions.labels import binarize_label, multi_hot_checked, resolve_label_column
 
     if task == "binary":
         r = resolve_label_column(df, "train")
         return r.select("text", binarize_label("label", "not_zero").alias("label"))
-    return df.select(F.col("Dialogue").alias("text"), multi_hot(split_labels(task), task, "strict").alias("label"))
+    return df.select(F.col("Dialogue").alias("text"), multi_hot_checked(split_labels(task), task, "strict").alias("label"))

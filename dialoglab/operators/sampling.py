@@ -1,20 +1,34 @@
 """Splits and samples with exact, repeatable sizes.
 
-All of them rank rows by ``md5('<seed>:<id>')`` with the bucketed exact rank
-of :mod:`dialoglab.plans.ranking`, then cut by size.  The sizes follow the
-Python conventions of the original scripts (``int(r * n)`` for splits,
-``ceil(r * n)`` for a hold-out test set), computed in DOUBLE exactly like
-Python does.  Results do not depend on the input partitioning.
+Rows are ordered by ``md5('<seed>:<id>')``.  :func:`~dialoglab.plans.ranking.seeded_cuts`
+finds the keys at the ranks where a sample or split ends; each row is then
+compared with them where it is, so neither rows nor texts are shuffled.  The
+sizes follow the Python conventions of the original scripts (``int(r * n)`` for
+splits, ``ceil(r * n)`` for a hold-out test set), computed in DOUBLE exactly
+like Python does.  Results do not depend on the input partitioning.
+
+NULL ids and NULL groups count like any other value.  Rows with the same id are told
+apart by a hash of the row; rows that are equal in every column stay together.
+``tie_cols=()`` promises unique ids that are never NULL: then the cuts read the
+id column alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ranking import seeded_rank
+from ..plans.ranking import null_safe_join, order_key, seeded_cuts
+
+
+def _cut(df: DataFrame, id_col: str, seed: int, ranks: dict, tie_cols: Sequence[str] | None) -> DataFrame:
+    """``df`` with its key ``_k`` and the boundary keys of the whole table as columns."""
+    keyed = df.withColumn("_k", order_key(df, id_col, seed, tie_cols))
+    cuts = seeded_cuts(keyed, "_k", ranks)
+    bounds = cuts.select(F.struct(*ranks).alias("c")).scalar()
+    return keyed.withColumn("_cuts", bounds)
 
 
 def split_exact(
@@ -23,48 +37,56 @@ def split_exact(
     seed: int = 17,
     id_col: str = "id",
     names: Sequence[str] = ("train", "valid", "test"),
+    tie_cols: Sequence[str] | None = None,
 ) -> DataFrame:
     """Seeded shuffle, then the first ``int(r0*n)`` rows, the next ``int(r1*n)``, the rest."""
-    ranked = seeded_rank(df, id_col, seed)
-    n = F.col("_group_n").cast("double")
+    n = F.col("_n").cast("double")
     cut1 = F.floor(n * F.lit(float(ratios[0])))
     cut2 = cut1 + F.floor(n * F.lit(float(ratios[1])))
+    out = _cut(df, id_col, seed, {"a": cut1, "b": cut2}, tie_cols)
     split = (
-        F.when(F.col("_rank") <= cut1, F.lit(names[0]))
-        .when(F.col("_rank") <= cut2, F.lit(names[1]))
+        F.when(F.col("_k") <= F.col("_cuts.a"), F.lit(names[0]))
+        .when(F.col("_k") <= F.col("_cuts.b"), F.lit(names[1]))
         .otherwise(F.lit(names[2]))
     )
-    return ranked.withColumn("split", split).drop("_rank", "_group_n")
+    return out.withColumn("split", split).drop("_k", "_cuts")
 
 
-def sample_cap(df: DataFrame, n: int = 5000, seed: int = 42, id_col: str = "id") -> DataFrame:
+def sample_cap(df: DataFrame, n: int = 5000, seed: int = 42, id_col: str = "id",
+               tie_cols: Sequence[str] | None = None) -> DataFrame:
     """R2: if there are at least ``n`` rows keep exactly ``n`` of them (seeded), else all."""
-    ranked = seeded_rank(df, id_col, seed, total_col=None)
-    return ranked.filter(F.col("_rank") <= n).drop("_rank")
+    out = _cut(df, id_col, seed, {"a": F.lit(n)}, tie_cols)
+    return out.filter(F.col("_k") <= F.col("_cuts.a")).drop("_k", "_cuts")
 
 
-def holdout(df: DataFrame, test_size: float = 0.2, seed: int = 42, id_col: str = "id") -> DataFrame:
+def holdout(df: DataFrame, test_size: float = 0.2, seed: int = 42, id_col: str = "id",
+            tie_cols: Sequence[str] | None = None) -> DataFrame:
     """Seeded hold-out; the test part has ``ceil(test_size * n)`` rows."""
-    ranked = seeded_rank(df, id_col, seed)
-    n_test = F.ceil(F.col("_group_n").cast("double") * F.lit(float(test_size)))
-    return ranked.withColumn(
-        "split", F.when(F.col("_rank") <= n_test, F.lit("test")).otherwise(F.lit("train"))
-    ).drop("_rank", "_group_n")
+    out = _cut(df, id_col, seed, {"a": F.ceil(F.col("_n").cast("double") * F.lit(float(test_size)))}, tie_cols)
+    return out.withColumn("split", F.when(F.col("_k") <= F.col("_cuts.a"), F.lit("test")).otherwise(F.lit("train"))
+                          ).drop("_k", "_cuts")
+
+
+def _first_of_groups(df: DataFrame, by: list[str], rank, seed: int, id_col: str,
+                     tie_cols: Sequence[str] | None) -> DataFrame:
+    """The rows of each group up to ``rank``; the cuts (one row per group) are joined to the rows."""
+    keyed = df.withColumn("_k", order_key(df, id_col, seed, tie_cols))
+    cuts = seeded_cuts(keyed, "_k", {"_cut": rank}, by)
+    return null_safe_join(keyed, cuts, by).filter(F.col("_k") <= F.col("_cut")).drop("_cut")
 
 
-def balance_classes(df: DataFrame, label_col: str, seed: int = 0, id_col: str = "id") -> DataFrame:
-    """Every class sampled down to the size of the smallest class, without replacement."""
-    ranked = seeded_rank(df, id_col, seed, partition_cols=[label_col])
+def balance_classes(df: DataFrame, label_col: str, seed: int = 0, id_col: str = "id",
+                    tie_cols: Sequence[str] | None = None) -> DataFrame:
+    """Every class (NULL is one) sampled down to the size of the smallest class, without replacement."""
     smallest = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).select(F.min("n")).scalar()
-    return ranked.filter(F.col("_rank") <= smallest).drop("_rank", "_group_n")
+    return _first_of_groups(df, [label_col], smallest, seed, id_col, tie_cols).drop("_k").select(*df.columns)
 
 
 def sample_per_group(df: DataFrame, by: str | Sequence[str], n: int = 500, seed: int = 11,
-                     id_col: str = "id") -> DataFrame:
+                     id_col: str = "id", tie_cols: Sequence[str] | None = None) -> DataFrame:
     """Exactly ``n`` rows per group (all rows of a smaller group)."""
     by = [by] if isinstance(by, str) else list(by)
-    ranked = seeded_rank(df, id_col, seed, partition_cols=by, total_col=None)
-    return ranked.filter(F.col("_rank") <= n).drop("_rank")
+    return _first_of_groups(df, by, F.lit(n), seed, id_col, tie_cols).select(*df.columns)
 
 
 def select_examples(
@@ -73,28 +95,27 @@ def select_examples(
     k_by_class: Mapping[str, int] | int = None,
     seed: int = 0,
     id_col: str = "id",
+    tie_cols: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Few-shot examples - ``k`` rows per class (or ``k`` rows of any class).
+    """Few-shot examples - ``k`` rows per class (or ``k`` rows of any class), never more.
 
     Adds ``example_no`` (1-based order inside the class), used to order the
-    examples in prompts.
+    examples in prompts.  Only the rows up to the cuts (about k of them) are
+    numbered; they carry their own text, nothing is joined back by id.
     """
     if k_by_class is None:
         k_by_class = {"1": 2, "0": 1}
-    # rank only the (id, class) keys - no text moves through the shuffle - and
-    # bring back the chosen rows with a broadcast join of at most sum(k) ids
     if label_col is None:  # k rows of any class
         k = k_by_class if isinstance(k_by_class, int) else sum(k_by_class.values())
-        ranked = seeded_rank(train.select(id_col), id_col, seed, total_col=None)
-        chosen = ranked.filter(F.col("_rank") <= k)
+        out = _cut(train, id_col, seed, {"a": F.lit(k)}, tie_cols)
+        near, limit, order = out.filter(F.col("_k") <= F.col("_cuts.a")).drop("_cuts"), F.lit(k), Window.partitionBy()
     else:
-        keys = train.select(id_col, label_col)
-        ranked = seeded_rank(keys, id_col, seed, partition_cols=[label_col], total_col=None)
         if isinstance(k_by_class, int):  # the same k for every class
-            chosen = ranked.filter(F.col("_rank") <= k_by_class)
+            limit = F.lit(k_by_class)
         else:
             kmap = F.create_map(*[x for c, k in k_by_class.items() for x in (F.lit(str(c)), F.lit(int(k)))])
             limit = F.coalesce(F.try_element_at(kmap, F.col(label_col).cast("string")), F.lit(0))
-            chosen = ranked.filter(F.col("_rank") <= limit)
-    picked = chosen.select(id_col, F.col("_rank").alias("example_no"))
-    return train.join(F.broadcast(picked), id_col)
+        near = _first_of_groups(train, [label_col], limit, seed, id_col, tie_cols)
+        order = Window.partitionBy(label_col)
+    near = near.withColumn("example_no", F.row_number().over(order.orderBy("_k")))
+    return near.filter(F.col("example_no") <= limit).drop("_k").select(*train.columns, "example_no")

@@ -22,6 +22,7 @@ from pyspark.sql import types as Ty
 
 from ..functions.vocab import labels_for
 from ..operators.evaluation import ROUND
+from ..plans.ranking import null_safe_join
 
 # --------------------------------------------------------------------------
 # M1 batch scoring
@@ -87,102 +88,107 @@ def batch_score(
 # --------------------------------------------------------------------------
 
 
-def _featurizer(text_col: str, num_features: int = 1 << 16):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+#: Columns that hashed words share (2^18 features; more of them merge fewer words).
+NUM_FEATURES = 1 << 18
 
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[\p{L}\p{N}_]+", gaps=False),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="features"),
-    ])
 
+def _featurised(data: DataFrame, text_col: str, split_col: str, train: str, cols: Sequence, num_features: int) -> DataFrame:
+    """``data`` with hashing TF-IDF ``features``, written once to the shared checkpoint folder.
 
-def _accuracy(pred: DataFrame, label_col: str) -> float:
-    return pred.select(F.avg((F.col("prediction") == F.col(label_col)).cast("double"))).first()[0] or 0.0
+    Hashing needs no fit, so texts are read in one pass; the IDF weights come from the train rows of the written table.
+    """
+    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 
+    from ..session import checkpoint_dir
 
-def train_binary(train: DataFrame, valid: DataFrame, test: DataFrame, text_col: str = "text",
-                 label_col: str = "label", id_col: str = "id", reg_params: Sequence[float] = (0.0, 0.01, 0.1),
-                 max_iter: int = 30) -> DataFrame:
-    """M2: fit on train, keep the regularisation with the best validation accuracy (= micro-F1), score test."""
-    from pyspark.ml.classification import LogisticRegression
+    checkpoint_dir(data.sparkSession)
+    rows = data.select(*cols, F.col(split_col).alias("split"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = RegexTokenizer(inputCol="_text", outputCol="_tok", pattern=r"[\p{L}\p{N}_]+", gaps=False).transform(rows)
+    rows = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features).transform(rows)
+    table = rows.drop("_text", "_tok").checkpoint()
+    idf = IDF(inputCol="_tf", outputCol="features").fit(table.filter(F.col("split") == train))
+    return idf.transform(table).drop("_tf")
 
-    from ..session import checkpoint_dir
 
-    checkpoint_dir(train.sparkSession)
-    feats = _featurizer(text_col).fit(train)
-    # the learner passes over its input once per iteration and per candidate:
-    # write the featurised sets to the shared checkpoint folder once instead of
-    # recomputing split and features (reliable, unlike a cache, if executors go)
-    tr = feats.transform(train).select("features", F.col(label_col).cast("double").alias("_y")).checkpoint()
-    va = feats.transform(valid).select("features", F.col(label_col).cast("double").alias("_y")).checkpoint()
-    tr = tr.persist()  # one shared in-memory copy for all candidate fits
+def train_binary(data: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "id",
+                 split_col: str = "split", splits: Sequence[str] = ("train", "valid", "test"),
+                 reg_params: Sequence[float] = (0.0, 0.01, 0.1), max_iter: int = 30,
+                 num_features: int = NUM_FEATURES) -> DataFrame:
+    """M2: fit on train, keep the regularisation with the best validation accuracy (= micro-F1), score test.
+
+    ``data`` is one labelled table with its split in ``split_col``; it is read once.
+    """
     from concurrent.futures import ThreadPoolExecutor
 
+    from pyspark.ml.classification import LogisticRegression
+
+    cols = [F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("_y")]
+    table = _featurised(data, text_col, split_col, splits[0], cols, num_features)
+    train, valid, test = (table.filter(F.col("split") == s) for s in splits)
+    train = train.persist()  # one shared in-memory copy for all candidate fits, behind the checkpoint
+
     def fit(reg: float):
-        model = LogisticRegression(featuresCol="features", labelCol="_y", regParam=reg, maxIter=max_iter).fit(tr)
-        return _accuracy(model.transform(va), "_y"), model
+        model = LogisticRegression(featuresCol="features", labelCol="_y", regParam=reg, maxIter=max_iter).fit(train)
+        right = model.transform(valid).select(F.avg((F.col("prediction") == F.col("_y")).cast("double"))).first()[0]
+        return right or 0.0, model
 
     # the candidate fits are independent distributed jobs: submit them together
     try:
         with ThreadPoolExecutor(max_workers=len(reg_params)) as pool:
             results = list(pool.map(fit, reg_params))
     finally:
-        tr.unpersist()
+        train.unpersist()
     best_acc = max(a for a, _ in results)
     best = next(m for a, m in results if a == best_acc)  # first (smallest listed) on ties
-    te = feats.transform(test)
-    out = best.transform(te)
-    return out.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"),
-                      F.col("prediction").cast("int").alias("p"))
-
-
-def train_multilabel(train: DataFrame, test: DataFrame, measure: str = "technique", text_col: str = "text",
-                     labels_col: str = "labels", id_col: str = "id", reg: float = 0.01, max_iter: int = 30,
-                     threshold: float = 0.5, tol: float = 1e-4, parallelism: int = 4) -> DataFrame:
-    """M3: binary relevance - one independent logistic regression per label, threshold 0.5.
-
-    Documents are featurised once (hashing TF-IDF) and written to the shared
-    checkpoint folder; every label's model reads that table, and the fits
-    are submitted from a small thread pool so Spark runs a few of these
-    independent jobs side by side.  ``labels_col`` holds a 0/1 array in
-    vector order.  Output ``(id, label, y, p)``.
+    return best.transform(test).select("id", F.col("_y").cast("int").alias("y"), F.col("prediction").cast("int").alias("p"))
+
+
+def train_multilabel(data: DataFrame, measure: str = "technique", text_col: str = "text", labels_col: str = "labels",
+                     id_col: str = "id", split_col: str = "split", splits: Sequence[str] = ("train", "valid", "test"),
+                     reg: float = 0.01, max_iter: int = 30, thresholds: Sequence[float] = (0.3, 0.4, 0.5),
+                     tol: float = 1e-4, parallelism: int = 4, num_features: int = NUM_FEATURES) -> DataFrame:
+    """M3: binary relevance - one independent logistic regression per label on one featurised table.
+
+    The probability from which a label is given is chosen on the validation rows (best micro-F1 over all labels, highest
+    threshold on ties).  ``labels_col`` holds a 0/1 array in vector order.  All labels are scored in one pass over
+    a table.  Output ``(id, label, y, p)`` of the test rows.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
 
-    from ..session import checkpoint_dir
-
     vocab = labels_for(measure)
-    checkpoint_dir(train.sparkSession)
-    feats = _featurizer(text_col).fit(train)
-    # one table with a label column per label: every fit reads this same
-    # persisted table (checkpointed first, so a lost executor recomputes from
-    # the checkpoint), instead of each fit caching its own copy of the features
-    ys = [F.element_at(labels_col, j + 1).cast("double").alias(f"_y{j}") for j in range(len(vocab))]
-    tr = feats.transform(train).select("features", *ys).checkpoint().persist()
-    te = feats.transform(test).select(F.col(id_col).alias("id"), "features", labels_col).checkpoint()
+    cols = [F.col(id_col).alias("id"), *[F.element_at(labels_col, j + 1).cast("double").alias(f"_y{j}") for j in range(len(vocab))]]
+    table = _featurised(data, text_col, split_col, splits[0], cols, num_features)
+    train, valid, test = (table.filter(F.col("split") == s) for s in splits)
+    train = train.persist()
 
     def fit(j: int):
         # a label with a single value in training gets zero weights and the constant intercept
         return LogisticRegression(featuresCol="features", labelCol=f"_y{j}", regParam=reg, maxIter=max_iter,
-                                  threshold=threshold, standardization=False, tol=tol).fit(tr)
+                                  standardization=False, tol=tol, rawPredictionCol=f"_raw{j}",
+                                  probabilityCol=f"_prob{j}", predictionCol=f"_pred{j}").fit(train)
 
     try:
         with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(vocab)))) as pool:
             models = list(pool.map(fit, range(len(vocab))))
     finally:
-        tr.unpersist()
-    out = None
-    for j, (lab, model) in enumerate(zip(vocab, models)):
-        pj = model.transform(te).select(
-            "id", F.lit(lab).alias("label"), F.element_at(labels_col, j + 1).cast("int").alias("y"),
-            (vector_to_array("probability")[1] >= threshold).cast("int").alias("p"))
-        out = pj if out is None else out.unionByName(pj)
-    return out
+        train.unpersist()
+
+    def scored(rows: DataFrame) -> DataFrame:
+        for m in models:
+            rows = m.transform(rows)
+        cells = [F.struct(F.lit(lab).alias("label"), F.col(f"_y{j}").cast("int").alias("y"),
+                          vector_to_array(f"_prob{j}")[1].alias("prob")) for j, lab in enumerate(vocab)]
+        return rows.select("id", F.explode(F.array(*cells)).alias("c")).select("id", "c.*")
+
+    checked = scored(valid).select(*[
+        (2 * F.sum(F.when(F.col("prob") >= t, F.col("y")).otherwise(0))
+         / F.greatest(F.lit(1), F.sum((F.col("prob") >= t).cast("int")) + F.sum("y"))).alias(f"f{i}")
+        for i, t in enumerate(thresholds)]).first()
+    best = max(thresholds, key=lambda t: (checked[f"f{list(thresholds).index(t)}"] or 0.0, t))
+    return scored(test).select("id", "label", "y", (F.col("prob") >= best).cast("int").alias("p"))
 
 
 # --------------------------------------------------------------------------
@@ -205,21 +211,32 @@ def best_run(metrics: DataFrame, run_col: str = "run", epoch_col: str = "epoch",
 # --------------------------------------------------------------------------
 
 
+def _with_group_row(df: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with its group's row of ``groups`` (arrays of a dimension's length), NULL being a group.
+
+    A row of ``groups`` is one for each group, so that side is small unless groups are as many as rows: AQE
+    broadcasts it after measuring it, and splits a hot group of ``df`` where it shuffles.
+    """
+    return null_safe_join(df, groups, by, "left")
+
+
 def standardize(df: DataFrame, by: str | Sequence[str] = "class", vec_col: str = "embedding",
                 id_col: str = "id") -> DataFrame:
     """M5: z-score per group and dimension (population stdev; a zero stdev counts as 1).
 
-    Output ``(id, pos, z)``.  Statistics are a (group, dimension) hash
-    aggregate; the small statistics table is joined back (AQE broadcasts it
-    after checking its runtime size).
+    Output ``(id, pos, z)``.  Statistics are a (group, dimension) hash aggregate with partial sums in each task,
+    gathered into one row per group that whole vectors are joined with.
     """
     by = [by] if isinstance(by, str) else list(by)
-    long = df.select(F.col(id_col).alias("id"), *by, F.posexplode(vec_col).alias("pos", "x"))
+    long = df.select(*by, F.posexplode(vec_col).alias("pos", "x"))
     long = long.withColumn("x", F.col("x").cast("double"))
-    stats = long.groupBy(*by, "pos").agg(F.avg("x").alias("_mu"), F.stddev_pop("x").alias("_sd"))
-    sd = F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(F.lit(1.0))
-    return long.join(stats, [*by, "pos"]).select(
-        "id", F.col("pos").cast("bigint").alias("pos"), F.round((F.col("x") - F.col("_mu")) / sd, ROUND).alias("z"))
+    stats = long.groupBy(*by, "pos").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))
+    sd = F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0))
+    # one entry for each dimension
+    groups = stats.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "mu", sd.alias("sd")))).alias("_st"))
+    rows = _with_group_row(df.select(F.col(id_col).alias("id"), *by, F.col(vec_col).alias("_v")), groups, by)
+    z = F.zip_with("_v", "_st", lambda x, st: F.round((x.cast("double") - st["mu"]) / st["sd"], ROUND))
+    return rows.select("id", F.posexplode(z).alias("pos", "z")).select("id", F.col("pos").cast("bigint").alias("pos"), "z")
 
 
 def _gram_partials(df: DataFrame, by: list[str], vec_col: str) -> DataFrame:
@@ -236,9 +253,9 @@ def _gram_partials(df: DataFrame, by: list[str], vec_col: str) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         acc: dict = {}
         for pdf in batches:
-            for key, part in pdf.groupby(by, sort=False):
+            for key, part in pdf.groupby(by, sort=False, dropna=False):
                 x = np.stack(part[vec_col].to_numpy()).astype(np.float64)
-                key = key if isinstance(key, tuple) else (key,)
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
                 n, s, g = acc.get(key, (0, 0.0, 0.0))
                 acc[key] = (n + len(x), s + x.sum(axis=0), g + x.T @ x)
         for key, (n, s, g) in acc.items():
@@ -289,11 +306,11 @@ def project_2d(df: DataFrame, by: str | Sequence[str] = "class", vec_col: str =
             comps.append(c.tolist())
         while len(comps) < 2:
             comps.append([0.0] * d)
-        return pd.DataFrame([[*[row[c] for c in by], mu.tolist(), comps[0], comps[1]]],
+        return pd.DataFrame([[*[None if pd.isna(row[c]) else row[c] for c in by], mu.tolist(), comps[0], comps[1]]],
                             columns=[*by, "mu", "pc1", "pc2"])
 
     comps = summed.groupBy(*by).applyInPandas(fit, comp_schema)  # d + d^2 rows per group
-    rows = df.select(F.col(id_col).alias("id"), *by, vec_col).join(comps, by)
+    rows = _with_group_row(df.select(F.col(id_col).alias("id"), *by, vec_col), comps, by)
 
     def dot(vec, mu, pc):
         centred = F.zip_with(vec, mu, lambda a, b: a.cast("double") - b)

@@ -8,13 +8,13 @@ over already-aggregated histograms.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.labels import split_labels
+from ..functions.labels import canonicalize_labels, split_labels, unknown_labels
 from ..functions.vocab import EMOTIONS, labels_for
 
 ROUND = 6
@@ -69,21 +69,40 @@ def label_counts(df: DataFrame, col: str = "technique", by=None) -> DataFrame:
 def compare_datasets(corpora, col: str = "technique") -> DataFrame:
     """Label counts of several labelled corpora stacked with a ``dataset`` column.
 
-    The corpora are unioned first (no shuffle) and counted in one aggregation.
+    ``corpora`` maps names to tables, or is one table that already has a ``dataset`` column (one scan).  Corpora
+    are unioned first (no shuffle) and counted in one aggregation.
     """
     from ..sources.readers import union_corpora
 
+    if isinstance(corpora, DataFrame):
+        return label_counts(corpora, col, by="dataset")
     return label_counts(union_corpora(corpora, cols=(col,)), col, by="dataset")
 
 
-def label_cooccurrence(df: DataFrame, col: str, measure: str) -> DataFrame:
+def unknown_label_counts(df: DataFrame, col: str, measure: str) -> DataFrame:
+    """Labels outside the vocabulary (in neither spelling) and how many rows have them: what A3 and A4 leave out."""
+    bad = F.array_distinct(unknown_labels(split_labels(col), measure))
+    return df.select(F.explode(bad).alias("label")).groupBy("label").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+def _known(col: str, measure: str, strict: bool) -> Column:
+    """A row's labels in gold spelling; others fail the job (``strict``) or are left out."""
+    labs = split_labels(col)
+    known = F.filter(canonicalize_labels(labs, "gold"), lambda x: F.array_contains(F.lit(labels_for(measure)), x))
+    if not strict:
+        return known
+    bad = unknown_labels(labs, measure)
+    return F.when(F.size(bad) > 0, F.raise_error(F.concat(F.lit("unknown label: "), F.array_join(bad, ",")))).otherwise(known)
+
+
+def label_cooccurrence(df: DataFrame, col: str, measure: str, strict: bool = False) -> DataFrame:
     """A3: symmetric label x label count of dialogues having both labels; zero diagonal; full grid.
 
-    Pairs are formed inside each row (no self-join); a label counts once per row.
-    A row emits at most L(L-1) pairs for its L distinct labels, and labels
-    come from the fixed vocabulary, so the expansion is bounded per row.
+    Pairs are formed inside each row (no self-join); a label counts once per row in either spelling.
+    Labels outside the vocabulary go before pairs are made (``strict``: they fail the job), so a row makes at most
+    L(L-1) pairs for a vocabulary of L; :func:`unknown_label_counts` reports them.
     """
-    labs = F.array_distinct(split_labels(col))
+    labs = F.array_distinct(_known(col, measure, strict))
     pairs = F.flatten(F.transform(labs, lambda a: F.transform(F.filter(labs, lambda b: b != a),
                                                                 lambda b: F.struct(a.alias("label_a"), b.alias("label_b")))))
     counts = (df.select(F.explode(pairs).alias("p")).select("p.*")
@@ -94,10 +113,15 @@ def label_cooccurrence(df: DataFrame, col: str, measure: str) -> DataFrame:
         "label_a", "label_b", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-def label_cross_cooccurrence(df: DataFrame, tech_col: str = "technique", vul_col: str = "vulnerability") -> DataFrame:
-    """A4: technique x vulnerability counts over rows where both lists are non-empty (repeats counted)."""
+def label_cross_cooccurrence(df: DataFrame, tech_col: str = "technique", vul_col: str = "vulnerability",
+                             strict: bool = False) -> DataFrame:
+    """A4: technique x vulnerability counts over rows where both lists are non-empty (repeats counted).
+
+    Labels outside the vocabularies are treated as in A3.
+    """
     both = df.filter((F.coalesce(F.col(tech_col), F.lit("")) != "") & (F.coalesce(F.col(vul_col), F.lit("")) != ""))
-    ex = both.select(F.explode(split_labels(tech_col)).alias("label_a"), split_labels(vul_col).alias("_v"))
+    ex = both.select(F.explode(_known(tech_col, "technique", strict)).alias("label_a"),
+                     _known(vul_col, "vulnerability", strict).alias("_v"))
     ex = ex.select("label_a", F.explode("_v").alias("label_b"))
     counts = ex.groupBy("label_a", "label_b").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     grid = _grid(df.sparkSession, "label_a", labels_for("technique"), "label_b", labels_for("vulnerability"))
@@ -109,9 +133,16 @@ def token_stats(df: DataFrame, by="dataset", text_col: str = "dialogue", tags="p
                 extra: bool = False) -> DataFrame:
     """A5: mean number of tokens per dialogue after removing speaker tags.
 
-    ``extra`` adds min, max and approximate quartiles (one pass, mergeable sketches).
+    ``tags`` is a tag style or list of tags for all corpora, or maps a corpus (value of ``by``) to its own; corpora
+    that the map lacks keep their text.  ``extra`` adds min, max and approximate quartiles (one pass, mergeable sketches).
     """
-    n = T.count_tokens(T.strip_speakers(text_col, tags) if tags else F.col(text_col))
+    if isinstance(tags, Mapping):
+        text = F.col(text_col)
+        for name, own in tags.items():
+            text = F.when(F.col(_by(by)[0]).eqNullSafe(F.lit(name)), T.strip_speakers(text_col, own)).otherwise(text)
+    else:
+        text = T.strip_speakers(text_col, tags) if tags else F.col(text_col)
+    n = T.count_tokens(text)
     aggs = [F.round(F.avg(n), ROUND).alias("mean")]
     if extra:
         aggs += [F.min(n).alias("min"), F.max(n).alias("max"),
@@ -119,13 +150,22 @@ def token_stats(df: DataFrame, by="dataset", text_col: str = "dialogue", tags="p
     return df.groupBy(*_by(by)).agg(*aggs)
 
 
-def turn_stats(df: DataFrame, by="dataset", text_col: str = "dialogue", constant: int | None = None) -> DataFrame:
-    """Mean and sample standard deviation of lines per dialogue (``constant``: fixed count, stdev 0)."""
-    if constant is not None:
-        return df.groupBy(*_by(by)).agg(F.lit(float(constant)).alias("mean"), F.lit(0.0).alias("stdev"))
+def turn_stats(df: DataFrame, by="dataset", text_col: str = "dialogue",
+               constant: int | Mapping[str, int] | None = None) -> DataFrame:
+    """Mean and sample standard deviation of lines per dialogue.
+
+    ``constant``: a fixed count with stdev 0 instead, for every corpus or (as a map) for some corpora (values of ``by``).
+    """
+    fixed = F.lit(None).cast("double")
+    if isinstance(constant, Mapping):
+        for name, k in constant.items():
+            fixed = F.when(F.col(_by(by)[0]).eqNullSafe(F.lit(name)), F.lit(float(k))).otherwise(fixed)
+    elif constant is not None:
+        fixed = F.lit(float(constant))
     n = T.count_lines(text_col)
-    return df.groupBy(*_by(by)).agg(F.round(F.avg(n), ROUND).alias("mean"),
-                                    F.round(F.stddev_samp(n), ROUND).alias("stdev"))
+    out = df.groupBy(*_by(by)).agg(F.round(F.avg(n), ROUND).alias("mean"), F.round(F.stddev_samp(n), ROUND).alias("stdev"))
+    return out.select(*_by(by), F.coalesce(fixed, "mean").alias("mean"),
+                      F.when(fixed.isNotNull(), F.lit(0.0)).otherwise(F.col("stdev")).alias("stdev"))
 
 
 def ccdf(df: DataFrame, value: str | Column, by="dataset", method: str = "window") -> DataFrame:
@@ -201,9 +241,10 @@ def split_label_share(df: DataFrame, tech_col: str = "technique", vul_col: str =
     both = df.filter((F.coalesce(F.col(tech_col), F.lit("")) != "") & (F.coalesce(F.col(vul_col), F.lit("")) != ""))
     ex = both.select(F.col(split_col).alias("split"),
                      F.explode(F.concat(split_labels(tech_col), split_labels(vul_col))).alias("label"))
-    counts = ex.groupBy("label", "split").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    train_labels = counts.filter(F.col("split") == splits[0]).select("label")
-    grid = train_labels.select("label", F.explode(F.array(*[F.lit(s) for s in splits])).alias("split"))
-    full = grid.join(counts, ["label", "split"], "left").select("label", "split", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("label"))
-    return full.withColumn("share", F.round(share, ROUND))
+    wide = ex.groupBy("label").agg(*[F.count_if(F.col("split") == s).cast("bigint").alias(f"_n{i}")
+                                     for i, s in enumerate(splits)])
+    total = sum(F.col(f"_n{i}") for i in range(len(splits)))
+    cells = F.explode(F.array(*[F.struct(F.lit(s).alias("split"), F.col(f"_n{i}").alias("n"))
+                                for i, s in enumerate(splits)]))
+    full = wide.filter("_n0 > 0").select("label", total.alias("_total"), cells.alias("c"))
+    return full.select("label", "c.split", "c.n", F.round(F.col("c.n") / F.col("_total"), ROUND).alias("share"))

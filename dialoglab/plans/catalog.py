@@ -121,9 +121,6 @@ def q_leaderboard(spark, sf):
 # ---------------------------------------------------------------------------
 
 
-LANGS = ["en", "fr", "de", "es"]
-
-
 @query("read_labelled_csv")
 def q_read_labelled_csv(spark, sf):
     gold = fx.fx_gold(spark, sf)
@@ -164,8 +161,13 @@ def q_read_text_column_csv(spark, sf):
 
 
 def corpora(spark, sf) -> DataFrame:
-    c = fx.fx_corpora(spark, sf)
-    return S.union_corpora({lang: c.filter(F.col("dataset") == lang) for lang in LANGS})
+    """Corpora of different kinds side by side: documents, and conversations put together from their turns."""
+    conv = fx.table(spark, sf, "conversations")
+    return S.union_corpora({
+        "documents": fx.fx_corpora(spark, sf),
+        "dialogues": fx.fx_dialogues(spark, sf),
+        "turns": S.assemble_dialogues(conv, "conv_id", "turn", "text").withColumn("id", F.col("id").cast("string")),
+    })
 
 
 @query("union_corpora")
@@ -338,7 +340,7 @@ def q_split_label_share(spark, sf):
 @query("compare_datasets")
 def q_compare_datasets(spark, sf):
     g = gold_with_lang(spark, sf)
-    return A.compare_datasets({lang: g.filter(F.col("dataset") == lang) for lang in LANGS}, "technique")
+    return A.compare_datasets(g, "technique")
 
 
 # ---------------------------------------------------------------------------
@@ -348,8 +350,7 @@ def q_compare_datasets(spark, sf):
 
 @query("unpivot_annotators")
 def q_unpivot_annotators(spark, sf):
-    return G.unpivot_annotators(fx.fx_annotations(spark, sf)).select(
-        "id", "annotator_no", "annotator", "manipulative", "technique", "confidence")
+    return G.unpivot_annotators(fx.fx_annotations(spark, sf))
 
 
 @query("gold_consensus")
@@ -401,15 +402,12 @@ def q_sample_per_group(spark, sf):
 def pick_examples(gold: DataFrame, label_col: str | None, k, measure_filter: str | None = None) -> DataFrame:
     """R6 on the train split of ``gold`` (seed 17 split, seed 0 examples), text included.
 
-    The split and the example ranking run on the keys only; the at most
-    ``sum(k)`` chosen ids are broadcast-joined to ``gold`` for their text, so
-    no dialogue text goes through a shuffle.
+    Cuts are found on the ids; rows are compared with them where they are, and only
+    the ``sum(k)`` chosen ones move, so no dialogue text goes through a shuffle.
     """
     rows = L.filter_measured(gold, measure_filter) if measure_filter else gold
-    keys = rows.select("id", *([label_col] if label_col else []))
-    train_keys = R.split_exact(keys, seed=17).filter(F.col("split") == "train")
-    picked = R.select_examples(train_keys, label_col, k, seed=0).select("id", "example_no")
-    return rows.join(F.broadcast(picked), "id")
+    train = R.split_exact(rows, seed=17, tie_cols=()).filter(F.col("split") == "train").drop("split")
+    return R.select_examples(train, label_col, k, seed=0, tie_cols=())
 
 
 def train_examples(spark, sf) -> DataFrame:
@@ -428,7 +426,8 @@ def q_select_examples(spark, sf):
 
 
 def test_rows(spark, sf) -> DataFrame:
-    return R.split_exact(fx.fx_gold(spark, sf), seed=17).filter(F.col("split") == "test")
+    # document ids are unique, so the cuts read nothing but ids
+    return R.split_exact(fx.fx_gold(spark, sf), seed=17, tie_cols=()).filter(F.col("split") == "test")
 
 
 @query("zeroshot_messages")
@@ -449,7 +448,7 @@ def q_zeroshot_messages_vulnerability(spark, sf):
 def fewshot_measure(spark, sf, measure: str) -> DataFrame:
     """B2 for a label measure: rows with labels, split, 3 train examples of any class."""
     gold = fx.fx_gold(spark, sf)
-    split = R.split_exact(L.filter_measured(gold, measure), seed=17)
+    split = R.split_exact(L.filter_measured(gold, measure), seed=17, tie_cols=())
     examples = pick_examples(gold, None, 3, measure_filter=measure)
     return B.fewshot_messages(split.filter(F.col("split") == "test"), examples, measure)
 
@@ -502,18 +501,18 @@ def q_batch_score(spark, sf):
 
 @query("train_binary")
 def q_train_binary(spark, sf):
-    g = R.split_exact(fx.fx_gold(spark, sf), seed=17).select(
+    g = R.split_exact(fx.fx_gold(spark, sf), seed=17, tie_cols=()).select(
         "id", F.col("dialogue").alias("text"), L.binarize_label("manipulative").alias("label"), "split")
-    return M.train_binary(g.filter("split = 'train'"), g.filter("split = 'valid'"), g.filter("split = 'test'"))
+    return M.train_binary(g)
 
 
 @query("train_multilabel")
 def q_train_multilabel(spark, sf):
     g = L.filter_measured(fx.fx_gold(spark, sf), "technique")
-    g = R.split_exact(g, seed=17).select(
+    g = R.split_exact(g, seed=17, tie_cols=()).select(
         "id", F.col("dialogue").alias("text"), L.multi_hot(L.split_labels("technique"), "technique").alias("labels"),
         "split")
-    return M.train_multilabel(g.filter("split = 'train'"), g.filter("split = 'test'"), "technique")
+    return M.train_multilabel(g, "technique")
 
 
 def fold_metrics(spark, sf) -> DataFrame:

@@ -93,7 +93,6 @@ ORACLE: dict[str, str] = {
 STRIP_RE = r"'^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$'"
 TOKEN_RE = r"'[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'"
 LINE_TAG_RE = r"'^((?:Person|Turn |utterance )\d+):\s?'"
-LANG_LIST = "('en', 'fr', 'de', 'es')"
 
 
 def _strip(x: str) -> str:
@@ -112,8 +111,9 @@ NO_PERSON = "replace(replace(dialogue, 'Person1: ', ''), 'Person2: ', '')"
 ANN_NAMES = ", ".join(f'"{n}"' for n, _ in ANNOTATION_COLS)
 
 _unpivot = " UNION ALL ".join(
-    f"SELECT id, {k} AS annotator_no, annotator_{k} AS annotator, CAST(manipulative_{k} AS INT) AS manipulative, "
-    f"technique_{k} AS technique, vulnerability_{k} AS vulnerability, CAST(confidence_{k} AS INT) AS confidence "
+    f"SELECT id, {k} AS annotator_no, annotator_{k} AS annotator, TRY_CAST(manipulative_{k} AS INT) AS manipulative, "
+    f"technique_{k} AS technique, victim_{k} AS victim, vulnerability_{k} AS vulnerability, marks_{k} AS marks, "
+    f"TRY_CAST(confidence_{k} AS INT) AS confidence "
     "FROM fx_annotations" for k in (1, 2, 3)
 )
 ORACLE_VIEWS["fx_long"] = _unpivot
@@ -152,8 +152,12 @@ ORACLE.update({
         + ", chr(10) ORDER BY turn) AS dialogue FROM conversations GROUP BY conv_id"
     ),
     "read_text_column_csv": with_views(f"SELECT {_strip('dialogue')} AS dialogue FROM fx_dialogues", "fx_dialogues"),
-    "union_corpora": with_views(f"SELECT dataset, id, dialogue FROM fx_corpora WHERE dataset IN {LANG_LIST}",
-                                "fx_corpora"),
+    "union_corpora": with_views(
+        "SELECT 'documents' AS dataset, id, dialogue FROM fx_corpora UNION ALL "
+        "SELECT 'dialogues', id, dialogue FROM fx_dialogues UNION ALL "
+        "SELECT 'turns', CAST(conv_id AS VARCHAR), string_agg('Turn ' || CAST(turn AS VARCHAR) || ': ' || "
+        + _strip("replace(text, '@USER', '')") + ", chr(10) ORDER BY turn) FROM conversations GROUP BY conv_id",
+        "fx_corpora", "fx_dialogues"),
     "write_results": with_views(
         f"SELECT dataset, round(avg({_tokens(NO_PERSON)}), 6) AS mean FROM fx_corpora GROUP BY dataset", "fx_corpora"),
     "normalize_speakers": with_views(
@@ -172,11 +176,12 @@ ORACLE.update({
     "count_tokens": with_views(f"SELECT id, CAST({_tokens(NO_PERSON)} AS BIGINT) AS n_tokens FROM fx_corpora",
                                "fx_corpora"),
     "truncate_tokens": with_views(
-        "SELECT id, array_to_string(list_slice(regexp_extract_all(dialogue, '\\S+'), 1, 500), ' ') AS text "
-        "FROM fx_corpora", "fx_corpora"),
+        "SELECT id, CASE WHEN len(w) <= 500 THEN dialogue ELSE array_to_string(list_slice(w, 1, 500), ' ') END AS text "
+        "FROM (SELECT id, dialogue, regexp_extract_all(dialogue, '\\S+') AS w FROM fx_corpora) t", "fx_corpora"),
     "truncate_tokens_last": with_views(
-        "SELECT id, array_to_string(list_slice(w, greatest(len(w) - 4096, 0) + 1, len(w)), ' ') AS text "
-        "FROM (SELECT id, regexp_extract_all(dialogue, '\\S+') AS w FROM fx_corpora) t", "fx_corpora"),
+        "SELECT id, CASE WHEN len(w) <= 4096 THEN dialogue ELSE "
+        "array_to_string(list_slice(w, len(w) - 4095, len(w)), ' ') END AS text "
+        "FROM (SELECT id, dialogue, regexp_extract_all(dialogue, '\\S+') AS w FROM fx_corpora) t", "fx_corpora"),
     "binarize_label": with_views(
         "SELECT id, CASE WHEN manipulative = '1' THEN 1 ELSE 0 END AS label FROM fx_gold", "fx_gold"),
     "resolve_label_column": with_views('SELECT "Dialogue" AS text, "Hate Speech" AS label FROM fx_aux', "fx_aux"),
@@ -221,18 +226,18 @@ ORACLE.update({
         f"CROSS JOIN {_values('label', VULNERABILITIES)} vb LEFT JOIN c ON c.a = va.label AND c.b = vb.label",
         "fx_gold"),
     "token_stats": with_views(
-        f"SELECT dataset, round(avg({_tokens(NO_PERSON)}), 6) AS mean FROM fx_corpora WHERE dataset IN {LANG_LIST} "
+        f"SELECT dataset, round(avg({_tokens(NO_PERSON)}), 6) AS mean FROM fx_corpora "
         "GROUP BY dataset", "fx_corpora"),
     "turn_stats": with_views(
         "SELECT dataset, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS stdev FROM (SELECT dataset, "
-        f"len(string_split(dialogue, chr(10))) AS n FROM fx_corpora WHERE dataset IN {LANG_LIST}) t GROUP BY dataset",
+        f"len(string_split(dialogue, chr(10))) AS n FROM fx_corpora) t GROUP BY dataset",
         "fx_corpora"),
     "ccdf": with_views(
         "SELECT dataset, value, count(*) AS n, round(1 - min(i) / max(tot), 6) AS p_first, "
         "round(1 - max(i) / max(tot), 6) AS p_last FROM (SELECT dataset, value, "
         "row_number() OVER (PARTITION BY dataset ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY dataset) AS tot "
         f"FROM (SELECT dataset, len(string_split(dialogue, chr(10))) AS value FROM fx_corpora "
-        f"WHERE dataset IN {LANG_LIST}) a) b GROUP BY dataset, value", "fx_corpora"),
+        ") a) b GROUP BY dataset, value", "fx_corpora"),
     "emotion_distribution": with_views(
         "WITH top AS (SELECT id, class, label AS emotion FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "
         "score DESC, j) AS rn FROM fx_emotion_scores) t WHERE rn = 1), c AS (SELECT emotion, class, count(*) AS n "
@@ -257,10 +262,10 @@ ORACLE.update({
     "compare_datasets": (
         "SELECT lang AS dataset, label, count(*) AS n FROM (SELECT lang, unnest(string_split(t, ',')) AS label FROM "
         f"(SELECT lang, {GOLD_TECH} AS t "
-        f"FROM documents WHERE lang IN {LANG_LIST}) a WHERE t <> '') b GROUP BY 1, 2"
+        "FROM documents) a WHERE t <> '') b GROUP BY 1, 2"
     ),
     "unpivot_annotators": with_views(
-        "SELECT id, annotator_no, annotator, manipulative, technique, confidence FROM fx_long",
+        "SELECT id, annotator_no, annotator, manipulative, technique, victim, vulnerability, marks, confidence FROM fx_long",
         "fx_annotations", "fx_long"),
     "gold_consensus": with_views(
         "SELECT id, CAST(min(manipulative) AS VARCHAR) AS manipulative FROM fx_long GROUP BY id "

@@ -1,17 +1,18 @@
-"""Exact global ranks and running sums without a single-partition window.
+"""Exact global ranks, cuts and running sums without a single-partition window.
 
 A global ``row_number()`` over the whole input forces every row through one
-task.  Instead the caller supplies a *bucket* expression that is monotone in
-the sort order (a hex prefix of an md5 key, a quantile bucket of a score).
-Then
-
-1. count rows per (group, bucket) - a hash aggregate with map-side partials;
-2. turn the counts into running offsets with a window over the *count table*
-   (at most groups x buckets rows, not the data);
-3. join the offsets back and number rows inside each bucket with a window
-   partitioned by (group, bucket), so the work is spread over all buckets.
-
-The result equals ``row_number() over (partition by group order by key)``.
+task.  Samples and splits only need to know whether a row lies before a given
+rank, so :func:`seeded_cuts` finds the *key at that rank* instead:
+
+1. count rows per (group, bucket) of a repeatable key - a hash aggregate with
+   map-side partials; the bucket is the key's first 4 hex digits (65,536);
+2. running totals over the count table name the bucket that holds each rank;
+3. only the keys of those buckets are ranked, which gives the boundary keys.
+
+The caller compares each row's key with the boundary: a map-side expression,
+so no row (and no text) moves.  :func:`exact_rank` numbers every row by the
+same two-level scheme where the rank itself is wanted.  NULL groups and NULL
+ids are values like any other.
 """
 
 from __future__ import annotations
@@ -32,6 +33,58 @@ def seeded_key(id_col: str | Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on equally named columns in which NULL matches NULL; ``right``'s copies are dropped."""
+    names = {c: f"_ns_{c}" for c in cols}
+    right = right.select(*[F.col(c).alias(names[c]) if c in names else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & left[c].eqNullSafe(right[names[c]])
+    return left.join(right, cond, how).drop(*names.values())
+
+
+def order_key(df: DataFrame, id_col: str, seed: int, tie_cols: Sequence[str] | None = None) -> Column:
+    """A string without NULLs that orders rows like ``md5('<seed>:<id>')``.
+
+    Rows without an id are keyed by a hash of the row; rows with the same id are
+    ordered by that hash.  It covers ``tie_cols`` (default: all columns); give
+    ``()`` for ids that are unique and never NULL, so that only the id is read.
+    Rows that are equal in all of these are interchangeable and stay together.
+    """
+    cols = [c for c in (df.columns if tie_cols is None else tie_cols)]
+    row = F.lpad(F.lower(F.hex(F.xxhash64(*[F.col(c) for c in cols]))), 16, "0") if cols else F.lit("")
+    own = F.coalesce(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), F.concat(F.lit(f"{seed}:null:"), row))
+    return F.concat(F.md5(own), row)
+
+
+def seeded_cuts(keyed: DataFrame, key_col: str, ranks: dict[str, Column], partition_cols: Sequence[str] = (),
+                hex_digits: int = DEFAULT_HEX_DIGITS) -> DataFrame:
+    """One row per group (one row without groups): for each name in ``ranks`` the key at that rank.
+
+    A rank is an expression over ``_n``, the number of rows of the group; ranks beyond it mean
+    the last row, ranks below 1 give ``''``, which no key is below.
+    """
+    parts = list(partition_cols)
+    b = keyed.select(*parts, F.col(key_col).alias("_k"), F.substring(F.col(key_col), 1, hex_digits).alias("_bkt"))
+    counts = b.groupBy(*parts, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
+    w = Window.partitionBy(*parts)
+    run = counts.select(*parts, "_bkt", "_bn", F.sum("_bn").over(w).alias("_n"),
+                        F.sum("_bn").over(w.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"))
+    cuts = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.least(r.cast("bigint"), F.col("_n")).alias("rank"))
+                               for k, r in ranks.items()]))
+    edge = run.select(*parts, "_bkt", "_bn", "_upto", cuts.alias("_c")).filter(
+        (F.col("_c.rank") > F.col("_upto") - F.col("_bn")) & (F.col("_c.rank") <= F.col("_upto")))
+    edge = edge.select(*parts, "_bkt", F.col("_c.name").alias("_name"),
+                       (F.col("_c.rank") - F.col("_upto") + F.col("_bn")).alias("_want"))
+    if not parts:
+        edge = F.broadcast(edge)  # one row for each rank asked for
+    inside = null_safe_join(b, edge, [*parts, "_bkt"])
+    nth = F.row_number().over(Window.partitionBy(*parts, "_name").orderBy("_k"))
+    at = inside.withColumn("_i", nth).filter(F.col("_i") == F.col("_want"))
+    return at.groupBy(*parts).agg(*[F.coalesce(F.max(F.when(F.col("_name") == k, F.col("_k"))), F.lit("")).alias(k)
+                                    for k in ranks])
+
+
 def exact_rank(
     df: DataFrame,
     order_cols: Sequence[Column | str],
@@ -59,7 +112,7 @@ def exact_rank(
     offsets = counts.select(*cols)
     if not parts and max_buckets is not None:
         offsets = F.broadcast(offsets)
-    joined = b.join(offsets, [*parts, "_bkt"])
+    joined = null_safe_join(b, offsets, [*parts, "_bkt"])
     inner = Window.partitionBy(*parts, "_bkt").orderBy(*order_cols)
     return joined.withColumn(rank_col, F.col("_off") + F.row_number().over(inner)).drop("_bkt", "_off")
 
@@ -77,8 +130,8 @@ def seeded_rank(
     total_col: str | None = "_group_n",
     hex_digits: int = DEFAULT_HEX_DIGITS,
 ) -> DataFrame:
-    """Rank rows by ``md5(seed:id)`` (tie by id) inside each group - the seeded shuffle."""
-    keyed = df.withColumn("_key", seeded_key(id_col, seed))
+    """Rank rows by ``md5(seed:id)`` (NULL ids and ties by a hash of the row) inside each group - the seeded shuffle."""
+    keyed = df.withColumn("_key", order_key(df, id_col, seed))
     out = exact_rank(
         keyed,
         [F.col("_key"), F.col(id_col)],
@@ -156,7 +209,7 @@ def running_sums(
     )
     if not parts:
         offsets = F.broadcast(offsets)  # <= n_buckets rows
-    joined = b.join(offsets, [*parts, "_bkt"])
+    joined = null_safe_join(b, offsets, [*parts, "_bkt"])
     inner = Window.partitionBy(*parts, "_bkt").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
     out = joined
     for c in sum_cols:

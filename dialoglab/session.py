@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,8 +33,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir); only when neither is set (local tests) a fresh temp
-    folder is created and registered.
+    checkpoint dir).  Only a local session (one machine, as in tests) without either
+    gets a fresh temp folder; on a cluster that would be a folder which
+    the executors do not share, so it is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -41,6 +43,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="dialoglab-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

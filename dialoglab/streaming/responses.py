@@ -5,19 +5,19 @@ external service may too).  The row-wise operators (P11) are stateless and
 work unchanged on a streaming DataFrame; the confusion counts (E2) are a
 streaming aggregation whose state is one row per (model, setting).  Gold
 labels are a static table joined to the stream (stream-static join).
-Every micro-batch rewrites the full, current confusion table (complete
-output mode through ``foreachBatch``); the checkpoint lives in the shared
-checkpoint folder, so a restarted query resumes where it stopped.
+Every micro-batch writes the full, current confusion table as a new version (complete
+output mode through ``foreachBatch``), so readers always find a finished one; the caller
+names the checkpoint folder, and a query restarted with it resumes where it stopped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.labels import parse_yes_no
 from ..operators.evaluation import confusion_binary
-from ..session import scratch_path
 
 RESPONSE_SCHEMA = "id string, model string, setting string, response string"
 
@@ -29,18 +29,24 @@ def confusion_stream(responses: DataFrame, gold: DataFrame, mode: str = "substri
 
 
 def start_confusion_stream(spark: SparkSession, source_dir: str, gold: DataFrame, target_dir: str,
-                           checkpoint: str | None = None, available_now: bool = True,
+                           checkpoint: str, available_now: bool = True,
                            max_files_per_trigger: int = 64) -> StreamingQuery:
-    """Watch ``source_dir`` for parquet answer files and keep ``target_dir`` up to date."""
+    """Watch ``source_dir`` for parquet answer files and keep ``target_dir`` up to date (see :func:`current_confusion`)."""
     stream = (spark.readStream.schema(RESPONSE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
     counts = confusion_stream(stream, gold)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(target_dir)
+        batch.write.mode("overwrite").parquet(f"{target_dir}/version={batch_id}")  # a retried batch writes its own again
 
     w = (counts.writeStream.outputMode("complete").foreachBatch(publish)
-         .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt")))
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
+
+
+def current_confusion(spark: SparkSession, target_dir: str) -> DataFrame:
+    """The newest finished version."""
+    all_ = spark.read.parquet(target_dir)
+    return all_.filter(F.col("version") == all_.select(F.max("version")).scalar()).drop("version")
