@@ -209,6 +209,12 @@ def pooled_auc(long: DataFrame, mode: str = "thresholded", y: str = "y", score:
     raise ValueError("mode must be thresholded or score")
 
 
+def leaderboard_multilabel(df: DataFrame, measure: str, by=("train_data", "model"), y: str = "y", p: str = "p") -> DataFrame:
+    """E8, label form: E5 for every combination with its ``measure``, ranked by macro-F1 (one row per combination)."""
+    m = multilabel_metrics(df, measure, y, p, by).withColumn("measure", F.lit(measure))
+    return m.withColumn("rank", F.rank().over(Window.orderBy(F.col("macro_f1").desc_nulls_last())).cast("bigint"))
+
+
 def leaderboard(df: DataFrame, by=("model", "setting"), y: str = "y", p: str = "p") -> DataFrame:
     """E3 for every combination, ranked by macro-F1 (the tiny result table is ranked)."""
     m = binary_metrics(df, by, y, p)

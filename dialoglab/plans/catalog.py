@@ -167,7 +167,7 @@ def corpora(spark, sf) -> DataFrame:
         "documents": fx.fx_corpora(spark, sf),
         "dialogues": fx.fx_dialogues(spark, sf),
         "turns": S.assemble_dialogues(conv, "conv_id", "turn", "text").withColumn("id", F.col("id").cast("string")),
-    })
+    }, qualify=True)
 
 
 @query("union_corpora")
@@ -579,3 +579,164 @@ def q_pooled_auc(spark, sf):
 @query("match_key_phrases")
 def q_match_key_phrases(spark, sf):
     return PH.match_key_phrases(fx.fx_corpora(spark, sf), fx.fx_phrases(spark))
+
+
+# ---------------------------------------------------------------------------
+# input that is not clean, and the other settings of operators
+# ---------------------------------------------------------------------------
+
+
+def fx_dirty(spark, sf) -> DataFrame:
+    """Gold lists in which some labels have their other spelling and some are in no vocabulary."""
+    docs = fx.table(spark, sf, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("id"), F.expr(fx.DIRTY_TECH).alias("technique"),
+                       F.expr(fx.GOLD_VUL).alias("vulnerability"))
+
+
+@query("label_cooccurrence_dirty")
+def q_label_cooccurrence_dirty(spark, sf):
+    return A.label_cooccurrence(fx_dirty(spark, sf), "technique", "technique")
+
+
+@query("label_cross_cooccurrence_dirty")
+def q_label_cross_cooccurrence_dirty(spark, sf):
+    return A.label_cross_cooccurrence(fx_dirty(spark, sf))
+
+
+@query("unknown_label_counts")
+def q_unknown_label_counts(spark, sf):
+    return A.unknown_label_counts(fx_dirty(spark, sf), "technique", "technique")
+
+
+@query("annotator_agreement_blank")
+def q_annotator_agreement_blank(spark, sf):
+    ann = fx.fx_annotations(spark, sf)
+    blank = {c: F.when(F.expr(cond), F.lit("")).otherwise(F.col(c)) for c, cond in fx.BLANK_CELLS.items()}
+    return G.annotator_agreement(ann.withColumns(blank))
+
+
+@query("unpivot_annotators_blank")
+def q_unpivot_annotators_blank(spark, sf):
+    ann = fx.fx_annotations(spark, sf)
+    blank = {c: F.when(F.expr(cond), F.lit("")).otherwise(F.col(c)) for c, cond in fx.BLANK_CELLS.items()}
+    return G.unpivot_annotators(ann.withColumns(blank)).select("id", "annotator_no", "manipulative", "confidence")
+
+
+@query("unanswered_no_gold")
+def q_unanswered_no_gold(spark, sf):
+    """One more model that answers nothing but unknown ids, and one without a name."""
+    test = gold_split(spark, sf).filter(F.col("split") == "test").select("id")
+    resp = fx.fx_responses(spark, sf).select("id", "model", "setting")
+    stray = resp.filter("setting = 'zeroshot'").select(F.concat(F.lit("x"), "id").alias("id"), F.lit("model_c").alias("model"), "setting")
+    unnamed = resp.filter("model = 'model_a'").withColumn("model", F.lit(None).cast("string"))
+    return J.unanswered(test, resp.unionByName(stray).unionByName(unnamed))
+
+
+@query("match_key_phrases_repeated")
+def q_match_key_phrases_repeated(spark, sf):
+    p = fx.fx_phrases(spark)
+    more = p.filter("phrase <> 'thou'").select(F.upper("phrase").alias("phrase"))
+    return PH.match_key_phrases(fx.fx_corpora(spark, sf), p.unionByName(p).unionByName(more))
+
+
+@query("split_threads")
+def q_split_threads(spark, sf):
+    """Threads without an id in the file, split: every record is in one of the parts."""
+    conv = fx.table(spark, sf, "conversations")
+    path = W.write_threads(conv, W.new_path(conv, "threads"), "conv_id", "turn", "text", with_id=False)
+    return R.split_exact(S.read_thread_jsonl(spark, path)).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sample_corpora")
+def q_sample_corpora(spark, sf):
+    """S3 + S5 + S4 side by side, at most 60 of each."""
+    conv, dia = fx.table(spark, sf, "conversations"), fx.fx_dialogues(spark, sf)
+    threads = S.read_thread_jsonl(spark, W.write_threads(conv, W.new_path(conv, "threads"), "conv_id", "turn", "text", False))
+    texts = S.read_text_column_csv(spark, W.write_csv(dia, W.new_path(dia, "textcol")), index=1, skip_header=True)
+    turns = S.assemble_dialogues(conv, "conv_id", "turn", "text")
+    both = S.union_corpora({"threads": threads, "texts": texts, "turns": turns}, qualify=True)
+    return R.sample_per_group(both, "dataset", n=60).groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"))
+
+
+@query("split_null_ids")
+def q_split_null_ids(spark, sf):
+    """Ids that are NULL or repeated, classes that are NULL: sizes still add up."""
+    docs = fx.table(spark, sf, "documents").select(
+        F.expr("CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(doc_id % 50 AS STRING) END").alias("id"), "doc_id",
+        F.expr("CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END").alias("class"))
+    parts = R.split_exact(docs).select(F.lit("split").alias("what"), F.col("split").alias("name"))
+    per = R.sample_per_group(docs, "class", n=20).select(F.lit("per class").alias("what"), F.col("class").alias("name"))
+    even = R.balance_classes(docs, "class").select(F.lit("balanced").alias("what"), F.col("class").alias("name"))
+    some = R.select_examples(docs, "class", 2).select(F.lit("examples").alias("what"), F.col("class").alias("name"))
+    return parts.unionByName(per).unionByName(even).unionByName(some).groupBy("what", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("token_stats_by_corpus")
+def q_token_stats_by_corpus(spark, sf):
+    return A.token_stats(corpora(spark, sf), tags={"dialogues": "person", "turns": "turn"})
+
+
+@query("turn_stats_by_corpus")
+def q_turn_stats_by_corpus(spark, sf):
+    return A.turn_stats(corpora(spark, sf), constant={"turns": 2})
+
+
+@query("ccdf_buckets")
+def q_ccdf_buckets(spark, sf):
+    return A.ccdf(fx.fx_corpora(spark, sf), T.count_lines("dialogue"), "dataset", method="buckets")
+
+
+@query("pooled_auc_by_class")
+def q_pooled_auc_by_class(spark, sf):
+    lg = fx.fx_logits(spark, sf).select(F.expr("CASE WHEN j % 3 = 0 THEN NULL ELSE CAST(j % 3 AS STRING) END").alias("part"),
+                                        "y", F.col("logit").alias("score"))
+    return E.pooled_auc(lg, "score", by="part").select("part", "auc")
+
+
+@query("label_variants")
+def q_label_variants(spark, sf):
+    """P6 and P10-P13 in their other forms."""
+    g = fx.fx_gold(spark, sf).select("id", "manipulative", "technique", "vulnerability")
+    r = fx.fx_responses(spark, sf).filter("model = 'model_a' AND setting = 'zeroshot'").select(F.col("id").alias("r_id"), "response")
+    j = g.join(r, F.col("id") == F.col("r_id"))
+    return j.select(
+        "id", L.binarize_label("manipulative", "not_zero").alias("not_zero"), L.binarize_label("manipulative", "cast").alias("as_int"),
+        L.bits_string(L.multi_hot(L.split_labels("technique"), "technique", "strict")).alias("strict_bits"),
+        L.bits_string(L.multi_hot(L.split_labels("vulnerability"), "vulnerability")).alias("vulnerability_bits"),
+        L.parse_yes_no("response", "prefix_first").alias("prefix_first"))
+
+
+@query("argmax_label")
+def q_argmax_label(spark, sf):
+    lg = fx.fx_logits(spark, sf).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("j", "logit"))).alias("s"))
+    return lg.select("id", L.argmax_label(F.transform("s", lambda x: x["logit"])).alias("label"))
+
+
+@query("label_counts_vulnerability")
+def q_label_counts_vulnerability(spark, sf):
+    return A.label_counts(fx.fx_gold(spark, sf), "vulnerability")
+
+
+@query("label_cooccurrence_vulnerability")
+def q_label_cooccurrence_vulnerability(spark, sf):
+    return A.label_cooccurrence(fx.fx_gold(spark, sf), "vulnerability", "vulnerability")
+
+
+@query("leaderboard_multilabel")
+def q_leaderboard_multilabel(spark, sf):
+    p = multilabel_predictions(spark, sf).withColumn("train_data", F.lit("own")).withColumn(
+        "model", F.when(F.pmod(F.col("id").cast("bigint"), F.lit(2)) == 0, "a").otherwise("b"))
+    return E.leaderboard_multilabel(p, "technique")
+
+
+@query("evaluate_prompts")
+def q_evaluate_prompts(spark, sf):
+    """The whole chain: dialogue cut to the model's length, messages, answers of the stub, parsed, joined, scored."""
+    test = test_rows(spark, sf)
+    cut = test.select("id", T.truncate_tokens("dialogue", 4096, "last").alias("dialogue"))
+    messages = B.zeroshot_messages(cut, "binary")
+    answers = M.batch_score(messages, M.keyword_stub(("que ", " und ")), "messages", "response")
+    p = answers.select("id", L.parse_yes_no("response").alias("p"), F.lit("stub").alias("model"), F.lit("zeroshot").alias("setting"))
+    gold = test.select("id", L.binarize_label("manipulative", "one").alias("y"))
+    return E.binary_metrics(J.join_predictions(gold, p))

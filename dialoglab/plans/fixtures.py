@@ -48,6 +48,19 @@ GOLD_VUL = (
 )
 
 
+# Some lists with a label's other spelling, some with a label that no vocabulary has.
+DIRTY_TECH = (
+    f"CASE WHEN doc_id % 3 = 0 THEN replace({GOLD_TECH}, 'Playing Victim Role', 'Playing the Victim Role') "
+    f"WHEN doc_id % 7 = 1 THEN concat_ws(',', NULLIF({GOLD_TECH}, ''), 'Gaslighting') "
+    f"WHEN doc_id % 7 = 2 THEN 'Gaslighting,Other' ELSE {GOLD_TECH} END"
+)
+# Annotation cells left blank.
+BLANK_CELLS = {
+    "manipulative_2": "CAST(id AS BIGINT) % 11 = 0", "confidence_1": "CAST(id AS BIGINT) % 6 = 0",
+    "confidence_2": "CAST(id AS BIGINT) % 6 < 2", "confidence_3": "CAST(id AS BIGINT) % 12 = 0",
+}
+
+
 def _ann_manip(k: int) -> str:
     # gold manipulative flipped when d % (k+4) = 0
     return (

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from ..functions.vocab import ALIASES, EMOTIONS, TECHNIQUES, VULNERABILITIES, the_form
 from ..operators.prompts import DEFAULT_TEMPLATES, system_prompt
-from .fixtures import ANNOTATION_COLS, GOLD_TECH, ORACLE_VIEWS, _q, with_views
+from .fixtures import ANNOTATION_COLS, BLANK_CELLS, DIRTY_TECH, GOLD_TECH, GOLD_VUL, ORACLE_VIEWS, _q, with_views
 
 # Extra oracle-only views.
 ORACLE_VIEWS["fx_split"] = (
@@ -151,11 +151,13 @@ ORACLE.update({
         + _strip("replace(text, '@USER', '')")
         + ", chr(10) ORDER BY turn) AS dialogue FROM conversations GROUP BY conv_id"
     ),
-    "read_text_column_csv": with_views(f"SELECT {_strip('dialogue')} AS dialogue FROM fx_dialogues", "fx_dialogues"),
+    "read_text_column_csv": with_views(
+        f"SELECT md5(dialogue) AS id, dialogue FROM (SELECT {_strip('dialogue')} AS dialogue FROM fx_dialogues) t",
+        "fx_dialogues"),
     "union_corpora": with_views(
-        "SELECT 'documents' AS dataset, id, dialogue FROM fx_corpora UNION ALL "
-        "SELECT 'dialogues', id, dialogue FROM fx_dialogues UNION ALL "
-        "SELECT 'turns', CAST(conv_id AS VARCHAR), string_agg('Turn ' || CAST(turn AS VARCHAR) || ': ' || "
+        "SELECT 'documents' AS dataset, 'documents/' || id AS id, dialogue FROM fx_corpora UNION ALL "
+        "SELECT 'dialogues', 'dialogues/' || id, dialogue FROM fx_dialogues UNION ALL "
+        "SELECT 'turns', 'turns/' || CAST(conv_id AS VARCHAR), string_agg('Turn ' || CAST(turn AS VARCHAR) || ': ' || "
         + _strip("replace(text, '@USER', '')") + ", chr(10) ORDER BY turn) FROM conversations GROUP BY conv_id",
         "fx_corpora", "fx_dialogues"),
     "write_results": with_views(
@@ -477,3 +479,137 @@ ORACLE.update({
     "fewshot_messages_technique": _fewshot_measure_sql("technique"),
     "fewshot_messages_vulnerability": _fewshot_measure_sql("vulnerability"),
 })
+
+
+# ---------------------------------------------------------------------------
+# input that is not clean, and the other settings of operators
+# ---------------------------------------------------------------------------
+
+
+ORACLE_VIEWS["fx_dirty"] = f"SELECT CAST(doc_id AS VARCHAR) AS id, {DIRTY_TECH} AS technique, {GOLD_VUL} AS vulnerability FROM documents"
+ORACLE_VIEWS["fx_dirty_tech"] = (
+    "SELECT id, CASE WHEN l = 'Playing the Victim Role' THEN 'Playing Victim Role' WHEN l = 'Playing the Servant Role' "
+    "THEN 'Playing Servant Role' ELSE l END AS label FROM (SELECT id, unnest(string_split(technique, ',')) AS l "
+    "FROM fx_dirty WHERE technique <> '') x"
+)
+ORACLE_VIEWS["fx_blank"] = "SELECT * REPLACE (" + ", ".join(
+    f"CASE WHEN {cond} THEN '' ELSE {c} END AS {c}" for c, cond in BLANK_CELLS.items()) + ") FROM fx_annotations"
+ORACLE_VIEWS["fx_blank_long"] = _unpivot.replace("fx_annotations", "fx_blank")
+ORACLE_VIEWS["fx_sides"] = (
+    "SELECT 'documents' AS dataset, dialogue FROM fx_corpora UNION ALL SELECT 'dialogues', dialogue FROM fx_dialogues "
+    "UNION ALL SELECT 'turns', string_agg('Turn ' || CAST(turn AS VARCHAR) || ': ' || "
+    + _strip("replace(text, '@USER', '')") + ", chr(10) ORDER BY turn) FROM conversations GROUP BY conv_id"
+)
+SIDES = ("fx_corpora", "fx_dialogues", "fx_sides")
+_NO_TAGS = ("CASE dataset WHEN 'dialogues' THEN replace(replace(dialogue, 'Person1: ', ''), 'Person2: ', '') "
+            "WHEN 'turns' THEN replace(replace(dialogue, 'Turn 0: ', ''), 'Turn 1: ', '') ELSE dialogue END")
+_GRID_TV = (f"{_values('label', TECHNIQUES)} va CROSS JOIN {_values('label', VULNERABILITIES)} vb")
+
+
+def _strict_bits(col: str, labels) -> str:
+    return "concat(" + ", ".join(
+        f"CASE WHEN list_contains(string_split(lower({col}), ','), {_q(lab.lower())}) THEN '1' ELSE '0' END" for lab in labels) + ")"
+
+
+ORACLE.update({
+    "label_cooccurrence_dirty": with_views(
+        "WITH l AS (SELECT DISTINCT id, label FROM fx_dirty_tech), c AS (SELECT a.label AS label_a, b.label AS label_b, "
+        "count(*) AS n FROM l a JOIN l b ON a.id = b.id AND a.label <> b.label GROUP BY 1, 2) "
+        f"SELECT va.label AS label_a, vb.label AS label_b, COALESCE(c.n, 0) AS n FROM {_values('label', TECHNIQUES)} va "
+        f"CROSS JOIN {_values('label', TECHNIQUES)} vb LEFT JOIN c ON c.label_a = va.label AND c.label_b = vb.label",
+        "fx_dirty", "fx_dirty_tech"),
+    "label_cross_cooccurrence_dirty": with_views(
+        "WITH v AS (SELECT id, unnest(string_split(vulnerability, ',')) AS b FROM fx_dirty WHERE vulnerability <> ''), "
+        "c AS (SELECT label AS a, b, count(*) AS n FROM fx_dirty_tech t JOIN v ON t.id = v.id GROUP BY 1, 2) "
+        f"SELECT va.label AS label_a, vb.label AS label_b, COALESCE(c.n, 0) AS n FROM {_GRID_TV} "
+        "LEFT JOIN c ON c.a = va.label AND c.b = vb.label", "fx_dirty", "fx_dirty_tech"),
+    "unknown_label_counts": with_views(
+        "SELECT label, count(DISTINCT id) AS n FROM fx_dirty_tech WHERE label IN ('Gaslighting', 'Other') GROUP BY label",
+        "fx_dirty", "fx_dirty_tech"),
+    "annotator_agreement_blank": with_views(
+        "SELECT id, round(greatest(coalesce(sum(manipulative), 0), 3 - coalesce(sum(manipulative), 0)) / 3, 6) AS agreement, "
+        "round(avg(confidence), 6) AS mean_confidence FROM fx_blank_long GROUP BY id", "fx_annotations", "fx_blank", "fx_blank_long"),
+    "unpivot_annotators_blank": with_views(
+        "SELECT id, annotator_no, manipulative, confidence FROM fx_blank_long", "fx_annotations", "fx_blank", "fx_blank_long"),
+    "unanswered_no_gold": with_views(
+        "WITH a AS (SELECT id, model, setting FROM fx_responses UNION ALL SELECT 'x' || id, 'model_c', setting FROM fx_responses "
+        "WHERE setting = 'zeroshot' UNION ALL SELECT id, NULL, setting FROM fx_responses WHERE model = 'model_a') "
+        "SELECT model, setting, (SELECT count(DISTINCT id) FROM fx_split WHERE split = 'test') - count(DISTINCT s.id) "
+        "AS n_unanswered FROM a LEFT JOIN (SELECT id FROM fx_split WHERE split = 'test') s ON a.id = s.id "
+        "GROUP BY model, setting", "fx_gold", "fx_split", "fx_responses"),
+    "match_key_phrases_repeated": with_views(
+        "WITH d AS (SELECT id, ' ' || trim(regexp_replace(lower(dialogue), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' "
+        "AS t FROM fx_corpora), p AS (SELECT phrase FROM fx_phrases UNION SELECT upper(phrase) FROM fx_phrases "
+        "WHERE phrase <> 'thou') SELECT p.phrase, count(d.id) AS n_dialogues FROM p LEFT JOIN d "
+        "ON strpos(d.t, ' ' || lower(p.phrase) || ' ') > 0 GROUP BY p.phrase", "fx_corpora", "fx_phrases"),
+    "split_threads": (
+        "WITH c AS (SELECT count(DISTINCT conv_id) AS n FROM conversations) "
+        "SELECT 'train' AS split, CAST(floor(n * CAST(0.6 AS DOUBLE)) AS BIGINT) AS n FROM c UNION ALL "
+        "SELECT 'valid', CAST(floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT) FROM c UNION ALL "
+        "SELECT 'test', CAST(n - floor(n * CAST(0.6 AS DOUBLE)) - floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT) FROM c"
+    ),
+    "sample_corpora": (
+        "SELECT d AS dataset, least(60, count(DISTINCT conv_id)) AS n, least(60, count(DISTINCT conv_id)) AS n_ids "
+        "FROM conversations, (VALUES ('threads'), ('texts'), ('turns')) t(d) GROUP BY d"
+    ),
+    "split_null_ids": (
+        "WITH d AS (SELECT CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS class FROM documents), "
+        "n AS (SELECT count(*) AS n FROM d), k AS (SELECT class, count(*) AS n FROM d GROUP BY class) "
+        "SELECT 'split' AS what, 'train' AS name, CAST(floor(n * CAST(0.6 AS DOUBLE)) AS BIGINT) AS n FROM n UNION ALL "
+        "SELECT 'split', 'valid', CAST(floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT) FROM n UNION ALL "
+        "SELECT 'split', 'test', CAST(n - floor(n * CAST(0.6 AS DOUBLE)) - floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT) FROM n "
+        "UNION ALL SELECT 'per class', class, least(n, 20) FROM k UNION ALL "
+        "SELECT 'balanced', class, (SELECT min(n) FROM k) FROM k UNION ALL SELECT 'examples', class, least(n, 2) FROM k"
+    ),
+    "token_stats_by_corpus": with_views(
+        f"SELECT dataset, round(avg({_tokens('t')}), 6) AS mean FROM (SELECT dataset, {_NO_TAGS} AS t FROM fx_sides) x GROUP BY dataset",
+        *SIDES),
+    "turn_stats_by_corpus": with_views(
+        "SELECT dataset, CASE WHEN dataset = 'turns' THEN 2.0::DOUBLE ELSE round(avg(n), 6) END AS mean, "
+        "CASE WHEN dataset = 'turns' THEN 0.0::DOUBLE ELSE round(stddev_samp(n), 6) END AS stdev FROM (SELECT dataset, "
+        "len(string_split(dialogue, chr(10))) AS n FROM fx_sides) t GROUP BY dataset", *SIDES),
+    "ccdf_buckets": ORACLE["ccdf"],
+    "pooled_auc_by_class": with_views(
+        "WITH l AS (SELECT CASE WHEN j % 3 = 0 THEN NULL ELSE CAST(j % 3 AS VARCHAR) END AS part, y, logit FROM fx_logits), "
+        "r AS (SELECT part, y, rank() OVER (PARTITION BY part ORDER BY logit) + (count(*) OVER (PARTITION BY part, logit) - 1) "
+        "/ 2.0 AS ar FROM l), u AS (SELECT part, sum(ar) FILTER (WHERE y = 1) AS rs, count(*) FILTER (WHERE y = 1) AS np, "
+        "count(*) FILTER (WHERE y <> 1) AS nn FROM r GROUP BY part) "
+        "SELECT part, round((rs - np * (np + 1) / 2.0) / (np * nn), 6) AS auc FROM u", "fx_logits"),
+    "label_variants": with_views(
+        "SELECT g.id, CASE WHEN manipulative = '0' THEN 0 ELSE 1 END AS not_zero, CAST(manipulative AS INT) AS as_int, "
+        f"{_strict_bits('technique', TECHNIQUES)} AS strict_bits, {_bits('vulnerability', VULNERABILITIES)} AS vulnerability_bits, "
+        "CASE WHEN lower(response) LIKE 'yes%' THEN 1 WHEN lower(response) LIKE 'no%' THEN 0 WHEN lower(response) LIKE '%yes%' "
+        "THEN 1 WHEN lower(response) LIKE '%no%' THEN 0 ELSE -1 END AS prefix_first FROM fx_gold g JOIN fx_responses r "
+        "ON g.id = r.id WHERE model = 'model_a' AND setting = 'zeroshot'", "fx_gold", "fx_responses"),
+    "argmax_label": with_views(
+        "SELECT id, CAST(j AS INT) AS label FROM (SELECT id, j, row_number() OVER (PARTITION BY id ORDER BY logit DESC, j) "
+        "AS k FROM fx_logits) t WHERE k = 1", "fx_logits"),
+    "label_counts_vulnerability": with_views(
+        "SELECT label, count(*) AS n FROM (SELECT unnest(string_split(vulnerability, ',')) AS label FROM fx_gold "
+        "WHERE vulnerability <> '') t GROUP BY label", "fx_gold"),
+    "label_cooccurrence_vulnerability": with_views(
+        "WITH l AS (SELECT DISTINCT id, label FROM (SELECT id, unnest(string_split(vulnerability, ',')) AS label "
+        "FROM fx_gold WHERE vulnerability <> '') x), c AS (SELECT a.label AS label_a, b.label AS label_b, count(*) AS n "
+        "FROM l a JOIN l b ON a.id = b.id AND a.label <> b.label GROUP BY 1, 2) "
+        f"SELECT va.label AS label_a, vb.label AS label_b, COALESCE(c.n, 0) AS n FROM {_values('label', VULNERABILITIES)} va "
+        f"CROSS JOIN {_values('label', VULNERABILITIES)} vb LEFT JOIN c ON c.label_a = va.label AND c.label_b = vb.label",
+        "fx_gold"),
+    "evaluate_prompts": with_views(
+        "WITH b AS (SELECT CASE WHEN manipulative = '1' THEN 1 ELSE 0 END AS y, CASE WHEN strpos(lower(d), 'que ') > 0 "
+        "OR strpos(lower(d), ' und ') > 0 THEN 1 ELSE 0 END AS p FROM (SELECT manipulative, CASE WHEN len(w) <= 4096 THEN "
+        "dialogue ELSE array_to_string(list_slice(w, len(w) - 4095, len(w)), ' ') END AS d FROM (SELECT *, "
+        "regexp_extract_all(dialogue, '\\S+') AS w FROM fx_split WHERE split = 'test') x) z), "
+        f"cm AS (SELECT 'stub' AS model, 'zeroshot' AS setting, {_CONF} FROM b) " + _metrics_sql("model, setting"), *SPLIT),
+    "leaderboard_multilabel": with_views(
+        "WITH k AS (SELECT *, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'a' ELSE 'b' END AS model FROM fx_mlong), "
+        f"c AS (SELECT model, label, {_MCONF} FROM k GROUP BY model, label), "
+        "a AS (SELECT model, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS acc FROM (SELECT model, id, bool_and(y = p) AS ok "
+        "FROM k GROUP BY model, id) x GROUP BY model), "
+        "s AS (SELECT model, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN "
+        "2 * tp / (2 * tp + fp + fn) ELSE 0 END) AS macro FROM c GROUP BY model), "
+        "m AS (SELECT 'own' AS train_data, s.model, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, "
+        "round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(a.acc, 6) AS accuracy, "
+        "round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS micro_f1, "
+        "round(macro, 6) AS macro_f1, 'technique' AS measure FROM s JOIN a ON s.model = a.model) "
+        "SELECT *, rank() OVER (ORDER BY macro_f1 DESC NULLS LAST) AS rank FROM m", *MLONG),
+})

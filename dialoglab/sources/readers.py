@@ -27,11 +27,13 @@ THREAD_FIELD = "reddit_thread"
 # Python's str.strip() whitespace, as a regex on both ends.
 _STRIP = r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$"
 
+# --- fixed values: columns of the annotation and final-label files ---
 ANNOTATION_COLUMNS = ["inner_id", "id", "dialogue", "original movie dialogue", "movie name", "agreement"] + [
     f"{f}_{k}" for k in (1, 2, 3)
     for f in ("annotator", "manipulative", "technique", "victim", "vulnerability", "marks", "confidence")
 ]
 LABELLED_COLUMNS = ["ID", "Dialogue", "Manipulative", "Technique", "Vulnerability"]
+# ---------------------------------------------------------------------
 
 
 def strip(col: str | Column) -> Column:
@@ -88,9 +90,14 @@ def thread_dialogue(thread: Column) -> Column:
 
 
 def read_thread_jsonl(spark: SparkSession, paths) -> DataFrame:
-    """S3: JSON lines with an array of posts (``THREAD_FIELD``) -> ``(id, dialogue)``."""
+    """S3: JSON lines with an array of posts (``THREAD_FIELD``) -> ``(id, dialogue)``.
+
+    Records that carry no id (the usual case) get one from their own text, so it is the same in
+    every run and partitioning; equal records get equal ids.
+    """
     df = spark.read.schema(THREAD_SCHEMA).json(paths)
-    return df.select("id", thread_dialogue(F.col(THREAD_FIELD)).alias("dialogue"))
+    out = df.select("id", thread_dialogue(F.col(THREAD_FIELD)).alias("dialogue"))
+    return out.select(F.coalesce("id", F.md5("dialogue")).alias("id"), "dialogue")
 
 
 def assemble_dialogues(df: DataFrame, id_col: str, turn_col: str, text_col: str,
@@ -120,15 +127,22 @@ def read_turn_table(spark: SparkSession, path, multi_line: bool = True) -> DataF
 
 def read_text_column_csv(spark: SparkSession, path, index: int, skip_header: bool,
                          multi_line: bool = True) -> DataFrame:
-    """One text column picked by position, stripped -> ``(dialogue)``."""
+    """One text column picked by position, stripped -> ``(id, dialogue)``; the id is the text's md5."""
     df = _csv(spark, path, header=skip_header, multi_line=multi_line)
-    return df.select(strip(F.coalesce(F.col(f"`{df.columns[index]}`"), F.lit(""))).alias("dialogue"))
+    out = df.select(strip(F.coalesce(F.col(f"`{df.columns[index]}`"), F.lit(""))).alias("dialogue"))
+    return out.select(F.md5("dialogue").alias("id"), "dialogue")
 
 
-def union_corpora(corpora: Mapping[str, DataFrame], cols: Sequence[str] = ("id", "dialogue")) -> DataFrame:
-    """Corpora side by side, tagged with their name in ``dataset``."""
+def union_corpora(corpora: Mapping[str, DataFrame], cols: Sequence[str] = ("id", "dialogue"),
+                  qualify: bool = False) -> DataFrame:
+    """Corpora side by side, tagged with their name in ``dataset``.
+
+    ``qualify`` puts the name before the id (``name/id``), so that ids of different corpora differ.
+    """
     out = None
     for name, df in corpora.items():
         part = df.select(F.lit(name).alias("dataset"), *cols)
+        if qualify:
+            part = part.withColumn("id", F.concat(F.lit(f"{name}/"), F.col("id").cast("string")))
         out = part if out is None else out.unionByName(part)
     return out

@@ -40,14 +40,14 @@ def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",") ->
     return path
 
 
-def write_threads(turns: DataFrame, path: str, id_col: str, turn_col: str, text_col: str) -> str:
-    """Group turns into ``{"id":..., <THREAD_FIELD>:[{"text":...}, ...]}`` JSON lines."""
+def write_threads(turns: DataFrame, path: str, id_col: str, turn_col: str, text_col: str, with_id: bool = True) -> str:
+    """Group turns into ``{"id":..., <THREAD_FIELD>:[{"text":...}, ...]}`` JSON lines (``with_id=False``: the posts alone)."""
     from .readers import THREAD_FIELD
 
     g = turns.groupBy(F.col(id_col).cast("string").alias("id")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(F.col(turn_col).alias("t"), F.col(text_col).alias("text")))),
                     lambda x: F.struct(x["text"].alias("text"))).alias(THREAD_FIELD))
-    g.write.mode("overwrite").json(path)
+    (g if with_id else g.drop("id")).write.mode("overwrite").json(path)
     return path
 
 

@@ -5,10 +5,9 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import SF_SMALL
+from dialoglab.plans.catalog import QUERIES
 
-QUERIES = entry.queries()
 SKIP = {"train_binary", "train_multilabel"}  # model fits run jobs while they are built
 
 
@@ -64,7 +63,23 @@ def test_scan_reads_only_needed_columns(spark):
 
 
 def test_checker_sees_single_partition_exchanges(spark):
-    # the exact rank has exactly one single-partition exchange: over the per-bucket counts
-    assert _single_partition_inputs(_plan(spark, "split_exact")) == ["HashAggregate"]
+    # the cuts need single-partition exchanges over per-bucket counts and aggregates alone
+    assert set(_single_partition_inputs(_plan(spark, "split_exact"))) <= {"HashAggregate", "SortAggregate"}
     ops = _single_partition_inputs(_plan(spark, "pooled_auc"))
     assert ops and set(ops) <= {"HashAggregate", "ObjectHashAggregate"}
+
+
+@pytest.mark.parametrize("name", ["zeroshot_messages", "zeroshot_messages_technique", "attach_examples", "batch_score",
+                                  "split_exact", "sample_cap", "holdout"])
+def test_no_text_is_shuffled_for_a_split(spark, name):
+    """No scan that reads the text lies below a shuffle."""
+    lines = _plan(spark, name).splitlines()
+    depth = lambda s: len(s) - len(s.lstrip(" :|+-"))
+    for i, line in enumerate(lines):
+        if "Scan parquet" in line and re.search(r"ReadSchema: struct<[^>]*\btext:", line):
+            level = depth(line)
+            for above in reversed(lines[:i]):
+                if depth(above) < level:
+                    level = depth(above)
+                    if "Exchange" in above and "examples" not in name:
+                        pytest.fail(f"{name}: text goes through {above.strip()[:80]}")

@@ -146,15 +146,70 @@ def test_project_2d_matches_numpy_per_group(spark):
             assert got[pid] == pytest.approx(tuple(proj[i]), abs=1e-6)
 
 
-def test_models_run_and_predict_binary(spark):
-    from dialoglab.plans.catalog import QUERIES
-
-    out = QUERIES["train_binary"](spark, SF_SMALL)
-    rows = out.collect()
-    assert rows and {r.p for r in rows} <= {0, 1}
-    ml = QUERIES["train_multilabel"](spark, SF_SMALL)
-    labels = {r.label for r in ml.select("label").distinct().collect()}
-    assert len(labels) == 11
+def test_models_learn_and_predict_held_out_rows(spark):
+    """Texts whose labels follow from their words: held-out scores far above chance, every test row once."""
+    from dialoglab.functions.vocab import labels_for
+    from dialoglab.operators import scoring as M
+
+    words = ["river", "stone", "cloud", "lamp", "tree", "wheel", "glass", "paper"]
+    ids = spark.range(600).select(F.col("id"), *[(F.pmod(F.xxhash64("id", F.lit(j)), F.lit(2)) == 0).cast("int").alias(f"b{j}")
+                                                 for j in range(8)])
+    text = F.concat_ws(" ", F.lit("the dialogue goes on"), *[F.when(F.col(f"b{j}") == 1, F.lit(w)) for j, w in enumerate(words)])
+    vocab = labels_for("vulnerability")
+    data = ids.select(F.col("id").cast("string").alias("id"), text.alias("text"), F.col("b0").alias("label"),
+                      F.array(*[F.col(f"b{j}") for j in range(len(vocab))]).alias("labels"))
+    data = R.split_exact(data, seed=3)
+    n_test = data.filter("split = 'test'").count()
+    out = M.train_binary(data, num_features=1 << 12).collect()
+    assert len({r.id for r in out}) == len(out) == n_test
+    assert sum(r.y == r.p for r in out) / len(out) > 0.95
+    ml = M.train_multilabel(data, "vulnerability", num_features=1 << 12).collect()
+    assert len(ml) == n_test * len(vocab) and {r.label for r in ml} == set(vocab)
+    assert sum(r.y == r.p for r in ml) / len(ml) > 0.95
+
+
+def test_cuts_with_null_and_repeated_ids(spark):
+    rows = [(None if i % 4 == 0 else str(i % 37), i, ["a", "b", None][i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, v long, g string").repartition(5)
+    sizes = {r.split: r["count"] for r in R.split_exact(df).groupBy("split").count().collect()}
+    assert sizes == {"train": 180, "valid": 60, "test": 60}
+    assert R.sample_cap(df, 70).count() == 70 and R.sample_cap(df, 9999).count() == 300
+    assert {r.split: r["count"] for r in R.holdout(df).groupBy("split").count().collect()} == {"test": 60, "train": 240}
+    assert [r["count"] for r in R.sample_per_group(df, "g", 7).groupBy("g").count().collect()] == [7, 7, 7]
+    few = df.filter("g IS NOT NULL OR v < 30")
+    assert [r["count"] for r in R.balance_classes(few, "g").groupBy("g").count().collect()] == [10, 10, 10]
+    picked = R.select_examples(df.fillna({"g": "x"}), "g", {"a": 2, "x": 1}).collect()
+    assert sorted((r.g, r.example_no) for r in picked) == [("a", 1), ("a", 2), ("x", 1)]
+    assert R.split_exact(df.limit(0)).count() == 0
+    # the same rows whatever the partitioning
+    one = {r.v for r in R.sample_cap(df.coalesce(1), 70).collect()}
+    assert one == {r.v for r in R.sample_cap(df.repartition(7), 70).collect()}
+
+
+def test_null_groups_in_group_statistics(spark):
+    from dialoglab.operators import scoring as M
+
+    df = spark.createDataFrame([(str(i), None if i % 2 else "1", [float(i), float(i * i % 7), 1.0]) for i in range(12)],
+                               "id string, class string, embedding array<double>")
+    assert M.standardize(df, "class").count() == 36
+    assert M.project_2d(df, "class").count() == 12
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error(monkeypatch):
+    from dialoglab import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())
 
 
 @pytest.mark.parametrize("n_buckets", [2, 5, 16, 1024])
