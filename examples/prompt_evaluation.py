@@ -24,8 +24,10 @@ def run(spark: SparkSession, src: str, out_dir: str, make_model=None):
     gold = dl.read_labelled_csv(spark, src)
     split = dl.split_exact(gold.select("id", "dialogue", "manipulative"), (0.6, 0.2, 0.2), seed=17)
     test = split.filter(F.col("split") == "test")
-    prompts = dl.zeroshot_messages(test, "binary").join(test.select("id", "dialogue"), "id")
-    answers = dl.batch_score(prompts, make_model or keyword_stub(), "dialogue", "response", keep=("id",))
+    # dialogues are cut to the model's input length, and the messages are what the model gets
+    cut = test.select("id", dl.truncate_tokens("dialogue", 4096, "last").alias("dialogue"))
+    prompts = dl.zeroshot_messages(cut, "binary")
+    answers = dl.batch_score(prompts, make_model or keyword_stub(), "messages", "response", keep=("id",))
     # model answers are expensive and not repeatable: write them once, evaluate the stored copy
     answers.withColumn("model", F.lit("stub")).withColumn("setting", F.lit("zeroshot")) \
         .write.mode("overwrite").parquet(f"{out_dir}/answers")
