@@ -18,6 +18,25 @@ from pyspark.sql import functions as F
 from ..functions.labels import canonicalize_labels, split_labels
 from ..functions.vocab import labels_for, the_form
 
+# --- fixed values: headings of the training text and of examples ---------------------
+SFT_INSTRUCTION = "### Instruction:\n"
+SFT_DIALOGUE = "### Dialogue:\n"
+SFT_ANSWER = "### Answer:\n"
+EXAMPLE_HEADING = "Example {i}:\n"
+# Label columns, what their rows are, and what the label says.
+LABEL_QUESTIONS = {
+    "Manipulative": ("dialogue", "mental manipulation"),
+    "Hate Speech": ("dialogue", "hate speech"),
+    "Condescension": ("dialogue", "condescension"),
+    "Malevolence": ("dialogue", "malevolence"),
+    "Offense": ("dialogue", "offense"),
+    "Stress": ("piece of text", "mental stress"),
+    "Suicide": ("piece of text", "suicidal ideation"),
+    "Delicacy": ("piece of text", "delicate toxicity"),
+    "ToxiGen": ("piece of text", "hate speech"),
+}
+# ------------------------------------------------------------------------------------
+
 DEFAULT_TEMPLATES = {
     "binary": (
         "You are a careful annotator. Read the dialogue and decide whether any speaker uses "
@@ -28,10 +47,8 @@ DEFAULT_TEMPLATES = {
     "vulnerability": "You are a careful annotator. Name every vulnerability of the targeted person that the "
                      "dialogue exploits, one per line, from this list:",
     "fewshot_intro": "Labelled examples follow ({k} in total); answer the last dialogue the same way.",
-    "example": "Example {i}:\n",
-    "sft_question_dialogue": "Does the following dialogue contain mental manipulation? Answer Yes or No.",
-    "sft_question_text": "Does the following piece of text contain the labelled kind of harmful content? "
-                         "Answer Yes or No.",
+    "example": EXAMPLE_HEADING,
+    "sft_question": "Does the following {unit} contain {content}? Answer Yes or No.",
     "sft_question_labels": "Which {measure} labels apply to the following dialogue? List one per line.",
 }
 
@@ -126,17 +143,23 @@ def attach_examples(df: DataFrame, examples: DataFrame, id_col: str = "id", **kw
     return df.select(F.col(id_col).alias("id"), F.size(ex).cast("bigint").alias("n_examples"))
 
 
-def sft_text(df: DataFrame, text_col: str = "dialogue", label_col: str = "manipulative", kind: str = "dialogue",
-             id_col: str = "id", templates: Mapping[str, str] | None = None) -> DataFrame:
-    """``### Instruction`` / ``### Dialogue`` / ``### Answer`` with ``Yes.`` or ``No.``.
+def _sft_frame(question: str, text_col: str, answer: Column) -> Column:
+    return F.concat(F.lit(f"{SFT_INSTRUCTION}{question}\n\n{SFT_DIALOGUE}"), F.col(text_col), F.lit(f"\n\n{SFT_ANSWER}"), answer)
 
-    ``kind='dialogue'`` for the manipulation label, ``'text'`` for an auxiliary label column.
-    """
+
+def sft_question(label_col: str, templates: Mapping[str, str] | None = None) -> str:
+    """The question that a label column answers (case of the name aside; other columns: the manipulation question)."""
     t = {**DEFAULT_TEMPLATES, **(templates or {})}
-    q = t["sft_question_dialogue"] if kind == "dialogue" else t["sft_question_text"]
+    known = {k.lower(): v for k, v in LABEL_QUESTIONS.items()}
+    unit, content = known.get(label_col.lower(), LABEL_QUESTIONS["Manipulative"])
+    return t["sft_question"].format(unit=unit, content=content)
+
+
+def sft_text(df: DataFrame, text_col: str = "dialogue", label_col: str = "manipulative",
+             id_col: str = "id", templates: Mapping[str, str] | None = None) -> DataFrame:
+    """Instruction, dialogue and answer (``Yes.`` or ``No.``) under headings; the label column names the question."""
     ans = F.when(F.col(label_col) == "1", F.lit("Yes.")).otherwise(F.lit("No."))
-    body = F.concat(F.lit(f"### Instruction:\n{q}\n\n### Dialogue:\n"), F.col(text_col),
-                    F.lit("\n\n### Answer:\n"), ans)
+    body = _sft_frame(sft_question(label_col, templates), text_col, ans)
     return df.select(F.col(id_col).alias("id"), body.alias("sft_text"))
 
 
@@ -146,8 +169,7 @@ def sft_text_multilabel(df: DataFrame, measure: str = "technique", text_col: str
     t = {**DEFAULT_TEMPLATES, **(templates or {})}
     q = t["sft_question_labels"].replace("{measure}", measure)
     labs = F.array_join(canonicalize_labels(split_labels(measure), "the"), "\n")
-    body = F.concat(F.lit(f"### Instruction:\n{q}\n\n### Dialogue:\n"), F.col(text_col),
-                    F.lit("\n\n### Answer:\n"), labs)
+    body = _sft_frame(q, text_col, labs)
     return df.select(F.col(id_col).alias("id"), body.alias("sft_text"))
 
 

@@ -475,7 +475,20 @@ def q_attach_examples(spark, sf):
 
 @query("sft_text_binary")
 def q_sft_text_binary(spark, sf):
-    return B.sft_text(fx.fx_gold(spark, sf), "dialogue", "manipulative", "dialogue")
+    return B.sft_text(fx.fx_gold(spark, sf), "dialogue", "manipulative")
+
+
+@query("sft_text_by_label_column")
+def q_sft_text_by_label_column(spark, sf):
+    """Corpora with other label columns: each names its own question."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", F.col("text").alias("dialogue"))
+    rows = docs.join(fx.table(spark, sf, "labels").select("doc_id", F.col("toxic").cast("string").alias("y")), "doc_id")
+    rows = rows.withColumn("id", F.col("doc_id").cast("string"))
+    out = None
+    for column in ("Hate Speech", "Stress", "Suicide"):
+        part = B.sft_text(rows.withColumnRenamed("y", column), "dialogue", column).withColumn("label_column", F.lit(column))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("sft_text_multilabel")

@@ -352,7 +352,7 @@ ORACLE.update({
     "attach_examples": with_views(
         "SELECT id, (SELECT count(*) FROM fx_examples) AS n_examples FROM fx_split WHERE split = 'test'", *EXAMPLES),
     "sft_text_binary": with_views(
-        f"SELECT id, {_q(_SFT_HEAD.format(q=DEFAULT_TEMPLATES['sft_question_dialogue']))} || dialogue || "
+        f"SELECT id, {_q(_SFT_HEAD.format(q='Does the following dialogue contain mental manipulation? Answer Yes or No.'))} || dialogue || "
         f"{_q(_SFT_TAIL)} || CASE WHEN manipulative = '1' THEN 'Yes.' ELSE 'No.' END AS sft_text FROM fx_gold",
         "fx_gold"),
     "sft_text_multilabel": with_views(
@@ -613,3 +613,10 @@ ORACLE.update({
         "round(macro, 6) AS macro_f1, 'technique' AS measure FROM s JOIN a ON s.model = a.model) "
         "SELECT *, rank() OVER (ORDER BY macro_f1 DESC NULLS LAST) AS rank FROM m", *MLONG),
 })
+
+_ASKED = {"Hate Speech": "Does the following dialogue contain hate speech?", "Stress": "Does the following piece of text contain mental stress?",
+          "Suicide": "Does the following piece of text contain suicidal ideation?"}
+ORACLE["sft_text_by_label_column"] = " UNION ALL ".join(
+    f"SELECT CAST(d.doc_id AS VARCHAR) AS id, {_q(_SFT_HEAD.format(q=q + ' Answer Yes or No.'))} || text || {_q(_SFT_TAIL)} || "
+    f"CASE WHEN toxic = 1 THEN 'Yes.' ELSE 'No.' END AS sft_text, {_q(c)} AS label_column "
+    "FROM documents d JOIN labels l ON d.doc_id = l.doc_id" for c, q in _ASKED.items())

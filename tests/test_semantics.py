@@ -334,8 +334,11 @@ def test_resolve_eval_fallback_and_sft_text_kind(spark):
     df = spark.createDataFrame([("d", "1")], "Dialogue string, Toxicity string")
     assert tuple(L.resolve_label_column(df, "eval").first()) == ("d", "1")
     t = B.sft_text(spark.createDataFrame([("1", "hello", "0")], "id string, text string, label string"),
-                   "text", "label", "text").first().sft_text
-    assert "piece of text" in t and t.endswith("### Answer:\nNo.") and "### Dialogue:\nhello" in t
+                   "text", "label").first().sft_text
+    assert "dialogue contain mental manipulation" in t
+    df = spark.createDataFrame([("1", "hello", "0")], "id string, text string, stress string")
+    t = B.sft_text(df, "text", "stress").first().sft_text
+    assert "piece of text contain mental stress" in t and t.endswith("### Answer:\nNo.") and "### Dialogue:\nhello" in t
 
 
 def test_binarize_cast(spark):
