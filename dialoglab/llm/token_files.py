@@ -1,20 +1,21 @@
 """Token ids in files of range-coded blocks (static rANS with shared frequency tables).
 
-Format, three Parquet tables in one folder, so that any store that Spark writes to will do:
+Format, two Parquet tables in one folder, so that any store that Spark writes to will do:
 
-* ``freq``: one row: frequencies of all ids, summing to 2^20 (each at least 1, so every id can be coded);
-* ``blocks``: (part, block, first, n_ids, lanes, states, words, crc32, doc_ids, lengths): a block holds the ids of whole
-  documents, about ``BLOCK_IDS`` of them.  Id k of a block is in lane k mod ``lanes``; the lanes share one stream of 32-bit words and
-  each has its 64-bit state in ``states``: the checkpoint from which the block is decoded without any other.
-  ``crc32`` is held against the decoded ids.  ``first`` is the place of the block's first id in its part;
-* ``parts``: (part, start, n_ids): the ids before each part.
+* ``sections``: (part, section, first, n_ids, freq, blocks, doc_ids, lengths).  A section holds the ids of whole documents, about
+  ``SECTION_IDS`` of them, in ascending doc_id order by (part, section, place).  ``freq`` is the frequency table that its
+  blocks share: the ids that occur, with frequencies that sum to 2^20.  ``blocks`` cut the section's ids every ``BLOCK_IDS``: id k of
+  a block is in lane k mod ``lanes``; the lanes share one stream of 32-bit words, and ``states`` holds each lane's 64-bit
+  state, the checkpoint from which the block is decoded without any other.  ``crc32`` is held against the
+  decoded ids.  ``first`` is the place of the section's first id in its part;
+* ``parts``: (part, start, n_ids): the ids before each part, one row for each task that wrote.
 
-Documents are in ascending doc_id order by (part, block, place).  Writing takes two passes over the texts: one counts
-ids (at most one row for each id and task is shuffled), one range-partitions by doc_id and encodes; only the tables of
-frequencies and of parts, bounded by the vocabulary and the number of tasks, pass through one task.
+The texts are range-partitioned by doc_id once and tokenized once: a task holds the ids of one section (4 bytes each),
+counts them, and encodes them with their own table.  Nothing but the table of parts passes through one task, and
+sections are decoded wherever Spark reads them.
 
 Defined cases: NULL text counts as empty and has the end id alone; NULL doc_id comes first; rows equal in doc_id
-are ordered by their text's hash; an empty table gives files without blocks; other columns are never read.
+are ordered by their text's hash; an empty table gives files without sections; other columns are never read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,31 +37,58 @@ from .pieces import PieceCache
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
+SECTION_IDS = 1 << 21
 BLOCK_IDS = 1 << 18
 LANES = 1024
 END_ID = 0
 
 _U = np.uint64
-_BLOCK = ("part int, block int, first bigint, n_ids bigint, lanes int, states binary, words binary, crc32 bigint, "
-          "doc_ids array<{id}>, lengths array<bigint>")
+_SECTION = ("part int, section int, first bigint, n_ids bigint, freq binary, blocks array<struct<lanes:int,n_ids:bigint,"
+            "states:binary,words:binary,crc32:bigint>>, doc_ids array<{id}>, lengths array<bigint>")
+#: Runs that go through the library in one string.
+JOINED = 2000
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file; pieces are looked up, new ones go through the library."""
+    """Ids of texts by a tokenizer file; runs are looked up, new ones go through the library.
+
+    A special token splits a text before anything else, so new runs are put into one string with it between them, which
+    saves the library's cost for each call; its id divides the result.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()
+                   if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)}
+        self.mark_id, self.mark = next(iter(sorted(special.items())), (None, None))
         self.cache = PieceCache(self._solve)
 
+    def _each(self, runs: list[str]) -> list[tuple[int, ...]]:
+        return [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)] if runs else []
+
     def _solve(self, runs: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.tokenizer.encode_batch(runs, add_special_tokens=False)] if runs else []
+        if self.mark is None:
+            return self._each(runs)
+        out: dict[int, tuple[int, ...]] = {}
+        alone = [k for k, r in enumerate(runs) if "<" in r]  # may have a part of the mark in it
+        out.update(zip(alone, self._each([runs[k] for k in alone]), strict=True))
+        rest = [k for k in range(len(runs)) if k not in out]
+        groups = [rest[i : i + JOINED] for i in range(0, len(rest), JOINED)]
+        joined = self._each([self.mark.join(runs[k] for k in g) for g in groups])
+        for g, ids in zip(groups, joined, strict=True):
+            at = 0
+            for k in g[:-1]:
+                end = ids.index(self.mark_id, at)
+                out[k] = ids[at:end]
+                at = end + 1
+            out[g[-1]] = ids[at:]
+        return [out[k] for k in range(len(runs))]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text and the end id."""
-        return [np.array([i for ids in parts for i in ids] + [END_ID], np.uint32) for parts in self.cache.look_up(texts)]
+        return [np.fromiter(chain(chain.from_iterable(parts), (END_ID,)), np.uint32) for parts in self.cache.look_up(texts)]
 
 
 @lru_cache(maxsize=2)
@@ -71,12 +100,30 @@ def _encoder(path: str) -> Encoder:
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
-    """Frequencies that sum to 2^SCALE, at least 1 each, in proportion to the counts."""
-    room = (1 << SCALE) - len(counts)
-    total = max(1, int(counts.sum()))
-    out = np.array([1 + int(c) * room // total for c in counts], np.int64)
-    out[int(counts.argmax())] += (1 << SCALE) - int(out.sum())
-    return out.astype(np.uint64)
+    """Frequencies that sum to 2^SCALE, in proportion to the counts; at least 1 for each id that occurs, else 0."""
+    some = np.flatnonzero(counts)
+    if len(some) > 1 << SCALE:
+        raise ValueError("more ids than slots")
+    room = (1 << SCALE) - len(some)
+    c = counts[some].astype(np.int64)
+    out = np.zeros(len(counts), np.int64)
+    out[some] = 1 + (c.astype(np.float64) * (room / c.sum())).astype(np.int64)
+    out[some[c.argmax()]] += (1 << SCALE) - out.sum()
+    return out
+
+
+def pack_table(freq: np.ndarray) -> bytes:
+    """The ids that occur (as steps) and their frequencies."""
+    some = np.flatnonzero(freq)
+    steps = np.diff(some, prepend=0).astype("<u4")
+    return zlib.compress(steps.tobytes() + freq[some].astype("<u4").tobytes(), 1)
+
+
+def unpack_table(raw: bytes) -> np.ndarray:
+    steps, freq = np.split(np.frombuffer(zlib.decompress(raw), "<u4").astype(np.int64), 2)
+    out = np.zeros(int(steps.sum()) + 1, np.int64)
+    out[np.cumsum(steps)] = freq
+    return out
 
 
 class Rans:
@@ -127,67 +174,51 @@ class Rans:
         return out
 
 
-def _counts(docs: DataFrame, path: str) -> DataFrame:
-    """(id, n) over all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(path)
-        total = np.zeros(enc.size, np.int64)
-        for b in batches:
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            for a, z in chunks(texts, 2 << 20):
-                total += np.bincount(np.concatenate(enc.encode(texts[a:z])), minlength=len(total))
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
-
-    return docs.select("text").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def write_ids(docs: DataFrame, path: str, folder: str, block_ids: int = BLOCK_IDS) -> None:
+def write_ids(docs: DataFrame, path: str, folder: str, section_ids: int = SECTION_IDS, block_ids: int = BLOCK_IDS) -> None:
     """Encode ``docs`` by the tokenizer file ``path`` into ``folder``."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    size = _encoder(path).size
-    counts = np.zeros(size, np.int64)
-    for r in _counts(rows, path).collect():  # at most one row for each id of the vocabulary
-        counts[r.id] = r.n
-    freq = scaled(counts)
-    spark.createDataFrame([(freq.astype("<u4").tobytes(),)], "freq binary").coalesce(1).write.parquet(f"{folder}/freq")
-    shared = spark.sparkContext.broadcast(freq)  # one number for each id of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, rans, part = _encoder(path), Rans(shared.value), TaskContext.get().partitionId()
+        enc, part = _encoder(path), TaskContext.get().partitionId()
         held: list[tuple[object, np.ndarray]] = []
-        block = first = size = 0
+        section = first = size = 0
+        schema = None
 
         def full() -> pa.RecordBatch:
             ids = np.concatenate([x for _, x in held])
-            lanes = max(1, min(LANES, len(ids) // 128))
-            states, words = rans.encode(ids, lanes)
-            row = {"part": part, "block": block, "first": first, "n_ids": len(ids), "lanes": lanes,
-                   "states": states.astype("<u8").tobytes(), "words": words.astype("<u4").tobytes(),
-                   "crc32": zlib.crc32(ids.astype("<u4").tobytes()), "doc_ids": [d for d, _ in held], "lengths": [len(x) for _, x in held]}
+            freq = scaled(np.bincount(ids))
+            rans, blocks = Rans(freq), []
+            for a in range(0, len(ids), block_ids):
+                own = ids[a : a + block_ids]
+                states, words = rans.encode(own, max(1, min(LANES, len(own) // 128)))
+                blocks.append({"lanes": len(states), "n_ids": len(own), "states": states.astype("<u8").tobytes(),
+                               "words": words.astype("<u4").tobytes(), "crc32": zlib.crc32(own.astype("<u4").tobytes())})
+            row = {"part": part, "section": section, "first": first, "n_ids": len(ids), "freq": pack_table(freq), "blocks": blocks,
+                   "doc_ids": [d for d, _ in held], "lengths": [len(x) for _, x in held]}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for b in batches:
-            schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()),
-                                ("lanes", pa.int32()), ("states", pa.binary()), ("words", pa.binary()), ("crc32", pa.int64()),
-                                ("doc_ids", pa.list_(b.column(0).type)), ("lengths", pa.list_(pa.int64()))])
+            block = pa.struct([("lanes", pa.int32()), ("n_ids", pa.int64()), ("states", pa.binary()), ("words", pa.binary()),
+                               ("crc32", pa.int64())])
+            schema = pa.schema([("part", pa.int32()), ("section", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()),
+                                ("freq", pa.binary()), ("blocks", pa.list_(block)), ("doc_ids", pa.list_(b.column(0).type)),
+                                ("lengths", pa.list_(pa.int64()))])
             names, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             for a, z in chunks(texts, 1 << 20):
                 for pair in zip(names[a:z], enc.encode(texts[a:z]), strict=True):
                     held.append(pair)
                     size += len(pair[1])
-                    if size >= block_ids:
+                    if size >= section_ids:
                         yield full()
-                        block, first, size, held = block + 1, first + size, 0, []
+                        section, first, size, held = section + 1, first + size, 0, []
         if held:
             yield full()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(run, _BLOCK.format(id=kind)).write.option("compression", "none").parquet(f"{folder}/blocks")
-    parts = spark.read.parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
+    ordered.mapInArrow(run, _SECTION.format(id=kind)).write.option("compression", "none").parquet(f"{folder}/sections")
+    parts = spark.read.parquet(f"{folder}/sections").groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     # one row for each task that wrote
     parts.select("part", F.coalesce(before, F.lit(0)).cast("long").alias("start"), "n_ids").coalesce(1).write.parquet(f"{folder}/parts")
@@ -195,25 +226,26 @@ def write_ids(docs: DataFrame, path: str, folder: str, block_ids: int = BLOCK_ID
 
 def read_ids(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids, from the files alone; a wrong checksum fails the read."""
-    freq = spark.read.parquet(f"{folder}/freq").first().freq  # one number for each id of the vocabulary
-    shared = spark.sparkContext.broadcast(freq)
-    blocks = spark.read.parquet(f"{folder}/blocks")
-    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    sections = spark.read.parquet(f"{folder}/sections")
+    kind = sections.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rans = Rans(np.frombuffer(shared.value, "<u4"))
         for b in batches:
             for i in range(b.num_rows):
-                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
-                ids = rans.decode(np.frombuffer(row["states"], "<u8"), np.frombuffer(row["words"], "<u4"), row["n_ids"])
-                raw = ids.astype("<u4").tobytes()
-                if zlib.crc32(raw) != row["crc32"]:
-                    raise ValueError(f"part {row['part']}, block {row['block']}: checksum differs")
+                row = {c: b.column(c)[i].as_py() for c in ("part", "section", "first", "freq", "blocks", "lengths")}
+                rans, found = Rans(unpack_table(row["freq"])), []
+                for k, x in enumerate(row["blocks"]):
+                    ids = rans.decode(np.frombuffer(x["states"], "<u8"), np.frombuffer(x["words"], "<u4"), x["n_ids"])
+                    if zlib.crc32(ids.astype("<u4").tobytes()) != x["crc32"]:
+                        raise ValueError(f"part {row['part']}, section {row['section']}, block {k}: checksum differs")
+                    found.append(ids)
+                ids = np.concatenate(found).astype("<u4")
+                raw = memoryview(ids).cast("B")
                 ends = np.cumsum(row["lengths"])
                 starts = ends - row["lengths"]
                 cols = [pa.array([row["part"]] * len(ends), pa.int32()), b.column("doc_ids")[i].values,
                         pa.array(starts + row["first"], pa.int64()), pa.array(row["lengths"], pa.int64()),
-                        pa.array([zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts, ends, strict=True)], pa.int64())]
+                        pa.array([zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], pa.int64())]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names)
@@ -221,7 +253,7 @@ def read_ids(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFra
     names = ["part", "doc_id", "place", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     schema = f"part int, doc_id {kind}, place bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
     parts = spark.read.parquet(f"{folder}/parts").select(F.col("part").alias("p"), "start")
-    docs = blocks.mapInArrow(run, schema)
+    docs = sections.mapInArrow(run, schema)
     return docs.join(parts, docs["part"] == parts["p"]).select(
         "doc_id", (F.col("start") + F.col("place")).alias("start"), *names[3:])
 

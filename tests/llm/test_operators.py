@@ -147,9 +147,11 @@ def test_license_model_on_unseen_variants():
     assert np.mean([f != license_scan.UNKNOWN for f, _ in model.predict([c.encode() for c in clean])]) < 0.02
 
 
-@pytest.mark.parametrize("min_docs,min_chars,shard_keys,salts", [(10, 1, 1 << 18, 4), (2, 3, 4, 2), (3, 0, 16, 1)])
-def test_line_dedup(docs, min_docs, min_chars, shard_keys, salts):
-    got = line_dedup.line_report(docs, min_docs=min_docs, min_chars=min_chars, shard_keys=shard_keys, salts=salts)
+@pytest.mark.parametrize("min_docs,min_chars,shard_keys,salts,most", [(10, 1, 1 << 18, 4, 1 << 22), (2, 3, 4, 2, 1 << 22),
+                                                                      (2, 3, 4, 2, 0), (3, 0, 16, 1, -1)])
+def test_line_dedup(docs, min_docs, min_chars, shard_keys, salts, most):
+    """Arrays that are broadcast, and (``most`` below what is found) hashes that are routed."""
+    got = line_dedup.line_report(docs, min_docs=min_docs, min_chars=min_chars, shard_keys=shard_keys, salts=salts, max_broadcast=most)
     assert rows_of(got, *got.columns) == sorted(brute.lines(pairs(docs), min_docs, min_chars), key=repr)
     kept = line_dedup.drop_common_lines(docs, min_docs=min_docs, min_chars=min_chars)
     assert kept.columns[: len(docs.columns)] == docs.columns
@@ -165,6 +167,8 @@ def test_perfect_hash_is_minimal_and_survives_bytes():
         assert (made.count(keys) == counts).all()
         strange = np.setdiff1d(rng.integers(0, 1 << 63, 3000, dtype=np.uint64), keys)
         assert (made.count(strange) > 0).mean() < 0.05  # 8-bit fingerprints
+        whole = line_dedup.PerfectHash.from_bytes(line_dedup.PerfectHash.build(keys, counts, whole=True).to_bytes())
+        assert (whole.count(keys) == counts).all() and not whole.count(strange).any()
 
 
 def test_bpe_round_trip(docs):
@@ -211,13 +215,13 @@ def test_quality_filter_keeps_rows_as_they_are(docs):
     assert sorted((r.doc_id for r in left.collect()), key=repr) == sorted((w[0] for w in want if w[-1]), key=repr)
 
 
-@pytest.mark.parametrize("block_ids", [1 << 18, 500])
-def test_token_files(docs, tmp_path, block_ids):
+@pytest.mark.parametrize("section_ids,block_ids", [(1 << 21, 1 << 18), (2000, 500)])
+def test_token_files(docs, tmp_path, section_ids, block_ids):
     from tokenizers import Tokenizer
 
     path = vocab.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    token_files.write_ids(docs, path, str(tmp_path / "ids"), block_ids)
+    token_files.write_ids(docs, path, str(tmp_path / "ids"), section_ids, block_ids)
     got = token_files.read_ids(docs.sparkSession, str(tmp_path / "ids")).orderBy("start").collect()
     rows = sorted(pairs(docs), key=lambda r: (r[0] is not None, r[0] or 0))
     assert [r.doc_id for r in got] == [d for d, _ in rows]
@@ -235,17 +239,19 @@ def test_rans_round_trip_and_damage(spark, tmp_path, small):
     rng = np.random.default_rng(6)
     counts = rng.integers(0, 1000, 5000) ** 2
     counts[:4000] = 0
-    coder = token_files.Rans(token_files.scaled(counts))
-    assert int(coder.freq.sum()) == 1 << token_files.SCALE and coder.freq.min() == 1
+    freq = token_files.scaled(counts)
+    assert int(freq.sum()) == 1 << token_files.SCALE and ((freq > 0) == (counts > 0)).all()
+    assert (token_files.unpack_table(token_files.pack_table(freq)) == freq).all()
+    coder = token_files.Rans(freq)
     for n, lanes in ((1, 1), (5, 3), (10_000, 64), (4097, 1024)):
-        ids = rng.integers(0, 5000, n).astype(np.uint32)
+        ids = rng.choice(np.flatnonzero(counts), n).astype(np.uint32)
         states, words = coder.encode(ids, lanes)
         assert (coder.decode(states, words, n) == ids).all()
     folder = str(tmp_path / "ids")
     token_files.write_ids(small, vocab.path("byte_bpe_50k.json"), folder)
-    spark.read.parquet(f"{folder}/blocks").withColumn("crc32", F.col("crc32") + 1).write.parquet(f"{folder}2/blocks")
-    for t in ("freq", "parts"):
-        spark.read.parquet(f"{folder}/{t}").write.parquet(f"{folder}2/{t}")
+    wrong = F.transform("blocks", lambda b: b.withField("crc32", b["crc32"] + 1))
+    spark.read.parquet(f"{folder}/sections").withColumn("blocks", wrong).write.parquet(f"{folder}2/sections")
+    spark.read.parquet(f"{folder}/parts").write.parquet(f"{folder}2/parts")
     with pytest.raises(Exception, match="checksum differs"):
         token_files.read_ids(spark, f"{folder}2").collect()
 
