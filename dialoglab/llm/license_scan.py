@@ -230,11 +230,18 @@ class Templates:
 
 
 def training_sample(docs: DataFrame) -> list[str]:
-    """Paragraphs of a bounded, fixed sample of documents (see above); the only rows that reach the driver."""
+    """Paragraphs of a bounded, fixed sample of documents (see above); the only texts that reach the driver.
+
+    Hashes alone are ranked (each task passes on at most SAMPLE_DOCS of them); then the texts up to the last one are read.
+    """
     text = F.col("text").cast("string")
-    rows = (docs.select("doc_id", text.alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
-            .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).collect())
-    return [p for r in rows for p in r.text.split("\n")]
+    rows = docs.select(F.xxhash64("doc_id").alias("h"), text.alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
+    first = rows.select("h").orderBy("h").limit(SAMPLE_DOCS).collect()
+    if not first:
+        return []
+    # rows that share a doc_id: one of them, the least text
+    chosen = rows.filter(F.col("h") <= first[-1].h).groupBy("h").agg(F.min("text").alias("text"))
+    return [p for r in chosen.orderBy("h").collect() for p in r.text.split("\n")]
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
