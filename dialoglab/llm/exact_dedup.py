@@ -8,7 +8,7 @@ row with the most code points, then the smallest doc_id, stays.
    against the full digests stored in the two buckets; a true hit merges into the stored entry, a false one is inserted.
    An index that holds ``max_live`` digests passes its oldest half on and *deletes* them from the filter, so memory is
    bounded.  Copies meet here first: a group with a third of all rows leaves a task as a few entries.
-3. The entries are dealt by digest; the same index merges them, one task per share of the digests.  A filter
+3. The entries are dealt by digest into shares of about ``MAX_LIVE`` at most; the same index merges each.  A filter
    that overflows is rebuilt at twice the size from the stored digests.
 4. Every row joins its digest's verdict (16-byte group, AQE splits a hot one; nothing is collected).
 
@@ -163,7 +163,9 @@ def verdicts(keyed: DataFrame, max_live: int = MAX_LIVE) -> DataFrame:
     rows = keyed.select("digest", "length", F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).cast("long").alias("best_id"),
                         F.lit(1).cast("long").alias("n"))
     local = rows.mapInArrow(lambda it: merge_entries(it, max_live), _ENTRY)
-    return local.repartition("digest").mapInArrow(lambda it: merge_entries(it, None), _ENTRY)
+    # so many shares that a task's index holds about MAX_LIVE digests at most, whatever the input
+    shares = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), keyed.count() // MAX_LIVE + 1)
+    return local.repartition(shares, "digest").mapInArrow(lambda it: merge_entries(it, None), _ENTRY)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
