@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,8 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             points.append((p, NO_PAIR if r is None else r << 32 | p))
         for at, value in points:
             at += size
+            if tree[at] == value:
+                continue
             tree[at] = value
             while at > 1:
                 a, b = tree[at], tree[at ^ 1]
@@ -119,7 +122,7 @@ class Encoder:
         return ids
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[i for ids in parts for i in ids] for parts in self.cache.look_up(texts)]
+        return [list(chain.from_iterable(parts)) for parts in self.cache.look_up(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -140,7 +143,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for a, z in chunks(texts, 2 << 20):
                 ids = enc.encode(texts[a:z])
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
                 decoded = [enc.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(a, z - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),

@@ -15,7 +15,7 @@ from collections.abc import Callable
 #: Unicode's White_Space, which ``\s`` means in the tokenizers' pattern.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _RUN = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-_EDGE = re.compile(f"^[{WHITE}]|[{WHITE}]$")
+_WHITE = frozenset(WHITE)
 #: Entries of each of the two generations of a worker's cache; longer keys are not kept.
 CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
 
@@ -45,7 +45,7 @@ def run_of(key: str) -> str:
 def check(key: str) -> None:
     """Raise ``Crossed`` unless the quick key is one whole run."""
     inner = key[2:] if key.startswith(" \n") else key[1:] if key[:1] == " " else key
-    if not inner or _EDGE.search(inner):
+    if not inner or inner[0] in _WHITE or inner[-1] in _WHITE:
         raise Crossed
 
 
@@ -66,28 +66,43 @@ class Recent:
         return value
 
 
+def _none_at(found: list) -> list[int]:
+    out, j = [], -1
+    try:
+        while True:
+            j = found.index(None, j + 1)
+            out.append(j)
+    except ValueError:
+        return out
+
+
 class PieceCache:
     """Results by piece for one worker; ``solve`` gets runs and returns their results."""
 
-    def __init__(self, solve: Callable[[list[str]], list]):
-        self.solve, self.recent = solve, Recent()
+    def __init__(self, solve: Callable[[list[str]], list], entries: int = CACHE_ENTRIES):
+        self.solve, self.recent = solve, Recent(entries)
 
     def look_up(self, texts: list[str]) -> list[list]:
         """For each text, the results of its pieces in order."""
         self.recent.turn()
         known, old = self.recent.new, self.recent.old
-        keys, fresh = [], set()
-        for t in texts:
+        out, again, fresh = [], [], set()
+        for at, t in enumerate(texts):
             mine = quick_pieces(t) if t else []
-            new = [k for k in mine if k not in known]
-            try:
-                for k in new:
-                    check(k)
-            except Crossed:
-                mine = slow_pieces(t)
-                new = [k for k in mine if k not in known]
-            fresh.update(new)
-            keys.append(mine)
+            found = list(map(known.get, mine))
+            if None in found:
+                places = _none_at(found)
+                try:
+                    for j in places:
+                        check(mine[j])
+                except Crossed:
+                    mine = slow_pieces(t)
+                    found = list(map(known.get, mine))
+                    places = _none_at(found)
+                new = [mine[j] for j in places]
+                fresh.update(new)
+                again.append((at, places, new))
+            out.append(found)
         todo = []
         for k in fresh:
             if k in old:
@@ -95,7 +110,10 @@ class PieceCache:
             else:
                 todo.append(k)
         known.update(zip(todo, self.solve([run_of(k) for k in todo]), strict=True))
-        out = [[known[k] for k in mine] for mine in keys]
+        for at, places, new in again:
+            found = out[at]
+            for j, k in zip(places, new, strict=True):
+                found[j] = known[k]
         for k in todo:
             if len(k) > CACHE_CHARS:
                 del known[k]
