@@ -5,18 +5,23 @@ which is the same as an overlap of at least T(|A|, |B|) = ceil(num * (|A| + |B|)
 copies are never compared.  The join is exact (up to 64-bit hashes of n-grams); nothing is sampled or capped.
 
 1. ``sets``: one row per document: size and a 128-bit name of its set.  The sets are not written.
-2. Blocks.  Linked sets differ in at most D = (den - num) * (|A| + |B|) / (num + den) elements.  Cut the hash space into D + 1
+2. Sets on their own.  Elements that no other set has count as differences with any partner, so a set with over D of
+   them links with nothing.  Where ranges (see 3) are short, that is below a similarity of about 0.88, the elements with an even
+   hash (a lower bound is enough) go to partitions that tell which occur in one set only, and such sets leave.
+   Without this, texts that share passages would make blocks of a large part of the corpus.
+3. Blocks.  Linked sets differ in at most D = (den - num) * (|A| + |B|) / (num + den) elements.  Cut the hash space into D + 1
    ranges and at least one range holds the same elements in both, so the signature of a range (range number and a hash of its
-   elements) is a key that linked sets share.  D is fixed for a band of sizes; a set signs for its own band and for the next,
+   elements) is a key that linked sets share.  There are some more ranges than that, so that a set nearly always uses more
+   than D of them and need not sign the empty ones (which many sets share); a set that doesn't signs them all.  D is fixed for a band of sizes; a set signs for its own band and for the next,
    where its larger partners are.  Signatures leave the tasks packed by partition, and each partition links the sets of
    equal signatures in a chain.  Connected components of these chains are the blocks: linked sets are always in one.
    Copies of the most frequent sets sign once (an exact rule on a bounded list), so hot copies make no hot signature.
-3. Search.  A large block is dealt into runs of about ``RUN_GRAMS`` elements and ``RUN_SETS`` sets of like size; each pair of runs
+4. Search.  A large block is dealt into runs of about ``RUN_GRAMS`` elements and ``RUN_SETS`` sets of like size; each pair of runs
    whose sizes can link is a piece of work of bounded memory, so a large block is spread over tasks.  One run becomes inverted lists (n-gram -> sets, ascending); each
    set of the other is a query with threshold T for its smallest possible partner: the longest lists are put aside, the
    short ones are merged with a heap that skips ahead where T can't be reached, and the surviving candidates are
    looked up in the long lists by binary search.  Those that reach their own T are links.
-4. A task passes on the links that join new sets (a forest) and the number of links of each set, not all pairs;
+5. A task passes on the links that join new sets (a forest) and the number of links of each set, not all pairs;
    components of the forests are the groups.
 
 Defined cases: NULL or empty text has an empty set, links with nothing and is its own group; fewer than n words make one n-gram of
@@ -42,6 +47,8 @@ RUN_GRAMS = 400_000
 RUN_SETS = 512
 #: Signatures (16 bytes each) of a partition, about.
 PART_SIGNATURES = 1 << 20
+#: Elements of a partition, about, where elements are compared; done where a range has fewer than SHORT_RANGE elements.
+PART_GRAMS, SHORT_RANGE = 1 << 20, 8
 #: The most frequent sets of which only one document signs, and the least number of their documents.
 HOT_SETS, HOT_COPIES = 10_000, 8
 
@@ -69,13 +76,20 @@ class Measure:
             self.first.append(self.first[-1] * self.den // self.num + 1)
         return bisect_left(self.first, size + 1) - 1
 
-    def ranges(self, band: int) -> int:
-        """Parts of the hash space for pairs whose larger set is in the band."""
-        self.band(self.first[-1])
+    def top(self, band: int) -> int:
+        """The largest size of a band."""
         while len(self.first) < band + 2:
             self.band(self.first[-1])
-        top = self.first[band + 1] - 1
-        return (self.den - self.num) * 2 * top // (self.num + self.den) + 1
+        return self.first[band + 1] - 1
+
+    def most_different(self, a: int, b: int) -> int:
+        """Elements in just one of two linked sets."""
+        return (self.den - self.num) * (a + b) // (self.num + self.den)
+
+    def ranges(self, band: int) -> int:
+        """Parts of the hash space for pairs whose larger set is in the band; spare ones make up for empty ranges."""
+        d = self.most_different(self.top(band), self.top(band))
+        return d + 3 + (d + 1) // 12 if d else 1
 
 
 def gram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -124,9 +138,12 @@ def signatures(s: np.ndarray, measure: Measure) -> np.ndarray:
             start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             content = np.add.reduceat(mix(s + np.uint64(b)), start)
             used = part[start]
-            keys = np.zeros(m, np.uint64)
-            keys[used.astype(np.int64)] = content
-            out.append(mix(keys + mix(np.arange(m, dtype=np.uint64) + np.uint64(b << 40))))
+            # partners differ in fewer ranges than are used here: one of these is alike, empty ones needn't be signed
+            if len(used) <= measure.most_different(len(s), min(measure.top(b), measure.most_size(len(s)))):
+                full = np.zeros(m, np.uint64)
+                full[used.astype(np.int64)] = content
+                used, content = np.arange(m, dtype=np.uint64), full
+            out.append(mix(content + mix(used + np.uint64(b << 40))))
     return np.concatenate(out)
 
 
@@ -149,39 +166,86 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, name binary, text_hash bigint")
 
 
-def _packed_signatures(docs: DataFrame, n: int, measure: Measure, parts: int, hot: dict[bytes, object]) -> DataFrame:
-    """(part, sigs, nodes): packed by partition, one row for each partition and chunk of texts."""
+def _packed(docs: DataFrame, n: int, parts: int, hot: dict[bytes, object], keys_of, words=None, bits: int = 0) -> DataFrame:
+    """(part, keys, owners, nodes): the keys that ``keys_of`` gives for each set, packed by partition.
+
+    One row for each partition and chunk of texts; ``owners`` are places in ``nodes``.  With a bitmap (``words``), only
+    documents whose doc_id may be in it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(hot)  # at most HOT_SETS entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = shared.value
         for b in batches:
+            if words is not None:
+                b = b.filter(pa.array(in_bitmap(words.value, b.column(2).to_numpy(), b.column(3).to_numpy())))
             ids, texts = b.column(0).to_pylist(), utf8(b.column(1))
-            for a, z in chunks(texts, 4 << 20):
-                keys, nodes = [], []
+            for a, z in chunks(texts, 2 << 20):
+                keys, own = [], []
                 for i, s in zip(ids[a:z], gram_sets(texts[a:z], n), strict=True):
                     if not len(s):
                         continue
                     name = set_name(s)
                     if name in signer and signer[name] != i:
                         continue
-                    k = signatures(s, measure)
-                    keys.append(k)
-                    nodes.append(np.full(len(k), node(name), np.int64))
+                    keys.append(keys_of(s))
+                    own.append(node(name))
                 if not keys:
                     continue
-                sig, own = np.concatenate(keys), np.concatenate(nodes)
-                part = (sig % np.uint64(parts)).astype(np.int64)
+                key = np.concatenate(keys)
+                owner = np.repeat(np.arange(len(own), dtype=np.uint32), [len(k) for k in keys])
+                part = (mix(key) % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                sig, own = sig[order], own[order]
-                some = np.flatnonzero(cuts[1:] > cuts[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int32()), pa.array([sig[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()),
-                     pa.array([own[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary())], ["part", "sigs", "nodes"])
+                key, owner, nodes = key[order], owner[order], np.array(own, np.int64)
+                rows = []
+                for p in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+                    here, at = np.unique(owner[cuts[p] : cuts[p + 1]], return_inverse=True)
+                    rows.append((p, key[cuts[p] : cuts[p + 1]].tobytes(), at.astype("<u4").tobytes(), nodes[here].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                    zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
+                    ["part", "keys", "owners", "nodes"])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), *(
+        [p.alias(f"p{i}") for i, p in enumerate(probe_columns(F.col("doc_id"), bits))] if words is not None else []))
+    return rows.mapInArrow(run, "part int, keys binary, owners binary, nodes binary")
+
+
+def _unpacked(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, nodes) of a packed row."""
+    key, owner, nodes = (np.frombuffer(b.column(k)[i].as_buffer(), t) for k, t in ((1, "<u8"), (2, "<u4"), (3, "<i8")))
+    return key.copy(), nodes[owner]
+
+
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n): how many of a set's keys in this partition no other set has."""
+    keys, nodes, many = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
+    wait: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "part int, sigs binary, nodes binary")
+    def fold() -> None:
+        nonlocal keys, nodes, many, wait, waiting
+        k = np.concatenate([keys, *(x for x, _ in wait)])
+        v = np.concatenate([nodes, *(x for _, x in wait)])
+        m = np.concatenate([many, np.zeros(len(k) - len(keys), bool)])
+        order = np.argsort(k, kind="stable")
+        k, v, m = k[order], v[order], m[order]
+        new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.empty(0, bool)
+        first = np.flatnonzero(new)
+        other = m | (v != v[new][np.cumsum(new) - 1])
+        keys, nodes = k[new], v[new]
+        many = np.logical_or.reduceat(other, first) if len(first) else m
+        wait, waiting = [], 0
+
+    for b in batches:
+        for i in range(b.num_rows):
+            wait.append(_unpacked(b, i))
+            waiting += len(wait[-1][0])
+            if waiting > max(1 << 19, len(keys) // 2):
+                fold()
+    fold()
+    node_, n = np.unique(nodes[~many], return_counts=True)
+    yield pa.RecordBatch.from_arrays([pa.array(node_), pa.array(n)], ["node", "n"])
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,9 +269,10 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for i in range(b.num_rows):
-            wait_s.append(np.frombuffer(b.column(1)[i].as_buffer(), np.uint64).copy())
-            wait_n.append(np.frombuffer(b.column(2)[i].as_buffer(), np.int64).copy())
-            waiting += len(wait_s[-1])
+            sig, own = _unpacked(b, i)
+            wait_s.append(sig)
+            wait_n.append(own)
+            waiting += len(sig)
             if waiting > max(1 << 19, len(sigs) // 2):
                 yield flush()
     if waiting:
@@ -417,16 +482,29 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits
            .orderBy(F.desc("copies"), "name").limit(HOT_SETS).collect()}
     hot = {bytes(k): v for k, v in hot.items()}
 
-    # blocks
+    as_long = F.expr("cast(conv(hex(substring(name, 1, 8)), 16, -10) AS bigint)")  # node()
     total = nodes.agg(F.sum("size")).first()[0] or 0
-    per_gram = 2.6 * 2 * (den - num) / (num + den)
+
+    # sets that have too many elements of their own link with nothing
+    words = None
+    if num + den < SHORT_RANGE * 2 * (den - num):
+        parts = max(8, int(total / 2 / PART_GRAMS) + 1)
+        halves = _packed(docs, n, parts, hot, lambda s: s[s & np.uint64(1) == 0])
+        own_n = halves.repartition(parts, "part").mapInArrow(_alone, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("own_n"))
+        most = F.floor((den - num) * (F.col("size") + F.floor(F.col("size") * den / num)) / (num + den))
+        left = nodes.withColumn("node", as_long).join(own_n, "node", "left").filter(F.coalesce("own_n", F.lit(0)) <= most)
+        left = stage_table(left.select("first_id", "size"), "left")
+        words = docs.sparkSession.sparkContext.broadcast(bitmap(left, F.col("first_id"), bits))
+        total = left.agg(F.sum("size")).first()[0] or 0
+
+    # blocks
+    per_gram = 2.8 * 2 * (den - num) / (num + den)
     parts = max(8, int(total * per_gram / PART_SIGNATURES) + 1)
-    packed = _packed_signatures(docs, n, measure, parts, hot)
+    packed = _packed(docs, n, parts, hot, lambda s: signatures(s, measure), words, bits)
     chained = packed.repartition(parts, "part").mapInArrow(_chains, "a bigint, b bigint")
     blocks = stage_table(components(chained, "a", "b"), "blocks")
 
     # the sets of blocks, again from the texts of one document each
-    as_long = F.expr("cast(conv(hex(substring(name, 1, 8)), 16, -10) AS bigint)")  # node()
     members = nodes.withColumn("node", as_long)
     members = stage_table(members.join(blocks, "node").select("name", "first_id", "copies", "size", F.col("root").alias("block")), "members")
     words = docs.sparkSession.sparkContext.broadcast(bitmap(members, F.col("first_id"), bits))
