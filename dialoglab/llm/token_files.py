@@ -23,7 +23,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import chunks
-from .pieces import PieceCache
+from .pieces import CACHE_ENTRIES, WHITE, PieceCache
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
@@ -43,6 +42,7 @@ LANES = 1024
 END_ID = 0
 
 _U = np.uint64
+_WHITE = frozenset(WHITE)
 _SECTION = ("part int, section int, first bigint, n_ids bigint, freq binary, blocks array<struct<lanes:int,n_ids:bigint,"
             "states:binary,words:binary,crc32:bigint>>, doc_ids array<{id}>, lengths array<bigint>")
 #: Runs that go through the library in one string.
@@ -50,45 +50,53 @@ JOINED = 2000
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file; runs are looked up, new ones go through the library.
+    """Ids of texts by a byte-level tokenizer file; runs are looked up, new ones go through the library.
 
-    A special token splits a text before anything else, so new runs are put into one string with it between them, which
-    saves the library's cost for each call; its id divides the result.
+    Tokens never cross from one run into the next, so new runs are put into one string, which saves the library's cost for
+    each call, and the bytes that the tokens stand for tell where a run's tokens end.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()
-                   if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)}
-        self.mark_id, self.mark = next(iter(sorted(special.items())), (None, None))
-        self.cache = PieceCache(self._solve)
-
-    def _each(self, runs: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)] if runs else []
-
-    def _solve(self, runs: list[str]) -> list[tuple[int, ...]]:
-        if self.mark is None:
-            return self._each(runs)
-        out: dict[int, tuple[int, ...]] = {}
-        alone = [k for k, r in enumerate(runs) if "<" in r]  # may have a part of the mark in it
-        out.update(zip(alone, self._each([runs[k] for k in alone]), strict=True))
-        rest = [k for k in range(len(runs)) if k not in out]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)  # a letter of such a token is a byte
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cache = PieceCache(self._solve, 4 * CACHE_ENTRIES)
+
+    def _each(self, runs: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)] if runs else []
+
+    def _may_join(self, run: str) -> bool:
+        """White space first, none last, and no beginning of an added token."""
+        return run[0] in _WHITE and run[-1] not in _WHITE and not any(t[0] in run for t in self.added)
+
+    def _solve(self, runs: list[str]) -> list[bytes]:
+        """Ids of each run, 4 bytes each."""
+        out: list[bytes] = [b""] * len(runs)
+        alone = [k for k, r in enumerate(runs) if not self._may_join(r)]
+        for k, ids in zip(alone, self._each([runs[k] for k in alone]), strict=True):
+            out[k] = np.array(ids, "<u4").tobytes()
+        single = set(alone)
+        rest = [k for k in range(len(runs)) if k not in single]
         groups = [rest[i : i + JOINED] for i in range(0, len(rest), JOINED)]
-        joined = self._each([self.mark.join(runs[k] for k in g) for g in groups])
-        for g, ids in zip(groups, joined, strict=True):
-            at = 0
-            for k in g[:-1]:
-                end = ids.index(self.mark_id, at)
-                out[k] = ids[at:end]
-                at = end + 1
-            out[g[-1]] = ids[at:]
-        return [out[k] for k in range(len(runs))]
+        for g, ids in zip(groups, self._each(["".join([runs[k] for k in g]) for g in groups]), strict=True):
+            ids = np.array(ids, "<u4")
+            ends = np.cumsum([len(runs[k].encode()) for k in g])
+            cut = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
+            raw, at = ids.tobytes(), 0
+            for k, end in zip(g, (4 * cut).tolist(), strict=True):
+                out[k] = raw[at:end]
+                at = end
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text and the end id."""
-        return [np.fromiter(chain(chain.from_iterable(parts), (END_ID,)), np.uint32) for parts in self.cache.look_up(texts)]
+        end = np.array([END_ID], "<u4").tobytes()
+        return [np.frombuffer(b"".join(parts) + end, "<u4") for parts in self.cache.look_up(texts)]
 
 
 @lru_cache(maxsize=2)
