@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -109,20 +108,24 @@ class Encoder:
             tokens[r] = token
         self.tokens = tokens
 
-    def _runs(self, runs: list[str]) -> list[tuple[int, ...]]:
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of each run, 4 bytes each: joined faster and held in less memory than numbers."""
         self.merged.turn()
-        return [tuple(i for w in self.words.findall(r) for i in self._word(w)) for r in runs]
+        return [b"".join([self._word(w) for w in self.words.findall(r)]) for r in runs]
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         ids = self.merged.get(word)
         if ids is None:
-            ids = tuple(merge_bytes(word.encode(), self.ranks))
+            ids = np.array(merge_bytes(word.encode(), self.ranks), "<i4").tobytes()
             if len(word) <= CACHE_CHARS:
                 self.merged.new[word] = ids
         return ids
 
+    def raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(parts), "<i4") for parts in self.cache.look_up(texts)]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [list(chain.from_iterable(parts)) for parts in self.cache.look_up(texts)]
+        return [x.tolist() for x in self.raw(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -141,10 +144,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             for a, z in chunks(texts, 2 << 20):
-                ids = enc.encode(texts[a:z])
+                ids = enc.raw(texts[a:z])
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-                decoded = [enc.decode(x) for x in ids]
+                flat = np.concatenate(ids)
+                decoded = [enc.decode(x.tolist()) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(a, z - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)),
                      pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])

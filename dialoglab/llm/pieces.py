@@ -17,7 +17,7 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _RUN = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _WHITE = frozenset(WHITE)
 #: Entries of each of the two generations of a worker's cache; longer keys are not kept.
-CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 120_000, 48
 
 
 class Crossed(Exception):
