@@ -217,8 +217,8 @@ def _unpacked(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
     return key.copy(), nodes[owner]
 
 
-def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, n): how many of a set's keys in this partition no other set has."""
+def _alone(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, nodes, counts): how many of a set's keys in this partition no other set has, packed by bucket of the set."""
     keys, nodes, many = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
     wait: list[tuple[np.ndarray, np.ndarray]] = []
     waiting = 0
@@ -245,7 +245,26 @@ def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fold()
     fold()
     node_, n = np.unique(nodes[~many], return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(node_), pa.array(n)], ["node", "n"])
+    bucket = (mix(node_.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    some = np.flatnonzero(cuts[1:] > cuts[:-1])
+    node_, n = node_[order], n[order].astype("<i8")
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(some, pa.int32()), pa.array([node_[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()),
+         pa.array([n[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary())], ["bucket", "nodes", "counts"])
+
+
+def _own_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, own_n): the sums of a task's buckets, one row for each set."""
+    nodes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    for b in batches:
+        x = [nodes, *(np.frombuffer(v.as_buffer(), "<i8") for v in b.column(1))]
+        y = [counts, *(np.frombuffer(v.as_buffer(), "<i8") for v in b.column(2))]
+        nodes, at = np.unique(np.concatenate(x), return_inverse=True)
+        counts = np.zeros(len(nodes), np.int64)
+        np.add.at(counts, at, np.concatenate(y))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(counts)], ["node", "own_n"])
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,7 +509,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits
     if num + den < SHORT_RANGE * 2 * (den - num):
         parts = max(8, int(total / 2 / PART_GRAMS) + 1)
         halves = _packed(docs, n, parts, hot, lambda s: s[s & np.uint64(1) == 0])
-        own_n = halves.repartition(parts, "part").mapInArrow(_alone, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("own_n"))
+        packed_n = halves.repartition(parts, "part").mapInArrow(lambda it: _alone(it, parts), "bucket int, nodes binary, counts binary")
+        own_n = packed_n.repartition(parts, "bucket").mapInArrow(_own_counts, "node bigint, own_n bigint")
         most = F.floor((den - num) * (F.col("size") + F.floor(F.col("size") * den / num)) / (num + den))
         left = nodes.withColumn("node", as_long).join(own_n, "node", "left").filter(F.coalesce("own_n", F.lit(0)) <= most)
         left = stage_table(left.select("first_id", "size"), "left")
