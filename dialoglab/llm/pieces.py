@@ -4,7 +4,11 @@ For byte-level BPE with ``public_tokenizers.PATTERN``, a run of white space and
 are split alike in every context.  ``pieces`` returns these runs of a text as cache keys:
 
 * a key that starts with a space is literal: the run is ``key[1:]``;
+* a key that starts with a newline is literal, too: white space that ends a text.  No quick key starts with a newline, so
+  such a run is never taken for the white space between two lines or words;
 * any other key stands for one space and the key (the common case, so no string is built for it).
+
+A known key that starts with a space thus ends in other characters, and a text whose quick keys are all known is cut right.
 """
 
 from __future__ import annotations
@@ -35,11 +39,14 @@ def quick_pieces(text: str) -> list[str]:
 
 
 def slow_pieces(text: str) -> list[str]:
-    return [" " + run for run in _RUN.findall(text)]
+    out = [" " + run for run in _RUN.findall(text)]
+    if out and out[-1][-1] in _WHITE:
+        out[-1] = "\n" + out[-1][1:]
+    return out
 
 
 def run_of(key: str) -> str:
-    return key[1:] if key[:1] == " " else " " + key
+    return key[1:] if key[:1] in (" ", "\n") else " " + key
 
 
 def check(key: str) -> None:

@@ -198,6 +198,36 @@ def test_bpe_on_random_and_long_texts():
     assert [enc.encode([t])[0] for t in texts[:500]] == [own.encode_ordinary(t) for t in texts[:500]]
 
 
+@pytest.mark.parametrize("first,later", [("foo\n", ["a\n\n", "a\n\n\nb"]), ("foo\t", ["\t bar", "\t\nbar"]), ("foo\n\t", ["a\n\t b", "\n\t\n"])])
+def test_white_space_at_an_end_is_not_taken_for_a_later_line(first, later):
+    """Two calls of one encoder: the run that ends the first text is known when the later texts are cut."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    path = vocab.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    enc = token_files.Encoder(path)
+    enc.encode([first])
+    assert [x.tolist() for x in enc.encode(later)] == [[*own.encode(t, add_special_tokens=False).ids, token_files.END_ID] for t in later]
+    path = vocab.path("byte_bpe_multi_50k.tiktoken")
+    enc = bpe.Encoder(path, vocab.PATTERN)
+    own = tiktoken.Encoding("own", pat_str=vocab.PATTERN, mergeable_ranks=enc.ranks, special_tokens={})
+    enc.encode([first])
+    assert enc.encode(later) == [own.encode_ordinary(t) for t in later]
+
+
+def test_pieces_of_random_white_space():
+    """Many small texts through one cache: the runs are those of a fresh cut."""
+    from dialoglab.llm import pieces
+
+    rng = np.random.default_rng(11)
+    texts = ["".join(rng.choice(list("ab  \n\n\t\r\u3000"), rng.integers(0, 7))) for _ in range(4000)]
+    cache = pieces.PieceCache(lambda runs: [tuple(pieces._RUN.findall(r)) for r in runs])
+    for t in texts:
+        (got,) = cache.look_up([t])
+        assert [r for x in got for r in x] == pieces._RUN.findall(t)
+
+
 @pytest.mark.parametrize("min_group", [50, 3])
 def test_quality(docs, min_group):
     measured = docs.select("doc_id", "lang", "source", quality.text_stats("text").alias("__q"))
