@@ -10,6 +10,11 @@
   ``FALSE_RATE`` of the held-out ``unknown`` rows are given a family.  Below the threshold a paragraph is ``unknown``.
 * Confirmation: a predicted family stands if at least ``COVERAGE`` of the word 2-grams of one of its templates are in
   the paragraph.
+* Wrapped notices: lines next to each other that aren't blank are joined, without what stands around their words (comment marks).
+  Where at least ``COVERAGE`` of a template's 2-grams lie in a stretch of at most ``STRETCH`` times its words that runs over a
+  line's end, and one of them is in no other family's templates (``released / under the`` alone names none), the stretch is
+  classified like a paragraph; it stands if it is given the template's family.  However many lines a notice is wrapped to, it is found.  Lines of a wrapped notice count as its parts: as paragraphs of their own they aren't
+  found if unconfirmed, and a line confirmed with less coverage as another family must be so by its other words.
 
 Every paragraph of every document is scored, a chunk of texts at a time; the model (4 MB) is broadcast.
 
@@ -36,12 +41,15 @@ SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
 VARIANTS = 60
 FALSE_RATE = 0.001
 COVERAGE = 0.6
+STRETCH = 2
 UNKNOWN = "unknown"
 
 # Notices by which licences are named or granted, by family.
 TEMPLATES = {
     "agpl": ["This work is licensed under the GNU Affero General Public License, version 3.",
-             "Licensed under the GNU AGPL v3."],
+             "Licensed under the GNU AGPL v3.",
+             "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+             "the Free Software Foundation."],
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.",
                    "Released under the Apache License 2.0.",
                    "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License."],
@@ -64,7 +72,9 @@ TEMPLATES = {
     "isc": ["Released under the ISC License.",
             "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
     "lgpl": ["This work is licensed under the GNU Lesser General Public License, version 3.",
-             "Licensed under the GNU LGPL v2.1."],
+             "Licensed under the GNU LGPL v2.1.",
+             "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+             "the Free Software Foundation."],
     "mit": ["Released under the MIT License.",
             "Licensed under the MIT License.",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -218,6 +228,16 @@ class Templates:
 
     def __init__(self):
         self.grams = {f: [self._two(t.encode()) for t in ts] for f, ts in TEMPLATES.items()}
+        self.all = [(f, t, len(_plain(x.encode()).split())) for f in self.grams for t, x in zip(self.grams[f], TEMPLATES[f], strict=True)]
+        self.own = {f: set().union(*ts).difference(*[t for g in self.grams if g != f for t in self.grams[g]]) for f, ts in self.grams.items()}
+        # hashes of all 2-grams, and which templates have them
+        texts = [_plain(x.encode()) for f in self.grams for x in TEMPLATES[f]]
+        w = Words(texts, lower=True)
+        two, at = w.grams(2)
+        self.hashes, col = np.unique(two, return_inverse=True)
+        self.has = np.zeros((len(self.hashes), len(texts)), np.int32)
+        self.has[col, w.doc[at]] = 1
+        self.need = np.ceil(COVERAGE * self.has.sum(axis=0) - 1e-9)
 
     @staticmethod
     def _two(text: bytes) -> set[tuple[bytes, ...]]:
@@ -228,6 +248,128 @@ class Templates:
         own = self._two(paragraph)
         return max(len(own & t) / len(t) for t in self.grams[family])
 
+    def candidates(self, blocks: list[bytes]) -> list[tuple[int, int]]:
+        """(block, template) where enough of the template's 2-grams are in the block."""
+        w = Words([_plain(b) for b in blocks], lower=True)
+        two, at = w.grams(2)
+        place = np.searchsorted(self.hashes, two)
+        place[place == len(self.hashes)] = 0
+        hit = np.flatnonzero(self.hashes[place] == two)
+        if not len(hit):
+            return []
+        key = np.unique(w.doc[at[hit]] * len(self.hashes) + place[hit])
+        block, gram = np.divmod(key, len(self.hashes))
+        first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        # a few blocks at a time: the table has a row for each hit
+        out = []
+        for i in range(0, len(first), 4096):
+            f = first[i : i + 4096]
+            end = first[i + 4096] if i + 4096 < len(first) else len(block)
+            n = np.add.reduceat(self.has[gram[f[0] : end]], f - f[0], axis=0)
+            out += [(int(block[f[r]]), int(t)) for r, t in zip(*np.nonzero(n >= self.need), strict=True)]
+        return out
+
+
+def stretches(words: list[bytes], grams: set[tuple[bytes, ...]], most: int) -> list[tuple[int, int]]:
+    """(from, to) of stretches of at most ``most`` words with at least ``COVERAGE`` of the 2-grams: those with most
+    of them first, then the shortest; none overlaps an earlier one."""
+    at = [i for i, g in enumerate(zip(words, words[1:])) if g in grams]
+    inside: dict[tuple[bytes, ...], int] = {}
+    found, a = [], 0
+    for i in at:
+        g = (words[i], words[i + 1])
+        inside[g] = inside.get(g, 0) + 1
+        while True:  # leave what is too far away, or comes again
+            h = (words[at[a]], words[at[a] + 1])
+            if i + 2 - at[a] <= most and inside[h] == 1:
+                break
+            inside[h] -= 1
+            if not inside[h]:
+                del inside[h]
+            a += 1
+        if len(inside) >= COVERAGE * len(grams):
+            found.append((-len(inside), i + 2 - at[a], at[a], i + 2))
+    taken, out = bytearray(len(words)), []
+    for _, n, start, end in sorted(found):
+        if not any(taken[start:end]):
+            taken[start:end] = b"\x01" * n
+            out.append((start, end))
+    return out
+
+
+#: What is left out around a line's words in joined lines.
+_AROUND = bytes(c for c in range(128) if not chr(c).isalnum())
+
+
+def _blocks(lines: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """(first line, lines) of two or more neighbouring lines with words."""
+    own, start = [], 0
+    for k, line in enumerate([*lines, b""]):
+        if line := line.strip(_AROUND):
+            if not own:
+                start = k
+            own.append(line)
+        else:
+            if len(own) > 1:
+                yield start, own
+            own = []
+
+
+def _wrapped(texts: list[list[bytes]], model: Model, templates: Templates) -> list[list[dict]]:
+    """For each text's lines, the wrapped notices, as in ``scan`` with ``words`` by line: their first word, and the one after the last."""
+    out: list[list[dict]] = [[] for _ in texts]
+    blocks = [(i, start, own) for i, lines in enumerate(texts) if len(lines) > 1 for start, own in _blocks(lines)]
+    if not blocks:
+        return out
+    maybe, spans = {}, []
+    for b, t in templates.candidates([b" ".join(own) for _, _, own in blocks]):
+        if b not in maybe:
+            maybe = {b: [(w, k) for k, line in enumerate(blocks[b][2]) for w in _plain(line.lower()).split()]}  # blocks come in order
+        words, line_of = [w for w, _ in maybe[b]], [k for _, k in maybe[b]]
+        family, grams, n = templates.all[t]
+        spans += [(b, family, words[a:z], line_of[a:z], line_of.index(line_of[a]), a)
+                  for a, z in stretches(words, grams, STRETCH * n) if line_of[a] != line_of[z - 1] and not templates.own[family].isdisjoint(zip(words[a:z], words[a + 1 : z]))]
+    if not spans:
+        return out
+    for (b, family, words, line_of, from_, a), (guess, prob) in zip(spans, model.predict([b" ".join(s[2]) for s in spans]), strict=True):
+        if guess != family:
+            continue
+        i, start, _ = blocks[b]
+        parts: dict[int, list[int]] = {}
+        for at, k in enumerate(line_of):
+            first = a - from_ if k == line_of[0] else 0
+            place = parts.setdefault(start + k, [first, first])
+            place[1] += 1
+        out[i].append({"paragraph": start + line_of[0], "family": family, "probability": prob,
+                       "coverage": templates.coverage(b" ".join(words), family), "confirmed": True, "words": parts})
+    return out
+
+
+def _together(lines: list[bytes], single: list[dict], wrapped: list[dict], templates: Templates) -> list[dict]:
+    """The notices of single lines and the wrapped ones, without what is part of another."""
+    out = {x["paragraph"]: x for x in single}
+    kept: list[dict] = []
+    for j in sorted(wrapped, key=lambda x: (-x["coverage"], x["paragraph"])):
+        mine = j["words"]
+        if any(k["family"] == j["family"] and k["words"].keys() & mine.keys() for k in kept):
+            continue  # another template of the family
+        if any(k in out and out[k]["confirmed"] and out[k]["family"] == j["family"] for k in mine):
+            continue  # one of the lines says so already
+        kept.append(j)
+        for k, (a, z) in mine.items():
+            x = out.get(k)
+            if x is None:
+                continue
+            if not x["confirmed"]:
+                del out[k]
+            elif x["coverage"] < j["coverage"]:
+                words = _plain(lines[k].strip(_AROUND).lower()).split()
+                rest = max(templates.coverage(b" ".join(w), x["family"]) for w in (words[:a], words[z:]))
+                if rest < COVERAGE:
+                    del out[k]
+    made = [*out.values(), *({n: v for n, v in j.items() if n != "words"} for j in kept)]
+    return sorted(made, key=lambda x: (x["paragraph"], x["family"]))
+
 
 def training_sample(docs: DataFrame) -> list[str]:
     """Paragraphs of a bounded, fixed sample of documents (see above); the only texts that reach the driver.
@@ -245,7 +387,8 @@ def training_sample(docs: DataFrame) -> list[str]:
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, n_paragraphs, found: array of (paragraph, family, probability, coverage, confirmed) of the paragraphs given a family."""
+    """doc_id, n_paragraphs, found: array of (paragraph, family, probability, coverage, confirmed) of the paragraphs given a family
+    and of the wrapped notices, by their first line."""
     shared = docs.sparkSession.sparkContext.broadcast(model or train(training_sample(docs)))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -268,6 +411,9 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
                             c = templates.coverage(p, family)
                             mine.append({"paragraph": k, "family": family, "probability": prob, "coverage": c, "confirmed": c >= COVERAGE})
                     found.append(mine)
+                for k, notices in enumerate(_wrapped(lines, own, templates)):
+                    if notices:
+                        found[k] = _together(lines[k], found[k], notices, templates)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(map(len, lines), pa.int64()),
                                                   pa.array(found, pa.list_(hit))], ["doc_id", "n_paragraphs", "found"])
 

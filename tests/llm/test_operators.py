@@ -147,6 +147,43 @@ def test_license_model_on_unseen_variants():
     assert np.mean([f != license_scan.UNKNOWN for f, _ in model.predict([c.encode() for c in clean])]) < 0.02
 
 
+WRAPPED = {
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+           "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\n"
+            "License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "agpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published\n"
+            "by the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\n"
+           "copyright notice and this permission notice appear in all copies.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+    "cc-by-nc": "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.",
+    "apache-2.0": "Licensed under the\nApache License, Version 2.0",
+}
+
+
+def test_wrapped_licenses(spark):
+    """As they stand in files, as comments, a word a line, on one line, among prose; parted by a blank line they are no notice."""
+    prose = "The quick brown fox jumps over the lazy dog\nwhile seven small birds sing of the terms of the sea"
+    rows, want = [], {}
+    for f, t in WRAPPED.items():
+        for shape in (t, "\n".join(f" * {x}" for x in t.split("\n")), "\r\n".join(f"// {x}" for x in t.split("\n")), t.replace(" ", "\n"),
+                      t.replace("\n", " "), f"{prose}\n{t}\n{prose}"):
+            want[len(rows)] = [f]
+            rows.append((len(rows), shape))
+    for t in (WRAPPED["apache-2.0"].replace("\n", "\n\n"), "Released under\nthe false name", prose, "He was licensed\nunder the old law"):
+        want[len(rows)] = []
+        rows.append((len(rows), t))
+    for t, fs in ((WRAPPED["isc"] + "\n" + WRAPPED["bsd"], ["bsd", "isc"]), ("Licensed under CC BY 4.0.\n" + WRAPPED["lgpl"], ["cc-by", "lgpl"]),
+                  ("Released under the MIT License.\nLicensed under the GNU GPL v2.", ["gpl", "mit"])):
+        want[len(rows)] = fs
+        rows.append((len(rows), t))
+    out = license_scan.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.families for r in out} == want
+    assert {r.doc_id: r.n_paragraphs for r in out} == {d: t.count("\n") + 1 for d, t in rows}
+
+
 @pytest.mark.parametrize("min_docs,min_chars,shard_keys,salts,most", [(10, 1, 1 << 18, 4, 1 << 22), (2, 3, 4, 2, 1 << 22),
                                                                       (2, 3, 4, 2, 0), (3, 0, 16, 1, -1)])
 def test_line_dedup(docs, min_docs, min_chars, shard_keys, salts, most):
