@@ -491,12 +491,17 @@ def _search(batches: Iterator[pa.RecordBatch], measure: Measure) -> Iterator[pa.
     yield result(*out)
 
 
-def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits: int = 1 << 23) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (documents linked directly, copies included), name, text_hash."""
+def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits: int = 1 << 23, first: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (documents linked directly, copies included), name, text_hash.
+
+    With ``first`` also the least (no_id, id, text) of the group: its smallest doc_id (NULL last), then its smallest text_hash.
+    """
     measure = Measure(num, den)
     own = stage_table(sets(docs.select("doc_id", "text"), n), "sets")
     nodes = stage_table(own.filter("name IS NOT NULL").groupBy("name").agg(
-        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size")), "nodes")
+        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"),
+        *[F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("text"))).alias("first")] * first),
+        "nodes")
     hot = {r.name: r.first_id for r in nodes.filter(F.col("copies") >= HOT_COPIES).filter("first_id IS NOT NULL")
            .orderBy(F.desc("copies"), "name").limit(HOT_SETS).collect()}
     hot = {bytes(k): v for k, v in hot.items()}
@@ -574,28 +579,37 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits
     groups = stage_table(components(done.filter("b IS NOT NULL"), "a", "b"), "groups")
     n_links = done.filter("b IS NULL").groupBy(F.col("a").alias("l_name")).agg(F.sum("n").alias("n_links"))
     named = nodes.join(groups, nodes["name"] == groups["node"], "left").select(
-        "name", "first_id", "copies", F.coalesce("root", "name").alias("root"))
-    ids = named.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id"))
+        "name", "first_id", "copies", F.coalesce("root", "name").alias("root"), *["first"] * first)
+    ids = named.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id"), *[F.min("first").alias("least")] * first)
     named = named.join(ids, named["root"] == ids["r"]).join(n_links, F.col("name") == F.col("l_name"), "left")
     named = named.select(F.col("name").alias("m_name"), F.col("component_id").alias("c"),
-                         (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+                         (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), *[F.col("least").alias("first")] * first)
     out = own.join(named, own["name"] == named["m_name"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("c")).alias("component_id"),
-                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "name", "text_hash")
+                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "name", "text_hash", *["first"] * first)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits: int = 1 << 23) -> DataFrame:
-    """``docs`` with one document for each group (the one with the smallest doc_id); documents with empty sets all stay.
+    """``docs`` with one document for each group; documents with empty sets all stay.
 
-    Rows go by doc_id and a hash of the text, so another text under the same doc_id isn't touched; a group
-    without any doc_id stays whole.  Only rows that a bitmap lets through are joined.
+    The one with the smallest doc_id (NULL last) stays, among equal ids the one with the smallest hash of the text, and of rows
+    equal in both any one.  Rows go by doc_id and that hash, so a text of another group under the same doc_id isn't touched.
+    Only rows that a bitmap lets through are joined.
     """
     text = F.xxhash64(F.col("text").cast("string"))
-    found = jaccard_groups(docs, n, num, den)
-    gone = stage_table(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_text")).distinct(), "gone")
+    found = jaccard_groups(docs, n, num, den, first=True).filter("n_links > 0")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text"))
+    linked = found.groupBy(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_text"), stays.alias("__stays")).agg(
+        F.count(F.lit(1)).alias("__n"))
+    gone = stage_table(linked.filter("NOT __stays OR __n > 1"), "gone")
+    repeated = gone.filter("__stays")
     words = docs.sparkSession.sparkContext.broadcast(bitmap(gone, F.xxhash64("__gone", "__gone_text"), bits))
     marked = docs.withColumn("__text", text)
     marked = marked.withColumn("__maybe", maybe_in(words, F.xxhash64("doc_id", "__text"), bits))
-    rest = null_safe(marked.filter("__maybe"), gone, [("doc_id", "__gone"), ("__text", "__gone_text")], "left_anti")
-    return marked.filter("NOT __maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
+    keys = [("doc_id", "__gone"), ("__text", "__gone_text")]
+    rest = null_safe(marked.filter("__maybe"), gone, keys, "left_anti")
+    out = marked.filter("NOT __maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
+    if not repeated.isEmpty():
+        once = null_safe(marked.filter("__maybe"), repeated, keys, "left_semi").dropDuplicates(["doc_id", "__text"])
+        out = out.unionByName(once.select(*docs.columns))
+    return out

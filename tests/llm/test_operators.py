@@ -96,6 +96,24 @@ def test_one_of_each_group(docs):
     assert sorted({r.doc_id for r in left.collect() if r.doc_id is not None}) == sorted(set(want))
 
 
+def test_one_of_each_group_without_ids_or_with_repeated_ones(spark, messy):
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    near = lambda w, k: " ".join([*w[:k], "other", *w[k + 1 :]])
+    rows = [(None, near(a, 0)), (None, near(a, 59)), (None, near(a, 0)), (None, " ".join(a)),  # a group without any id
+            (5, near(b, 0)), (5, near(b, 59)), (5, " ".join(b)), (9, " ".join(b)), (None, " ".join(b)),  # its smallest id three times
+            (7, " ".join(c)), (7, " ".join(c)), (7, "another text under the same id"), (None, ""), (None, None), (3, "")]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string").repartition(3), messy):
+        every = pairs(df)
+        groups = brute.jaccard([(i, t) for i, (_, t) in enumerate(every)], 5, 4, 5)
+        want = defaultdict(list)
+        for (d, _), g in zip(every, groups, strict=True):
+            want[g[2]].append((d is None, d or 0))
+        left = pairs(ngram_join.one_of_each(df))
+        assert sorted((d is None, d or 0) for d, _ in left) == sorted(min(x) for x in want.values())
+        where = {x: g[2] for x, g in zip(every, groups, strict=True) if g[1]}
+        assert len({where[x] for x in left if x in where}) == sum(x in where for x in left)
+
+
 def test_signatures_of_linked_sets_meet():
     rng = np.random.default_rng(3)
     for num, den in ((9, 10), (4, 5), (1, 2)):
