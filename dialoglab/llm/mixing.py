@@ -13,7 +13,8 @@
 5. Inside a shard, rows are ordered by a seeded hash.
 
 DataFrame functions only; seeds are fixed, so reruns agree.  There are at most ``MAX_BLOCKS`` blocks and one for each
-source, so the windows over blocks stay small at any input; a hot source is spread over its blocks.
+source; a hot source is spread over its blocks.  The table of sources and the root of the tree (about ``CAP`` draws for each
+block and source) are each ordered in one task, so the number of sources is assumed to be bounded, whatever the rows.
 
 Defined cases: NULL or empty text has size 0 and is never taken; NULL source is a source of its own, last in order;
 rows equal in doc_id and text are taken alike; an empty table gives an empty result; other columns are kept by
