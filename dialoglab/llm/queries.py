@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, line_dedup, mixing, ngram_join, quality, sharding, token_count, token_files
+from . import (bag_search, bpe, exact_dedup, hard_negatives, license_scan, line_dedup, mixing, ngram_join, pivot_search, quality, sharding,
+               token_count, token_files)
 from .common import documents
 
 
@@ -58,9 +59,24 @@ def op10_hypergeometric_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir)).drop("shards")
 
 
+def op11_coordinate_pruned_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", noisy))
+
+
+def op12_bag_dedup_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
+def op13_pivot_distance_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=10, every=100, scale=1024)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_kd_tree_sharding, op2_cuckoo_exact_dedup, op3_divide_skip_jaccard_join, op4_license_paragraph_classifier,
-    op5_perfect_hash_line_dedup, op6_segment_tree_bpe, op7_adaptive_quality_rules, op8_rans_token_files, op9_rank_synchronous_token_counts, op10_hypergeometric_mixing,
+    op5_perfect_hash_line_dedup, op6_segment_tree_bpe, op7_adaptive_quality_rules, op8_rans_token_files, op9_rank_synchronous_token_counts,
+    op10_hypergeometric_mixing, op11_coordinate_pruned_negatives, op12_bag_dedup_lexical_search, op13_pivot_distance_top_k,
 )}
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -91,4 +107,58 @@ ORACLE = {
         )
         SELECT doc_id, len(lines) AS n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM l JOIN z USING (r)
     """,
+    "op11_coordinate_pruned_negatives": r"""
+        WITH e AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+          FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), s AS (
+          SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+          FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ), p AS (
+          SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id,
+               row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10
+    """,
+    "op12_bag_dedup_lexical_search": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+        ), c AS (
+          SELECT count(*) FILTER (WHERE len(words) > 0) AS n_docs, sum(len(words))::BIGINT AS n_terms FROM d
+        ), t AS (
+          SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d) GROUP BY r, term
+        ), w AS (
+          SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, c GROUP BY term, n_docs
+        ), i AS (
+          SELECT item_id, term, count(*) AS times FROM (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+          GROUP BY item_id, term
+        ), s AS (
+          SELECT item_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(words) * n_docs) // n_terms))))::BIGINT AS score
+          FROM i JOIN w USING (term) JOIN t USING (term) JOIN d USING (r), c GROUP BY item_id, r
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+        FROM s JOIN d USING (r) WHERE score > 0 QUALIFY rank <= 10
+    """,
+    "op13_pivot_distance_top_k": r"""
+        WITH e AS (
+          SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), s AS (
+          SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v)::BIGINT AS score
+          FROM e q JOIN e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+        FROM s QUALIFY rank <= 10
+    """,
 }
