@@ -145,7 +145,7 @@ class Items:
         cell = np.repeat(of * self.n, length) + self.item[at]
         value = np.repeat(part, length) * self.times[at]
         add = lambda x: np.bincount(cell, x, count * self.n).astype(np.int64)
-        if self.weight.max() * 1_000_000 * self.most < 1 << 52:
+        if int(self.weight.max()) * 1_000_000 * self.most < 1 << 52:
             total = add(value)
         else:  # sums of doubles would be rounded, so the halves are added up
             total = (add(value >> 32) << 32) + add(value & 0xFFFFFFFF)
