@@ -144,7 +144,7 @@ def test_bounds_hold_and_prune(clusters):
             lo, hi = d[own, p].min(), d[own, p].max()
             bound = pivot_search.upper_bound(x2.astype(float), d[:, [p]], np.array([lo]), np.array([hi]), np.array([float(x2[own].max())]))
             assert (bound[:, 0] >= (x @ x[own].T).max(1)).all()
-    x = np.random.default_rng(1).normal(size=(2000, 12)) + 2 * np.eye(12)[np.arange(2000) % 12]
+    x = np.random.default_rng(1).normal(size=(2000, 12)) * 0.15 + np.eye(12)[np.arange(2000) % 12]
     x = np.floor(1024 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
     x2 = (x**2).sum(1)
     row = {"l2": int(x2.max()), "ids": list(range(len(x))), "labels": [0] * len(x), "vecs": [v.astype("<i4").tobytes() for v in x],
