@@ -3,7 +3,8 @@
 A pre-token starts as single bytes.  Leaf i of the tree holds the rank of the pair that starts at byte i (none: no
 rank) together with i, every inner node the smaller of its children, so the root is the leftmost pair of the lowest rank.  A merge
 changes three leaves: the pair itself, the one before it and the part that vanished; each is a point update of
-log n nodes, so a pre-token of n bytes takes n log n steps however long it is.
+log n nodes, so a pre-token of n bytes takes n log n steps however long it is.  Words of like length are merged together: their
+trees are the rows of one array, and a step takes the root of each row, merges, and updates the rows level by level.
 
 Words repeat, so a worker keeps the ids of recent ones, up to a fixed number; Spark deals the documents, one Arrow
 batch at a time, nothing is shuffled.
@@ -95,12 +96,115 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys first << 32 | second of all pairs of tokens that merge, and the rank of what they become."""
+    keys, values = [], []
+    get = ranks.get
+    for token, r in ranks.items():
+        for i in range(1, len(token)):
+            a = get(token[:i])
+            if a is not None and (b := get(token[i:])) is not None:
+                keys.append(a << 32 | b)
+                values.append(r)
+    keys, values = np.array(keys, np.int64), np.array(values, np.int64)
+    order = np.argsort(keys)
+    return np.append(keys[order], NO_PAIR), np.append(values[order], 0)
+
+
+class Trees:
+    """``merge_bytes`` for many pre-tokens at once."""
+
+    #: Words of one array: so many, or so few that a row at a time is faster.
+    MOST, LEAST = 1 << 14, 24
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.keys, self.values = pair_table(ranks)
+        self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Leaves of the pairs (a, b) that start at ``at``."""
+        key = a << 32 | b
+        place = np.searchsorted(self.keys, key)
+        return np.where(self.keys[place] == key, self.values[place] << 32 | at, NO_PAIR)
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, 4 bytes each."""
+        out: list[bytes] = [b""] * len(words)
+        sizes: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            whole = self.ranks.get(w)
+            if whole is not None:
+                out[k] = whole.to_bytes(4, "little")
+            else:
+                sizes.setdefault(max(0, len(w) - 1).bit_length(), []).append(k)
+        for bits, own in sizes.items():
+            most = max(self.LEAST, self.MOST * 8 >> bits)
+            for i in range(0, len(own), most):
+                part = own[i : i + most]
+                if len(part) < self.LEAST:
+                    for k in part:
+                        out[k] = np.array(merge_bytes(words[k], self.ranks), "<i4").tobytes()
+                else:
+                    for k, ids in zip(part, self._merge([words[k] for k in part], 1 << bits), strict=True):
+                        out[k] = ids
+        return out
+
+    def _merge(self, words: list[bytes], size: int) -> list[bytes]:
+        """Rows of one array: ``size`` leaves hold every pair of a word."""
+        count = np.fromiter(map(len, words), np.int64, len(words))
+        n, wide = len(words), size + 2
+        place = np.arange(wide)
+        token = np.full((n, wide), -1, np.int64)
+        token[place[None, :] < count[:, None]] = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        after = np.tile(place + 1, (n, 1))
+        before = np.tile(place - 1, (n, 1))
+        live = place[None, :] < count[:, None]
+        tree = np.full((n, 2 * size), NO_PAIR, np.int64)
+        tree[:, size:] = np.where(live[:, 1 : size + 1], self._pairs(token[:, :size], token[:, 1 : size + 1], place[None, :size]), NO_PAIR)
+        level = size
+        while level > 1:
+            tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
+            level //= 2
+        row = np.arange(n)
+        while True:
+            low = tree[row, 1]
+            row, low = row[low != NO_PAIR], low[low != NO_PAIR]
+            if not len(row):
+                break
+            i, made = low & _POSITION, low >> 32
+            gone = after[row, i]
+            end = after[row, gone]
+            after[row, i] = end
+            token[row, i] = made
+            live[row, gone] = False
+            before[row, end] = i  # the column behind a word's end is never read
+            first = before[row, i]
+            at_gone = np.minimum(gone, size - 1)  # a word's last byte has no pair of its own
+            tree[row, size + at_gone] = np.where(gone < size, NO_PAIR, tree[row, size + at_gone])
+            tree[row, size + i] = np.where(end < count[row], self._pairs(made, token[row, end], i), NO_PAIR)
+            has = first >= 0
+            at_first = np.where(has, first, i)
+            tree[row, size + at_first] = np.where(has, self._pairs(token[row, at_first], made, at_first), tree[row, size + i])
+            nodes = [size + at_gone, size + i, size + at_first]
+            level = size
+            while level > 1:
+                level //= 2
+                nodes = [x >> 1 for x in nodes]
+                for x in nodes:
+                    tree[row, x] = np.minimum(tree[row, 2 * x], tree[row, 2 * x + 1])
+        raw = token[live].astype("<i4").tobytes()
+        ends = (4 * np.cumsum(live.sum(1))).tolist()
+        return [raw[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 class Encoder:
     """Ids of texts by a rank file; one for each worker."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
         self.words = word_pattern(pattern)
+        self.trees = Trees(self.ranks)
         self.merged = Recent()
         self.cache = PieceCache(self._runs)
         tokens = [b""] * (max(self.ranks.values()) + 1)
@@ -111,15 +215,14 @@ class Encoder:
     def _runs(self, runs: list[str]) -> list[bytes]:
         """Ids of each run, 4 bytes each: joined faster and held in less memory than numbers."""
         self.merged.turn()
-        return [b"".join([self._word(w) for w in self.words.findall(r)]) for r in runs]
-
-    def _word(self, word: str) -> bytes:
-        ids = self.merged.get(word)
-        if ids is None:
-            ids = np.array(merge_bytes(word.encode(), self.ranks), "<i4").tobytes()
-            if len(word) <= CACHE_CHARS:
-                self.merged.new[word] = ids
-        return ids
+        cut = list(map(self.words.findall, runs))
+        known = {w: self.merged.get(w) for own in cut for w in own}
+        new = [w for w, ids in known.items() if ids is None]
+        for w, ids in zip(new, self.trees.merge([w.encode() for w in new]), strict=True):
+            known[w] = ids
+            if len(w) <= CACHE_CHARS:
+                self.merged.new[w] = ids
+        return [b"".join(map(known.__getitem__, own)) for own in cut]
 
     def raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b"".join(parts), "<i4") for parts in self.cache.look_up(texts)]

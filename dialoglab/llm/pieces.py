@@ -16,8 +16,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-#: Unicode's White_Space, which ``\s`` means in the tokenizers' pattern.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: The 25 characters of Unicode's White_Space, which ``\s`` means in the tokenizers' patterns, each spelled out, so that
+#: the string serves as a set and inside a regex class.
+WHITE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+         "\u2028\u2029\u202f\u205f\u3000")
 _RUN = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _WHITE = frozenset(WHITE)
 #: Entries of each of the two generations of a worker's cache; longer keys are not kept.
@@ -51,9 +53,12 @@ def run_of(key: str) -> str:
 
 def check(key: str) -> None:
     """Raise ``Crossed`` unless the quick key is one whole run."""
-    inner = key[2:] if key.startswith(" \n") else key[1:] if key[:1] == " " else key
-    if not inner or inner[0] in _WHITE or inner[-1] in _WHITE:
+    if not key or key[-1] in _WHITE:
         raise Crossed
+    if key[0] in _WHITE:
+        inner = key[2:] if key.startswith(" \n") else key[1:] if key[0] == " " else ""
+        if not inner or inner[0] in _WHITE:
+            raise Crossed
 
 
 class Recent:

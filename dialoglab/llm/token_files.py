@@ -20,6 +20,7 @@ are ordered by their text's hash; an empty table gives files without sections; o
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,7 +43,6 @@ LANES = 1024
 END_ID = 0
 
 _U = np.uint64
-_WHITE = frozenset(WHITE)
 _SECTION = ("part int, section int, first bigint, n_ids bigint, freq binary, blocks array<struct<lanes:int,n_ids:bigint,"
             "states:binary,words:binary,crc32:bigint>>, doc_ids array<{id}>, lengths array<bigint>")
 #: Runs that go through the library in one string.
@@ -53,7 +53,7 @@ class Encoder:
     """Ids of texts by a byte-level tokenizer file; runs are looked up, new ones go through the library.
 
     Tokens never cross from one run into the next, so new runs are put into one string, which saves the library's cost for
-    each call, and the bytes that the tokens stand for tell where a run's tokens end.
+    each call, and the bytes that the tokens stand for tell where a run's tokens end; if one doesn't end with its run, the runs go one by one.
     """
 
     def __init__(self, path: str):
@@ -64,20 +64,18 @@ class Encoder:
         self.width = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)  # a letter of such a token is a byte
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # white space first, none last, and no beginning of an added token
+        begins = "".join(re.escape(t.content[0]) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.joins = re.compile(f"[{WHITE}][^{begins}]*[^{WHITE}{begins}]").fullmatch
         self.cache = PieceCache(self._solve, 4 * CACHE_ENTRIES)
 
     def _each(self, runs: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)] if runs else []
 
-    def _may_join(self, run: str) -> bool:
-        """White space first, none last, and no beginning of an added token."""
-        return run[0] in _WHITE and run[-1] not in _WHITE and not any(t[0] in run for t in self.added)
-
     def _solve(self, runs: list[str]) -> list[bytes]:
         """Ids of each run, 4 bytes each."""
         out: list[bytes] = [b""] * len(runs)
-        alone = [k for k, r in enumerate(runs) if not self._may_join(r)]
+        alone = [k for k, r in enumerate(runs) if self.joins(r) is None]
         for k, ids in zip(alone, self._each([runs[k] for k in alone]), strict=True):
             out[k] = np.array(ids, "<u4").tobytes()
         single = set(alone)
@@ -86,7 +84,12 @@ class Encoder:
         for g, ids in zip(groups, self._each(["".join([runs[k] for k in g]) for g in groups]), strict=True):
             ids = np.array(ids, "<u4")
             ends = np.cumsum([len(runs[k].encode()) for k in g])
-            cut = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
+            at_byte = np.cumsum(self.width[ids])
+            cut = np.searchsorted(at_byte, ends) + 1
+            if cut[-1] != len(ids) or (at_byte[cut - 1] != ends).any():  # a token crosses from one run into the next
+                for k, own in zip(g, self._each([runs[k] for k in g]), strict=True):
+                    out[k] = np.array(own, "<u4").tobytes()
+                continue
             raw, at = ids.tobytes(), 0
             for k, end in zip(g, (4 * cut).tolist(), strict=True):
                 out[k] = raw[at:end]
