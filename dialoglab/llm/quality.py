@@ -1,10 +1,18 @@
 """Quality rules with adaptive thresholds (one mergeable quantile sketch per language and source).
 
 Fixed rules (``base_failed``): fewer than 10 words, or over a fifth of the words in repeated 5-word windows.
-The rest is judged against its own (lang, source): each measure's quartiles come from a log-bucket sketch
+The rest is judged against its own (lang, source): quantiles of each measure come from a log-bucket sketch
 (relative error 1 %), whose bucket counts simply add up, so the sketch of a language is the sum of its sources'
-and the result never depends on partitioning.  A document is rejected when a measure lies outside
-``quartile -/+ max(reach * interquartile range, slack)``.
+and the result never depends on partitioning.  ``RULES`` names how a limit follows from the quantiles:
+
+* ``times``: reach times an upper quantile.  Symbols are counted with one more symbol and 20 more words, so that the measure isn't 0 for
+  almost all documents: the limit then follows the lengths of a source's documents, and a short one without symbols stays;
+* ``range``: two quantiles, widened by reach times their difference;
+* ``positive``: reach times an upper quantile of the documents in which the measure isn't 0, as repeated lines are rare in most
+  sources; sources with fewer than ``MIN_POSITIVE`` of them take their language's.
+
+A floor keeps sources without any spread from rejecting ordinary documents.  Where a group is mostly junk its quantiles are junk, so a
+group's limits reach no further than ``cap`` times its language's, and a language's than ``cap`` times those of all.
 
 Defined cases: NULL or empty text has no words and fails the base rules; NULL lang or source is a group of its
 own; groups with fewer than ``min_group`` documents use their language's sketch, small languages the sketch of
@@ -29,8 +37,13 @@ SYMBOLS = "#*$%&|<>"
 #: Half the ratio between two bucket borders of the sketch, less 1.
 SKETCH_ERROR = 0.01
 MIN_GROUP = 50
-#: measure: (reach in interquartile ranges, least slack, whether low values are rejected too)
-RULES = {"symbols_per_word": (6.0, 0.1, False), "chars_per_word": (8.0, 3.0, True), "repeated_lines": (8.0, 0.6, False)}
+MIN_POSITIVE = 20
+#: measure: kind, lower and upper quantile in percent, reach, floor (of the limit, or of the room beside a range), cap
+RULES = {
+    "symbols_per_word": ("times", None, 75, 8.0, 0.04, 2.0),
+    "chars_per_word": ("range", 10, 90, 6.0, 1.0, 1.5),
+    "repeated_lines": ("positive", None, 90, 3.0, 0.3, 1.5),
+}
 
 _STATS = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_lines:bigint,n_dup_lines:bigint,n_repeat_words:bigint>"
 _IS_SYMBOL = np.zeros(256, bool)
@@ -86,7 +99,7 @@ def base_failed(s: Column) -> Column:
 def _measures(s: Column) -> dict[str, Column]:
     words, lines = F.greatest(s["n_words"], F.lit(1)), F.greatest(s["n_lines"], F.lit(1))
     return {
-        "symbols_per_word": s["n_symbols"] / words,
+        "symbols_per_word": (s["n_symbols"] + 1) / (s["n_words"] + 20),
         "chars_per_word": s["word_chars"] / words,
         "repeated_lines": s["n_dup_lines"] / lines,
     }
@@ -109,23 +122,51 @@ def sketches(measured: DataFrame, stats: str) -> DataFrame:
 
 
 def _limits(sketch: DataFrame, by: list[str], at: str) -> DataFrame:
-    """Per group: ``at`` = struct(n, <measure>_low, <measure>_high ...) from the merged sketch."""
+    """Per group: ``at`` = struct(n, <measure>_low, <measure>_high ...) from the merged sketch; NULL where it says too little."""
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by, "measure")  # a few thousand buckets at most
-    run = merged.select(*by, "measure", "bucket", F.sum("n").over(w).alias("all"),
+    zero = F.coalesce(F.sum(F.when(F.col("bucket") == _NONE, F.col("n"))).over(w), F.lit(0))
+    run = merged.select(*by, "measure", "bucket", F.sum("n").over(w).alias("all"), zero.alias("zero"),
                         F.sum("n").over(w.orderBy("bucket")).alias("upto"))
     value = lambda b: F.when(b == _NONE, F.lit(0.0)).otherwise(
         2 * F.exp(b * _GAMMA) / (math.exp(_GAMMA) + 1))
+
+    def quantile(name: str, percent: int, skip: Column) -> Column:
+        """Value at the rank of ``percent`` behind the ``skip`` smallest."""
+        reached = 100 * (F.col("upto") - skip) >= percent * (F.col("all") - skip)
+        return value(F.min(F.when((F.col("measure") == name) & (F.col("upto") > skip) & reached, F.col("bucket"))))
+
     cols = [F.max("all").alias("n")]
-    for name, (reach, slack, both) in RULES.items():
-        q1, q3 = (value(F.min(F.when((F.col("measure") == name) & (4 * F.col("upto") >= k * F.col("all")), F.col("bucket"))))
-                  for k in (1, 3))
-        room = F.greatest(reach * (q3 - q1), F.lit(slack))
-        cols += [(q1 - room if both else F.lit(float("-inf"))).alias(f"{name}_low"), (q3 + room).alias(f"{name}_high")]
+    for name, (kind, lower, upper, reach, floor, _) in RULES.items():
+        high = quantile(name, upper, F.col("zero") if kind == "positive" else F.lit(0))
+        low = F.lit(float("-inf"))
+        if kind == "range":
+            first = quantile(name, lower, F.lit(0))
+            room = F.greatest(reach * (high - first), F.lit(floor))
+            low, high = first - room, high + room
+        else:
+            high = F.when(high.isNotNull(), F.greatest(reach * high, F.lit(floor)))
+            if kind == "positive":
+                high = F.when(F.max(F.when(F.col("measure") == name, F.col("all") - F.col("zero"))) >= MIN_POSITIVE, high)
+        cols += [low.alias(f"{name}_low"), high.alias(f"{name}_high")]
     made = run.groupBy(*by).agg(*cols)
     return made.select(*by, F.struct(*[c for c in made.columns if c not in by]).alias(at))
 
 
+def _within(inner: str, outer: str, enough: Column) -> Column:
+    """The limits of ``inner`` where it has ``enough`` rows, no further than ``cap`` times those of ``outer``; else those of ``outer``."""
+    out = []
+    for name, (kind, _, _, _, _, cap) in RULES.items():
+        low, high = F.col(inner)[f"{name}_low"], F.col(inner)[f"{name}_high"]
+        o_low, o_high = F.col(outer)[f"{name}_low"], F.col(outer)[f"{name}_high"]
+        use = enough & high.isNotNull()
+        # greatest and least skip what isn't known
+        low = F.greatest(low, o_low / cap) if kind == "range" else low
+        out += [F.when(use, low).otherwise(o_low).alias(f"{name}_low"),
+                F.when(use, F.least(high, o_high * cap)).otherwise(o_high).alias(f"{name}_high")]
+    return F.struct(F.when(enough, F.col(inner)["n"]).otherwise(F.col(outer)["n"]).alias("n"), *out)
+
+
 def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """One row for each (lang, source) of the sketch: the limits that hold there and where they come from."""
     own = _limits(sketch, ["lang", "source"], "own")
@@ -134,10 +175,11 @@ def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     j = null_safe(own, lang, [("lang", "l_lang")], "left").drop("l_lang")
     j = j.withColumn("by_all", every.select("by_all").scalar())
     enough = lambda c: F.col(c)["n"] >= min_group
-    pick = F.when(enough("own"), F.col("own")).when(enough("by_lang"), F.col("by_lang")).otherwise(F.col("by_all"))
     level = F.when(enough("own"), "source").when(enough("by_lang"), "lang").otherwise("all")
-    return j.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), pick.alias("__limits"),
-                    level.alias("__level"))
+    j = j.withColumn("__level", level).withColumn("by_lang", _within("by_lang", "by_all", enough("by_lang")))
+    # a language with too few rows has the limits of all by now
+    return j.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), _within("own", "by_lang", enough("own")).alias("__limits"),
+                    "__level")
 
 
 def judge(measured: DataFrame, stats: str, limits: DataFrame) -> DataFrame:
@@ -145,7 +187,8 @@ def judge(measured: DataFrame, stats: str, limits: DataFrame) -> DataFrame:
     j = null_safe(measured, limits, [("lang", "__lang"), ("source", "__source")], "left")
     fine = F.lit(True)
     for name, v in _measures(F.col(stats)).items():
-        fine = fine & v.between(F.col("__limits")[f"{name}_low"], F.col("__limits")[f"{name}_high"])
+        # no limit is known where hardly any document of the whole corpus is positive
+        fine = fine & (v >= F.col("__limits")[f"{name}_low"]) & F.coalesce(v <= F.col("__limits")[f"{name}_high"], F.lit(True))
     return j.withColumn("__kept", ~base_failed(F.col(stats)) & F.coalesce(fine, F.lit(True)))
 
 

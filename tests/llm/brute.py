@@ -87,35 +87,56 @@ def counts(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(own), len(own) - len(set(own)), len(covered)
 
 
-def quality(rows, rules, error, min_group):
+def quality(rows, rules, error, min_group, min_positive=20):
     """[(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)] from (doc_id, text, lang, source)."""
     stats = [counts(t) for _, t, *_ in rows]
     failed = [s[0] < 10 or 100 * s[5] > 20 * s[0] for s in stats]
-    value = [{"symbols_per_word": s[2] / max(1, s[0]), "chars_per_word": s[1] / max(1, s[0]), "repeated_lines": s[4] / max(1, s[3])} for s in stats]
+    value = [{"symbols_per_word": (s[2] + 1) / (s[0] + 20), "chars_per_word": s[1] / max(1, s[0]), "repeated_lines": s[4] / max(1, s[3])} for s in stats]
     gamma = math.log((1 + error) / (1 - error))
 
-    def quartile(xs, q):
-        x = sorted(xs)[math.ceil(q * len(xs)) - 1]
+    def quantile(xs, percent):
+        if not xs:
+            return None
+        x = sorted(xs)[-(-percent * len(xs) // 100) - 1]
         return 2 * math.exp(math.ceil(math.log(x) / gamma) * gamma) / (math.exp(gamma) + 1) if x > 0 else 0.0
 
     def limits(members):
         out = {}
-        for m, (reach, slack, both) in rules.items():
+        for m, (kind, lower, upper, reach, floor, _) in rules.items():
             xs = [value[i][m] for i in members]
-            q1, q3 = quartile(xs, 0.25), quartile(xs, 0.75)
-            room = max(reach * (q3 - q1), slack)
-            out[m] = (q1 - room if both else -math.inf, q3 + room)
+            if kind == "range":
+                a, b = quantile(xs, lower), quantile(xs, upper)
+                room = max(reach * (b - a), floor)
+                out[m] = (a - room, b + room)
+            else:
+                xs = [x for x in xs if x > 0] if kind == "positive" else xs
+                known = xs and (kind != "positive" or len(xs) >= min_positive)
+                out[m] = (-math.inf, max(reach * quantile(xs, upper), floor) if known else None)
+        return out
+
+    def within(members, outer):
+        if len(members) < min_group:
+            return outer
+        out = {}
+        for m, (low, high) in limits(members).items():
+            o_low, o_high = outer[m]
+            if high is None:
+                out[m] = outer[m]
+            else:
+                cap = rules[m][5]
+                out[m] = (max(low, o_low / cap) if rules[m][0] == "range" else low, high if o_high is None else min(high, o_high * cap))
         return out
 
     good = [i for i in range(len(rows)) if not failed[i]]
-    out = []
+    out, known_limits = [], {}
     for i, (d, _, lang, source) in enumerate(rows):
         kept = not failed[i]
         if kept:
-            own = [j for j in good if rows[j][2:4] == (lang, source)]
-            by_lang = [j for j in good if rows[j][2] == lang]
-            lim = limits(own if len(own) >= min_group else by_lang if len(by_lang) >= min_group else good)
-            kept = all(lo <= value[i][m] <= hi for m, (lo, hi) in lim.items())
+            key = (lang, source)
+            if key not in known_limits:
+                by_lang = within([j for j in good if rows[j][2] == lang], limits(good))
+                known_limits[key] = within([j for j in good if rows[j][2:4] == key], by_lang)
+            kept = all(lo <= value[i][m] and (hi is None or value[i][m] <= hi) for m, (lo, hi) in known_limits[key].items())
         s = stats[i]
         out.append((d, s[0], s[1], s[2], s[4], s[5], failed[i], kept))
     return out
