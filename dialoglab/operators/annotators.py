@@ -44,6 +44,7 @@ def gold_labels(df: DataFrame, version: str = "consensus", id_col: str = "id") -
     n = _n_manip()
     if version == "consensus":
         agree = (F.col("manipulative_1") == F.col("manipulative_2")) & (F.col("manipulative_2") == F.col("manipulative_3"))
+        agree = agree & F.col("manipulative_1").isin("0", "1")  # three blanks are no consensus
         return df.filter(agree).select(F.col(id_col).alias("id"), F.col("manipulative_1").alias("manipulative"))
     if version == "majority":
         return df.select(F.col(id_col).alias("id"), F.when(n >= 2, "1").otherwise("0").alias("manipulative"))

@@ -13,11 +13,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def join_predictions(gold: DataFrame, preds: DataFrame, id_col: str = "id") -> DataFrame:
-    """Inner equi-join of gold rows with prediction rows on ``id``."""
+def join_predictions(gold: DataFrame, preds: DataFrame, id_col: str = "id", unique: bool = False) -> DataFrame:
+    """Inner equi-join of gold rows with prediction rows on ``id``.
+
+    A gold id that occurs n times meets its predictions n times.  ``unique=True`` fails on such ids instead (one more
+    count by id, of the id column alone); :func:`repeated_ids` lists them.
+    """
+    if unique:
+        n = repeated_ids(gold, id_col).select(F.count(F.lit(1))).scalar()
+        gold = gold.where(F.when(n > 0, F.raise_error(F.lit(f"gold rows share a value of {id_col}"))).otherwise(F.lit(True)))
     return gold.join(preds, id_col, "inner")
 
 
+def repeated_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """``(id, n)`` of every id that more than one row has (NULL is no id)."""
+    return df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
+def align_by_position(gold: DataFrame, preds: DataFrame, number: str = "line_no") -> DataFrame:
+    """Row k of one file with row k of the other, as the original scripts pair their lists.
+
+    Both sides carry the record's exact number (``read_labelled_csv(..., multi_line="split", number=...)`` and the like).  Rows
+    of the longer side without a partner are left out, as ``zip`` does; other columns with one name on both sides are an error.
+    """
+    both = (set(gold.columns) & set(preds.columns)) - {number}
+    if both:
+        raise ValueError(f"columns on both sides: {sorted(both)}")
+    return gold.join(preds, number, "inner")
+
+
 def unanswered(gold: DataFrame, preds: DataFrame, by: Sequence[str] = ("model", "setting"),
                id_col: str = "id") -> DataFrame:
     """Per prediction group, how many gold ids got no prediction.

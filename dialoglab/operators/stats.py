@@ -189,11 +189,11 @@ def ccdf(df: DataFrame, value: str | Column, by="dataset", method: str = "window
         lt = F.coalesce(F.sum("n").over(before), F.lit(0))
         out = hist.select(*by, "value", "n", lt.alias("_lt"), total.alias("_tot"))
     elif method == "buckets":
-        from ..plans.ranking import running_sums
+        from ..plans.ranking import null_safe_join, running_sums
 
         cum = running_sums(hist, "value", ["n"], partition_cols=by)
         totals = hist.groupBy(*by).agg(F.sum("n").alias("_tot"))  # one row per group
-        out = cum.join(totals, by) if by else cum.withColumn("_tot", hist.select(F.sum("n")).scalar())
+        out = null_safe_join(cum, totals, by) if by else cum.withColumn("_tot", hist.select(F.sum("n")).scalar())
         out = out.select(*by, "value", "n", F.col("n_below").alias("_lt"), "_tot")
     else:
         raise ValueError("method must be window or buckets")

@@ -5,9 +5,10 @@ the empty string, never NULL.  Quoted fields may span lines (``multiLine``);
 doubled quotes are the escape (RFC 4180), which is what Python's ``csv``
 writes.  Readers are lazy: nothing is read until an action runs.
 
-Scale note: a CSV read with ``multiLine`` cannot be split inside a file, so
-each file is read by one task.  Large corpora should arrive as many files
-(one task each); when no field contains a newline, ``multi_line=False``
+Scale note: Spark's own CSV reader cannot split a file whose fields hold newlines
+(``multi_line=True``), so it reads each file in one task.  ``multi_line="split"`` reads
+such files by ranges (:mod:`dialoglab.sources.csv_split`), which takes a few scans but any
+number of tasks; when no field contains a newline, ``multi_line=False``
 lets Spark split every file into blocks.  JSON lines are always splittable.
 """
 
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from . import csv_split
+
 # --- fixed values -------------------------------------------------------------
 # Field holding the list of posts in the thread JSON-lines format.
 THREAD_FIELD = "reddit_thread"
@@ -42,7 +45,12 @@ def strip(col: str | Column) -> Column:
 
 
 def _csv(spark: SparkSession, path, header: bool, sep: str = ",", schema: Ty.StructType | None = None,
-         multi_line: bool = True):
+         multi_line: bool | str = True, number: str | None = None):
+    if number and multi_line != "split":
+        raise ValueError('numbers need multi_line="split"')
+    if multi_line == "split":
+        columns = schema.names if schema is not None else _csv(spark, path, header, sep).columns
+        return csv_split.read_split_csv(spark, path, columns, header, sep, number)
     r = (spark.read.option("header", header).option("multiLine", multi_line).option("quote", '"')
          .option("escape", '"').option("sep", sep).option("inferSchema", False))
     if schema is not None:
@@ -55,9 +63,12 @@ def _all_strings(columns: Sequence[str]) -> Ty.StructType:
 
 
 def read_labelled_csv(spark: SparkSession, path, drop_id: bool = False, lower_names: bool = True,
-                      multi_line: bool = True) -> DataFrame:
-    """Header CSV of final labels (``ID, Dialogue, Manipulative, Technique, Vulnerability``, ...)."""
-    df = _csv(spark, path, header=True, multi_line=multi_line).na.fill("")
+                      multi_line: bool | str = True, number: str | None = None) -> DataFrame:
+    """Header CSV of final labels (``ID, Dialogue, Manipulative, Technique, Vulnerability``, ...).
+
+    ``number`` names a column for the record's place in the files, from 0 (only with ``multi_line="split"``).
+    """
+    df = _csv(spark, path, header=True, multi_line=multi_line, number=number).na.fill("")
     if drop_id and "ID" in df.columns:
         df = df.drop("ID")
     if lower_names:
@@ -65,7 +76,7 @@ def read_labelled_csv(spark: SparkSession, path, drop_id: bool = False, lower_na
     return df
 
 
-def read_annotations(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+def read_annotations(spark: SparkSession, path, multi_line: bool | str = True) -> DataFrame:
     """The wide three-annotator CSV, fixed all-string schema."""
     return _csv(spark, path, header=True, schema=_all_strings(ANNOTATION_COLUMNS), multi_line=multi_line).na.fill("")
 
@@ -89,15 +100,24 @@ def thread_dialogue(thread: Column) -> Column:
     return F.array_join(F.transform(thread, post), "\n")
 
 
-def read_thread_jsonl(spark: SparkSession, paths) -> DataFrame:
+def read_thread_jsonl(spark: SparkSession, paths, ids: str = "text") -> DataFrame:
     """S3: JSON lines with an array of posts (``THREAD_FIELD``) -> ``(id, dialogue)``.
 
     Records that carry no id (the usual case) get one from their own text, so it is the same in
-    every run and partitioning; equal records get equal ids.
+    every run and partitioning; equal records get equal ids.  With ``ids="line"`` they get the number of
+    their line over all files instead, which no two records share.
     """
-    df = spark.read.schema(THREAD_SCHEMA).json(paths)
-    out = df.select("id", thread_dialogue(F.col(THREAD_FIELD)).alias("dialogue"))
-    return out.select(F.coalesce("id", F.md5("dialogue")).alias("id"), "dialogue")
+    if ids == "line":
+        lines = csv_split.number_lines(spark, paths).where(F.trim("value") != "")
+        df = lines.select("line_no", F.from_json("value", THREAD_SCHEMA).alias("r")).select("line_no", "r.*")
+        own = F.col("line_no").cast("string")
+    elif ids == "text":
+        df = spark.read.schema(THREAD_SCHEMA).json(paths).withColumn("line_no", F.lit(None))
+        own = F.md5("dialogue")
+    else:
+        raise ValueError("ids must be text or line")
+    out = df.select("id", "line_no", thread_dialogue(F.col(THREAD_FIELD)).alias("dialogue"))
+    return out.select(F.coalesce("id", own).alias("id"), "dialogue")
 
 
 def assemble_dialogues(df: DataFrame, id_col: str, turn_col: str, text_col: str,
@@ -118,7 +138,7 @@ def assemble_dialogues(df: DataFrame, id_col: str, turn_col: str, text_col: str,
         .alias("dialogue"))
 
 
-def read_turn_table(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+def read_turn_table(spark: SparkSession, path, multi_line: bool | str = True) -> DataFrame:
     """TSV ``Number, Turn, utterance`` -> ``(id, dialogue)``."""
     df = _csv(spark, path, header=True, sep="\t", schema=_all_strings(["Number", "Turn", "utterance"]),
               multi_line=multi_line)
@@ -126,8 +146,20 @@ def read_turn_table(spark: SparkSession, path, multi_line: bool = True) -> DataF
 
 
 def read_text_column_csv(spark: SparkSession, path, index: int, skip_header: bool,
-                         multi_line: bool = True) -> DataFrame:
-    """One text column picked by position, stripped -> ``(id, dialogue)``; the id is the text's md5."""
+                         multi_line: bool | str = True, ids: str = "text") -> DataFrame:
+    """One text column picked by position, stripped -> ``(id, dialogue)``.
+
+    The id is the text's md5, so that equal texts share one; with ``ids="line"`` (and ``multi_line="split"``) it is the
+    record's number over all files, from 0, which no two records share and by which files can be aligned.
+    """
+    if ids not in ("text", "line"):
+        raise ValueError("ids must be text or line")
+    if ids == "line" and multi_line != "split":
+        raise ValueError('line ids need multi_line="split"')
+    if multi_line == "split":
+        text = F.coalesce(F.get("fields", F.lit(index)), F.lit(""))
+        out = csv_split.read_records(spark, path, skip_header).select("line_no", strip(text).alias("dialogue"))
+        return out.select((F.col("line_no").cast("string") if ids == "line" else F.md5("dialogue")).alias("id"), "dialogue")
     df = _csv(spark, path, header=skip_header, multi_line=multi_line)
     out = df.select(strip(F.coalesce(F.col(f"`{df.columns[index]}`"), F.lit(""))).alias("dialogue"))
     return out.select(F.md5("dialogue").alias("id"), "dialogue")
