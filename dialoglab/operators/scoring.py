@@ -3,8 +3,8 @@
 * M1 runs a user-supplied batch function inside ``mapInPandas`` (Arrow
   batches), built once per task; M6 uses numpy inside tasks for partial Gram
   matrices and one eigen-decomposition per group.
-* M2 / M3 are ``pyspark.ml`` pipelines (hashing TF-IDF + logistic
-  regression); M3 is binary relevance on one shared, checkpointed feature table.
+* M2 / M3 are logistic regressions over hashed TF-IDF words, fitted by
+  :mod:`dialoglab.operators.learners`: every label or run in the same passes.
 * M5 / M6 aggregate per (group, dimension) with map-side partials; M6 fits
   a PCA per group from the group's mean and covariance (a d x d summary,
   independent of the row count) and projects rows with JVM expressions.
@@ -23,6 +23,8 @@ from pyspark.sql import types as Ty
 from ..functions.vocab import labels_for
 from ..operators.evaluation import ROUND
 from ..plans.ranking import null_safe_join
+from . import learners
+from .learners import NUM_FEATURES
 
 # --------------------------------------------------------------------------
 # M1 batch scoring
@@ -88,107 +90,62 @@ def batch_score(
 # --------------------------------------------------------------------------
 
 
-#: Columns that hashed words share (2^18 features; more of them merge fewer words).
-NUM_FEATURES = 1 << 18
-
-
-def _featurised(data: DataFrame, text_col: str, split_col: str, train: str, cols: Sequence, num_features: int) -> DataFrame:
-    """``data`` with hashing TF-IDF ``features``, written once to the shared checkpoint folder.
-
-    Hashing needs no fit, so texts are read in one pass; the IDF weights come from the train rows of the written table.
-    """
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-
-    from ..session import checkpoint_dir
-
-    checkpoint_dir(data.sparkSession)
-    rows = data.select(*cols, F.col(split_col).alias("split"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = RegexTokenizer(inputCol="_text", outputCol="_tok", pattern=r"[\p{L}\p{N}_]+", gaps=False).transform(rows)
-    rows = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features).transform(rows)
-    table = rows.drop("_text", "_tok").checkpoint()
-    idf = IDF(inputCol="_tf", outputCol="features").fit(table.filter(F.col("split") == train))
-    return idf.transform(table).drop("_tf")
+def _fit_runs(data: DataFrame, text_col: str, label_col: str, id_col: str, split_col: str, splits: Sequence[str],
+              reg_params: Sequence[float], epochs: int, num_features: int, state: str | None):
+    """One column for each regularisation, all of them in the same passes."""
+    y = F.when(F.col(label_col).isNotNull(), F.array(F.col(label_col).cast("int")))
+    blocks = learners.write_blocks(data, text_col, y, id_col, split_col, num_features)
+    known = learners.features(blocks, splits[0], num_features)
+    learner = learners.Learner(blocks, known, [0] * len(reg_params), reg_params, splits[0], splits[1])
+    return blocks, learner, learner.fit(epochs + 1, state)  # the first pass evaluates the starting point
 
 
 def train_binary(data: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "id",
                  split_col: str = "split", splits: Sequence[str] = ("train", "valid", "test"),
-                 reg_params: Sequence[float] = (0.0, 0.01, 0.1), max_iter: int = 30,
-                 num_features: int = NUM_FEATURES) -> DataFrame:
-    """M2: fit on train, keep the regularisation with the best validation accuracy (= micro-F1), score test.
+                 reg_params: Sequence[float] = (0.0001, 0.01, 0.1), max_iter: int = 15,
+                 num_features: int = NUM_FEATURES, state: str | None = None) -> DataFrame:
+    """M2: train by epochs, keep the run and epoch with the best validation accuracy (= micro-F1), score test.
 
-    ``data`` is one labelled table with its split in ``split_col``; it is read once.
+    A run is a regularisation; all runs share the passes over ``data``, which is one labelled table with its split in
+    ``split_col`` and is read once.  ``state`` names a shared folder in which each epoch is saved and from which a run that was cut
+    off goes on (:mod:`dialoglab.operators.learners`).  Ties: the first run listed, then its earliest epoch.
     """
-    from concurrent.futures import ThreadPoolExecutor
+    blocks, learner, fit = _fit_runs(data, text_col, label_col, id_col, split_col, splits, reg_params, max_iter, num_features, state)
+    run = max(range(len(reg_params)), key=lambda c: (learner.best_score[c], -c))
+    scored = learners.probabilities(blocks, learner, fit.best, splits[2]).where(F.col("c") == run)
+    return scored.select("id", "y", (F.col("prob") >= 0.5).cast("int").alias("p"))
 
-    from pyspark.ml.classification import LogisticRegression
 
-    cols = [F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("_y")]
-    table = _featurised(data, text_col, split_col, splits[0], cols, num_features)
-    train, valid, test = (table.filter(F.col("split") == s) for s in splits)
-    train = train.persist()  # one shared in-memory copy for all candidate fits, behind the checkpoint
-
-    def fit(reg: float):
-        model = LogisticRegression(featuresCol="features", labelCol="_y", regParam=reg, maxIter=max_iter).fit(train)
-        right = model.transform(valid).select(F.avg((F.col("prediction") == F.col("_y")).cast("double"))).first()[0]
-        return right or 0.0, model
-
-    # the candidate fits are independent distributed jobs: submit them together
-    try:
-        with ThreadPoolExecutor(max_workers=len(reg_params)) as pool:
-            results = list(pool.map(fit, reg_params))
-    finally:
-        train.unpersist()
-    best_acc = max(a for a, _ in results)
-    best = next(m for a, m in results if a == best_acc)  # first (smallest listed) on ties
-    return best.transform(test).select("id", F.col("_y").cast("int").alias("y"), F.col("prediction").cast("int").alias("p"))
+def train_epochs(data: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "id",
+                 split_col: str = "split", splits: Sequence[str] = ("train", "valid", "test"),
+                 reg_params: Sequence[float] = (0.0001, 0.01, 0.1), max_iter: int = 15,
+                 num_features: int = NUM_FEATURES, state: str | None = None) -> DataFrame:
+    """M2 / M4: ``(run, epoch, f1)`` of every epoch of the same training, for :func:`best_run`."""
+    _, _, fit = _fit_runs(data, text_col, label_col, id_col, split_col, splits, reg_params, max_iter, num_features, state)
+    rows = [(f"reg={reg_params[c]:g}", e, round(s, ROUND)) for c, e, s in fit.epochs]
+    return data.sparkSession.createDataFrame(rows, "run string, epoch bigint, f1 double")
 
 
 def train_multilabel(data: DataFrame, measure: str = "technique", text_col: str = "text", labels_col: str = "labels",
                      id_col: str = "id", split_col: str = "split", splits: Sequence[str] = ("train", "valid", "test"),
                      reg: float = 0.01, max_iter: int = 30, thresholds: Sequence[float] = (0.3, 0.4, 0.5),
-                     tol: float = 1e-4, parallelism: int = 4, num_features: int = NUM_FEATURES) -> DataFrame:
-    """M3: binary relevance - one independent logistic regression per label on one featurised table.
+                     tol: float = 1e-3, num_features: int = NUM_FEATURES, state: str | None = None) -> DataFrame:
+    """M3: one independent logistic regression for each label, all fitted in the same passes over one table.
 
     The probability from which a label is given is chosen on the validation rows (best micro-F1 over all labels, highest
-    threshold on ties).  ``labels_col`` holds a 0/1 array in vector order.  All labels are scored in one pass over
-    a table.  Output ``(id, label, y, p)`` of the test rows.
+    threshold on ties).  ``labels_col`` holds a 0/1 array in vector order.  Output ``(id, label, y, p)`` of the test rows.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-
     vocab = labels_for(measure)
-    cols = [F.col(id_col).alias("id"), *[F.element_at(labels_col, j + 1).cast("double").alias(f"_y{j}") for j in range(len(vocab))]]
-    table = _featurised(data, text_col, split_col, splits[0], cols, num_features)
-    train, valid, test = (table.filter(F.col("split") == s) for s in splits)
-    train = train.persist()
-
-    def fit(j: int):
-        # a label with a single value in training gets zero weights and the constant intercept
-        return LogisticRegression(featuresCol="features", labelCol=f"_y{j}", regParam=reg, maxIter=max_iter,
-                                  standardization=False, tol=tol, rawPredictionCol=f"_raw{j}",
-                                  probabilityCol=f"_prob{j}", predictionCol=f"_pred{j}").fit(train)
-
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(vocab)))) as pool:
-            models = list(pool.map(fit, range(len(vocab))))
-    finally:
-        train.unpersist()
-
-    def scored(rows: DataFrame) -> DataFrame:
-        for m in models:
-            rows = m.transform(rows)
-        cells = [F.struct(F.lit(lab).alias("label"), F.col(f"_y{j}").cast("int").alias("y"),
-                          vector_to_array(f"_prob{j}")[1].alias("prob")) for j, lab in enumerate(vocab)]
-        return rows.select("id", F.explode(F.array(*cells)).alias("c")).select("id", "c.*")
-
-    checked = scored(valid).select(*[
-        (2 * F.sum(F.when(F.col("prob") >= t, F.col("y")).otherwise(0))
-         / F.greatest(F.lit(1), F.sum((F.col("prob") >= t).cast("int")) + F.sum("y"))).alias(f"f{i}")
-        for i, t in enumerate(thresholds)]).first()
-    best = max(thresholds, key=lambda t: (checked[f"f{list(thresholds).index(t)}"] or 0.0, t))
-    return scored(test).select("id", "label", "y", (F.col("prob") >= best).cast("int").alias("p"))
+    blocks = learners.write_blocks(data, text_col, F.col(labels_col), id_col, split_col, num_features)
+    known = learners.features(blocks, splits[0], num_features)
+    learner = learners.Learner(blocks, known, range(len(vocab)), [reg] * len(vocab), splits[0], splits[1], thresholds, tol)
+    fit = learner.fit(max_iter + 1, state)
+    tp, fp, fn = (fit.counts[:, k].sum(1) for k in range(3))
+    f1 = 2 * tp / np.maximum(1, 2 * tp + fp + fn)
+    best = max(range(len(thresholds)), key=lambda k: (f1[k], thresholds[k]))
+    label = F.element_at(F.lit(list(vocab)), F.col("c") + 1)
+    return learners.probabilities(blocks, learner, fit.weights, splits[2]).select(
+        "id", label.alias("label"), "y", (F.col("prob") >= thresholds[best]).cast("int").alias("p"))
 
 
 # --------------------------------------------------------------------------

@@ -130,6 +130,30 @@ def q_read_labelled_csv(spark, sf):
     return S.read_labelled_csv(spark, path)
 
 
+def numbered_file(df: DataFrame, order: str, name: str) -> str:
+    """A CSV whose records stand in the order of an id."""
+    return W.write_csv(df.orderBy(F.col(order).cast("bigint")), W.new_path(df, name))
+
+
+@query("read_labelled_csv_split")
+def q_read_labelled_csv_split(spark, sf):
+    """Read by ranges, with each record's place in the files."""
+    src = fx.fx_gold(spark, sf).select(*[F.col(a).alias(b) for a, b in zip(
+        ["id", "dialogue", "manipulative", "technique", "vulnerability"], S.LABELLED_COLUMNS)])
+    return S.read_labelled_csv(spark, numbered_file(src, "ID", "labelled"), multi_line="split", number="line_no")
+
+
+@query("align_by_position")
+def q_align_by_position(spark, sf):
+    """Gold labels and answers from two files, paired by their places in them."""
+    gold = fx.fx_gold(spark, sf).select("id", "dialogue", "manipulative")
+    answers = fx.fx_responses(spark, sf).filter("model = 'model_a' AND setting = 'zeroshot'").select(F.col("id").alias("r_id"), "response")
+    left = S.read_labelled_csv(spark, numbered_file(gold, "id", "gold"), multi_line="split", number="line_no")
+    right = S.read_labelled_csv(spark, numbered_file(answers, "r_id", "answers"), multi_line="split", number="line_no")
+    both = J.align_by_position(left.drop("dialogue"), right)
+    return both.select("line_no", "id", L.binarize_label("manipulative", "one").alias("y"), L.parse_yes_no("response").alias("p"))
+
+
 @query("read_annotations")
 def q_read_annotations(spark, sf):
     ann = fx.fx_annotations(spark, sf)
@@ -519,6 +543,19 @@ def q_train_binary(spark, sf):
     return M.train_binary(g)
 
 
+@query("train_epochs")
+def q_train_epochs(spark, sf):
+    """Every epoch of every run of the binary training, scored on the validation rows."""
+    g = R.split_exact(fx.fx_gold(spark, sf), seed=17, tie_cols=()).select(
+        "id", F.col("dialogue").alias("text"), L.binarize_label("manipulative").alias("label"), "split")
+    return M.train_epochs(g, max_iter=8)
+
+
+@query("best_training_run")
+def q_best_training_run(spark, sf):
+    return M.best_run(q_train_epochs(spark, sf))
+
+
 @query("train_multilabel")
 def q_train_multilabel(spark, sf):
     g = L.filter_measured(fx.fx_gold(spark, sf), "technique")

@@ -620,3 +620,11 @@ ORACLE["sft_text_by_label_column"] = " UNION ALL ".join(
     f"SELECT CAST(d.doc_id AS VARCHAR) AS id, {_q(_SFT_HEAD.format(q=q + ' Answer Yes or No.'))} || text || {_q(_SFT_TAIL)} || "
     f"CASE WHEN toxic = 1 THEN 'Yes.' ELSE 'No.' END AS sft_text, {_q(c)} AS label_column "
     "FROM documents d JOIN labels l ON d.doc_id = l.doc_id" for c, q in _ASKED.items())
+
+ORACLE["read_labelled_csv_split"] = with_views(
+    "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, id, replace(dialogue, chr(13) || chr(10), chr(10)) AS dialogue, "
+    "manipulative, technique, vulnerability FROM fx_gold", "fx_gold")
+ORACLE["align_by_position"] = with_views(
+    "SELECT row_number() OVER (ORDER BY g.doc_id) - 1 AS line_no, g.id, CASE WHEN manipulative = '1' THEN 1 ELSE 0 END AS y, "
+    "CASE WHEN lower(r.response) LIKE '%yes%' THEN 1 WHEN lower(r.response) LIKE '%no%' THEN 0 ELSE -1 END AS p "
+    "FROM fx_gold g JOIN fx_responses r ON g.id = r.id WHERE r.model = 'model_a' AND r.setting = 'zeroshot'", "fx_gold", "fx_responses")
