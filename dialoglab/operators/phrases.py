@@ -5,13 +5,23 @@ normalised text (lower case, every run of non letters/digits -> one
 space).  Each dialogue tests the (parameter-sized, size-checked) phrase list and only the
 hits leave the row.  Counting is a hash aggregate with map-side partials,
 so a phrase that occurs in most dialogues is no hot spot.
+
+Lemmatised phrases ("who pay you") are compared with the base forms of a text's words, and a list of any length is
+searched for with a word automaton: goto and failure links over the phrases' words, so a text is read once however many
+phrases there are.  Its size is bounded; a longer list comes in parts dealt by hash, each with a pass of its own over the texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lemmas import lemma
+
 NON_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -37,22 +47,141 @@ def word_ngrams(norm: Column, n: int) -> Column:
     return F.concat(*passes)
 
 
-#: Up to so many phrases, one substring test each is cheaper than n-grams; more than MAX_PHRASES is no parameter.
+#: Up to so many phrases, one substring test each is cheaper than n-grams; beyond MAX_PHRASES the automaton takes over.
 FEW_PHRASES, MAX_PHRASES = 256, 20_000
+#: Phrases of one automaton, which each Python worker holds (about 100 bytes a word).
+AUTOMATON_PHRASES = 200_000
+
+
+class Automaton:
+    """Finds every phrase of a list in a sequence of words (goto, failure and output links)."""
+
+    def __init__(self, phrases: list[list[str]]):
+        self.words: dict[str, int] = {}
+        self.goto: dict[int, int] = {}
+        self.fail, ends = [0], [-1]
+        parents, depth_first = [0], [[]]
+        for k, phrase in enumerate(phrases):
+            node = 0
+            for d, word in enumerate(phrase):
+                key = node << 32 | self.words.setdefault(word, len(self.words))
+                nxt = self.goto.get(key)
+                if nxt is None:
+                    nxt = self.goto[key] = len(ends)
+                    ends.append(-1)
+                    self.fail.append(0)
+                    parents.append(key)
+                    if d == len(depth_first):
+                        depth_first.append([])
+                    depth_first[d].append(nxt)
+                node = nxt
+            if node:
+                ends[node] = k
+        self.ends = ends
+        #: the next shorter phrase that ends where a node's words end
+        self.shorter = [0] * len(ends)
+        for level in depth_first:
+            for node in level:
+                parent, word = parents[node] >> 32, parents[node] & 0xFFFFFFFF
+                if parent:
+                    self.fail[node] = self._step(self.fail[parent], word)
+                f = self.fail[node]
+                self.shorter[node] = f if ends[f] >= 0 else self.shorter[f]
+
+    def _step(self, node: int, word: int) -> int:
+        while True:
+            nxt = self.goto.get(node << 32 | word)
+            if nxt is not None:
+                return nxt
+            if not node:
+                return 0
+            node = self.fail[node]
+
+    def find(self, words: list[str]) -> set[int]:
+        """Places in the list of all phrases that occur."""
+        found: set[int] = set()
+        node = 0
+        for word in map(self.words.get, words):
+            if word is None:
+                node = 0
+                continue
+            node = self._step(node, word)
+            at = node if self.ends[node] >= 0 else self.shorter[node]
+            while at:
+                found.add(self.ends[at])
+                at = self.shorter[at]
+        return found
+
+
+@lru_cache(maxsize=1 << 18)
+def _known_lemma(word: str) -> str:
+    return lemma(word)
+
+
+def _base_forms(extra: Mapping[str, str] | None):
+    extra = dict(extra or {})
+    return lambda word: extra[word] if word in extra else _known_lemma(word)
+
+
+def automaton_phrases(df: DataFrame, phrases: DataFrame, text_col: str, id_col: str, phrase_col: str, lemmas: bool,
+                      extra: Mapping[str, str] | None = None, most: int = AUTOMATON_PHRASES) -> DataFrame:
+    """``(id, phrase)`` by the automaton: a list of any length, at most about ``most`` phrases at a time."""
+    spark = df.sparkSession
+    listed = phrases.select(F.col(phrase_col).alias("phrase"), normalize_text(phrase_col).alias("_p")).where("_p <> ''").distinct()
+    n = listed.count()
+    parts = max(1, -(-n // most))
+    if parts > 1:  # read once, not once for each part
+        from ..session import scratch_path
+
+        path = scratch_path(spark, "phrases")
+        listed.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts))).write.partitionBy("part").parquet(path)
+        listed = spark.read.parquet(path)
+    texts = df.select(F.col(id_col).alias("id"), normalize_text(text_col).alias("_t"))
+    kind = texts.schema["id"].dataType.simpleString()
+    out = None
+    for k in range(parts):
+        own = listed if parts == 1 else listed.where(F.col("part") == k)
+        rows = [(r.phrase, r["_p"]) for r in own.select("phrase", "_p").collect()]  # at most about ``most``
+        found = texts.mapInArrow(_finder(spark.sparkContext.broadcast(rows), lemmas, extra), f"id {kind}, phrase string")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _finder(shared, lemmas: bool, extra: Mapping[str, str] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = _base_forms(extra) if lemmas else lambda word: word
+        forms: dict[tuple, list[str]] = {}
+        for phrase, norm in shared.value:
+            forms.setdefault(tuple(map(base, norm.split(" "))), []).append(phrase)
+        given = list(forms.values())
+        automaton = Automaton([list(x) for x in forms])
+        for b in batches:
+            at, names = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                if t:
+                    for k in automaton.find(list(map(base, t.split(" ")))):
+                        at += [i] * len(given[k])
+                        names += given[k]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string())], ["id", "phrase"])
+
+    return run
 
 
 def dialogue_phrases(df: DataFrame, phrases: DataFrame, text_col: str = "dialogue", id_col: str = "id",
-                     phrase_col: str = "phrase") -> DataFrame:
+                     phrase_col: str = "phrase", lemmas: bool = False, extra: Mapping[str, str] | None = None) -> DataFrame:
     """``(id, phrase)`` for every phrase found in a dialogue (each pair once, however often the list repeats it).
 
-    The phrase list is a parameter: its distinct phrases are read by the driver, at most ``MAX_PHRASES`` of them (more
-    is an error).  The text is normalised once.  A short list becomes one substring test for each phrase in a generated
-    projection; a long one is intersected with the text's n-grams of the lengths that occur.
+    The text is normalised once.  A short list becomes one substring test for each phrase in a generated
+    projection; a longer one is intersected with the text's n-grams of the lengths that occur; more than ``MAX_PHRASES``
+    are searched for with the automaton.  With ``lemmas`` the automaton compares base forms
+    (:mod:`dialoglab.functions.lemmas`; ``extra`` adds forms), so "who pay you" finds "who paid you".
     """
+    if lemmas:
+        return automaton_phrases(df, phrases, text_col, id_col, phrase_col, True, extra)
     listed = phrases.select(F.col(phrase_col).alias("phrase"), normalize_text(phrase_col).alias("_p")).distinct()
     listed = [tuple(r) for r in listed.filter("_p <> ''").limit(MAX_PHRASES + 1).collect()]
     if len(listed) > MAX_PHRASES:
-        raise ValueError(f"more than {MAX_PHRASES} phrases")
+        return automaton_phrases(df, phrases, text_col, id_col, phrase_col, False)
     forms: dict[str, list[str]] = {}
     for phrase, norm in sorted(listed):
         forms.setdefault(norm, []).append(phrase)
@@ -73,9 +202,9 @@ def dialogue_phrases(df: DataFrame, phrases: DataFrame, text_col: str = "dialogu
 
 
 def match_key_phrases(df: DataFrame, phrases: DataFrame, text_col: str = "dialogue", id_col: str = "id",
-                      phrase_col: str = "phrase") -> DataFrame:
+                      phrase_col: str = "phrase", lemmas: bool = False, extra: Mapping[str, str] | None = None) -> DataFrame:
     """For every distinct phrase, the number of dialogues containing it (0 when none)."""
-    hits = dialogue_phrases(df, phrases, text_col, id_col, phrase_col)
+    hits = dialogue_phrases(df, phrases, text_col, id_col, phrase_col, lemmas, extra)
     counts = hits.groupBy("phrase").agg(F.count(F.lit(1)).cast("bigint").alias("n_dialogues"))
     return phrases.select(F.col(phrase_col).alias("phrase")).distinct().join(counts, "phrase", "left").select(
         "phrase", F.coalesce("n_dialogues", F.lit(0)).cast("bigint").alias("n_dialogues"))

@@ -631,6 +631,22 @@ def q_match_key_phrases(spark, sf):
     return PH.match_key_phrases(fx.fx_corpora(spark, sf), fx.fx_phrases(spark))
 
 
+@query("match_key_phrases_automaton")
+def q_match_key_phrases_automaton(spark, sf):
+    """Every pair of neighbouring words that some dialogue begins with is a phrase: a list that grows with the data."""
+    c = fx.fx_corpora(spark, sf)
+    words = F.split(PH.normalize_text("dialogue"), " ")
+    own = c.select(F.array_join(F.slice(words, 1, 2), " ").alias("phrase")).distinct()
+    hits = PH.automaton_phrases(c, own, "dialogue", "id", "phrase", lemmas=False)
+    return hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_dialogues"))
+
+
+@query("match_key_phrases_lemmas")
+def q_match_key_phrases_lemmas(spark, sf):
+    """Base forms: a word that ends in -s, -ed or -ing stands for its base form."""
+    return PH.match_key_phrases(fx.fx_corpora(spark, sf), fx.fx_phrases(spark), lemmas=True)
+
+
 # ---------------------------------------------------------------------------
 # input that is not clean, and the other settings of operators
 # ---------------------------------------------------------------------------

@@ -628,3 +628,9 @@ ORACLE["align_by_position"] = with_views(
     "SELECT row_number() OVER (ORDER BY g.doc_id) - 1 AS line_no, g.id, CASE WHEN manipulative = '1' THEN 1 ELSE 0 END AS y, "
     "CASE WHEN lower(r.response) LIKE '%yes%' THEN 1 WHEN lower(r.response) LIKE '%no%' THEN 0 ELSE -1 END AS p "
     "FROM fx_gold g JOIN fx_responses r ON g.id = r.id WHERE r.model = 'model_a' AND r.setting = 'zeroshot'", "fx_gold", "fx_responses")
+ORACLE["match_key_phrases_automaton"] = with_views(
+    "WITH d AS (SELECT id, trim(regexp_replace(lower(dialogue), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t FROM fx_corpora), "
+    "w AS (SELECT id, string_split(t, ' ') AS ws FROM d), "
+    "p AS (SELECT DISTINCT array_to_string(ws[1:2], ' ') AS phrase FROM w WHERE array_to_string(ws[1:2], ' ') <> ''), "
+    "g AS (SELECT DISTINCT id, unnest(list_concat(ws, [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))])) AS phrase FROM w) "
+    "SELECT phrase, count(*) AS n_dialogues FROM g JOIN p USING (phrase) GROUP BY phrase", "fx_corpora")
