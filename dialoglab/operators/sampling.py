@@ -2,7 +2,8 @@
 
 Rows are ordered by ``md5('<seed>:<id>')``.  :func:`~dialoglab.plans.ranking.seeded_cuts`
 finds the keys at the ranks where a sample or split ends; each row is then
-compared with them where it is, so neither rows nor texts are shuffled.  The
+compared with them where it is, so neither rows nor texts are shuffled: the cuts of up to
+``MAX_GROUPS`` groups are broadcast, and more need ``many_groups=True``, which shuffles rows.  The
 sizes follow the Python conventions of the original scripts (``int(r * n)`` for
 splits, ``ceil(r * n)`` for a hold-out test set), computed in DOUBLE exactly
 like Python does.  Results do not depend on the input partitioning.
@@ -20,7 +21,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ranking import null_safe_join, order_key, seeded_cuts
+from ..plans.ranking import join_groups, order_key, seeded_cuts
 
 
 def _cut(df: DataFrame, id_col: str, seed: int, ranks: dict, tie_cols: Sequence[str] | None) -> DataFrame:
@@ -68,25 +69,25 @@ def holdout(df: DataFrame, test_size: float = 0.2, seed: int = 42, id_col: str =
 
 
 def _first_of_groups(df: DataFrame, by: list[str], rank, seed: int, id_col: str,
-                     tie_cols: Sequence[str] | None) -> DataFrame:
-    """The rows of each group up to ``rank``; the cuts (one row per group) are joined to the rows."""
+                     tie_cols: Sequence[str] | None, many_groups: bool) -> DataFrame:
+    """The rows of each group up to ``rank``; the cuts (one row per group) are brought to the rows."""
     keyed = df.withColumn("_k", order_key(df, id_col, seed, tie_cols))
-    cuts = seeded_cuts(keyed, "_k", {"_cut": rank}, by)
-    return null_safe_join(keyed, cuts, by).filter(F.col("_k") <= F.col("_cut")).drop("_cut")
+    cuts = seeded_cuts(keyed, "_k", {"_cut": rank}, by, many_groups=many_groups)
+    return join_groups(keyed, cuts, by, many_groups).filter(F.col("_k") <= F.col("_cut")).drop("_cut")
 
 
 def balance_classes(df: DataFrame, label_col: str, seed: int = 0, id_col: str = "id",
-                    tie_cols: Sequence[str] | None = None) -> DataFrame:
+                    tie_cols: Sequence[str] | None = None, many_groups: bool = False) -> DataFrame:
     """Every class (NULL is one) sampled down to the size of the smallest class, without replacement."""
     smallest = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).select(F.min("n")).scalar()
-    return _first_of_groups(df, [label_col], smallest, seed, id_col, tie_cols).drop("_k").select(*df.columns)
+    return _first_of_groups(df, [label_col], smallest, seed, id_col, tie_cols, many_groups).drop("_k").select(*df.columns)
 
 
 def sample_per_group(df: DataFrame, by: str | Sequence[str], n: int = 500, seed: int = 11,
-                     id_col: str = "id", tie_cols: Sequence[str] | None = None) -> DataFrame:
+                     id_col: str = "id", tie_cols: Sequence[str] | None = None, many_groups: bool = False) -> DataFrame:
     """Exactly ``n`` rows per group (all rows of a smaller group)."""
     by = [by] if isinstance(by, str) else list(by)
-    return _first_of_groups(df, by, F.lit(n), seed, id_col, tie_cols).select(*df.columns)
+    return _first_of_groups(df, by, F.lit(n), seed, id_col, tie_cols, many_groups).select(*df.columns)
 
 
 def select_examples(
@@ -96,6 +97,7 @@ def select_examples(
     seed: int = 0,
     id_col: str = "id",
     tie_cols: Sequence[str] | None = None,
+    many_groups: bool = False,
 ) -> DataFrame:
     """Few-shot examples - ``k`` rows per class (or ``k`` rows of any class), never more.
 
@@ -115,7 +117,7 @@ def select_examples(
         else:
             kmap = F.create_map(*[x for c, k in k_by_class.items() for x in (F.lit(str(c)), F.lit(int(k)))])
             limit = F.coalesce(F.try_element_at(kmap, F.col(label_col).cast("string")), F.lit(0))
-        near = _first_of_groups(train, [label_col], limit, seed, id_col, tie_cols)
+        near = _first_of_groups(train, [label_col], limit, seed, id_col, tie_cols, many_groups)
         order = Window.partitionBy(label_col)
     near = near.withColumn("example_no", F.row_number().over(order.orderBy("_k")))
     return near.filter(F.col("example_no") <= limit).drop("_k").select(*train.columns, "example_no")

@@ -22,7 +22,7 @@ from pyspark.sql import types as Ty
 
 from ..functions.vocab import labels_for
 from ..operators.evaluation import ROUND
-from ..plans.ranking import null_safe_join
+from ..plans.ranking import join_groups
 from . import learners
 from .learners import NUM_FEATURES
 
@@ -168,21 +168,12 @@ def best_run(metrics: DataFrame, run_col: str = "run", epoch_col: str = "epoch",
 # --------------------------------------------------------------------------
 
 
-def _with_group_row(df: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
-    """``df`` with its group's row of ``groups`` (arrays of a dimension's length), NULL being a group.
-
-    A row of ``groups`` is one for each group, so that side is small unless groups are as many as rows: AQE
-    broadcasts it after measuring it, and splits a hot group of ``df`` where it shuffles.
-    """
-    return null_safe_join(df, groups, by, "left")
-
-
 def standardize(df: DataFrame, by: str | Sequence[str] = "class", vec_col: str = "embedding",
-                id_col: str = "id") -> DataFrame:
+                id_col: str = "id", many_groups: bool = False) -> DataFrame:
     """M5: z-score per group and dimension (population stdev; a zero stdev counts as 1).
 
     Output ``(id, pos, z)``.  Statistics are a (group, dimension) hash aggregate with partial sums in each task,
-    gathered into one row per group that whole vectors are joined with.
+    gathered into one row per group that is brought to the vectors (``many_groups``: more than fit a broadcast).
     """
     by = [by] if isinstance(by, str) else list(by)
     long = df.select(*by, F.posexplode(vec_col).alias("pos", "x"))
@@ -191,7 +182,7 @@ def standardize(df: DataFrame, by: str | Sequence[str] = "class", vec_col: str =
     sd = F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0))
     # one entry for each dimension
     groups = stats.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "mu", sd.alias("sd")))).alias("_st"))
-    rows = _with_group_row(df.select(F.col(id_col).alias("id"), *by, F.col(vec_col).alias("_v")), groups, by)
+    rows = join_groups(df.select(F.col(id_col).alias("id"), *by, F.col(vec_col).alias("_v")), groups, by, many_groups)
     z = F.zip_with("_v", "_st", lambda x, st: F.round((x.cast("double") - st["mu"]) / st["sd"], ROUND))
     return rows.select("id", F.posexplode(z).alias("pos", "z")).select("id", F.col("pos").cast("bigint").alias("pos"), "z")
 
@@ -226,7 +217,7 @@ def _gram_partials(df: DataFrame, by: list[str], vec_col: str) -> DataFrame:
 
 
 def project_2d(df: DataFrame, by: str | Sequence[str] = "class", vec_col: str = "embedding",
-               id_col: str = "id") -> DataFrame:
+               id_col: str = "id", many_groups: bool = False) -> DataFrame:
     """M6: 2-d coordinates, with a PCA fitted separately for every group.
 
     1. partial Gram matrices per task (numpy), summed per (group, entry);
@@ -267,7 +258,7 @@ def project_2d(df: DataFrame, by: str | Sequence[str] = "class", vec_col: str =
                             columns=[*by, "mu", "pc1", "pc2"])
 
     comps = summed.groupBy(*by).applyInPandas(fit, comp_schema)  # d + d^2 rows per group
-    rows = _with_group_row(df.select(F.col(id_col).alias("id"), *by, vec_col), comps, by)
+    rows = join_groups(df.select(F.col(id_col).alias("id"), *by, vec_col), comps, by, many_groups)
 
     def dot(vec, mu, pc):
         centred = F.zip_with(vec, mu, lambda a, b: a.cast("double") - b)

@@ -43,6 +43,24 @@ def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how:
     return left.join(right, cond, how).drop(*names.values())
 
 
+#: Groups whose one row each is broadcast to the rows; operators take ``many_groups=True`` beyond that.
+MAX_GROUPS = 4096
+
+
+def join_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], many_groups: bool = False) -> DataFrame:
+    """``df`` with its group's row of ``groups`` (one row for each group, NULL being one).
+
+    At most ``MAX_GROUPS`` rows are broadcast, so the rows of ``df`` stay where they are; more groups fail the query.  With ``many_groups`` the join is left to Spark, which shuffles both sides unless ``groups`` is small.
+    """
+    if many_groups:
+        return null_safe_join(df, groups, by)
+    few = groups.limit(MAX_GROUPS + 1).withColumn("_groups", F.count(F.lit(1)).over(Window.partitionBy()))  # over so many rows at most
+    # the check is made on the side of the groups: a filter above an outer join would turn it into an inner one
+    too_many = F.raise_error(F.lit(f"more than {MAX_GROUPS} groups: use many_groups=True")).cast("boolean")
+    few = few.where(F.when(F.col("_groups") <= MAX_GROUPS, F.lit(True)).otherwise(too_many)).drop("_groups")
+    return null_safe_join(df, F.broadcast(few), by)
+
+
 def order_key(df: DataFrame, id_col: str, seed: int, tie_cols: Sequence[str] | None = None) -> Column:
     """A string without NULLs that orders rows like ``md5('<seed>:<id>')``.
 
@@ -58,7 +76,7 @@ def order_key(df: DataFrame, id_col: str, seed: int, tie_cols: Sequence[str] | N
 
 
 def seeded_cuts(keyed: DataFrame, key_col: str, ranks: dict[str, Column], partition_cols: Sequence[str] = (),
-                hex_digits: int = DEFAULT_HEX_DIGITS) -> DataFrame:
+                hex_digits: int = DEFAULT_HEX_DIGITS, many_groups: bool = False) -> DataFrame:
     """One row per group (one row without groups): for each name in ``ranks`` the key at that rank.
 
     A rank is an expression over ``_n``, the number of rows of the group; ranks beyond it mean
@@ -78,6 +96,8 @@ def seeded_cuts(keyed: DataFrame, key_col: str, ranks: dict[str, Column], partit
                        (F.col("_c.rank") - F.col("_upto") + F.col("_bn")).alias("_want"))
     if not parts:
         edge = F.broadcast(edge)  # one row for each rank asked for
+    elif not many_groups:  # one for each group and rank; join_groups fails where there are more
+        edge = F.broadcast(edge.limit((MAX_GROUPS + 1) * len(ranks)))
     inside = null_safe_join(b, edge, [*parts, "_bkt"])
     nth = F.row_number().over(Window.partitionBy(*parts, "_name").orderBy("_k"))
     at = inside.withColumn("_i", nth).filter(F.col("_i") == F.col("_want"))
