@@ -31,7 +31,6 @@ from .common import bitmap, maybe_in, stage_table
 MAX_LIVE = 200_000
 SLOTS = 4
 MAX_KICKS = 64
-LAST_ID = (1 << 63) - 1
 
 
 class CuckooFilter:
@@ -106,10 +105,11 @@ class LiveIndex:
     def __init__(self):
         self.filter, self.live = CuckooFilter(), {}
 
-    def add(self, digest: bytes, length: int, doc_id: int, n: int) -> None:
+    def add(self, digest: bytes, length: int, doc_id, n: int) -> None:
         if self.filter.hit(digest) and self.filter.verified(digest):
             best = self.live[digest]
-            if (-length, doc_id) < (-best[0], best[1]):
+            # the longer row; of equal length the smaller id, NULL last
+            if length > best[0] or length == best[0] and doc_id is not None and (best[1] is None or doc_id < best[1]):
                 best[0], best[1] = length, doc_id
             best[2] += n
         else:
@@ -126,28 +126,27 @@ class LiveIndex:
         return len(self.live)
 
 
-_ENTRY = "digest binary, length bigint, best_id bigint, n bigint"
+_ENTRY = "digest binary, length bigint, best_id {id}, n bigint"
 
 
-def _batch(entries: list[tuple[bytes, list[int]]]) -> pa.RecordBatch:
+def _batch(entries: list[tuple[bytes, list]], schema: pa.Schema) -> pa.RecordBatch:
     cols = [[k for k, _ in entries], *([v[i] for _, v in entries] for i in range(3))]
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
-                                      ["digest", "length", "best_id", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema.names)
 
 
 def merge_entries(batches: Iterator[pa.RecordBatch], max_live: int | None) -> Iterator[pa.RecordBatch]:
     """Entries of a task, merged through its index; with ``max_live`` the oldest half leaves a full index."""
-    index = LiveIndex()
+    index, schema = LiveIndex(), None
     for b in batches:
+        schema = b.schema
         for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             index.add(*row)
             if max_live and len(index) >= max_live:
                 oldest = list(index.live)[: max_live // 2]
-                yield _batch([(k, index.remove(k)) for k in oldest])
+                yield _batch([(k, index.remove(k)) for k in oldest], schema)
     keys = list(index.live)
     for i in range(0, len(keys), 10_000):
-        yield _batch([(k, index.live[k]) for k in keys[i : i + 10_000]])
+        yield _batch([(k, index.live[k]) for k in keys[i : i + 10_000]], schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -159,47 +158,51 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def verdicts(keyed: DataFrame, max_live: int = MAX_LIVE) -> DataFrame:
-    """One row per digest: the doc_id that stays (LAST_ID: only NULL ids), its length and the number of rows."""
-    rows = keyed.select("digest", "length", F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).cast("long").alias("best_id"),
-                        F.lit(1).cast("long").alias("n"))
-    local = rows.mapInArrow(lambda it: merge_entries(it, max_live), _ENTRY)
+    """One row per digest: the doc_id that stays (NULL if no row has one), its length and the number of rows."""
+    rows = keyed.select("digest", "length", F.col("doc_id").alias("best_id"), F.lit(1).cast("long").alias("n"))
+    entry = _ENTRY.format(id=rows.schema["best_id"].dataType.simpleString())
+    local = rows.mapInArrow(lambda it: merge_entries(it, max_live), entry)
     # so many shares that a task's index holds about MAX_LIVE digests at most, whatever the input
     shares = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), keyed.count() // MAX_LIVE + 1)
-    return local.repartition(shares, "digest").mapInArrow(lambda it: merge_entries(it, None), _ENTRY)
+    return local.repartition(shares, "digest").mapInArrow(lambda it: merge_entries(it, None), entry)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: keep_id, group_size, kept, text_sha256."""
     keyed = stage_table(digests(docs), "digests")
     v = stage_table(verdicts(keyed), "verdicts").select(
-        F.col("digest").alias("v_digest"), F.col("best_id"), F.col("n").alias("group_size"))
+        F.col("digest").alias("v_digest"), F.col("best_id").alias("keep_id"), F.col("length").alias("keep_length"), F.col("n").alias("group_size"))
     j = keyed.join(v, keyed["digest"] == v["v_digest"])
-    keep = F.nullif(F.col("best_id"), F.lit(LAST_ID))
-    return j.select("doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"),
-                    F.lower(F.hex("digest")).alias("text_sha256"))
+    # a shorter row with the keeper's id isn't the keeper
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("length") == F.col("keep_length"))
+    return j.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, bits: int = 1 << 23) -> DataFrame:
     """``docs`` without the copies: one whole row of each group of equal texts stays.
 
-    Only rows of groups with copies go through a join; rows whose digest occurs once pass by a bitmap of the digests
-    that occur more often (it may only let too many through, never too few).
+    Digests are compared first, without texts.  Rows whose digest occurs once pass by a bitmap of the digests that occur more often,
+    and of the others only rows that a second bitmap takes for the keeper of their group go on, so copies leave
+    where they are read.  Bitmaps only ever let too many through: a join with the keepers decides.
     """
     keyed = stage_table(digests(docs), "digests")
     many = stage_table(verdicts(keyed).filter("n > 1"), "verdicts")
-    words = docs.sparkSession.sparkContext.broadcast(bitmap(many, F.col("digest"), bits))
+    spark = docs.sparkSession
+    often = spark.sparkContext.broadcast(bitmap(many, F.col("digest"), bits))
+    # rows that only seem to belong to a group are keepers, too
+    alone = keyed.filter(maybe_in(often, F.col("digest"), bits)).join(many.select("digest"), "digest", "left_anti")
+    keepers = stage_table(many.select("digest", F.col("best_id").alias("id"), "length").unionByName(
+        alone.select("digest", F.col("doc_id").alias("id"), "length")), "keepers")
+    chosen = spark.sparkContext.broadcast(bitmap(keepers, F.xxhash64("digest", "id", "length"), bits))
 
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.unhex(F.sha2(F.regexp_replace(text, r"[ \t-\r]+", "").cast("binary"), 256))
     marked = docs.withColumn("__digest", digest).withColumn("__length", F.char_length(text).cast("long"))
-
-    marked = marked.withColumn("__maybe", maybe_in(words, F.col("__digest"), bits))
-    single = marked.filter("NOT __maybe").select(*docs.columns)
-    v = many.select(F.col("digest").alias("__v"), F.col("best_id").alias("__best"), F.col("length").alias("__best_length"))
-    rest = marked.filter("__maybe")
-    best = rest.join(v, rest["__digest"] == v["__v"], "left").filter(
-        F.col("__v").isNull()
-        | ((F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).cast("long") == F.col("__best"))
-           & (F.col("__length") == F.col("__best_length"))))
+    marked = marked.withColumn("__often", maybe_in(often, F.col("__digest"), bits)).withColumn(
+        "__chosen", maybe_in(chosen, F.xxhash64("__digest", "doc_id", "__length"), bits))
+    single = marked.filter("NOT __often").select(*docs.columns)
+    v = keepers.select(F.col("digest").alias("__v"), F.col("id").alias("__id"), F.col("length").alias("__best"))
+    rest = marked.filter("__often AND __chosen")
+    best = rest.join(v, (rest["__digest"] == v["__v"]) & rest["doc_id"].eqNullSafe(v["__id"]) & (rest["__length"] == v["__best"]), "left_semi")
     # rows equal in doc_id and length too: one of them
     return single.unionByName(best.dropDuplicates(["__digest"]).select(*docs.columns))

@@ -27,9 +27,9 @@ def exact(rows):
     out = []
     for d, t in rows:
         key = "".join(c for c in t or "" if c not in SPACE)
-        keep = min(groups[key])[1]
+        size, keep = min(groups[key])
         keep = None if keep == math.inf else keep
-        out.append((d, keep, len(groups[key]), d == keep, sha(key.encode())))
+        out.append((d, keep, len(groups[key]), d == keep and len(t or "") == -size, sha(key.encode())))
     return out
 
 

@@ -60,6 +60,20 @@ def test_exact_dedup(docs):
     assert {(r.doc_id, brute.exact([(0, r.text)])[0][4]) for r in left} == best
 
 
+@pytest.mark.parametrize("kind,big", [("long", 2**63 - 1), ("string", "zz")])
+def test_exact_dedup_keeper(spark, kind, big):
+    """A shorter row with the keeper's id isn't the keeper; the largest id is an id; ids may be strings."""
+    one, two = (1, 2) if kind == "long" else ("1", "2")
+    rows = [(one, "a b"), (one, "ab"), (one, "a b"), (two, "a  b"), (two, "ab"), (big, "x y"), (None, "xy"), (None, "q"), (None, "q "), (big, "only one")]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(4)
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df).collect())
+    assert got == Counter([(one, two, 5, False)] * 3 + [(two, two, 5, True), (two, two, 5, False), (big, big, 2, True), (None, big, 2, False),
+                                                       (None, None, 2, False), (None, None, 2, True), (big, big, 1, True)])
+    for bits in (1 << 23, 64):  # nearly every digest seems to occur often in the small one
+        left = sorted((r.text for r in exact_dedup.drop_copies(df, bits).collect()))
+        assert left == ["a  b", "only one", "q ", "x y"]
+
+
 def test_cuckoo_index_inserts_deletes_and_grows():
     rng = np.random.default_rng(1)
     f = exact_dedup.CuckooFilter(buckets=2)
