@@ -16,6 +16,7 @@ so repeated rows repeat; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import chunks
 from .pieces import CACHE_CHARS, WHITE, PieceCache, Recent
 
+#: Entries of the caches of runs and words; most words are whole runs, so fewer of them are kept.
+RUN_ENTRIES, WORD_ENTRIES = 60_000, 20_000
 NO_PAIR = 1 << 62
 _POSITION = (1 << 32) - 1
 
@@ -98,7 +101,7 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys first << 32 | second of all pairs of tokens that merge, and the rank of what they become."""
-    keys, values = [], []
+    keys, values = array("q"), array("q")
     get = ranks.get
     for token, r in ranks.items():
         for i in range(1, len(token)):
@@ -106,7 +109,7 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
             if a is not None and (b := get(token[i:])) is not None:
                 keys.append(a << 32 | b)
                 values.append(r)
-    keys, values = np.array(keys, np.int64), np.array(values, np.int64)
+    keys, values = np.frombuffer(keys, np.int64), np.frombuffer(values, np.int64)
     order = np.argsort(keys)
     return np.append(keys[order], NO_PAIR), np.append(values[order], 0)
 
@@ -115,7 +118,7 @@ class Trees:
     """``merge_bytes`` for many pre-tokens at once."""
 
     #: Words of one array: so many, or so few that a row at a time is faster.
-    MOST, LEAST = 1 << 14, 24
+    MOST, LEAST = 1 << 12, 24
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -205,8 +208,8 @@ class Encoder:
         self.ranks = load_ranks(path)
         self.words = word_pattern(pattern)
         self.trees = Trees(self.ranks)
-        self.merged = Recent()
-        self.cache = PieceCache(self._runs)
+        self.merged = Recent(WORD_ENTRIES)
+        self.cache = PieceCache(self._runs, RUN_ENTRIES)
         tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, r in self.ranks.items():
             tokens[r] = token
@@ -246,7 +249,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         enc = _encoder(path, pattern)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            for a, z in chunks(texts, 2 << 20):
+            for a, z in chunks(texts):
                 ids = enc.raw(texts[a:z])
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
                 flat = np.concatenate(ids)

@@ -76,7 +76,7 @@ def _chunk_stats(texts: list[bytes]) -> list[np.ndarray]:
 
 def _stats(column: pa.Array) -> pa.Array:
     texts = utf8(column)
-    parts = [_chunk_stats(texts[a:b]) for a, b in chunks(texts)]
+    parts = [_chunk_stats(texts[a:b]) for a, b in chunks(texts, 1 << 19)]
     names = [x.split(":")[0] for x in _STATS[7:-1].split(",")]
     arrays = [pa.array(np.concatenate([p[i] for p in parts]) if parts else [], pa.int64()) for i in range(len(names))]
     return pa.StructArray.from_arrays(arrays, names)
