@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, maybe_in, stage_table
+from .common import bitmap, in_bitmap, maybe_in, probe_columns, stage_table
 
 #: Digests that a task's index holds at most.
 MAX_LIVE = 200_000
@@ -198,11 +198,18 @@ def drop_copies(docs: DataFrame, bits: int = 1 << 23) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.unhex(F.sha2(F.regexp_replace(text, r"[ \t-\r]+", "").cast("binary"), 256))
     marked = docs.withColumn("__digest", digest).withColumn("__length", F.char_length(text).cast("long"))
-    marked = marked.withColumn("__often", maybe_in(often, F.col("__digest"), bits)).withColumn(
-        "__chosen", maybe_in(chosen, F.xxhash64("__digest", "doc_id", "__length"), bits))
-    single = marked.filter("NOT __often").select(*docs.columns)
+
+    @F.arrow_udf("struct<often:boolean,chosen:boolean>")
+    def seems(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        hits = [pa.array(in_bitmap(w.value, x.to_numpy(), y.to_numpy())) for w, x, y in ((often, a, b), (chosen, c, d))]
+        return pa.StructArray.from_arrays(hits, ["often", "chosen"])
+
+    # both bitmaps in one call: two would take a Python worker each for every task
+    probes = [*probe_columns(F.col("__digest"), bits), *probe_columns(F.xxhash64("__digest", "doc_id", "__length"), bits)]
+    marked = marked.withColumn("__seems", seems.asNondeterministic()(*probes))
+    single = marked.filter("NOT __seems.often").select(*docs.columns)
     v = keepers.select(F.col("digest").alias("__v"), F.col("id").alias("__id"), F.col("length").alias("__best"))
-    rest = marked.filter("__often AND __chosen")
+    rest = marked.filter("__seems.often AND __seems.chosen")
     best = rest.join(v, (rest["__digest"] == v["__v"]) & rest["doc_id"].eqNullSafe(v["__id"]) & (rest["__length"] == v["__best"]), "left_semi")
     # rows equal in doc_id and length too: one of them
     return single.unionByName(best.dropDuplicates(["__digest"]).select(*docs.columns))
