@@ -19,6 +19,7 @@ from ..operators import evaluation as E
 from ..operators import joins as J
 from ..operators import phrases as PH
 from ..operators import prompts as B
+from ..operators import reliability as Q
 from ..operators import sampling as R
 from ..operators import scoring as M
 from ..operators import stats as A
@@ -397,6 +398,19 @@ def q_annotator_agreement(spark, sf):
     return G.annotator_agreement(fx.fx_annotations(spark, sf))
 
 
+@query("annotator_alpha")
+def q_annotator_alpha(spark, sf):
+    """Chance-corrected agreement on the binary label, blank votes left out."""
+    ann = fx.fx_annotations(spark, sf)
+    blank = {c: F.when(F.expr(cond), F.lit("")).otherwise(F.col(c)) for c, cond in fx.BLANK_CELLS.items() if c.startswith("manipulative")}
+    return Q.alpha(ann.withColumns(blank))
+
+
+@query("annotator_reliability")
+def q_annotator_reliability(spark, sf):
+    return Q.annotator_reliability(fx.fx_annotations(spark, sf), rounds=20)
+
+
 # ---------------------------------------------------------------------------
 # R: samples
 # ---------------------------------------------------------------------------

@@ -634,3 +634,11 @@ ORACLE["match_key_phrases_automaton"] = with_views(
     "p AS (SELECT DISTINCT array_to_string(ws[1:2], ' ') AS phrase FROM w WHERE array_to_string(ws[1:2], ' ') <> ''), "
     "g AS (SELECT DISTINCT id, unnest(list_concat(ws, [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))])) AS phrase FROM w) "
     "SELECT phrase, count(*) AS n_dialogues FROM g JOIN p USING (phrase) GROUP BY phrase", "fx_corpora")
+_VOTES = ", ".join(f"CASE WHEN {BLANK_CELLS[c]} THEN '' ELSE {c} END" if c in BLANK_CELLS else c for c in (f"manipulative_{k}" for k in (1, 2, 3)))
+ORACLE["annotator_alpha"] = with_views(
+    f"WITH l AS (SELECT id, unnest([{_VOTES}]) AS v FROM fx_annotations), "
+    "u AS (SELECT id, CAST(count(*) AS DOUBLE) AS m, CAST(count(*) FILTER (WHERE v = '1') AS DOUBLE) AS a FROM l WHERE v IN ('0', '1') "
+    "GROUP BY id HAVING count(*) >= 2), "
+    "s AS (SELECT count(*) AS n_units, sum(m) AS n, sum(2 * a * (m - a) / (m - 1)) AS o, sum(a) AS a FROM u) "
+    "SELECT n_units, CAST(n AS BIGINT) AS n_votes, round(o / n, 6) AS observed, round(2 * a * (n - a) / n / (n - 1), 6) AS expected, "
+    "round(1 - o * (n - 1) / (2 * a * (n - a)), 6) AS alpha FROM s", "fx_annotations")

@@ -14,7 +14,7 @@ from dialoglab.plans import ranking
 from dialoglab.plans.catalog import QUERIES, train_examples
 from dialoglab.plans.catalog import test_rows as rows_of_test
 
-SKIP = {"train_binary", "train_multilabel", "train_epochs", "best_training_run"}  # model fits run jobs while they are built
+SKIP = {"train_binary", "train_multilabel", "train_epochs", "best_training_run", "annotator_reliability"}  # model fits run jobs while they are built
 
 
 def _plan(spark, name):
