@@ -2,44 +2,39 @@
 
 Every document gives the hashes of its distinct line keys (64 bits each); Spark counts documents by hash, with
 partial sums in every task, so a line that a third of the documents share is a few rows by then.  Hashes are dealt into shards
-by their top bits, and one task for each shard builds a minimal perfect hash (levels of bit arrays: a key that is alone on
-its bit in a level gets the bit's rank as its slot, the others go to the next level) with two arrays by slot: a
-fingerprint and the count, cut off at 255.  Documents probe the arrays; no lines are joined or moved.  Two ways, with equal results:
-
-* ``in tasks``: only lines that many documents have can match, so only their hashes are indexed, with the
-  whole hash as fingerprint (9.5 bytes a line in all), which tells every other line.  Up to
-  ``MAX_BROADCAST`` such lines the shards are broadcast, and the texts are read, probed and cut where they are.
-* ``routed``, beyond that: all distinct lines are indexed with 8-bit fingerprints (about 2.5 bytes a line).  The documents'
-  line hashes go to their shard and probe its arrays in the stream behind the shard's row, so no task holds a
-  shard's probes, and a hot line's probes are spread over ``SALTS`` copies of its shard.  Every probe is of an indexed line, so
-  the answer is exact.  Hashes to drop come back as one list a document; documents that a bitmap of their ids lets
-  through are joined with their lists, all others pass as they are.
+by their top bits, and one task for each shard builds a minimal perfect hash over all its distinct hashes (levels of bit arrays: a
+key that is alone on its bit in a level gets the bit's rank as its slot, the others go to the next level) with two arrays by slot: an
+8-bit fingerprint and the count, cut off at 255 (about 2.5 bytes a line in all).
+
+The index grows with the corpus, so it is never broadcast.  The documents' line hashes go to their shard and probe its arrays in
+the stream behind the shard's row: no task holds a shard's probes, and a hot line's probes are spread over ``SALTS`` copies of its
+shard.  Every probe is of an indexed line, so the answer is exact.  Hashes to drop come back as one list a document; documents that
+a bitmap of their row keys lets through meet their lists, all others pass as they are, and no line's text is moved.
+
+A row's key is a hash of its doc_id and text, so rows without an id, or with one id, are no hot group.  Rows whose keys agree get one
+list; every hash in a list is of a line that many documents have, so the list is right for each of them.
 
 Two keys are taken for one when their 64-bit hashes agree.  Defined cases: NULL or empty text is one empty line; keys of
-fewer than ``min_chars`` code points are never dropped; a row counts as a document, so repeated rows count; rows that
-share a doc_id (or have none) get the same drop list, which is right for each; an empty table gives an empty result;
-other columns are kept by ``drop_common_lines`` and never read.
+fewer than ``min_chars`` code points are never dropped; a row counts as a document, so repeated rows count; an empty table
+gives an empty result; other columns are kept by ``drop_common_lines`` and never read.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, bitmap, chunks, maybe_in, mix, null_safe, stage_table, utf8
+from .common import SPACE_BYTES, bitmap, maybe_in, mix, stage_table, utf8
 
 MIN_CHARS = 1
 MIN_DOCS = 10
 SHARD_KEYS = 1 << 18
 SALTS = 4
-#: Lines to drop of which the arrays are broadcast (at most 40 MB); beyond that, hashes are routed to their shards.
-MAX_BROADCAST = 1 << 22
 #: Bits of a level for each key that reaches it.
 LEVEL_BITS = 2.0
 MAX_LEVELS = 40
@@ -69,14 +64,12 @@ class PerfectHash:
             return mix(keys + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.uint64(bits)
 
     @staticmethod
-    def _marks(keys: np.ndarray, kind) -> np.ndarray:
-        if kind == np.uint64:
-            return keys
+    def _marks(keys: np.ndarray) -> np.ndarray:
         return (mix(keys ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(56)).astype(np.uint8)
 
     @staticmethod
-    def build(keys: np.ndarray, counts: np.ndarray, whole: bool = False) -> PerfectHash:
-        """``keys`` are distinct; ``counts`` below 256; ``whole``: the key itself is its fingerprint."""
+    def build(keys: np.ndarray, counts: np.ndarray) -> PerfectHash:
+        """``keys`` are distinct; ``counts`` below 256."""
         levels, left = [], keys
         while len(left):
             if len(levels) == MAX_LEVELS:
@@ -86,11 +79,10 @@ class PerfectHash:
             alone = np.bincount(at.astype(np.int64), minlength=bits) == 1
             levels.append(np.packbits(alone, bitorder="little"))
             left = left[~alone[at.astype(np.int64)]]
-        kind = np.uint64 if whole else np.uint8
-        out = PerfectHash(levels, [], np.zeros(len(keys), kind), np.zeros(len(keys), np.uint8))
+        out = PerfectHash(levels, [], np.zeros(len(keys), np.uint8), np.zeros(len(keys), np.uint8))
         out._rank()
         slot = out.slots(keys)
-        out.marks[slot], out.counts[slot] = PerfectHash._marks(keys, kind), counts
+        out.marks[slot], out.counts[slot] = PerfectHash._marks(keys), counts
         return out
 
     def _rank(self) -> None:
@@ -121,31 +113,38 @@ class PerfectHash:
         slot = self.slots(keys)
         if not len(self.marks):
             return np.zeros(len(keys), np.uint8)
-        fits = (slot >= 0) & (self.marks[slot] == self._marks(keys, self.marks.dtype))
+        fits = (slot >= 0) & (self.marks[slot] == self._marks(keys))
         return np.where(fits, self.counts[slot], 0)
 
     def to_bytes(self) -> bytes:
-        head = np.array([len(self.marks), self.marks.itemsize, len(self.levels), *map(len, self.levels)], "<i8")
+        head = np.array([len(self.marks), len(self.levels), *map(len, self.levels)], "<i8")
         return b"".join([head.tobytes(), *(x.tobytes() for x in self.levels), self.marks.tobytes(), self.counts.tobytes()])
 
     @staticmethod
     def from_bytes(raw: bytes) -> PerfectHash:
-        n, width, n_levels = np.frombuffer(raw, "<i8", 3).tolist()
-        sizes = np.frombuffer(raw, "<i8", n_levels, 24)
-        at, levels = 24 + 8 * n_levels, []
+        n, n_levels = np.frombuffer(raw, "<i8", 2).tolist()
+        sizes = np.frombuffer(raw, "<i8", n_levels, 16)
+        at, levels = 16 + 8 * n_levels, []
         for s in sizes.tolist():
             levels.append(np.frombuffer(raw, np.uint8, s, at))
             at += s
-        marks = np.frombuffer(raw, np.uint64 if width == 8 else np.uint8, n, at)
-        out = PerfectHash(levels, [], marks, np.frombuffer(raw, np.uint8, n, at + n * width))
+        out = PerfectHash(levels, [], np.frombuffer(raw, np.uint8, n, at), np.frombuffer(raw, np.uint8, n, at + n))
         out._rank()
         return out
 
 
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def row_key() -> Column:
+    """The same for the same doc_id and text, in whichever task a row is read."""
+    return F.xxhash64(F.col("doc_id"), _text())
+
+
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, h): the hashes of each document's distinct line keys."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    """(row, h): the hashes of each document's distinct line keys."""
+    rows = docs.select(row_key().alias("row"), _text().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,21 +159,21 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     flat, owner = [], []
             yield _pairs(b.column(0), owner, flat)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, h bigint")
+    return rows.mapInArrow(run, "row bigint, h bigint")
 
 
-def _pairs(ids: pa.Array, owner: list[int], hashes: list[int]) -> pa.RecordBatch:
+def _pairs(rows: pa.Array, owner: list[int], hashes: list[int]) -> pa.RecordBatch:
     h = np.array(hashes, np.uint64).view(np.int64)
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(owner, pa.int64())), pa.array(h)], ["doc_id", "h"])
+    return pa.RecordBatch.from_arrays([rows.take(pa.array(owner, pa.int64())), pa.array(h)], ["row", "h"])
 
 
-def build_index(counts: DataFrame, bits: int, whole: bool = False) -> DataFrame:
+def build_index(counts: DataFrame, bits: int) -> DataFrame:
     """(shard, arrays) from (h, n): one perfect hash for each shard, the shard being the top ``bits`` of h."""
     shard = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
 
     def build(table: pa.Table) -> pa.Table:
         keys = table.column("h").to_numpy().view(np.uint64)
-        made = PerfectHash.build(keys, np.minimum(table.column("n").to_numpy(), 255).astype(np.uint8), whole)
+        made = PerfectHash.build(keys, np.minimum(table.column("n").to_numpy(), 255).astype(np.uint8))
         return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "arrays": [made.to_bytes()]})
 
     return counts.select(shard.alias("shard"), "h", "n").groupBy("shard").applyInArrow(build, "shard int, arrays binary")
@@ -186,7 +185,7 @@ def _shard_bits(n: int, shard_keys: int) -> int:
 
 def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS,
                  shard_keys: int = SHARD_KEYS, salts: int = SALTS) -> DataFrame:
-    """(doc_id, drop): for each document with lines to drop, the hashes of their keys."""
+    """(row, drop): for each row key with lines to drop, the hashes of their keys."""
     if not 1 <= min_docs <= 255:
         raise ValueError("counts are kept in 8 bits")
     pairs = stage_table(line_hashes(docs, min_chars), "lines")
@@ -196,10 +195,9 @@ def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
 
     shard = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
     copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "arrays")
-    kind = pairs.schema["doc_id"].dataType.simpleString()
-    stream = copies.select("shard", "salt", "arrays", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("h")).unionByName(
-        pairs.select(shard.alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
-                     F.lit(None).cast("binary").alias("arrays"), "doc_id", "h"))
+    stream = copies.select("shard", "salt", "arrays", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("h")).unionByName(
+        pairs.select(shard.alias("shard"), F.pmod("row", F.lit(salts)).cast("int").alias("salt"),
+                     F.lit(None).cast("binary").alias("arrays"), "row", "h"))
     # an index row sorts before the probes of its shard and salt
     dealt = stream.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("arrays").isNull())
 
@@ -215,34 +213,10 @@ def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
                 if z > a + 1:
                     keep[a + 1 : z] = here.count(h[a + 1 : z]) >= min_docs
             rows = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([b.column(3).take(rows), b.column(4).take(rows)], ["doc_id", "h"])
-
-    hits = dealt.mapInArrow(probe, f"doc_id {kind}, h bigint")
-    return stage_table(hits.groupBy("doc_id").agg(F.collect_set("h").alias("drop")), "drops")
-
+            yield pa.RecordBatch.from_arrays([b.column(3).take(rows), b.column(4).take(rows)], ["row", "h"])
 
-class Arrays:
-    """The broadcast shards, opened once in a worker."""
-
-    opened: dict[str, Arrays] = {}
-
-    def __init__(self, bits: int, shards: dict[int, bytes]):
-        self.bits, self.shards = bits, {k: PerfectHash.from_bytes(v) for k, v in shards.items()}
-
-    @staticmethod
-    def of(name: str, bits: int, shards: dict[int, bytes]) -> Arrays:
-        if name not in Arrays.opened:
-            Arrays.opened = {name: Arrays(bits, shards)}  # an older one goes
-        return Arrays.opened[name]
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.uint8)
-        shard = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
-        for k, index in self.shards.items():
-            here = np.flatnonzero(shard == k)
-            if len(here):
-                out[here] = index.count(keys[here])
-        return out
+    hits = dealt.mapInArrow(probe, "row bigint, h bigint")
+    return stage_table(hits.groupBy("row").agg(F.collect_set("h").alias("drop")), "drops")
 
 
 _CUT = "struct<text:string,n_lines:bigint,n_dropped:bigint>"
@@ -254,55 +228,10 @@ def _struct(kept: list[bytes], lines: list[int], gone: list[int]) -> pa.Array:
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, bits: int = 1 << 23,
-                      max_broadcast: int = MAX_BROADCAST, shard_keys: int = SHARD_KEYS, salts: int = SALTS) -> DataFrame:
+                      shard_keys: int = SHARD_KEYS, salts: int = SALTS) -> DataFrame:
     """``docs`` with ``__kept_text``, ``__n_lines`` (before) and ``__n_dropped`` appended."""
-    if not 1 <= min_docs <= 255:
-        raise ValueError("counts are kept in 8 bits")
-    counts = line_hashes(docs, min_chars).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    common = stage_table(counts.filter(F.col("n") >= min_docs), "common")
-    n = common.count()
-    text = F.col("text").cast("string")
-    if n > max_broadcast:
-        out = _routed(docs, min_docs, min_chars, bits, shard_keys, salts)
-    else:
-        shard_bits = _shard_bits(n, shard_keys)
-        rows = build_index(common, shard_bits, whole=True).collect()  # at most max_broadcast lines
-        shared = docs.sparkSession.sparkContext.broadcast({r.shard: bytes(r.arrays) for r in rows})
-        name = uuid.uuid4().hex
-
-        @F.arrow_udf(_CUT)
-        def cut(column: pa.Array) -> pa.Array:
-            arrays = Arrays.of(name, shard_bits, shared.value)
-            texts = utf8(column)
-            kept, lines, gone = [], [], []
-            for a, z in chunks(texts):
-                split = [t.split(b"\n") for t in texts[a:z]]
-                keys = [line_key(x) for ls in split for x in ls]
-                h = np.fromiter(map(key_hash, keys), np.uint64, len(keys))
-                drop = (arrays.counts(h) >= min_docs).tolist()
-                at = 0
-                for ls in split:
-                    mine = drop[at : at + len(ls)]
-                    if True in mine:
-                        left = [x for k, (x, d) in enumerate(zip(ls, mine, strict=True))
-                                if not (d and _long_enough(keys[at + k], min_chars))]
-                    else:
-                        left = ls
-                    kept.append(b"\n".join(left))
-                    lines.append(len(ls))
-                    gone.append(len(ls) - len(left))
-                    at += len(ls)
-            return _struct(kept, lines, gone)
-
-        out = docs.withColumn("__cut", cut.asNondeterministic()(text))
-    return out.select(*[out[c] for c in docs.columns], F.col("__cut.text").alias("__kept_text"),
-                      F.col("__cut.n_lines").alias("__n_lines"), F.col("__cut.n_dropped").alias("__n_dropped"))
-
-
-def _routed(docs: DataFrame, min_docs: int, min_chars: int, bits: int, shard_keys: int, salts: int) -> DataFrame:
-    """``docs`` with ``__cut``, by way of the shards."""
     drops = common_lines(docs, min_docs, min_chars, shard_keys, salts)
-    words = docs.sparkSession.sparkContext.broadcast(bitmap(drops, F.col("doc_id"), bits))
+    words = docs.sparkSession.sparkContext.broadcast(bitmap(drops, F.col("row"), bits))
 
     @F.arrow_udf(_CUT)
     def cut(text: pa.Array, drop: pa.Array) -> pa.Array:
@@ -319,15 +248,18 @@ def _routed(docs: DataFrame, min_docs: int, min_chars: int, bits: int, shard_key
             gone.append(len(lines) - len(left))
         return _struct(kept, n_lines, gone)
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = _text()
     n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    marked = docs.withColumn("__maybe", maybe_in(words, F.col("doc_id"), bits))
+    keyed = docs.withColumn("__row", row_key())
+    marked = keyed.withColumn("__maybe", maybe_in(words, F.col("__row"), bits))
     same = F.struct(text.alias("text"), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     rest = marked.filter("NOT __maybe").select(*docs.columns, same.alias("__cut"))
-    d = drops.select(F.col("doc_id").alias("__drop_id"), F.col("drop").alias("__drop"))
-    hit = null_safe(marked.filter("__maybe"), d, [("doc_id", "__drop_id")], "left")
-    return rest.unionByName(hit.withColumn("__cut", cut.asNondeterministic()(text, F.col("__drop"))).select(
-        *[hit[c] for c in docs.columns], "__cut"))
+    d = drops.select(F.col("row").alias("__drop_row"), F.col("drop").alias("__drop"))
+    hit = marked.filter("__maybe").join(d, F.col("__row") == F.col("__drop_row"), "left")
+    hit = hit.withColumn("__cut", cut.asNondeterministic()(text, F.col("__drop")))
+    out = rest.unionByName(hit.select(*docs.columns, "__cut"))
+    return out.select(*docs.columns, F.col("__cut.text").alias("__kept_text"), F.col("__cut.n_lines").alias("__n_lines"),
+                      F.col("__cut.n_dropped").alias("__n_dropped"))
 
 
 def line_report(docs: DataFrame, **how) -> DataFrame:

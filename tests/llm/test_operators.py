@@ -216,11 +216,11 @@ def test_wrapped_licenses(spark):
     assert {r.doc_id: r.n_paragraphs for r in out} == {d: t.count("\n") + 1 for d, t in rows}
 
 
-@pytest.mark.parametrize("min_docs,min_chars,shard_keys,salts,most", [(10, 1, 1 << 18, 4, 1 << 22), (2, 3, 4, 2, 1 << 22),
-                                                                      (2, 3, 4, 2, 0), (3, 0, 16, 1, -1)])
-def test_line_dedup(docs, min_docs, min_chars, shard_keys, salts, most):
-    """Arrays that are broadcast, and (``most`` below what is found) hashes that are routed."""
-    got = line_dedup.line_report(docs, min_docs=min_docs, min_chars=min_chars, shard_keys=shard_keys, salts=salts, max_broadcast=most)
+@pytest.mark.parametrize("min_docs,min_chars,shard_keys,salts,bits", [(10, 1, 1 << 18, 4, 1 << 23), (2, 3, 4, 2, 1 << 23),
+                                                                      (2, 3, 4, 2, 64), (3, 0, 16, 1, 1 << 10)])
+def test_line_dedup(docs, min_docs, min_chars, shard_keys, salts, bits):
+    """One shard and many; bitmaps that let only some rows through, and (64 bits) nearly all."""
+    got = line_dedup.line_report(docs, min_docs=min_docs, min_chars=min_chars, shard_keys=shard_keys, salts=salts, bits=bits)
     assert rows_of(got, *got.columns) == sorted(brute.lines(pairs(docs), min_docs, min_chars), key=repr)
     kept = line_dedup.drop_common_lines(docs, min_docs=min_docs, min_chars=min_chars)
     assert kept.columns[: len(docs.columns)] == docs.columns
@@ -236,8 +236,6 @@ def test_perfect_hash_is_minimal_and_survives_bytes():
         assert (made.count(keys) == counts).all()
         strange = np.setdiff1d(rng.integers(0, 1 << 63, 3000, dtype=np.uint64), keys)
         assert (made.count(strange) > 0).mean() < 0.05  # 8-bit fingerprints
-        whole = line_dedup.PerfectHash.from_bytes(line_dedup.PerfectHash.build(keys, counts, whole=True).to_bytes())
-        assert (whole.count(keys) == counts).all() and not whole.count(strange).any()
 
 
 def test_bpe_round_trip(docs):
