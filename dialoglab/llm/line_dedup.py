@@ -255,7 +255,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     same = F.struct(text.alias("text"), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     rest = marked.filter("NOT __maybe").select(*docs.columns, same.alias("__cut"))
     d = drops.select(F.col("row").alias("__drop_row"), F.col("drop").alias("__drop"))
-    hit = marked.filter("__maybe").join(d, F.col("__row") == F.col("__drop_row"), "left")
+    # the lists grow with the corpus: one plan at every size
+    hit = marked.filter("__maybe").join(d.hint("merge"), F.col("__row") == F.col("__drop_row"), "left")
     hit = hit.withColumn("__cut", cut.asNondeterministic()(text, F.col("__drop")))
     out = rest.unionByName(hit.select(*docs.columns, "__cut"))
     return out.select(*docs.columns, F.col("__cut.text").alias("__kept_text"), F.col("__cut.n_lines").alias("__n_lines"),
