@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .treebank import count_treebank
+
 # --- fixed values --------------------------------------------------------------
 PERSON_TAG = "<person>:"
 SPEAKER_PATTERNS = [r"Person\d+:", r"Turn \d+:", r"utterance \d+:"]
@@ -66,12 +68,16 @@ def tokens(col: str | Column) -> Column:
     return F.regexp_extract_all(_c(col), F.lit(TOKEN_PATTERN), 0)
 
 
-def count_tokens(col: str | Column) -> Column:
-    """Number of word/punctuation tokens.
+def count_tokens(col: str | Column, rule: str = "runs") -> Column:
+    """Number of word/punctuation tokens; ``rule="treebank"`` splits contractions and sentence ends (see ``treebank``).
 
     A token with the space before it becomes one letter (no space is left over except at the end), so the length of
     the result is the count and no array of tokens is built.
     """
+    if rule == "treebank":
+        return count_treebank(_c(col))
+    if rule != "runs":
+        raise ValueError("rule must be 'runs' or 'treebank'")
     text = F.regexp_replace(_c(col), r"\s*(?:" + TOKEN_PATTERN + ")", "x")
     return F.length(F.regexp_replace(text, r"\s+", "")).cast("bigint")
 

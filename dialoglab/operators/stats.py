@@ -130,11 +130,12 @@ def label_cross_cooccurrence(df: DataFrame, tech_col: str = "technique", vul_col
 
 
 def token_stats(df: DataFrame, by="dataset", text_col: str = "dialogue", tags="person",
-                extra: bool = False) -> DataFrame:
+                extra: bool = False, rule: str = "runs") -> DataFrame:
     """A5: mean number of tokens per dialogue after removing speaker tags.
 
     ``tags`` is a tag style or list of tags for all corpora, or maps a corpus (value of ``by``) to its own; corpora
-    that the map lacks keep their text.  ``extra`` adds min, max and approximate quartiles (one pass, mergeable sketches).
+    that the map lacks keep their text.  ``extra`` adds min, max and approximate quartiles (one pass, mergeable sketches);
+    ``rule`` is that of ``count_tokens``.
     """
     if isinstance(tags, Mapping):
         text = F.col(text_col)
@@ -142,7 +143,7 @@ def token_stats(df: DataFrame, by="dataset", text_col: str = "dialogue", tags="p
             text = F.when(F.col(_by(by)[0]).eqNullSafe(F.lit(name)), T.strip_speakers(text_col, own)).otherwise(text)
     else:
         text = T.strip_speakers(text_col, tags) if tags else F.col(text_col)
-    n = T.count_tokens(text)
+    n = T.count_tokens(text, rule)
     aggs = [F.round(F.avg(n), ROUND).alias("mean")]
     if extra:
         aggs += [F.min(n).alias("min"), F.max(n).alias("max"),

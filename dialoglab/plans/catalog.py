@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions import subwords as SW
 from ..functions import text as T
 from ..operators import annotators as G
 from ..operators import evaluation as E
@@ -236,6 +237,17 @@ def q_count_tokens(spark, sf):
     return c.select("id", T.count_tokens(T.strip_speakers("dialogue", "person")).alias("n_tokens"))
 
 
+@query("count_tokens_treebank")
+def q_count_tokens_treebank(spark, sf):
+    dia = fx.fx_dialogues(spark, sf)
+    return dia.select("id", T.count_tokens(T.strip_speakers("dialogue", "person"), rule="treebank").alias("n_tokens"))
+
+
+@query("token_stats_treebank")
+def q_token_stats_treebank(spark, sf):
+    return A.token_stats(fx.fx_corpora(spark, sf), rule="treebank")
+
+
 @query("truncate_tokens")
 def q_truncate_tokens(spark, sf):
     c = fx.fx_corpora(spark, sf)
@@ -248,6 +260,25 @@ def q_truncate_tokens_last(spark, sf):
     return c.select("id", T.truncate_tokens("dialogue", 4096, "last").alias("text"))
 
 
+def _model_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("truncate_pieces")
+def q_truncate_pieces(spark, sf):
+    pieces = SW.vocabulary_of(_model_file())
+    c = fx.fx_corpora(spark, sf)
+    return c.select("id", SW.truncate_pieces("dialogue", pieces, 500).alias("text"), SW.count_pieces("dialogue", pieces).alias("n_pieces"))
+
+
+@query("truncate_model_tokens")
+def q_truncate_model_tokens(spark, sf):
+    c = fx.fx_corpora(spark, sf)
+    return c.select("id", SW.truncate_model_tokens("dialogue", _model_file(), 500, "last").alias("text"))
+
+
 @query("binarize_label")
 def q_binarize_label(spark, sf):
     return fx.fx_gold(spark, sf).select("id", L.binarize_label("manipulative", "one").alias("label"))

@@ -7,6 +7,7 @@ Written independently of the Spark operators: plain window functions,
 
 from __future__ import annotations
 
+from ..functions.treebank import RULES, SPACE
 from ..functions.vocab import ALIASES, EMOTIONS, TECHNIQUES, VULNERABILITIES, the_form
 from ..operators.prompts import DEFAULT_TEMPLATES, system_prompt
 from .fixtures import ANNOTATION_COLS, BLANK_CELLS, DIRTY_TECH, GOLD_TECH, GOLD_VUL, ORACLE_VIEWS, _q, with_views
@@ -107,6 +108,13 @@ def _tokens(x: str) -> str:
     return f"len(regexp_extract_all({x}, {TOKEN_RE}))"
 
 
+def _treebank(x: str) -> str:
+    out = f"(chr(10) || {x} || chr(10))"
+    for pattern, by in RULES:
+        out = f"regexp_replace({out}, {_q(pattern)}, {_q(by)}, 'g')"
+    return f"len(regexp_extract_all({out}, {_q(f'[^{SPACE}{chr(10)}]+')}))"
+
+
 NO_PERSON = "replace(replace(dialogue, 'Person1: ', ''), 'Person2: ', '')"
 ANN_NAMES = ", ".join(f'"{n}"' for n, _ in ANNOTATION_COLS)
 
@@ -177,6 +185,10 @@ ORACLE.update({
         "fx_dialogues"),
     "count_tokens": with_views(f"SELECT id, CAST({_tokens(NO_PERSON)} AS BIGINT) AS n_tokens FROM fx_corpora",
                                "fx_corpora"),
+    "count_tokens_treebank": with_views(f"SELECT id, CAST({_treebank(NO_PERSON)} AS BIGINT) AS n_tokens FROM fx_dialogues",
+                                        "fx_dialogues"),
+    "token_stats_treebank": with_views(
+        f"SELECT dataset, round(avg({_treebank(NO_PERSON)}), 6) AS mean FROM fx_corpora GROUP BY dataset", "fx_corpora"),
     "truncate_tokens": with_views(
         "SELECT id, CASE WHEN len(w) <= 500 THEN dialogue ELSE array_to_string(list_slice(w, 1, 500), ' ') END AS text "
         "FROM (SELECT id, dialogue, regexp_extract_all(dialogue, '\\S+') AS w FROM fx_corpora) t", "fx_corpora"),
