@@ -26,6 +26,7 @@ from ..operators import scoring as M
 from ..operators import stats as A
 from ..sources import readers as S
 from ..sources import writers as W
+from ..streaming import turns as TU
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,6 +180,21 @@ def q_read_turn_table(spark, sf):
     return S.read_turn_table(spark, path)
 
 
+@query("stream_dialogues")
+def q_stream_dialogues(spark, sf):
+    # a conversation's turns come within minutes; files hold them in any order
+    began = F.pmod("conv_id", F.lit(1800)) + F.col("turn")
+    turns = fx.table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("id"), "turn", "text", F.timestamp_seconds(F.lit(1_600_000_000) + began).alias("at"))
+    folder = W.new_path(turns, "arriving")
+    turns.repartition(4, "turn").write.parquet(f"{folder}/part=0")
+    TU.heartbeat(spark, "2020-12-31 00:00:00").write.parquet(f"{folder}/part=1")
+    target = W.new_path(turns, "closed")
+    TU.start_dialogue_stream(spark, f"{folder}/*", target, W.new_path(turns, "stream"), silence="1 hour", late="2 hours",
+                             max_files_per_trigger=2).awaitTermination()
+    return TU.closed_dialogues(spark, target).select("id", "dialogue")
+
+
 @query("read_text_column_csv")
 def q_read_text_column_csv(spark, sf):
     dia = fx.fx_dialogues(spark, sf)

@@ -159,6 +159,11 @@ ORACLE.update({
         + _strip("replace(text, '@USER', '')")
         + ", chr(10) ORDER BY turn) AS dialogue FROM conversations GROUP BY conv_id"
     ),
+    "stream_dialogues": (
+        "SELECT CAST(conv_id AS VARCHAR) AS id, string_agg('Turn ' || CAST(turn AS VARCHAR) || ': ' || "
+        + _strip("replace(text, '@USER', '')")
+        + ", chr(10) ORDER BY turn) AS dialogue FROM conversations GROUP BY conv_id"
+    ),
     "read_text_column_csv": with_views(
         f"SELECT md5(dialogue) AS id, dialogue FROM (SELECT {_strip('dialogue')} AS dialogue FROM fx_dialogues) t",
         "fx_dialogues"),

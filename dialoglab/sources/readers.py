@@ -120,6 +120,19 @@ def read_thread_jsonl(spark: SparkSession, paths, ids: str = "text") -> DataFram
     return out.select(F.coalesce("id", own).alias("id"), "dialogue")
 
 
+def turn_line(turn_col: str, text_col: str, prefix: str = "Turn ", remove: Sequence[str] = ("@USER",)) -> Column:
+    """A turn as a line of its dialogue."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    for r in remove:
+        t = F.replace(t, F.lit(r), F.lit(""))
+    return F.concat(F.lit(prefix), F.col(turn_col).cast("string"), F.lit(": "), strip(t))
+
+
+def lines_in_order(turn: str, line: str) -> Column:
+    """Aggregate: the lines of a group, by turn and then by text, joined by newline."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(turn, line))), lambda x: x[line]), "\n")
+
+
 def assemble_dialogues(df: DataFrame, id_col: str, turn_col: str, text_col: str,
                        prefix: str = "Turn ", remove: Sequence[str] = ("@USER",)) -> DataFrame:
     """Turn rows -> one dialogue per id: clean, tag ``Turn <n>: ``, join by newline in turn order.
@@ -128,14 +141,9 @@ def assemble_dialogues(df: DataFrame, id_col: str, turn_col: str, text_col: str,
     dialogue meet in one task (the output row itself has that size); all
     other dialogues are spread by the hash of their id.
     """
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    for r in remove:
-        t = F.replace(t, F.lit(r), F.lit(""))
-    line = F.concat(F.lit(prefix), F.col(turn_col).cast("string"), F.lit(": "), strip(t))
+    line = turn_line(turn_col, text_col, prefix, remove)
     rows = df.select(F.col(id_col).alias("id"), F.col(turn_col).cast("bigint").alias("_t"), line.alias("_line"))
-    return rows.groupBy("id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_t", "_line"))), lambda x: x["_line"]), "\n")
-        .alias("dialogue"))
+    return rows.groupBy("id").agg(lines_in_order("_t", "_line").alias("dialogue"))
 
 
 def read_turn_table(spark: SparkSession, path, multi_line: bool | str = True) -> DataFrame:
