@@ -34,6 +34,7 @@ from .operators.evaluation import (
     response_quality,
 )
 from .operators.joins import join_predictions, unanswered, unanswered_ids
+from .operators.neighbours import neighbour_graph, project_neighbours
 from .operators.phrases import match_key_phrases
 from .operators.prompts import (
     attach_examples,

@@ -18,6 +18,7 @@ from ..functions import text as T
 from ..operators import annotators as G
 from ..operators import evaluation as E
 from ..operators import joins as J
+from ..operators import neighbours as N
 from ..operators import phrases as PH
 from ..operators import prompts as B
 from ..operators import reliability as Q
@@ -649,6 +650,11 @@ def q_project_2d(spark, sf):
     return M.project_2d(fx.fx_embeddings(spark, sf), "class")
 
 
+@query("project_neighbours")
+def q_project_neighbours(spark, sf):
+    return N.project_neighbours(fx.fx_embeddings(spark, sf), "class")
+
+
 # ---------------------------------------------------------------------------
 # Multi-label evaluation
 # ---------------------------------------------------------------------------

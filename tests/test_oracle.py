@@ -29,7 +29,7 @@ def _rows(cols, rows):
 
 def test_every_query_has_an_oracle_or_is_a_model():
     rows_only = set(QUERIES) - set(ORACLE)
-    assert rows_only == {"train_binary", "train_multilabel", "train_epochs", "best_training_run", "project_2d",
+    assert rows_only == {"train_binary", "train_multilabel", "train_epochs", "best_training_run", "project_2d", "project_neighbours",
                          "match_key_phrases_lemmas", "annotator_reliability", "truncate_pieces", "truncate_model_tokens"}
     assert set(ORACLE) <= set(QUERIES) <= set(entry.queries())
     assert set(ORACLE) <= set(entry.oracle_sql())
