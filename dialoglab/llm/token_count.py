@@ -3,13 +3,13 @@
 The model (a sentencepiece BPE with byte fallback) joins the two neighbouring symbols whose union has the best score,
 leftmost first, until none is left.  Here a batch of distinct pre-tokens lies in one ragged array of symbol ids (a row
 each, filled up at the end); every round looks up the rank of all neighbouring pairs, takes each row's lowest-rank pair and
-merges all rows at once; rows without a pair leave.  What survives is counted; a character that the vocabulary
+merges all rows at once; rows without a pair leave.  A row of over ``LONG`` symbols is an array of its own, whose pairs lie in
+lists by rank, and all of its lowest-rank pairs merge in one round.  What survives is counted; a character that the vocabulary
 lacks never merges and counts as its UTF-8 bytes.
 
 A pre-token is a run of spaces with the other characters after it: no piece has a space after another character,
 so no merge crosses.  A worker keeps the counts of recent pre-tokens, up to a fixed number.  A run of over ``LONG`` characters
-is cut where no piece has the two characters side by side, and what is still longer is merged with a heap, in
-n log n steps.
+is cut before that where no piece has the two characters side by side.
 
 Defined cases: NULL text counts as empty: no bytes, no tokens; special strings are ordinary text, as by the
 library's default; repeated rows repeat; an empty table gives an empty result; other columns are never read.
@@ -56,7 +56,6 @@ class Merger:
                 a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = (order[score[i]], i)
-        self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.rank = np.array([pairs[k][0] for k in self.keys.tolist()] + [NO_RANK], np.int32)
         self.union = np.array([pairs[k][1] for k in self.keys.tolist()] + [-1], np.int32)
@@ -110,27 +109,63 @@ class Merger:
                 break
         return count
 
-    def merge_long(self, sym: list[int]) -> int:
-        """Surviving symbols of one long run, with a heap of pairs."""
-        n = len(sym)
-        after, before, alive, left = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n, n
-
-        def offer(i: int) -> None:
-            if i >= 0 and (j := after[i]) < n and (p := self.pairs.get(sym[i] * self.size + sym[j] if sym[i] >= 0 <= sym[j] else -1)):
-                heapq.heappush(heap, (p[0], i, sym[i], sym[j], p[1]))
-
-        heap: list[tuple[int, int, int, int, int]] = []
-        for i in range(n):
-            offer(i)
-        while heap:
-            _, i, a, b, union = heapq.heappop(heap)
-            if not alive[i] or sym[i] != a or (j := after[i]) >= n or sym[j] != b:
+    def merge_long(self, symbols: list[int]) -> int:
+        """Surviving symbols of one long row.  Its pairs lie in lists by rank; a round merges all pairs of the lowest rank at once.
+
+        Of pairs that overlap, the first, third, ... of a chain merge.  Where a merge makes a pair of the same or a lower rank, that
+        pair comes before what is farther right, so the round ends there and the rest of its list waits.
+        """
+        n = len(symbols)
+        sym = np.array([-2, *symbols, -2], np.int32)  # nothing joins the ends
+        after, before = np.arange(1, n + 3), np.arange(-1, n + 1)
+        alive, waiting, order = np.ones(n + 2, bool), {}, []
+
+        def rank_of(at: np.ndarray) -> np.ndarray:
+            return self.rank[self._pair_at(sym[at], sym[after[at]])]
+
+        def wait(at: np.ndarray, rank: np.ndarray) -> None:
+            known = rank != NO_RANK
+            at, rank = at[known], rank[known]
+            by = np.argsort(rank, kind="stable")
+            at, rank = at[by], rank[by]
+            starts = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1]))) if len(at) else at
+            for r, part in zip(rank[starts].tolist(), np.split(at, starts[1:]), strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(order, r)
+                waiting[r].append(part)
+
+        everywhere = np.arange(1, n)
+        wait(everywhere, rank_of(everywhere))
+        left = n
+        while order:
+            low = heapq.heappop(order)
+            at = np.unique(np.concatenate(waiting.pop(low)))
+            at = at[alive[at]]
+            at = at[rank_of(at) == low]
+            if not len(at):
                 continue
-            sym[i], alive[j], after[i], left = union, False, after[j], left - 1
-            if after[j] < n:
-                before[after[j]] = i
-            offer(before[i])
-            offer(i)
+            index = np.arange(len(at))
+            chain = np.concatenate(([True], after[at[:-1]] != at[1:]))
+            all_at, at = at, at[(index - np.maximum.accumulate(np.where(chain, index, 0))) % 2 == 0]
+            gone = after[at]
+            union = self.union[self._pair_at(sym[at], sym[gone])]
+            ahead = before[at]
+            joined = np.concatenate(([False], gone[:-1] == ahead[1:]))  # what is to the left has just been merged
+            behind = np.where(joined, np.concatenate((union[:1], union[:-1])), sym[ahead])
+            early = (self.rank[self._pair_at(behind, union)] <= low) | (self.rank[self._pair_at(union, sym[after[gone]])] <= low)
+            if early.any():
+                end = int(early.argmax()) + 1
+                at, gone, union = at[:end], gone[:end], union[:end]
+            sym[at], alive[gone] = union, False
+            left -= len(at)
+            after[at] = after[gone]
+            before[after[at]] = at
+            fresh = np.unique(np.concatenate((at, before[at])))
+            wait(fresh, rank_of(fresh))
+            if early.any():
+                rest = all_at[all_at > at[-1]]
+                wait(rest, np.full(len(rest), low, np.int32))
         return left
 
     def counts(self, runs: list[str]) -> list[int]:

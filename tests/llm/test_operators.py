@@ -375,6 +375,28 @@ def test_token_counts_of_random_and_long_texts():
     assert own.count_texts(texts) == [len(sp.encode(t)) for t in texts]
 
 
+def test_long_rows_of_made_up_models():
+    """Rank-synchronous rounds against one merge at a time, where merges make pairs of lower, equal and higher rank."""
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        size = int(rng.integers(3, 9))
+        own = token_count.Merger.__new__(token_count.Merger)
+        chosen = {(int(a), int(b)) for a, b in rng.integers(0, size, (int(rng.integers(1, 14)), 2))}
+        pairs = {a * size + b: (int(rng.integers(0, 5)), int(rng.integers(0, size))) for a, b in chosen}
+        own.size, own.keys = size, np.array(sorted(pairs), np.int64)
+        own.rank = np.array([pairs[k][0] for k in sorted(pairs)] + [token_count.NO_RANK], np.int32)
+        own.union = np.array([pairs[k][1] for k in sorted(pairs)] + [-1], np.int32)
+        for _ in range(6):
+            row = rng.integers(-1, size, rng.integers(2, 40)).tolist()
+            want = list(row)
+            while (best := min(((pairs[a * size + b][0], i) for i, (a, b) in enumerate(zip(want, want[1:]))
+                                if a >= 0 <= b and a * size + b in pairs), default=None)) is not None:
+                i = best[1]
+                want[i : i + 2] = [pairs[want[i] * size + want[i + 1]][1]]
+            assert own.merge_long(row) == len(want), (row, pairs)
+            assert own.merge_rows([row]).tolist() == [len(want)]
+
+
 def test_mixing_targets_and_taken_words(docs):
     out = mixing.mix_report(docs, block_words=50).collect()
     assert rows_of(mixing.mix_report(docs, block_words=50), "doc_id", "taken") == sorted(((r.doc_id, r.taken) for r in out), key=repr)
