@@ -426,4 +426,5 @@ def license_report(docs: DataFrame, model: Model | None = None) -> DataFrame:
     out = scan(docs, model)
     sure = F.filter("found", lambda x: x["confirmed"])
     return out.select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_found"), F.size(sure).cast("long").alias("n_confirmed"),
-                      F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))).alias("families"))
+                      F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))).alias("families"),
+                      (F.size("found") - F.size(sure)).cast("long").alias("n_unconfirmed"))

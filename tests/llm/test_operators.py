@@ -158,6 +158,7 @@ def test_components_of_a_long_chain(spark):
 
 def test_licenses(docs):
     out = license_scan.license_report(docs).collect()
+    assert all(r.n_unconfirmed == r.n_found - r.n_confirmed >= 0 for r in out)
     assert sorted(((r.doc_id, r.n_paragraphs) for r in out), key=repr) == sorted(
         ((d, (t or "").count("\n") + 1) for d, t in pairs(docs)), key=repr)
     notices = {"released under the mit license.": "mit", "licensed under the apache license, version 2.0": "apache-2.0",
