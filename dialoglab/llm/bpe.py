@@ -4,7 +4,8 @@ A pre-token starts as single bytes.  Leaf i of the tree holds the rank of the pa
 rank) together with i, every inner node the smaller of its children, so the root is the leftmost pair of the lowest rank.  A merge
 changes three leaves: the pair itself, the one before it and the part that vanished; each is a point update of
 log n nodes, so a pre-token of n bytes takes n log n steps however long it is.  Words of like length are merged together: their
-trees are the rows of one array, and a step takes the root of each row, merges, and updates the rows level by level.
+trees are the rows of one array, and a step takes the root of each row, merges, and updates the rows level by level: whole levels of
+small trees, which are neighbouring numbers, and only the changed nodes of large ones.
 
 Words repeat, so a worker keeps the ids of recent ones, up to a fixed number; Spark deals the documents, one Arrow
 batch at a time, nothing is shuffled.
@@ -16,6 +17,7 @@ so repeated rows repeat; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +33,8 @@ from .pieces import CACHE_CHARS, WHITE, PieceCache, Recent
 #: Entries of the caches of runs and words; most words are whole runs, so fewer of them are kept.
 RUN_ENTRIES, WORD_ENTRIES = 60_000, 20_000
 NO_PAIR = 1 << 62
+#: How a pattern begins for which words of letters are told without it.
+LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+|"
 _POSITION = (1 << 32) - 1
 
 
@@ -99,37 +103,65 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys first << 32 | second of all pairs of tokens that merge, and the rank of what they become."""
-    keys, values = array("q"), array("q")
-    get = ranks.get
-    for token, r in ranks.items():
-        for i in range(1, len(token)):
-            a = get(token[:i])
-            if a is not None and (b := get(token[i:])) is not None:
-                keys.append(a << 32 | b)
-                values.append(r)
-    keys, values = np.frombuffer(keys, np.int64), np.frombuffer(values, np.int64)
-    order = np.argsort(keys)
-    return np.append(keys[order], NO_PAIR), np.append(values[order], 0)
+class PairTable:
+    """What every pair of tokens merges to: an open table of first << 32 | second, with the ranks beside it."""
+
+    EMPTY = -1
+    _MIX = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, ranks: dict[bytes, int]):
+        keys, values = array("q"), array("q")
+        get = ranks.get
+        for token, r in ranks.items():
+            for i in range(1, len(token)):
+                a = get(token[:i])
+                if a is not None and (b := get(token[i:])) is not None:
+                    keys.append(a << 32 | b)
+                    values.append(r)
+        keys, values = np.frombuffer(keys, np.int64), np.frombuffer(values, np.int64)
+        bits = max(4, (3 * len(keys)).bit_length())  # at most a third is taken
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ranks = np.full(1 << bits, self.EMPTY, np.int64), np.zeros(1 << bits, np.int32)
+        left, place = np.arange(len(keys)), self._place(keys)
+        while len(left):  # the first of those that want a free place gets it
+            free = np.flatnonzero(self.keys[place] == self.EMPTY)
+            _, first = np.unique(place[free], return_index=True)
+            won = free[first]
+            self.keys[place[won]], self.ranks[place[won]] = keys[left[won]], values[left[won]]
+            left, place = np.delete(left, won), np.delete(place, won)
+            place = (place + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * self._MIX) >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each pair merges, and the rank of what it becomes."""
+        place = self._place(keys)
+        there = self.keys[place]
+        left = np.flatnonzero((there != keys) & (there != self.EMPTY))
+        while len(left):
+            place[left] = (place[left] + 1) & self.mask
+            now = self.keys[place[left]]
+            there[left] = now
+            left = left[(now != keys[left]) & (now != self.EMPTY)]
+        return there == keys, self.ranks[place]
 
 
 class Trees:
     """``merge_bytes`` for many pre-tokens at once."""
 
-    #: Words of one array: so many, or so few that a row at a time is faster.
-    MOST, LEAST = 1 << 12, 24
+    #: Words of one array: so many, or so few that a row at a time is faster.  Leaves of a tree whose levels are updated whole.
+    MOST, LEAST, WHOLE = 1 << 12, 24, 32
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.keys, self.values = pair_table(ranks)
+        self.table = PairTable(ranks)
         self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
 
     def _pairs(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Leaves of the pairs (a, b) that start at ``at``."""
-        key = a << 32 | b
-        place = np.searchsorted(self.keys, key)
-        return np.where(self.keys[place] == key, self.values[place] << 32 | at, NO_PAIR)
+        known, rank = self.table.find((a << 32 | b).ravel())
+        return np.where(known.reshape(a.shape), rank.reshape(a.shape).astype(np.int64) << 32 | at, NO_PAIR)
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, 4 bytes each."""
@@ -153,6 +185,15 @@ class Trees:
                         out[k] = ids
         return out
 
+    @staticmethod
+    def _levels(tree: np.ndarray, size: int) -> np.ndarray:
+        """Update every inner node from the leaves."""
+        level = size
+        while level > 1:
+            np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2], out=tree[:, level // 2 : level])
+            level //= 2
+        return tree
+
     def _merge(self, words: list[bytes], size: int) -> list[bytes]:
         """Rows of one array: ``size`` leaves hold every pair of a word."""
         count = np.fromiter(map(len, words), np.int64, len(words))
@@ -165,31 +206,42 @@ class Trees:
         live = place[None, :] < count[:, None]
         tree = np.full((n, 2 * size), NO_PAIR, np.int64)
         tree[:, size:] = np.where(live[:, 1 : size + 1], self._pairs(token[:, :size], token[:, 1 : size + 1], place[None, :size]), NO_PAIR)
-        level = size
-        while level > 1:
-            tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
-            level //= 2
+        self._levels(tree, size)
+        # places in the arrays as they lie in memory
+        flat_tree, flat_token, flat_after, flat_before, flat_live = (x.reshape(-1) for x in (tree, token, after, before, live))
         row = np.arange(n)
         while True:
-            low = tree[row, 1]
-            row, low = row[low != NO_PAIR], low[low != NO_PAIR]
-            if not len(row):
+            low = flat_tree[2 * size * row + 1]
+            some = np.flatnonzero(low != NO_PAIR)
+            if not len(some):
                 break
+            row, low = row[some], low[some]
+            base, leaf = wide * row, 2 * size * row + size
             i, made = low & _POSITION, low >> 32
-            gone = after[row, i]
-            end = after[row, gone]
-            after[row, i] = end
-            token[row, i] = made
-            live[row, gone] = False
-            before[row, end] = i  # the column behind a word's end is never read
-            first = before[row, i]
+            gone = flat_after[base + i]
+            end = flat_after[base + gone]
+            flat_after[base + i] = end
+            flat_token[base + i] = made
+            flat_live[base + gone] = False
+            flat_before[base + end] = i  # the column behind a word's end is never read
+            first = flat_before[base + i]
             at_gone = np.minimum(gone, size - 1)  # a word's last byte has no pair of its own
-            tree[row, size + at_gone] = np.where(gone < size, NO_PAIR, tree[row, size + at_gone])
-            tree[row, size + i] = np.where(end < count[row], self._pairs(made, token[row, end], i), NO_PAIR)
-            has = first >= 0
-            at_first = np.where(has, first, i)
-            tree[row, size + at_first] = np.where(has, self._pairs(token[row, at_first], made, at_first), tree[row, size + i])
-            nodes = [size + at_gone, size + i, size + at_first]
+            flat_tree[leaf + at_gone] = np.where(gone < size, NO_PAIR, flat_tree[leaf + at_gone])
+            # the pairs with the part behind and with the one before, where there are such
+            behind, ahead = np.flatnonzero(end < count[row]), np.flatnonzero(first >= 0)
+            a = np.concatenate((made[behind], flat_token[(base + first)[ahead]]))
+            b = np.concatenate((flat_token[(base + end)[behind]], made[ahead]))
+            found = self._pairs(a, b, np.concatenate((i[behind], first[ahead])))
+            flat_tree[leaf + i] = NO_PAIR
+            flat_tree[(leaf + i)[behind]] = found[: len(behind)]
+            flat_tree[(leaf + first)[ahead]] = found[len(behind) :]
+            if size <= self.WHOLE:
+                if 2 * len(row) < len(tree):  # rows that are done aren't updated
+                    tree[row] = self._levels(tree[row], size)
+                else:
+                    self._levels(tree, size)
+                continue
+            nodes = [size + at_gone, size + i, size + np.where(first >= 0, first, i)]
             level = size
             while level > 1:
                 level //= 2
@@ -207,6 +259,8 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
         self.words = word_pattern(pattern)
+        # of such a pattern, letters with at most a space before them are a word, and signs behind them another
+        self.plain = re.compile(r"( ?[A-Za-z]+)([!-&(-/:-@\[-`{-~]*)").fullmatch if pattern.startswith(LETTERS) else lambda run: None
         self.trees = Trees(self.ranks)
         self.merged = Recent(WORD_ENTRIES)
         self.cache = PieceCache(self._runs, RUN_ENTRIES)
@@ -218,14 +272,24 @@ class Encoder:
     def _runs(self, runs: list[str]) -> list[bytes]:
         """Ids of each run, 4 bytes each: joined faster and held in less memory than numbers."""
         self.merged.turn()
-        cut = list(map(self.words.findall, runs))
-        known = {w: self.merged.get(w) for own in cut for w in own}
-        new = [w for w, ids in known.items() if ids is None]
-        for w, ids in zip(new, self.trees.merge([w.encode() for w in new]), strict=True):
+        plain, find = self.plain, self.words.findall
+        cut = [(m[1], m[2]) if (m := plain(run)) and m[2] else (run,) if m else find(run) for run in runs]
+        new, old = self.merged.new, self.merged.old
+        known, todo = {}, {}
+        for own in cut:
+            if len(own) == 1:  # the run's own entry holds its ids
+                todo[own[0]] = None
+                continue
+            for w in own:
+                if w not in known and (ids := new.get(w) or old.get(w)) is not None:
+                    known[w] = new[w] = ids
+                elif w not in known:
+                    todo[w] = True
+        for (w, part), ids in zip(todo.items(), self.trees.merge([w.encode() for w in todo]), strict=True):
             known[w] = ids
-            if len(w) <= CACHE_CHARS:
-                self.merged.new[w] = ids
-        return [b"".join(map(known.__getitem__, own)) for own in cut]
+            if part and len(w) <= CACHE_CHARS:
+                new[w] = ids
+        return [known[own[0]] if len(own) == 1 else b"".join(map(known.__getitem__, own)) for own in cut]
 
     def raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b"".join(parts), "<i4") for parts in self.cache.look_up(texts)]

@@ -94,33 +94,39 @@ class PieceCache:
     def __init__(self, solve: Callable[[list[str]], list], entries: int = CACHE_ENTRIES):
         self.solve, self.recent = solve, Recent(entries)
 
+    def _older(self, mine: list[str], found: list) -> list[int]:
+        """Fill in what the older generation knows, which moves up; the places that stay unknown."""
+        known, old, places = self.recent.new, self.recent.old, []
+        for j in _none_at(found):
+            value = old.get(mine[j])
+            if value is None:
+                places.append(j)
+            else:
+                found[j] = known[mine[j]] = value
+        return places
+
     def look_up(self, texts: list[str]) -> list[list]:
         """For each text, the results of its pieces in order."""
         self.recent.turn()
-        known, old = self.recent.new, self.recent.old
-        out, again, fresh = [], [], set()
+        known = self.recent.new
+        out, again, fresh = [], [], {}
         for at, t in enumerate(texts):
             mine = quick_pieces(t) if t else []
             found = list(map(known.get, mine))
             if None in found:
-                places = _none_at(found)
+                places = self._older(mine, found)
                 try:
                     for j in places:
                         check(mine[j])
                 except Crossed:
                     mine = slow_pieces(t)
                     found = list(map(known.get, mine))
-                    places = _none_at(found)
+                    places = self._older(mine, found)
                 new = [mine[j] for j in places]
-                fresh.update(new)
+                fresh.update(dict.fromkeys(new))
                 again.append((at, places, new))
             out.append(found)
-        todo = []
-        for k in fresh:
-            if k in old:
-                known[k] = old[k]
-            else:
-                todo.append(k)
+        todo = list(fresh)
         known.update(zip(todo, self.solve([run_of(k) for k in todo]), strict=True))
         for at, places, new in again:
             found = out[at]

@@ -5,6 +5,7 @@ import random
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 
 from dialoglab.llm import bpe, pieces, token_files
@@ -87,3 +88,37 @@ def test_a_token_over_two_runs_is_noticed():
     want = [x for r in (" ab", "cd") for x in eight._each([r])]
     eight.joins = lambda run: True
     assert [list(memoryview(x).cast("I")) for x in eight._solve([" ab", "cd"])] == want
+
+
+def test_old_entries_move_up_without_being_solved_again():
+    asked = []
+
+    def solve(runs):
+        asked.extend(runs)
+        return [r.encode() for r in runs]
+
+    cache = pieces.PieceCache(solve, 3)
+    for text in ("a b c d", "a b e", "a b a"):  # the second call turns the generations
+        assert b"".join(cache.look_up([text])[0]) == text.encode()
+    assert sorted(asked) == sorted(set(asked)) and cache.recent.new.keys() >= {"b"}
+
+
+def test_pairs_are_found_by_hash_and_levels_agree_at_every_size():
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abab": 257, b"ba": 258, b"aa": 259, b"abababab": 260}
+    table = bpe.PairTable(ranks)
+    keys = np.array([97 << 32 | 98, 98 << 32 | 98, 256 << 32 | 256, 257 << 32 | 257, 0], np.int64)
+    known, rank = table.find(keys)
+    assert known.tolist() == [True, False, True, True, False] and rank[known].tolist() == [256, 257, 260]
+    words = [bytes(rng.choice([97, 98], n).tolist()) for n in (2, 5, 9, 16, 17, 31, 33, 70) for rng in [np.random.default_rng(n)] for _ in range(40)]
+    got = bpe.Trees(ranks).merge(words)
+    assert [np.frombuffer(x, "<i4").tolist() for x in got] == [bpe.merge_bytes(w, ranks) for w in words]
+
+
+def test_plain_words_are_cut_as_the_pattern_cuts_them():
+    vocab = pytest.importorskip("public_tokenizers")
+    enc = bpe.Encoder(vocab.path("byte_bpe_multi_50k.tiktoken"), vocab.PATTERN)
+    texts = ["it's it’s its' rock'n'roll", "a, (b) c... d!? e_f g-h i2 3j", " x  y\tz", "naïve café, Straße!", "'s 't ''s a''s", "a b, c　d;"]
+    enc.merged.most = enc.cache.recent.most = 2
+    for t in [*texts, " ".join(texts), *texts]:
+        want = [i for w in enc.words.findall(t) for i in bpe.merge_bytes(w.encode(), enc.ranks)]
+        assert enc.encode([t]) == [want]
