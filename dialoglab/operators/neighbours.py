@@ -11,8 +11,10 @@
   sample of at most ``PUSHERS`` nodes of the group, drawn anew for each epoch.  Forces are added up as integers, so that the
   order of the sums doesn't matter and reruns agree.
 
-Work is dealt by leaf and by node, never by group; hubs are added up in tasks before the shuffle.  State goes to the shared folder
-after each epoch, as positions alone.
+Work is dealt by leaf and by node, never by group.  For the layout nodes are dealt to blocks by hash.  The edges of a block's nodes, at most
+``k`` each, stay where they are through all epochs; a node's position goes once to every block that has an edge to it, and what
+a block's edges pull at a node comes back added up, hubs included.  State goes to the shared folder after each epoch, as positions and the
+blocks that want them.
 
 Defined cases: rows whose vector is NULL, empty, or has a NULL or non-finite component are no nodes and get NULL
 positions; a NULL group is a group; vectors of different length in one group are laid out apart; rows with one id each get
@@ -27,7 +29,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ranking import join_groups
@@ -38,6 +41,8 @@ from .scoring import project_2d
 DEPTH, SAMPLE, ROUNDS = 6, 2048, 40
 #: Nodes whose neighbours are checked by brute force; nodes of a group that push in an epoch.
 QUERIES, PUSHERS = 200, 256
+#: Nodes of a block of the layout, and blocks at least.
+BLOCK, BLOCKS = 1 << 14, 8
 #: Strength of a pull: with more of it neighbours overshoot each other.
 PULL = 0.4
 #: A unit of the integers that forces are added up in.
@@ -79,6 +84,17 @@ def _directions(leaf: str, d: int, levels: int) -> np.ndarray:
     return np.random.default_rng([zlib.crc32(leaf.encode()), len(leaf)]).standard_normal((d, levels))
 
 
+def _stacked(vecs: pd.Series) -> np.ndarray:
+    return np.stack(vecs.to_numpy()).astype(np.float64)
+
+
+def _shortest(points: DataFrame) -> DataFrame:
+    """Vectors in the shortest type that holds all their integers: trees carry them through every round."""
+    far = points.agg(F.max(F.greatest(F.abs(F.array_max("vec")), F.abs(F.array_min("vec"))))).first()[0] or 0.0
+    kind = "smallint" if far < 1 << 15 else "int" if far < 1 << 31 else "double"
+    return points.withColumn("vec", F.col("vec").cast(f"array<{kind}>"))
+
+
 def _split(many: DataFrame, sizes: DataFrame, leaf: int) -> DataFrame:
     """The nodes of leaves that are too large, dealt to smaller ones: one round."""
     chosen = many.where(F.pmod(F.xxhash64("node", "tree", "at"), F.lit(1 << 30)) * F.col("n") < float(SAMPLE) * (1 << 30))
@@ -86,7 +102,7 @@ def _split(many: DataFrame, sizes: DataFrame, leaf: int) -> DataFrame:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         name, n = pdf["at"].iloc[0], int(pdf["n"].iloc[0])
         levels = min(DEPTH, max(1, int(np.ceil(np.log2(n / leaf)))))
-        along = np.stack(pdf["vec"].to_numpy()) @ _directions(name, len(pdf["vec"].iloc[0]), levels)
+        along = _stacked(pdf["vec"]) @ _directions(name, len(pdf["vec"].iloc[0]), levels)
         cuts, place = np.zeros(2**levels - 1), np.zeros(len(along), np.int64)
         for level in range(levels):
             for p in range(2**level):
@@ -107,14 +123,15 @@ def _split(many: DataFrame, sizes: DataFrame, leaf: int) -> DataFrame:
                     at[rows] = name + "/"
                     continue
                 levels = int(np.log2(len(cuts) + 1))
-                along = np.stack(pdf["vec"].iloc[rows].to_numpy()) @ _directions(name, len(pdf["vec"].iloc[rows[0]]), levels)
+                along = _stacked(pdf["vec"].iloc[rows]) @ _directions(name, len(pdf["vec"].iloc[rows[0]]), levels)
                 place = np.zeros(len(rows), np.int64)
                 for level in range(levels):
                     place = 2 * place + (along[:, level] > np.asarray(cuts)[2**level - 1 + place])
                 at[rows] = [f"{name}/{p}" for p in place.tolist()]
             yield pdf.assign(at=at)[["tree", "at", "node", "vec"]]
 
-    return dealt.mapInPandas(deal, "tree int, at string, node string, vec array<double>")
+    kind = many.schema["vec"].dataType.simpleString()
+    return dealt.mapInPandas(deal, f"tree int, at string, node string, vec {kind}")
 
 
 def _leaves(points: DataFrame, trees: range, leaf: int) -> DataFrame:
@@ -151,7 +168,7 @@ def _nearest(x: np.ndarray, y: np.ndarray, names: np.ndarray, k: int) -> tuple[n
 
 def _in_leaf(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, names, out = np.stack(pdf["vec"].to_numpy()), pdf["node"].to_numpy(), []
+        x, names, out = _stacked(pdf["vec"]), pdf["node"].to_numpy(), []
         for a in range(0, len(x), 512):
             at, d2 = _nearest(x[a : a + 512], x, names, k + 1)
             u = np.repeat(names[a : a + 512], at.shape[1])
@@ -204,9 +221,10 @@ def neighbour_graph(points: DataFrame, k: int = 15, leaf: int = 1024, trees: int
     if k < 1 or leaf <= k:
         raise ValueError("k must be positive and below the size of a leaf")
     truth = _kept(brute_force(points, k), "true-neighbours")
+    short = _shortest(points)
     pairs, reached = None, 0.0
     for first in range(0, most_trees, trees):
-        grown = _leaves(points, range(first, min(first + trees, most_trees)), leaf).select("tree", "at", "node", "vec")
+        grown = _leaves(short, range(first, min(first + trees, most_trees)), leaf).select("tree", "at", "node", "vec")
         fresh = grown.groupBy("tree", "at").applyInPandas(_in_leaf(k), "u string, v string, d2 double")
         both = fresh if pairs is None else fresh.unionByName(pairs.select("u", F.inline("near")))
         pairs = _kept(_best(both, k), "neighbours")
@@ -240,17 +258,58 @@ def _edges(graph: DataFrame) -> DataFrame:
     return one.join(total.select("u", "_all"), "u").select("u", "v", (F.col("w") * UNIT / F.col("_all")).alias("w"))
 
 
+def _placed(start: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Positions with ``nid`` (block << 32 | number in the block) and ``to`` (the blocks that want them), and the edges
+    ``(b, u, v, w)`` between such numbers, dealt by the block of ``u``."""
+    spark = start.sparkSession
+    blocks = max(BLOCKS, -(-start.count() // BLOCK))
+    b = F.pmod(F.xxhash64(F.lit("block"), "node"), F.lit(blocks))
+    at = start.withColumn("_b", b).withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("node")))
+    at = _kept(at.withColumn("nid", F.shiftleft("_b", 32) + F.col("_i")).drop("_b", "_i"), "numbered")
+    ids = at.select("node", "nid")
+    e = edges.join(ids.select(F.col("node").alias("u"), F.col("nid").alias("_u")), "u")
+    e = e.join(ids.select(F.col("node").alias("v"), F.col("nid").alias("_v")), "v")
+    e = _kept(e.select(F.shiftright("_u", 32).cast("int").alias("b"), F.col("_u").alias("u"), F.col("_v").alias("v"), "w"), "block-edges")
+    wants = e.select(F.explode(F.array("u", "v")).alias("nid"), "b").groupBy("nid").agg(F.array_sort(F.collect_set("b")).alias("to"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return at.join(wants, "nid", "left"), e.repartition(parts, "b")
+
+
+def _pulls():
+    """What the edges of a block pull at their ends: (nid, fx, fy, n), integers, one row a node."""
+
+    def run(edges: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        if not len(edges):
+            return pd.DataFrame({"nid": [], "fx": [], "fy": [], "n": []}).astype(np.int64)
+        order = np.argsort(at["nid"].to_numpy())
+        names, x, y = (at[c].to_numpy()[order] for c in ("nid", "x", "y"))
+        u, v = (np.searchsorted(names, edges[c].to_numpy()) for c in "uv")
+        dx, dy = x[v] - x[u], y[v] - y[u]
+        pull = 2 * PULL * edges["w"].to_numpy() / (1 + dx * dx + dy * dy)
+        ends = np.concatenate((u, v))
+        order = np.argsort(ends, kind="stable")
+        starts = np.flatnonzero(np.diff(ends[order], prepend=-1))
+        out = {"nid": names[ends[order][starts]]}
+        for c, d in (("fx", dx), ("fy", dy)):
+            f = _rounded(pull * d * UNIT)
+            out[c] = np.add.reduceat(np.concatenate((f, -f))[order], starts)
+        return pd.DataFrame(out | {"n": np.diff(starts, append=len(ends))})
+
+    return run
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """Halves away from zero, as the integers of SQL's ``round``."""
+    whole = np.trunc(x)
+    return (whole + np.sign(x) * (np.abs(x - whole) >= 0.5)).astype(np.int64)
+
+
 def _epoch(k: int, epochs: int, pushes: int, many_groups: bool) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """Positions and edges to positions after one more epoch.  Its number is a column, and the columns are built once, so that
     all epochs share their expressions and generated code."""
     epoch, step = F.col("epoch"), 1.0 - F.col("epoch") / epochs
-    dx, dy = F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy")
-    pull = 2 * PULL * F.col("w") / (1 + F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    pulled = [F.round(pull * F.col(c) * UNIT).cast("long").alias(f"f{c[1]}") for c in ("dx", "dy")]
-    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("fx"), F.col("fy")),
-                             F.struct(F.col("v").alias("node"), (-F.col("fx")).alias("fx"), (-F.col("fy")).alias("fy"))))
     # what pulls at a hub grows with its edges, so it is spread over them
-    total = [(F.sum(f"f.{c}") / UNIT / F.greatest(F.count(F.lit(1)) / (2.0 * k), F.lit(1.0))).alias(c) for c in ("fx", "fy")]
+    total = [(F.sum(c) / UNIT / F.greatest(F.sum("n") / (2.0 * k), F.lit(1.0))).alias(c) for c in ("fx", "fy")]
     drawn = F.pmod(F.xxhash64("node", epoch), F.lit(1 << 30)) * F.col("n") <= float(PUSHERS) * (1 << 30)
     others = F.array_sort(F.collect_list(F.struct("node", "x", "y"))).alias("others")
     draw = F.transform(F.sequence(F.lit(1), F.lit(pushes)),
@@ -268,16 +327,16 @@ def _epoch(k: int, epochs: int, pushes: int, many_groups: bool) -> Callable[[Dat
         by = F.coalesce(F.col(f"f{c}"), F.lit(0.0)) + push(c)
         return (F.col(c) + step * F.greatest(F.lit(-4.0), F.least(F.lit(4.0), by))).alias(c)
 
-    out = ["node", "g", "n", (epoch + 1).alias("epoch"), moved("x"), moved("y")]
-    draw = draw.alias("drawn")
+    out = ["nid", "to", "node", "g", "n", (epoch + 1).alias("epoch"), moved("x"), moved("y")]
+    draw, pulls_of = draw.alias("drawn"), _pulls()
 
     def run(at: DataFrame, edges: DataFrame) -> DataFrame:
-        e = edges.join(at.select(F.col("node").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy")), "u")
-        e = e.join(at.select(F.col("node").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy")), "v")
-        e = e.select("u", "v", "w", dx.alias("dx"), dy.alias("dy")).select("u", "v", *pulled)
-        pulls = e.select(ends.alias("f")).groupBy("f.node").agg(*total)
+        sent = at.select(F.explode("to").alias("b"), "nid", "x", "y")
+        one = edges.groupBy("b").cogroup(sent.groupBy("b")).applyInPandas(pulls_of, "nid bigint, fx bigint, fy bigint, n bigint")
+        pulls = one.groupBy("nid").agg(*total)
         pushers = at.where(drawn).groupBy("g").agg(others)
-        rows = join_groups(at, pushers, ["g"], many_groups).join(pulls, "node", "left")
+        # the group's sample comes last: before a shuffle every node would carry it along
+        rows = join_groups(at.join(pulls, "nid", "left"), pushers, ["g"], many_groups)
         return rows.select("*", draw).select(*out)
 
     return run
@@ -286,10 +345,12 @@ def _epoch(k: int, epochs: int, pushes: int, many_groups: bool) -> Callable[[Dat
 def layout(points: DataFrame, graph: DataFrame, k: int = 15, epochs: int = 20, pushes: int = 5, many_groups: bool = False) -> DataFrame:
     """node, x, y from a graph of at most ``k`` neighbours a node.  Steps get shorter with each epoch."""
     edges = _kept(_edges(graph), "edges")
-    at = _kept(_start(points).withColumn("epoch", F.lit(0)), "positions")
+    at, edges = _placed(_start(points).withColumn("epoch", F.lit(0)), edges)
+    at, edges = _kept(at, "positions"), edges.persist(StorageLevel.MEMORY_AND_DISK)
     step = _epoch(k, epochs, pushes, many_groups)
     for _ in range(epochs):
         at = _kept(step(at, edges), "positions")
+    edges.unpersist()
     return at.select("node", "x", "y")
 
 

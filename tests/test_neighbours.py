@@ -1,6 +1,7 @@
 """Nearest neighbours by trees and their layout, against numpy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
@@ -109,3 +110,46 @@ def test_rows_that_are_no_nodes_copies_and_groups(spark):
     assert all(x is not None and np.isfinite([x, y]).all() for i in (None, "n1", "n2", "5") for x, y in at[i])
     empty = N.project_neighbours(spark.createDataFrame([], SCHEMA), epochs=1)
     assert empty.columns == ["id", "class", "x", "y"] and empty.collect() == []
+
+
+def test_pulls_of_a_block_with_a_hub():
+    rng = np.random.default_rng(8)
+    names = np.array([3, 7, 1 << 33, (1 << 33) + 1, 9], np.int64)
+    at = pd.DataFrame({"b": 0, "nid": names, "x": rng.normal(size=5), "y": rng.normal(size=5)}).sample(frac=1, random_state=1)
+    edges = pd.DataFrame({"b": 0, "u": names[[0, 1, 2, 3, 1]], "v": names[[2, 2, 0, 2, 3]], "w": rng.random(5)})
+    want: dict = {}
+    place = {r.nid: (r.x, r.y) for r in at.itertuples()}
+    for e in edges.itertuples():
+        dx, dy = (place[e.v][c] - place[e.u][c] for c in (0, 1))
+        pull = 2 * N.PULL * e.w / (1 + dx * dx + dy * dy)
+        for node, sign in ((e.u, 1), (e.v, -1)):
+            x, y, n = want.get(node, (0, 0, 0))
+            want[node] = (x + sign * round(pull * dx * N.UNIT), y + sign * round(pull * dy * N.UNIT), n + 1)
+    got = N._pulls()(edges, at)
+    assert {r.nid: (r.fx, r.fy, r.n) for r in got.itertuples()} == want
+    assert not len(N._pulls()(edges.iloc[:0], at))
+    assert N._rounded(np.array([0.5, -0.5, 1.5, -2.5, 0.49999999999999994, 3.0])).tolist() == [1, -1, 2, -3, 0, 3]
+
+
+def test_vectors_travel_in_the_shortest_type(spark):
+    def kind(*rows):
+        return N._shortest(spark.createDataFrame([("a", list(r)) for r in rows], "node string, vec array<double>")).schema["vec"].dataType.elementType.simpleString()
+
+    assert [kind((1.0, -32767.0)), kind((1.0,), (40000.0,)), kind((3e9,)), kind()] == ["smallint", "int", "double", "smallint"]
+
+
+def test_an_epoch_shuffles_no_samples_and_no_edges(spark):
+    """The group's sample joins after the last shuffle, and edges that are dealt by their block stay there."""
+    start = spark.createDataFrame([(f"n{i}", "g", 40, float(i % 7), float(i % 5), 0) for i in range(40)], "node string, g string, n bigint, x double, y double, epoch int")
+    edges = spark.createDataFrame([(f"n{i}", f"n{(i * 3 + 1) % 40}", 1.0) for i in range(40)], "u string, v string, w double")
+    at, dealt = N._placed(start, edges)
+    dealt = dealt.persist()
+    dealt.count()
+    out = N._epoch(15, 20, 5, False)(at, dealt)
+    assert out.count() == 40 and out.where("x IS NULL OR to IS NULL").count() == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert "nid#" not in joins[0] and "nid#" in joins[1], plan
+    cached = out._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0].splitlines()[-1]
+    assert "Exchange" not in cached
+    dealt.unpersist()
