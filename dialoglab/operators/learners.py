@@ -39,6 +39,14 @@ _WORD = re.compile(r"\w+")
 _BLOCK = "split string, ids array<string>, y binary, ends binary, cols binary, tf binary, by_col binary"
 
 
+def _hashed(text: str, num_features: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a text's words and how often each is taken."""
+    counts = Counter(_WORD.findall(text.lower()))
+    places = np.fromiter((zlib.crc32(w.encode()) for w in counts), np.int64, len(counts)) % num_features
+    cols, at = np.unique(places, return_inverse=True)
+    return cols.astype(np.int32), np.bincount(at, list(counts.values()), len(cols)).astype(np.float64) if len(cols) else np.empty(0)
+
+
 def write_blocks(data: DataFrame, text: str | Column, targets: Column, id_col: str = "id", split_col: str = "split",
                  num_features: int = NUM_FEATURES) -> DataFrame:
     """Blocks of rows of one split each; ``targets`` is an array of 0/1.  Rows without targets or split are left out."""
@@ -51,22 +59,19 @@ def write_blocks(data: DataFrame, text: str | Column, targets: Column, id_col: s
         held: dict[str, list] = {}
 
         def full(split: str, own: list) -> pa.RecordBatch:
-            cols, tf = [], []
-            for _, _, counts in own:
-                u, at = np.unique(np.array([zlib.crc32(w.encode()) for w in counts], np.int64) % num_features, return_inverse=True)
-                cols.append(u)
-                tf.append(np.bincount(at, list(counts.values()), len(u)) if len(u) else np.empty(0))
+            cols, tf = [u for _, _, u, _ in own], [n for _, _, _, n in own]
             ends = np.cumsum([len(u) for u in cols]).astype("<i4")
             cols, tf = np.concatenate(cols).astype("<i4"), (1 + np.log(np.concatenate(tf))).astype("<f4")
-            raw = (np.array([y for _, y, _ in own], np.int8), ends, cols, tf, np.argsort(cols, kind="stable").astype("<i4"))
-            return pa.RecordBatch.from_arrays([pa.array([split]), pa.array([[i for i, _, _ in own]], pa.list_(pa.string())),
+            raw = (np.array([y for _, y, _, _ in own], np.int8), ends, cols, tf, np.argsort(cols, kind="stable").astype("<i4"))
+            return pa.RecordBatch.from_arrays([pa.array([split]), pa.array([[i for i, _, _, _ in own]], pa.list_(pa.string())),
                                                *[pa.array([x.tobytes()], pa.binary()) for x in raw]],
                                               ["split", "ids", "y", "ends", "cols", "tf", "by_col"])
 
         for b in batches:
-            for i, s, y, t in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for row in zip(*(b.column(k) for k in range(4)), strict=True):  # one text at a time, of which numbers are held
+                i, s, y, t = (x.as_py() for x in row)
                 own = held.setdefault(s, [])
-                own.append((i, y, Counter(_WORD.findall(t.lower()))))
+                own.append((i, y, *_hashed(t, num_features)))
                 if len(own) >= BLOCK_ROWS:
                     yield full(s, held.pop(s))
         for s, own in held.items():

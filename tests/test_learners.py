@@ -138,3 +138,17 @@ def test_rows_with_nothing_to_learn(spark, rows):
     assert learner.known.n_train == sum(s == "train" and y is not None for _, _, y, s in rows)
     out = Lr.probabilities(learner.blocks, learner, fit.weights, "test").collect()
     assert len(out) == 3 * sum(r[3] == "test" for r in rows)
+
+
+def test_a_text_is_held_as_its_places_and_counts():
+    from collections import Counter
+    from zlib import crc32
+
+    text = "b a A c_1 é, " * 3000 + " ".join(f"w{i}" for i in range(500))
+    cols, tf = Lr._hashed(text, 64)
+    want = Counter()
+    for w, n in Counter(Lr._WORD.findall(text.lower())).items():
+        want[crc32(w.encode()) % 64] += n
+    assert dict(zip(cols.tolist(), tf.tolist(), strict=True)) == want and cols.tolist() == sorted(want)
+    assert cols.nbytes + tf.nbytes <= 12 * 64
+    assert [len(x) for x in Lr._hashed("", 64)] == [0, 0]
