@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lemmas import lemma
+from ..session import scratch_path
 
 NON_WORD = r"[^\p{L}\p{N}]+"
 
@@ -49,7 +50,7 @@ def word_ngrams(norm: Column, n: int) -> Column:
 
 #: Up to so many phrases, one substring test each is cheaper than n-grams; beyond MAX_PHRASES the automaton takes over.
 FEW_PHRASES, MAX_PHRASES = 256, 20_000
-#: Phrases of one automaton, which each Python worker holds (about 100 bytes a word).
+#: Phrases of one automaton, which each Python worker holds (about 250 bytes a word).
 AUTOMATON_PHRASES = 200_000
 
 
@@ -57,40 +58,44 @@ class Automaton:
     """Finds every phrase of a list in a sequence of words (goto, failure and output links)."""
 
     def __init__(self, phrases: list[list[str]]):
-        self.words: dict[str, int] = {}
-        self.goto: dict[int, int] = {}
+        #: the next nodes of each node by word; nodes without any share one dictionary
+        self.goto: list[dict[str, int]] = [{}]
         self.fail, ends = [0], [-1]
-        parents, depth_first = [0], [[]]
+        no_next: dict[str, int] = {}
+        same: dict[str, str] = {}
+        depth_first: list[list[tuple[int, int, str]]] = []
         for k, phrase in enumerate(phrases):
             node = 0
             for d, word in enumerate(phrase):
-                key = node << 32 | self.words.setdefault(word, len(self.words))
-                nxt = self.goto.get(key)
+                nxt = self.goto[node].get(word)
                 if nxt is None:
-                    nxt = self.goto[key] = len(ends)
+                    nxt, word = len(ends), same.setdefault(word, word)
+                    if self.goto[node] is no_next:
+                        self.goto[node] = {}
+                    self.goto[node][word] = nxt
+                    self.goto.append(no_next)
                     ends.append(-1)
                     self.fail.append(0)
-                    parents.append(key)
                     if d == len(depth_first):
                         depth_first.append([])
-                    depth_first[d].append(nxt)
+                    depth_first[d].append((nxt, node, word))
                 node = nxt
             if node:
                 ends[node] = k
         self.ends = ends
-        #: the next shorter phrase that ends where a node's words end
-        self.shorter = [0] * len(ends)
+        #: the next shorter phrase that ends where a node's words end, and the longest
+        self.shorter, self.longest = [0] * len(ends), [0] * len(ends)
         for level in depth_first:
-            for node in level:
-                parent, word = parents[node] >> 32, parents[node] & 0xFFFFFFFF
+            for node, parent, word in level:
                 if parent:
                     self.fail[node] = self._step(self.fail[parent], word)
                 f = self.fail[node]
                 self.shorter[node] = f if ends[f] >= 0 else self.shorter[f]
+                self.longest[node] = node if ends[node] >= 0 else self.shorter[node]
 
-    def _step(self, node: int, word: int) -> int:
+    def _step(self, node: int, word: str) -> int:
         while True:
-            nxt = self.goto.get(node << 32 | word)
+            nxt = self.goto[node].get(word)
             if nxt is not None:
                 return nxt
             if not node:
@@ -99,16 +104,22 @@ class Automaton:
 
     def find(self, words: list[str]) -> set[int]:
         """Places in the list of all phrases that occur."""
+        goto, fail, longest, ends = self.goto, self.fail, self.longest, self.ends
+        met: set[int] = set()
+        node, here = 0, goto[0]
+        for word in words:
+            nxt = here.get(word)
+            while nxt is None and node:
+                node = fail[node]
+                nxt = goto[node].get(word)
+            node = nxt or 0
+            here = goto[node]
+            if longest[node]:
+                met.add(longest[node])
         found: set[int] = set()
-        node = 0
-        for word in map(self.words.get, words):
-            if word is None:
-                node = 0
-                continue
-            node = self._step(node, word)
-            at = node if self.ends[node] >= 0 else self.shorter[node]
-            while at:
-                found.add(self.ends[at])
+        for at in met:
+            while at and ends[at] not in found:  # behind a phrase that was met the shorter ones were, too
+                found.add(ends[at])
                 at = self.shorter[at]
         return found
 
@@ -123,20 +134,31 @@ def _base_forms(extra: Mapping[str, str] | None):
     return lambda word: extra[word] if word in extra else _known_lemma(word)
 
 
+def _stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """Written to the shared folder and read again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy(*parts).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def first_words(col: str | Column, n: int) -> Column:
+    """The first ``n`` words of the normalised text, without normalising the rest of it."""
+    c = F.lower(F.col(col) if isinstance(col, str) else col)
+    word = r"[\p{L}\p{N}]+"
+    return normalize_text(F.regexp_extract(c, f"^{NON_WORD[:-1]}*{word}(?:{NON_WORD}{word}){{0,{n - 1}}}", 0))
+
+
 def automaton_phrases(df: DataFrame, phrases: DataFrame, text_col: str, id_col: str, phrase_col: str, lemmas: bool,
                       extra: Mapping[str, str] | None = None, most: int = AUTOMATON_PHRASES) -> DataFrame:
     """``(id, phrase)`` by the automaton: a list of any length, at most about ``most`` phrases at a time."""
     spark = df.sparkSession
     listed = phrases.select(F.col(phrase_col).alias("phrase"), normalize_text(phrase_col).alias("_p")).where("_p <> ''").distinct()
-    n = listed.count()
-    parts = max(1, -(-n // most))
-    if parts > 1:  # read once, not once for each part
-        from ..session import scratch_path
-
-        path = scratch_path(spark, "phrases")
-        listed.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts))).write.partitionBy("part").parquet(path)
-        listed = spark.read.parquet(path)
     texts = df.select(F.col(id_col).alias("id"), normalize_text(text_col).alias("_t"))
+    listed = _stored(listed, "phrases")  # made once: a list may come from the texts themselves
+    parts = max(1, -(-listed.count() // most))
+    if parts > 1:  # read once, not once for each part
+        listed = listed.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+        listed, texts = _stored(listed, "phrases", "part"), _stored(texts, "texts")
     kind = texts.schema["id"].dataType.simpleString()
     out = None
     for k in range(parts):
@@ -149,17 +171,18 @@ def automaton_phrases(df: DataFrame, phrases: DataFrame, text_col: str, id_col:
 
 def _finder(shared, lemmas: bool, extra: Mapping[str, str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = _base_forms(extra) if lemmas else lambda word: word
+        base = _base_forms(extra) if lemmas else None
+        words_of = lambda t: list(map(base, t.split(" "))) if base else t.split(" ")
         forms: dict[tuple, list[str]] = {}
         for phrase, norm in shared.value:
-            forms.setdefault(tuple(map(base, norm.split(" "))), []).append(phrase)
+            forms.setdefault(tuple(words_of(norm)), []).append(phrase)
         given = list(forms.values())
         automaton = Automaton([list(x) for x in forms])
         for b in batches:
             at, names = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 if t:
-                    for k in automaton.find(list(map(base, t.split(" ")))):
+                    for k in automaton.find(words_of(t)):
                         at += [i] * len(given[k])
                         names += given[k]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string())], ["id", "phrase"])

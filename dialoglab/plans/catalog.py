@@ -702,8 +702,7 @@ def q_match_key_phrases(spark, sf):
 def q_match_key_phrases_automaton(spark, sf):
     """Every pair of neighbouring words that some dialogue begins with is a phrase: a list that grows with the data."""
     c = fx.fx_corpora(spark, sf)
-    words = F.split(PH.normalize_text("dialogue"), " ")
-    own = c.select(F.array_join(F.slice(words, 1, 2), " ").alias("phrase")).distinct()
+    own = c.select(PH.first_words("dialogue", 2).alias("phrase")).distinct()
     hits = PH.automaton_phrases(c, own, "dialogue", "id", "phrase", lemmas=False)
     return hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_dialogues"))
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from dialoglab.functions.lemmas import lemma
 from dialoglab.operators import phrases as P
@@ -87,3 +88,34 @@ def test_registered_query_against_plain_search(spark):
     found = plain(texts, PHRASES, lemma)
     want = {p: sum(q == p for _, q in found) for p in PHRASES}
     assert {r.phrase: r.n_dialogues for r in QUERIES["match_key_phrases_lemmas"](spark, SF_SMALL).collect()} == want
+
+
+def test_lists_and_texts_are_made_once_however_many_parts(spark):
+    made = {"phrases": spark.sparkContext.accumulator(0), "texts": spark.sparkContext.accumulator(0)}
+
+    def counted(df, name):
+        seen = made[name]
+
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    phrases = counted(spark.createDataFrame([(p,) for p in ("a b", "b c", "c", "x y", "A-b", "")], "phrase string"), "phrases")
+    for most, texts_read in ((1, 3), (100, 3)):
+        for x in made.values():
+            x.value = 0
+        texts = counted(spark.createDataFrame([("1", "a b c"), ("2", "x, y"), ("3", None)], "id string, dialogue string"), "texts")
+        got = P.automaton_phrases(texts, phrases, "dialogue", "id", "phrase", lemmas=False, most=most).collect()
+        assert sorted(map(tuple, got)) == [("1", "A-b"), ("1", "a b"), ("1", "b c"), ("1", "c"), ("2", "x y")]
+        assert (made["phrases"].value, made["texts"].value) == (6, texts_read)
+
+
+def test_first_words_of_the_normalised_text(spark):
+    texts = ["", None, "  ", "a", "a b", "--A, b! c", " ÀÉ2..x", "ΑΣ ΣΑΣ b", "...", "a  b", "İx y z", "x\ny\tz", "12 ３ x", "a-", "-a-b-c-d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 2, 3):
+        plain = F.array_join(F.slice(F.split(P.normalize_text("t"), " "), 1, n), " ")
+        assert df.select(plain.alias("o"), P.first_words("t", n).alias("w")).where("NOT o <=> w").collect() == []
