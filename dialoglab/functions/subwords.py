@@ -15,7 +15,7 @@ beside the vocabulary a task holds ``n`` offsets and the pieces of at most ``CAC
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 import regex
@@ -27,6 +27,8 @@ MAX_WORD = 100
 #: Pieces of a vocabulary (it is broadcast).
 MAX_PIECES = 1 << 20
 CACHE_WORDS = 1 << 16
+#: Characters of the texts whose results are held as Python objects.
+HELD_CHARS = 1 << 20
 INSIDE = "##"
 _WORD = regex.compile(r"[\p{P}$+<=>^`|~]|[^\p{P}$+<=>^`|~\p{White_Space}]+")
 _END = ""  # key of a trie's node that ends a piece
@@ -146,6 +148,19 @@ class _Vocabulary:
         return self.shared.value
 
 
+def _each(texts: pa.Array, one: Callable, kind: pa.DataType) -> pa.Array:
+    """``one`` of each text.  One text at a time is a Python string, and results of few, however many an Arrow batch holds."""
+    parts, held, size = [], [], 0
+    for x in texts:
+        t = x.as_py()
+        held.append(None if t is None else one(t))
+        size += len(t or "")
+        if size >= HELD_CHARS:
+            parts.append(pa.array(held, kind))
+            held, size = [], 0
+    return pa.concat_arrays([*parts, pa.array(held, kind)])
+
+
 def truncate_pieces(col: str | Column, vocabulary: Iterable[str], n: int, side: str = "first") -> Column:
     """The first or last ``n`` pieces of a text, as a substring."""
     _check(n, side)
@@ -154,7 +169,7 @@ def truncate_pieces(col: str | Column, vocabulary: Iterable[str], n: int, side:
     @F.arrow_udf("string")
     def cut(texts: pa.Array) -> pa.Array:
         trie = _shared_trie(pieces)
-        return pa.array([None if t is None else cut_spans(t, trie.spans(t), n, side) for t in texts.to_pylist()], pa.string())
+        return _each(texts, lambda t: cut_spans(t, trie.spans(t), n, side), pa.string())
 
     return cut(col)
 
@@ -166,7 +181,7 @@ def count_pieces(col: str | Column, vocabulary: Iterable[str]) -> Column:
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
         trie = _shared_trie(pieces)
-        return pa.array([None if t is None else sum(1 for _ in trie.spans(t)) for t in texts.to_pylist()], pa.int64())
+        return _each(texts, lambda t: sum(1 for _ in trie.spans(t)), pa.int64())
 
     return count(col)
 
@@ -187,9 +202,6 @@ def truncate_model_tokens(col: str | Column, path: str, n: int, side: str = "fir
             _MODELS[path].no_truncation()
             _MODELS[path].no_padding()
         model = _MODELS[path]
-        out = []
-        for t in texts.to_pylist():
-            out.append(None if t is None else cut_spans(t, model.encode(t, add_special_tokens=False).offsets, n, side))
-        return pa.array(out, pa.string())
+        return _each(texts, lambda t: cut_spans(t, model.encode(t, add_special_tokens=False).offsets, n, side), pa.string())
 
     return cut(col)

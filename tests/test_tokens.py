@@ -128,3 +128,18 @@ def test_registered_cuts(spark):
         assert r.text == (texts[r.id] if len(spans) <= 500 else texts[r.id][: spans[499][1]])
     last = QUERIES["truncate_model_tokens"](spark, SF_SMALL).collect()
     assert len(last) == len(texts) and all(texts[r.id].endswith(r.text) for r in last)
+
+
+def test_a_batch_of_long_texts_is_held_one_text_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([*("ab " * 50_000 for _ in range(100)), None, ""])
+    tracemalloc.start()
+    got = SW._each(texts, lambda t: t[:30_000], pa.string())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000  # the batch is 15 MB, its results are 3 MB
+    assert got.to_pylist() == [None if t is None else t[:30_000] for t in texts.to_pylist()]
+    assert SW._each(pa.array([], pa.string()), len, pa.int64()).to_pylist() == []
