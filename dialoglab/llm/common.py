@@ -157,12 +157,16 @@ class Words:
         self.sizes = ends - self.starts
         if len(self.starts):
             spans = np.diff(self.starts, append=len(self.buf))
-            place = np.arange(self.starts[0], len(self.buf)) - np.repeat(self.starts, spans)
+            # one entry for each byte: short integers, and no array is kept longer than it is needed
+            short = np.int32 if len(self.buf) < 1 << 31 else np.int64
+            place = np.arange(self.starts[0], len(self.buf), dtype=short)
+            place -= np.repeat(self.starts.astype(short), spans)
             # only word bytes count, so places beyond a word's end are never used: they are set to 0
-            place[place >= np.repeat(self.sizes, spans)] = 0
-            table = _places(int(self.sizes.max()))
+            place[place >= np.repeat(self.sizes.astype(short), spans)] = 0
+            terms = _places(int(self.sizes.max()))[place]
+            del place
             with np.errstate(over="ignore"):
-                terms = (_LOWER if lower else _RAW)[self.buf[self.starts[0] :]] * table[place]
+                terms *= (_LOWER if lower else _RAW)[self.buf[self.starts[0] :]]
                 total = np.add.reduceat(terms, self.starts - self.starts[0])
                 self.hashes = mix(total + self.sizes.astype(np.uint64))
         else:

@@ -41,9 +41,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(short), F.lit(0)).cast("long")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def has_words(text: Column) -> Column:
+    """Whether ``word_count`` is above 0, without a copy of the text for the pattern."""
+    return F.coalesce(F.ltrim(text, F.lit(SPACE)) != "", F.lit(False))
+
+
+def _hash() -> Column:
     crc = F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))
-    return docs.withColumns({"__size": word_count(F.col("text")), "__h": F.xxhash64(F.lit(SEED), F.col("doc_id"), crc)})
+    return F.xxhash64(F.lit(SEED), F.col("doc_id"), crc)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"__size": word_count(F.col("text")), "__h": _hash()})
 
 
 def targets(sizes: DataFrame, cap: int = CAP) -> DataFrame:
@@ -159,7 +168,8 @@ def mixture(docs: DataFrame, spread: int = 16, **how) -> DataFrame:
 
     Rows are dealt by (shard, ``spread`` parts of it) and each part is in the order of its seeded hash.
     """
-    keyed = _keyed(docs)
+    # words are counted once, for the tables; here it only matters whether a text has any
+    keyed = docs.withColumns({"__size": has_words(F.col("text")).cast("long"), "__h": _hash()})
     narrow = stage_table(_keyed(docs.select("doc_id", "source", "text")).select("source", "__size", "__h"), "words")
     out = _assign(keyed, *mix_tables(narrow, **how))
     out = out.select(*[out[c] for c in docs.columns], F.col("__h"), F.posexplode("__shards").alias("__time", "__shard"))

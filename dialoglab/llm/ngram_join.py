@@ -514,8 +514,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits
     if num + den < SHORT_RANGE * 2 * (den - num):
         parts = max(8, int(total / 2 / PART_GRAMS) + 1)
         halves = _packed(docs, n, parts, hot, lambda s: s[s & np.uint64(1) == 0])
-        packed_n = halves.repartition(parts, "part").mapInArrow(lambda it: _alone(it, parts), "bucket int, nodes binary, counts binary")
-        own_n = packed_n.repartition(parts, "bucket").mapInArrow(_own_counts, "node bigint, own_n bigint")
+        packed_n = halves.repartitionById(parts, "part").mapInArrow(lambda it: _alone(it, parts), "bucket int, nodes binary, counts binary")
+        own_n = packed_n.repartitionById(parts, "bucket").mapInArrow(_own_counts, "node bigint, own_n bigint")
         most = F.floor((den - num) * (F.col("size") + F.floor(F.col("size") * den / num)) / (num + den))
         left = nodes.withColumn("node", as_long).join(own_n, "node", "left").filter(F.coalesce("own_n", F.lit(0)) <= most)
         left = stage_table(left.select("first_id", "size"), "left")
@@ -526,7 +526,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits
     per_gram = 2.8 * 2 * (den - num) / (num + den)
     parts = max(8, int(total * per_gram / PART_SIGNATURES) + 1)
     packed = _packed(docs, n, parts, hot, lambda s: signatures(s, measure), words, bits)
-    chained = packed.repartition(parts, "part").mapInArrow(_chains, "a bigint, b bigint")
+    chained = packed.repartitionById(parts, "part").mapInArrow(_chains, "a bigint, b bigint")
     blocks = stage_table(components(chained, "a", "b"), "blocks")
 
     # the sets of blocks, again from the texts of one document each

@@ -1,6 +1,7 @@
 """Each operator against its plain version, on messy rows (NULLs, empty and odd texts, ties, repeats, clashing columns), on
 an empty table and on the smallest driver table."""
 
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +12,7 @@ from messy import empty, messy, small  # noqa: F401
 from pyspark.sql import functions as F
 
 from dialoglab.llm import bpe, exact_dedup, license_scan, line_dedup, mixing, ngram_join, quality, sharding, token_count, token_files
+from dialoglab.llm.common import Words
 
 vocab = pytest.importorskip("public_tokenizers")
 
@@ -103,6 +105,41 @@ def test_jaccard_groups(docs, n, num, den, monkeypatch):
     assert got == sorted(brute.jaccard(pairs(docs), n, num, den), key=repr)
 
 
+def test_a_task_of_the_join_holds_one_part(spark, small, monkeypatch):
+    alone, chains = ngram_join._alone, ngram_join._chains
+
+    def watched(run):
+        def one(batches, *more):
+            seen = set()
+
+            def look():
+                for b in batches:
+                    seen.update(b.column(0).to_pylist())
+                    yield b
+
+            yield from run(look(), *more)
+            assert len(seen) <= 1, seen  # parts are made for the memory of a task
+
+        return one
+
+    monkeypatch.setattr(ngram_join, "PART_SIGNATURES", 500)
+    monkeypatch.setattr(ngram_join, "PART_GRAMS", 500)
+    monkeypatch.setattr(ngram_join, "_alone", watched(alone))
+    monkeypatch.setattr(ngram_join, "_chains", watched(chains))
+    got = rows_of(ngram_join.jaccard_groups(small, 5, 4, 5), "doc_id", "component_id")
+    monkeypatch.undo()
+    assert got == rows_of(ngram_join.jaccard_groups(small, 5, 4, 5), "doc_id", "component_id")
+
+
+def test_words_take_few_bytes_for_each_of_a_text():
+    texts = [b"some words of a text, " * 50] * 400
+    tracemalloc.start()
+    Words(texts, lower=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * sum(map(len, texts))
+
+
 def test_one_of_each_group(docs):
     left = ngram_join.one_of_each(docs)
     assert left.columns == docs.columns
@@ -449,6 +486,18 @@ def test_mixture_repeats_rows_as_reported(docs):
     assert Counter({(d, s): sum(n for (e, _, z), n in got.items() if e == d and z == s) for d, s in want}) == want
 
 
+def test_mixture_counts_words_once(small, capsys):
+    mixing.mixture(small, block_words=50).explain()
+    assert "regexp_replace" not in capsys.readouterr().out  # only the tables need sizes, and they are written by then
+
+
+def test_a_text_has_words_where_some_are_counted(spark):
+    texts = [None, "", " ", " \t\n\x0b\x0c\r", "a", " \n a ", "\u00a0", "\x00", "\x1c", "\u2003 x", " \u3000"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select(mixing.has_words(F.col("text")).alias("a"), (mixing.word_count(F.col("text")) > 0).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and [r.a for r in got] == [False] * 4 + [True] * 7
+
+
 def test_tree_quotas_add_up(small):
     out = mixing.mix_report(small, shards=5, block_words=200)
     shards = Counter(s for r in out.collect() for s in r.shards)
