@@ -16,6 +16,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+
+from .common import mix
+
 #: The 25 characters of Unicode's White_Space, which ``\s`` means in the tokenizers' patterns, each spelled out, so that
 #: the string serves as a set and inside a regex class.
 WHITE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -47,6 +51,135 @@ def slow_pieces(text: str) -> list[str]:
     return out
 
 
+#: The white space that is one byte in UTF-8, and the UTF-8 bytes of the rest as numbers of three bytes (first byte highest).
+_WHITE_BYTE = np.zeros(256, bool)
+_WHITE_BYTE[[ord(c) for c in WHITE if ord(c) < 128]] = True
+_WHITE_WIDE = np.array([int.from_bytes(c.encode(), "big") for c in WHITE if ord(c) >= 128])
+
+
+def cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pieces of the texts ``buf[offsets[i]:offsets[i + 1]]`` (UTF-8) begin, and ``len(buf)``.
+
+    A text is cut before each space or newline that begins a run of white space, so a piece is literal: whole runs of white space with
+    the characters after them, or the white space that ends a text.  It is split alike in every context.
+    """
+    at = np.flatnonzero((buf == 0x20) | (buf == 0x0A))
+    at = at[at > 0]
+    before = buf[at - 1]
+    inside = _WHITE_BYTE[before]
+    # such white space has two bytes or three; the character before a cut is in the same text or makes no difference
+    wide = np.flatnonzero(before >= 0x80)
+    if len(wide):
+        i = at[wide]
+        two = buf[i - 1] | buf[np.maximum(i - 2, 0)].astype(np.int64) << 8
+        inside[wide] = np.isin(two, _WHITE_WIDE) | np.isin(two | buf[np.maximum(i - 3, 0)].astype(np.int64) << 16, _WHITE_WIDE)
+    begins = np.zeros(len(buf) + 1, bool)
+    begins[at[~inside]] = True
+    begins[offsets] = True
+    return np.flatnonzero(begins)
+
+
+#: The bytes of a run in a ``RunTable``: four words, the last byte is their number.
+SHORT = 31
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def run_words(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of at most ``SHORT`` bytes as rows of four words, equal for equal runs only; longer runs have no use of theirs."""
+    padded = np.concatenate([buf, np.zeros(SHORT + 1, np.uint8)])
+    word_at = np.ndarray(len(buf) + 25, "<u8", padded, strides=(1,))
+    out = np.empty((len(starts), 4), np.uint64)
+    for k in range(4):
+        out[:, k] = word_at[starts + 8 * k] & _FIRST_BYTES[np.clip(sizes - 8 * k, 0, 8)]
+    out[:, 3] |= np.minimum(sizes, SHORT).astype(np.uint64) << np.uint64(56)
+    return out
+
+
+class RunTable:
+    """Ids of short runs for one worker, in arrays: a hash gives two slots to look in, the bytes decide.
+
+    ``ids[at[e] : at[e] + count[e]]`` are the ids of entry ``e``.  When ``most`` entries or 16 times as many ids are held, those found since
+    the last time stay, half of ``most`` at most.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.n, self.n_ids = most, 0, 0
+        self.slots = np.full(1 << (2 * most).bit_length(), -1, np.int32)
+        self.words, self.at, self.count = np.zeros((1, 4), np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.hit, self.ids = np.zeros(1, bool), np.zeros(1, np.uint32)
+
+    def _slots(self, words: np.ndarray) -> list[np.ndarray]:
+        with np.errstate(over="ignore"):
+            h = mix(words[:, 0] * _FACTORS[0] + words[:, 1] * _FACTORS[1] + words[:, 2] * _FACTORS[2] + words[:, 3] * _FACTORS[3])
+        low = np.uint64(len(self.slots) - 1)
+        return [(x & low).astype(np.int64) for x in (h, h >> np.uint64(32))]
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """Entry of each run, or -1."""
+        first, second = self._slots(words)
+        out = self._same(self.slots[first], words)
+        rest = np.flatnonzero(out < 0)
+        out[rest] = self._same(self.slots[second[rest]], words[rest])
+        self.hit[out[out >= 0]] = True
+        return out
+
+    def _same(self, entry: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The entries that have these bytes, -1 for others."""
+        held = self.words[entry]
+        held ^= words
+        differs = held[:, 0] | held[:, 1] | held[:, 2] | held[:, 3]
+        entry[differs != 0] = -1
+        return entry
+
+    def append(self, ids: np.ndarray) -> int:
+        """Put ids where entries can point to; where they begin."""
+        first = self.n_ids
+        self.n_ids += len(ids)
+        self.ids = _room(self.ids, self.n_ids)
+        self.ids[first : self.n_ids] = ids
+        return first
+
+    def add(self, words: np.ndarray, at: np.ndarray, count: np.ndarray) -> None:
+        """New entries; an entry whose two slots are taken drives out the one in the second."""
+        a, z = self.n, self.n + len(words)
+        self.words, self.at, self.count, self.hit = (_room(x, z) for x in (self.words, self.at, self.count, self.hit))
+        self.words[a:z], self.at[a:z], self.count[a:z], self.hit[a:z], self.n = words, at, count, False, z
+        first, second = self._slots(words)
+        entry = np.arange(a, z, dtype=np.int32)
+        free = self.slots[first] < 0
+        self.slots[first[free]] = entry[free]
+        rest = self.slots[first] != entry
+        self.slots[second[rest]] = entry[rest]
+
+    def turn(self) -> None:
+        if self.n < self.most and self.n_ids < 16 * self.most:
+            return
+        stay = np.flatnonzero(self.hit[: self.n])[-(self.most // 2) :]
+        words, at, count = self.words[stay], self.at[stay], self.count[stay]
+        ids, now = ranges(self.ids, at, count), np.cumsum(count) - count
+        self.slots[:] = -1
+        self.n = self.n_ids = 0
+        self.append(ids)
+        self.add(words, now, count)
+
+
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a longer copy, with place for ``n`` rows."""
+    if n <= len(array):
+        return array
+    out = np.empty((max(n, len(array) + len(array) // 2), *array.shape[1:]), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
+def ranges(array: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``array[at[i] : at[i] + count[i]]`` for each i, one after another."""
+    places = np.repeat(at - (np.cumsum(count) - count), count)
+    places += np.arange(len(places))
+    return array[places]
+
+
 def run_of(key: str) -> str:
     return key[1:] if key[:1] in (" ", "\n") else " " + key
 

@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import chunks
-from .pieces import CACHE_ENTRIES, WHITE, PieceCache
+from .common import chunks, utf8
+from .pieces import CACHE_CHARS, CACHE_ENTRIES, SHORT, WHITE, Recent, RunTable, cuts, ranges, run_words
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
@@ -45,13 +45,18 @@ END_ID = 0
 _U = np.uint64
 _SECTION = ("part int, section int, first bigint, n_ids bigint, freq binary, blocks array<struct<lanes:int,n_ids:bigint,"
             "states:binary,words:binary,crc32:bigint>>, doc_ids array<{id}>, lengths array<bigint>")
-#: Runs that go through the library in one string.
+#: Runs that go through the library in one string, or in one call.
 JOINED = 2000
+#: Runs that are looked up at a time.
+FOUND_RUNS = 1 << 16
 
 
 class Encoder:
     """Ids of texts by a byte-level tokenizer file; runs are looked up, new ones go through the library.
 
+    The texts of a chunk stay one buffer, whose runs are looked up and whose ids are put in order by numpy; only new and long runs become
+    Python objects.
+
     Tokens never cross from one run into the next, so new runs are put into one string, which saves the library's cost for
     each call, and the bytes that the tokens stand for tell where a run's tokens end; if one doesn't end with its run, the runs go one by one.
     """
@@ -67,10 +72,11 @@ class Encoder:
         # white space first, none last, and no beginning of an added token
         begins = "".join(re.escape(t.content[0]) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.joins = re.compile(f"[{WHITE}][^{begins}]*[^{WHITE}{begins}]").fullmatch
-        self.cache = PieceCache(self._solve, 4 * CACHE_ENTRIES)
+        self.table, self.recent = RunTable(8 * CACHE_ENTRIES), Recent()
 
     def _each(self, runs: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)] if runs else []
+        calls = (self.tokenizer.encode_batch_fast(runs[i : i + JOINED], add_special_tokens=False) for i in range(0, len(runs), JOINED))
+        return [e.ids for call in calls for e in call]
 
     def _solve(self, runs: list[str]) -> list[bytes]:
         """Ids of each run, 4 bytes each."""
@@ -81,8 +87,8 @@ class Encoder:
         single = set(alone)
         rest = [k for k in range(len(runs)) if k not in single]
         groups = [rest[i : i + JOINED] for i in range(0, len(rest), JOINED)]
-        for g, ids in zip(groups, self._each(["".join([runs[k] for k in g]) for g in groups]), strict=True):
-            ids = np.array(ids, "<u4")
+        for g in groups:
+            ids = np.array(self._each(["".join([runs[k] for k in g])])[0], "<u4")
             ends = np.cumsum([len(runs[k].encode()) for k in g])
             at_byte = np.cumsum(self.width[ids])
             cut = np.searchsorted(at_byte, ends) + 1
@@ -96,10 +102,51 @@ class Encoder:
                 at = end
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text and the end id."""
-        end = np.array([END_ID], "<u4").tobytes()
-        return [np.frombuffer(b"".join(parts) + end, "<u4") for parts in self.cache.look_up(texts)]
+    def _look_up(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of runs that are not in the table, 4 bytes each; the runs differ."""
+        self.recent.turn()
+        found = [self.recent.get(r) if len(r) > SHORT else None for r in runs]
+        fresh = [k for k, ids in enumerate(found) if ids is None]
+        texts = [runs[k].decode() for k in fresh]
+        for k, text, ids in zip(fresh, texts, self._solve(texts), strict=True):
+            found[k] = ids
+            if len(runs[k]) > SHORT and len(text) <= CACHE_CHARS:
+                self.recent.new[runs[k]] = ids
+        return found
+
+    def _ids(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the runs that begin at ``at`` (its last item is the end), one after another, and how many each run has."""
+        self.table.turn()
+        starts, sizes = at[:-1] - at[0], np.diff(at)
+        buf = buf[at[0] : at[-1]]
+        words = run_words(buf, starts, sizes)
+        entry = self.table.find(words)
+        new = np.flatnonzero((entry < 0) | (sizes > SHORT))
+        first, count = self.table.at[entry], self.table.count[entry]
+        if len(new):
+            raw, seen = buf.tobytes(), {}
+            which = np.array([seen.setdefault(raw[a:z], len(seen)) for a, z in zip(starts[new].tolist(), (starts + sizes)[new].tolist())])
+            found = self._look_up(list(seen))
+            own_count = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+            own_first = self.table.append(np.frombuffer(b"".join(found), "<u4")) + np.cumsum(own_count) - own_count
+            first[new], count[new] = own_first[which], own_count[which]
+            some = np.unique(which, return_index=True)[1]
+            some = some[sizes[new[some]] <= SHORT]
+            self.table.add(words[new[some]], own_first[which[some]], own_count[which[some]])
+        return ranges(self.table.ids, first, count), count
+
+    def encode(self, texts: list[str] | list[bytes]) -> list[np.ndarray]:
+        """Ids of each text (as a string or in UTF-8) and the end id."""
+        raw = [t.encode() if isinstance(t, str) else t for t in texts]
+        offsets = np.cumsum([0, *map(len, raw)])
+        buf = np.frombuffer(b"".join(raw), np.uint8)
+        at = cuts(buf, offsets)
+        parts = [self._ids(buf, at[i : i + FOUND_RUNS + 1]) for i in range(0, len(at) - 1, FOUND_RUNS)]
+        before = np.concatenate(([0], np.cumsum(np.concatenate([np.empty(0, np.int64), *(n for _, n in parts)]))))
+        ends = before[np.searchsorted(at, offsets[1:])]
+        ids = np.insert(np.concatenate([np.empty(0, "<u4"), *(x for x, _ in parts)]), ends, END_ID)
+        ends += np.arange(1, len(ends) + 1)
+        return [ids[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -215,8 +262,8 @@ def write_ids(docs: DataFrame, path: str, folder: str, section_ids: int = SECTIO
             schema = pa.schema([("part", pa.int32()), ("section", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()),
                                 ("freq", pa.binary()), ("blocks", pa.list_(block)), ("doc_ids", pa.list_(b.column(0).type)),
                                 ("lengths", pa.list_(pa.int64()))])
-            names, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for a, z in chunks(texts, 1 << 20):
+            names, texts = b.column(0).to_pylist(), utf8(b.column(1))
+            for a, z in chunks(texts):
                 for pair in zip(names[a:z], enc.encode(texts[a:z]), strict=True):
                     held.append(pair)
                     size += len(pair[1])

@@ -122,3 +122,68 @@ def test_plain_words_are_cut_as_the_pattern_cuts_them():
     for t in [*texts, " ".join(texts), *texts]:
         want = [i for w in enc.words.findall(t) for i in bpe.merge_bytes(w.encode(), enc.ranks)]
         assert enc.encode([t]) == [want]
+
+
+def pieces_of(own):
+    raw = [t.encode() for t in own]
+    buf = np.frombuffer(b"".join(raw), np.uint8)
+    at = pieces.cuts(buf, np.cumsum([0, *map(len, raw)]))
+    return [buf[a:z].tobytes().decode() for a, z in zip(at[:-1], at[1:], strict=True)]
+
+
+@pytest.mark.parametrize("space", pieces.WHITE)
+def test_cuts_are_where_runs_begin(space):
+    odd = [f"a{space} b\n{space}c é{space}\nà  d", f"{space} a", f"a {space}", "", " à b", "\n", f"漢{space}{space} 字 か", "a"]
+    got = pieces_of(odd)
+    assert "".join(got) == "".join(odd)
+    for piece in got:
+        runs = pieces._RUN.findall(piece)
+        assert "".join(runs) == piece and not any(r[0] in " \n" for r in runs[1:])  # all of their cuts are found
+    assert [p for t in odd for p in pieces_of([t])] == got  # a text's pieces don't depend on its neighbours
+    for t in odd:  # a cut is never inside a run
+        ends = {0, *np.cumsum([len(r) for r in pieces._RUN.findall(t)]).tolist()}
+        assert {0, *np.cumsum([len(p) for p in pieces_of([t])]).tolist()} <= ends
+
+
+def test_known_runs_are_found_without_python_objects(monkeypatch):
+    """A run that is known, however often it stands in the texts, is looked up in arrays."""
+    enc = token_files.Encoder(vocab.path("byte_bpe_50k.json"))
+    asked = []
+    monkeypatch.setattr(token_files.Encoder, "_look_up", lambda self, runs, f=token_files.Encoder._look_up: (asked.append(list(runs)), f(self, runs))[1])
+    own = ["foo bar\nfoo bär bar", "bar foo bar"] * 50
+    first = enc.encode(own)
+    assert sorted(asked[0]) == [b"\nfoo", b" bar", " bär".encode(), b" foo", b"bar", b"foo"] and len(asked) == 1
+    assert [x.tolist() for x in enc.encode(own)] == [x.tolist() for x in first] and len(asked) == 1
+
+
+def test_small_tables_and_blocks(monkeypatch):
+    """Runs with NUL, of 30 to 33 bytes, longer than a block; a table that turns over all the time."""
+    monkeypatch.setattr(token_files, "FOUND_RUNS", 7)
+    path = vocab.path("byte_bpe_50k.json")
+    enc, (_, want) = token_files.Encoder(path), reference()
+    enc.table = pieces.RunTable(10)
+    own = ["a\0 a \0a a\0\0", "", *(" ".join(["é" * (n // 2) + "x" * (n % 2)] * 3) for n in range(28, 36)), "x" * 5000, "\n", "", *texts(5, 400)]
+    for some in (own, own[::-1], own):
+        assert [x.tolist() for x in enc.encode(some)] == [[*want(t), token_files.END_ID] for t in some]
+        assert enc.table.n <= 10 + 7
+    assert enc.encode([]) == [] and [x.tolist() for x in enc.encode([""])] == [[token_files.END_ID]]
+
+
+def test_table_of_runs_keeps_what_is_found():
+    rng = np.random.default_rng(3)
+    table, known, missed = pieces.RunTable(1000), {}, 0
+    for _ in range(200):
+        runs = list(dict.fromkeys(bytes(rng.integers(0, 3, rng.integers(1, 32), dtype=np.uint8)) for _ in range(50))) + [b"often"]
+        at = np.cumsum([0, *map(len, runs)])
+        words = pieces.run_words(np.frombuffer(b"".join(runs), np.uint8), at[:-1], np.diff(at))
+        table.turn()
+        entry = table.find(words)
+        for r, e in zip(runs, entry.tolist(), strict=True):
+            assert e < 0 or table.ids[table.at[e] : table.at[e] + table.count[e]].tolist() == known[r]
+        missed += int(entry[-1] < 0)
+        new = np.flatnonzero(entry < 0)
+        ids = [known.setdefault(runs[k], [len(known)] * rng.integers(1, 4)) for k in new]
+        count = np.array([len(x) for x in ids], np.int64)
+        first = table.append(np.concatenate([np.array(x, np.uint32) for x in [[], *ids]])) + np.cumsum(count) - count
+        table.add(words[new], first, count)
+    assert missed <= 10  # the first time, and when other runs took both of its slots
