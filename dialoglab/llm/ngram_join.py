@@ -4,7 +4,8 @@ A document's set holds the hashes of its distinct word n-grams.  Two sets A and
 which is the same as an overlap of at least T(|A|, |B|) = ceil(num * (|A| + |B|) / (num + den)).  Equal sets are one node, so
 copies are never compared.  The join is exact (up to 64-bit hashes of n-grams); nothing is sampled or capped.
 
-1. ``sets``: one row per document: size and a 128-bit name of its set.  The sets are not written.
+1. ``sets``: one row per document: size, a 128-bit name of its set and a sketch: the parities of one to two buckets an element.
+   The sets are not written.
 2. Sets on their own.  Elements that no other set has count as differences with any partner, so a set with over D of
    them links with nothing.  Where ranges (see 3) are short, that is below a similarity of about 0.88, the elements with an even
    hash (a lower bound is enough) go to partitions that tell which occur in one set only, and such sets leave.
@@ -13,8 +14,10 @@ copies are never compared.  The join is exact (up to 64-bit hashes of n-grams);
    ranges and at least one range holds the same elements in both, so the signature of a range (range number and a hash of its
    elements) is a key that linked sets share.  There are some more ranges than that, so that a set nearly always uses more
    than D of them and need not sign the empty ones (which many sets share); a set that doesn't signs them all.  D is fixed for a band of sizes; a set signs for its own band and for the next,
-   where its larger partners are.  Signatures leave the tasks packed by partition, and each partition links the sets of
-   equal signatures in a chain.  Connected components of these chains are the blocks: linked sets are always in one.
+   where its larger partners are.  Signatures leave the tasks packed by partition, and each partition tells which sets have an
+   equal one.  In a larger corpus more unrelated sets do, by one passage that they share, so sets with an equal signature are compared
+   by their sketches: those that differ in more than D parities differ in more than D elements.  The pairs that remain are mostly links,
+   whose connected components are the blocks: linked sets are always in one.
    Copies of the most frequent sets sign once (an exact rule on a bounded list), so hot copies make no hot signature.
 4. Search.  A large block is dealt into runs of about ``RUN_GRAMS`` elements and ``RUN_SETS`` sets of like size; each pair of runs
    whose sizes can link is a piece of work of bounded memory, so a large block is spread over tasks.  One run becomes inverted lists (n-gram -> sets, ascending); each
@@ -31,6 +34,7 @@ are equal sets; an empty table gives an empty result; other columns are kept by
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -47,6 +51,8 @@ RUN_GRAMS = 400_000
 RUN_SETS = 512
 #: Signatures (16 bytes each) of a partition, about.
 PART_SIGNATURES = 1 << 20
+#: Sets with an equal signature that are compared at a time with as many others, and the largest sketch.
+SKETCH_RUN, SKETCH_BITS = 2048, 1 << 17
 #: Elements of a partition, about, where elements are compared; done where a range has fewer than SHORT_RANGE elements.
 PART_GRAMS, SHORT_RANGE = 1 << 20, 8
 #: The most frequent sets of which only one document signs, and the least number of their documents.
@@ -123,6 +129,12 @@ def set_name(s: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "little") + int(b).to_bytes(8, "little")
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the elements in one to two buckets an element (a power of two): two sets differ in at least as many elements."""
+    bits = max(64, min(SKETCH_BITS, 1 << (len(s) - 1).bit_length()))
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
 def node(name: bytes) -> int:
     """64 bits of a set's name, for the graph that makes blocks (a clash merely joins two blocks)."""
     return int.from_bytes(name[:8], "big", signed=True)
@@ -148,7 +160,7 @@ def signatures(s: np.ndarray, measure: Measure) -> np.ndarray:
 
 
 def sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, name (16 bytes; empty sets: NULL), text_hash."""
+    """doc_id, n_shingles, name (16 bytes; empty sets: NULL), text_hash, sketch (empty sets: NULL)."""
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -160,17 +172,19 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
                 own = gram_sets(texts[a:z], n)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(a, z - a), pa.array([len(s) for s in own], pa.int64()),
-                     pa.array([set_name(s) if len(s) else None for s in own], pa.binary()), b.column(2).slice(a, z - a)],
-                    ["doc_id", "n_shingles", "name", "text_hash"])
+                     pa.array([set_name(s) if len(s) else None for s in own], pa.binary()), b.column(2).slice(a, z - a),
+                     pa.array([sketch(s) if len(s) else None for s in own], pa.binary())],
+                    ["doc_id", "n_shingles", "name", "text_hash", "sketch"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, name binary, text_hash bigint")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, name binary, text_hash bigint, sketch binary")
 
 
 def _packed(docs: DataFrame, n: int, parts: int, hot: dict[bytes, object], keys_of, words=None, bits: int = 0) -> DataFrame:
     """(part, keys, owners, nodes): the keys that ``keys_of`` gives for each set, packed by partition.
 
-    One row for each partition and chunk of texts; ``owners`` are places in ``nodes``.  With a bitmap (``words``), only
-    documents whose doc_id may be in it.
+    One row for each partition and chunk of texts; ``owners`` has a bit for each key, set where the next one of ``nodes`` begins.  A
+    partition keeps 32 bits of a key, as it holds few: different keys may seem equal, equal ones always do.  With a bitmap
+    (``words``), only documents whose doc_id may be in it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(hot)  # at most HOT_SETS entries
 
@@ -200,8 +214,10 @@ def _packed(docs: DataFrame, n: int, parts: int, hot: dict[bytes, object], keys_
                 key, owner, nodes = key[order], owner[order], np.array(own, np.int64)
                 rows = []
                 for p in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-                    here, at = np.unique(owner[cuts[p] : cuts[p + 1]], return_inverse=True)
-                    rows.append((p, key[cuts[p] : cuts[p + 1]].tobytes(), at.astype("<u4").tobytes(), nodes[here].tobytes()))
+                    own_ = owner[cuts[p] : cuts[p + 1]]  # ascending
+                    new = np.concatenate(([True], own_[1:] != own_[:-1]))
+                    rows.append((p, (key[cuts[p] : cuts[p + 1]] >> np.uint64(32)).astype("<u4").tobytes(), np.packbits(new).tobytes(),
+                                 nodes[own_[new]].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                     zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
                     ["part", "keys", "owners", "nodes"])
@@ -213,13 +229,13 @@ def _packed(docs: DataFrame, n: int, parts: int, hot: dict[bytes, object], keys_
 
 def _unpacked(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, nodes) of a packed row."""
-    key, owner, nodes = (np.frombuffer(b.column(k)[i].as_buffer(), t) for k, t in ((1, "<u8"), (2, "<u4"), (3, "<i8")))
-    return key.copy(), nodes[owner]
+    key, new, nodes = (np.frombuffer(b.column(k)[i].as_buffer(), t) for k, t in ((1, "<u4"), (2, np.uint8), (3, "<i8")))
+    return key.copy(), nodes[np.cumsum(np.unpackbits(new, count=len(key)), dtype=np.int64) - 1]
 
 
 def _alone(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """(bucket, nodes, counts): how many of a set's keys in this partition no other set has, packed by bucket of the set."""
-    keys, nodes, many = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
+    keys, nodes, many = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, bool)
     wait: list[tuple[np.ndarray, np.ndarray]] = []
     waiting = 0
 
@@ -268,13 +284,14 @@ def _own_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) between sets with an equal signature: each new set with the first one that had it."""
-    sigs, firsts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    """nodes: the sets with an equal signature, ascending, once for all signatures of the partition that the same sets have."""
+    sigs, firsts = np.empty(0, np.uint32), np.empty(0, np.int64)
+    more_s, more_n = [], []  # other sets with a signature that was there
     wait_s: list[np.ndarray] = []
     wait_n: list[np.ndarray] = []
     waiting = 0
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> None:
         nonlocal sigs, firsts, wait_s, wait_n, waiting
         s, x = np.concatenate([sigs, *wait_s]), np.concatenate([firsts, *wait_n])
         order = np.argsort(s, kind="stable")  # what was there comes first
@@ -282,9 +299,9 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.empty(0, bool)
         head = x[new][np.cumsum(new) - 1] if len(s) else x
         odd = head != x
-        edges = np.unique(np.stack((np.minimum(head[odd], x[odd]), np.maximum(head[odd], x[odd])), axis=1), axis=0)
+        more_s.append(s[odd])
+        more_n.append(x[odd])
         sigs, firsts, wait_s, wait_n, waiting = s[new], x[new], [], [], 0
-        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
     for b in batches:
         for i in range(b.num_rows):
@@ -293,9 +310,140 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wait_n.append(own)
             waiting += len(sig)
             if waiting > max(1 << 19, len(sigs) // 2):
-                yield flush()
-    if waiting:
-        yield flush()
+                flush()
+    flush()
+    s, x = np.concatenate(more_s), np.concatenate(more_n)
+    shared = np.unique(s)
+    s, x = np.concatenate((s, shared)), np.concatenate((x, firsts[np.searchsorted(sigs, shared)]))
+    order = np.lexsort((x, s))
+    s, x = s[order], x[order]
+    if len(s):
+        new = np.concatenate(([True], (s[1:] != s[:-1]) | (x[1:] != x[:-1])))
+        s, x = s[new], x[new]
+    seen: set[bytes] = set()
+    out: list[bytes] = []
+    size = 0
+    for group in np.split(x, np.flatnonzero(s[1:] != s[:-1]) + 1) if len(s) else []:
+        key = hashlib.blake2b(packed := group.astype("<i8").tobytes(), digest_size=16).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        out.append(packed)
+        if (size := size + len(packed)) > 1 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["nodes"])
+            out, size = [], 0
+    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["nodes"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, side, node): what is compared at a time: a group, or for a large one each pair of its runs."""
+
+    def rows(w: list, side: list, node_: list) -> pa.RecordBatch:
+        n = [len(x) for x in node_]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.array(w, np.int64), n)), pa.array(np.repeat(np.array(side, np.int32), n)),
+             pa.array(np.concatenate(node_) if node_ else np.empty(0, np.int64))], ["w", "side", "node"])
+
+    w, side, node_, held = [], [], [], 0
+    for b in batches:
+        for packed in b.column(0):
+            group = np.frombuffer(packed.as_buffer(), "<i8")
+            name = hashlib.blake2b(packed.as_buffer(), digest_size=8)
+            runs = [group[k : k + SKETCH_RUN] for k in range(0, len(group), SKETCH_RUN)]
+            for i in range(len(runs)):
+                for j in range(i, len(runs)):
+                    key = name.copy()
+                    key.update(b"%d,%d" % (i, j))
+                    for k in {i, j}:
+                        w.append(int.from_bytes(key.digest(), "little", signed=True))
+                        side.append(int(k != i))
+                        node_.append(runs[k])
+                        held += len(runs[k])
+                    if held > 1 << 16:
+                        yield rows(w, side, node_)
+                        w, side, node_, held = [], [], [], 0
+    yield rows(w, side, node_)
+
+
+def near(sketches: list[bytes], sizes: list[int], sides: list[int], measure: Measure) -> list[tuple[int, int]]:
+    """Pairs that may be links by their sketches and sizes, as a forest that joins what they join.
+
+    If there are two sides, only sets of different sides are compared.
+    """
+    size, side = np.array(sizes, np.int64), np.array(sides)
+    of = np.array([len(x) for x in sketches])
+    lengths = np.unique(of).tolist()
+    at = {m: np.flatnonzero(of == m) for m in lengths}
+    place = np.zeros(len(size), np.int64)
+    level: dict[tuple[int, int], np.ndarray] = {}  # sketches of one length, folded to a shorter one
+    for m in lengths:
+        place[at[m]] = np.arange(len(at[m]))
+        x = np.frombuffer(b"".join(sketches[i] for i in at[m].tolist()), np.uint64).reshape(len(at[m]), -1)
+        while True:
+            level[m, x.shape[1] * 8] = x
+            if x.shape[1] * 8 <= lengths[0]:
+                break
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    two = len(np.unique(side)) > 1
+    open_ = {m: np.arange(len(at[m])) for m in lengths}  # not yet in a tree
+    edges: list[tuple[int, int]] = []
+    todo: list[int] = []
+    begun, first = np.zeros(len(size), bool), 0
+    while True:
+        if not todo:
+            while first < len(size) and begun[first]:
+                first += 1
+            if first == len(size):
+                return edges
+            begun[first] = True
+            todo.append(first)
+            m = int(of[first])
+            open_[m] = open_[m][open_[m] != place[first]]
+        q = todo.pop()
+        for m, rest in open_.items():
+            if not len(rest):
+                continue
+            other = at[m][rest]
+            fit = (measure.den * np.minimum(size[other], size[q]) >= measure.num * np.maximum(size[other], size[q]))
+            if two:
+                fit &= side[other] != side[q]
+            some = np.flatnonzero(fit)
+            if not len(some):
+                continue
+            short = min(m, int(of[q]))
+            differ = np.bitwise_count(level[m, short][rest[some]] ^ level[int(of[q]), short][place[q]]).sum(axis=1, dtype=np.int64)
+            some = some[differ <= (measure.den - measure.num) * (size[other[some]] + size[q]) // (measure.num + measure.den)]
+            found = other[some].tolist()
+            edges += [(q, i) for i in found]
+            todo += found
+            begun[found] = True
+            open_[m] = np.delete(rest, some)
+
+
+def _near(batches: Iterator[pa.RecordBatch], measure: Measure) -> Iterator[pa.RecordBatch]:
+    """Rows (w, side, node, size, sketch), sorted by w, to edges (a, b) between sets that may be linked."""
+
+    def solve(held: list[tuple]) -> list[tuple[int, int]]:
+        return [(held[i][2], held[j][2]) for i, j in near([r[4] for r in held], [r[3] for r in held], [r[1] for r in held], measure)]
+
+    def result(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+        e = np.array(edges, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+
+    held: list[tuple] = []
+    edges: list[tuple[int, int]] = []
+    for b in batches:
+        for row in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+            if held and held[0][0] != row[0]:
+                edges += solve(held)
+                held = []
+                if len(edges) > 50_000:
+                    yield result(edges)
+                    edges = []
+            held.append(row)
+    if held:
+        edges += solve(held)
+    yield result(edges)
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -499,7 +647,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits
     measure = Measure(num, den)
     own = stage_table(sets(docs.select("doc_id", "text"), n), "sets")
     nodes = stage_table(own.filter("name IS NOT NULL").groupBy("name").agg(
-        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"),
+        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"),
         *[F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("text"))).alias("first")] * first),
         "nodes")
     hot = {r.name: r.first_id for r in nodes.filter(F.col("copies") >= HOT_COPIES).filter("first_id IS NOT NULL")
@@ -517,7 +665,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits
         packed_n = halves.repartitionById(parts, "part").mapInArrow(lambda it: _alone(it, parts), "bucket int, nodes binary, counts binary")
         own_n = packed_n.repartitionById(parts, "bucket").mapInArrow(_own_counts, "node bigint, own_n bigint")
         most = F.floor((den - num) * (F.col("size") + F.floor(F.col("size") * den / num)) / (num + den))
-        left = nodes.withColumn("node", as_long).join(own_n, "node", "left").filter(F.coalesce("own_n", F.lit(0)) <= most)
+        left = nodes.select("first_id", "size", as_long.alias("node")).join(own_n, "node", "left").filter(F.coalesce("own_n", F.lit(0)) <= most)
         left = stage_table(left.select("first_id", "size"), "left")
         words = docs.sparkSession.sparkContext.broadcast(bitmap(left, F.col("first_id"), bits))
         total = left.agg(F.sum("size")).first()[0] or 0
@@ -526,11 +674,14 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, bits
     per_gram = 2.8 * 2 * (den - num) / (num + den)
     parts = max(8, int(total * per_gram / PART_SIGNATURES) + 1)
     packed = _packed(docs, n, parts, hot, lambda s: signatures(s, measure), words, bits)
-    chained = packed.repartitionById(parts, "part").mapInArrow(_chains, "a bigint, b bigint")
-    blocks = stage_table(components(chained, "a", "b"), "blocks")
+    alike = packed.repartitionById(parts, "part").mapInArrow(_chains, "nodes binary").distinct()
+    work = alike.mapInArrow(_compared, "w bigint, side int, node bigint").join(nodes.select(as_long.alias("node"), "size", "sketch"), "node")
+    work = work.select("w", "side", "node", "size", "sketch").repartition("w").sortWithinPartitions("w")
+    may = work.mapInArrow(lambda it: _near(it, measure), "a bigint, b bigint")
+    blocks = stage_table(components(may, "a", "b"), "blocks")
 
     # the sets of blocks, again from the texts of one document each
-    members = nodes.withColumn("node", as_long)
+    members = nodes.drop("sketch").withColumn("node", as_long)
     members = stage_table(members.join(blocks, "node").select("name", "first_id", "copies", "size", F.col("root").alias("block")), "members")
     words = docs.sparkSession.sparkContext.broadcast(bitmap(members, F.col("first_id"), bits))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), *[

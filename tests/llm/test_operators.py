@@ -178,6 +178,48 @@ def test_signatures_of_linked_sets_meet():
                 assert np.intersect1d(ngram_join.signatures(a, m), ngram_join.signatures(b, m)).size
 
 
+def test_sketches_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    for num, den in ((9, 10), (4, 5), (1, 2), (1, 5)):
+        m = ngram_join.Measure(num, den)
+        base = [rng.integers(0, 1 << 63, int(n), dtype=np.uint64) for n in (3, 60, 64, 65, 130, 700)]
+        own = [np.unique(np.concatenate((b[: int(len(b) * rng.uniform(0.3, 1))], rng.integers(0, 1 << 63, int(rng.integers(1, 9)), dtype=np.uint64))))
+               for b in base for _ in range(12)]
+        own.sort(key=len)
+        for sides in ([0] * len(own), rng.integers(0, 2, len(own)).tolist()):
+            got = ngram_join.near([ngram_join.sketch(s) for s in own], [len(s) for s in own], sides, m)
+            assert len(got) < len(own)
+            forest = ngram_join.Forest(len(own))
+            for a, b in got:
+                assert sides == [0] * len(own) or sides[a] != sides[b]
+                assert forest.join(a, b)
+            for a, b in ngram_join.links(own, None, m):
+                assert sides != [0] * len(own) and sides[a] == sides[b] or forest.find(a) == forest.find(b)
+
+
+def test_shared_passages_make_no_large_block(spark, monkeypatch):
+    """Texts of common passages have equal signatures, but only near copies reach the search."""
+    rng = np.random.default_rng(6)
+    passages = [" ".join(f"p{p}w{i}" for i in range(40)) for p in range(30)]
+    texts = [" ".join(passages[p] for p in rng.choice(30, 5, replace=False)) for _ in range(150)]
+    texts += [texts[0] + " more", texts[1] + " more"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    write, rows = ngram_join.stage_table, {}
+
+    def counted(one, name):
+        out = write(one, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stage_table", counted)
+    monkeypatch.setattr(ngram_join, "SKETCH_RUN", 3)  # runs are compared in pairs
+    got = rows_of(ngram_join.jaccard_groups(df, 5, 4, 5), "doc_id", "n_shingles", "component_id", "n_links")
+    want = brute.jaccard(list(enumerate(texts)), 5, 4, 5)
+    assert got == sorted(want, key=repr)
+    linked = sum(w[3] > 0 for w in want)
+    assert 4 <= linked <= rows["members"] <= linked + 10
+
+
 def test_t_occurrence_equals_counting():
     rng = np.random.default_rng(5)
     for _ in range(200):
