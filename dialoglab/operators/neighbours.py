@@ -6,12 +6,13 @@
   along random directions; medians come from about ``SAMPLE`` nodes of the leaf, chosen by hash, and every node is dealt by them.
   Rounds go on until all leaves are small, so a leaf is bounded and a group is as many leaves as it needs.
 * In a leaf all distances are exact; the best ``k`` of all trees remain.  Trees are added until the recall, measured against
-  brute force for about ``QUERIES`` nodes of the table, reaches ``recall``.
+  brute force for about ``QUERIES`` nodes of the table, reaches ``recall``.  The more nodes, the more cuts part neighbours: where
+  ``most_trees`` can't reach it, all nodes of a group are compared, a block of them in a task, which the others stream past.
 * The layout begins with the group's PCA.  An epoch pulls each node and its neighbours together and pushes nodes off a
   sample of at most ``PUSHERS`` nodes of the group, drawn anew for each epoch.  Forces are added up as integers, so that the
   order of the sums doesn't matter and reruns agree.
 
-Work is dealt by leaf and by node, never by group.  For the layout nodes are dealt to blocks by hash.  The edges of a block's nodes, at most
+Work is dealt by leaf, by block and by node, never by group.  For the layout nodes are dealt to blocks by hash.  The edges of a block's nodes, at most
 ``k`` each, stay where they are through all epochs; a node's position goes once to every block that has an edge to it, and what
 a block's edges pull at a node comes back added up, hubs included.  State goes to the shared folder after each epoch, as positions and the
 blocks that want them.
@@ -29,6 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ from .scoring import project_2d
 DEPTH, SAMPLE, ROUNDS = 6, 2048, 40
 #: Nodes whose neighbours are checked by brute force; nodes of a group that push in an epoch.
 QUERIES, PUSHERS = 200, 256
+#: Components of a block of nodes that all others of the group are compared with, and nodes of it at a time.
+ALL_CELLS, ALL_ROWS = 1 << 21, 256
 #: Nodes of a block of the layout, and blocks at least.
 BLOCK, BLOCKS = 1 << 14, 8
 #: Strength of a pull: with more of it neighbours overshoot each other.
@@ -214,10 +218,91 @@ def recall(graph: DataFrame, truth: DataFrame) -> float:
     return float(row["hits"]) / row["all"] if row["all"] else 1.0
 
 
+class _Nearest:
+    """The ``k`` nearest of a block of nodes among those that stream past, ties by name; memory for the block and a batch."""
+
+    def __init__(self, names: np.ndarray, x: np.ndarray, k: int):
+        self.names, self.k = names, k + 1  # a node itself comes, too
+        self.x = np.hstack((x, (x * x).sum(1)[:, None], np.ones((len(x), 1))))
+        self.best = [(np.empty(0, np.int64), np.empty(0), np.empty(0, object))] * -(-len(x) // ALL_ROWS)  # place, d2, name
+        self.edge = np.full(len(x), np.inf)
+
+    def add(self, names: np.ndarray, y: np.ndarray) -> None:
+        y = np.hstack((-2 * y, np.ones((len(y), 1)), (y * y).sum(1)[:, None])).T
+        for b, a in enumerate(range(0, len(self.x), ALL_ROWS)):
+            d2 = self.x[a : a + ALL_ROWS] @ y  # sums of integers: exact in any order
+            edge = self.edge[a : a + ALL_ROWS]
+            if len(names) > self.k and np.isinf(edge).any():
+                edge = np.minimum(edge, np.partition(d2, self.k - 1, axis=1)[:, self.k - 1])
+            row, col = np.nonzero(d2 <= edge[:, None])
+            if not len(row):
+                continue
+            place, dist, name = (np.concatenate(c) for c in zip(self.best[b], (row, d2[row, col], names[col]), strict=True))
+            order = np.lexsort((name, dist, place))
+            place, dist, name = place[order], dist[order], name[order]
+            start = np.flatnonzero(np.diff(place, prepend=-1))
+            rank = np.arange(len(place)) - np.repeat(start, np.diff(start, append=len(place)))
+            self.edge[a + place[rank == self.k - 1]] = dist[rank == self.k - 1]
+            keep = rank < self.k
+            self.best[b] = place[keep], dist[keep], name[keep]
+
+    def result(self) -> pa.RecordBatch:
+        place = np.concatenate([p + b * ALL_ROWS for b, (p, _, _) in enumerate(self.best)])
+        dist, name = (np.concatenate([x[c] for x in self.best]) for c in (1, 2))
+        other = self.names[place] != name
+        place, dist, name = place[other], dist[other], name[other]
+        start = np.flatnonzero(np.diff(place, prepend=-1))
+        near = pa.ListArray.from_arrays(pa.array(np.append(start, len(place)), pa.int32()),
+                                        pa.StructArray.from_arrays([pa.array(np.maximum(dist, 0.0)), pa.array(name, pa.string())], ["d2", "v"]))
+        return pa.RecordBatch.from_arrays([pa.array(self.names[place[start]], pa.string()), near], ["u", "near"])
+
+
+def all_pairs(points: DataFrame, k: int) -> DataFrame:
+    """u, near: the ``k`` nearest of every node, each compared with all of its group.
+
+    Quadratic in a group; a block of nodes is a task's work, and the group's nodes go to each of its blocks.
+    """
+    cells = F.sum(F.size("vec").cast("long"))
+    blocks = points.groupBy("g").agg(F.ceil(cells / ALL_CELLS).cast("int").alias("blocks"))
+    rows = points.select("g", "node", "vec").join(blocks, "g")
+    own = F.pmod(F.xxhash64(F.lit("all"), "node"), F.col("blocks")).cast("int")
+    sides = rows.select("g", own.alias("b"), F.lit(False).alias("past"), "node", "vec").unionByName(
+        rows.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.lit(True).alias("past"), "node", "vec"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own, block = None, [], None
+        for batch in batches:
+            g, b, past = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cuts = np.flatnonzero((g[1:] != g[:-1]) | (b[1:] != b[:-1]) | (past[1:] != past[:-1])) + 1
+            for a, z in zip([0, *cuts], [*cuts, len(g)], strict=True):
+                if a == z:
+                    continue
+                if key != (g[a], b[a]):
+                    if block is not None:
+                        yield block.result()
+                    key, own, block = (g[a], b[a]), [], None
+                names = batch.column(3).slice(a, z - a).to_numpy(zero_copy_only=False)
+                x = batch.column(4).slice(a, z - a).flatten().to_numpy().astype(np.float64).reshape(z - a, -1)
+                if not past[a]:
+                    own.append((names, x))
+                    continue
+                if block is None and own:
+                    block = _Nearest(*(np.concatenate(c) for c in zip(*own, strict=True)), k)
+                    own = []
+                if block is not None:
+                    block.add(names, x)
+        if block is not None:
+            yield block.result()
+
+    sides = sides.repartition("g", "b").sortWithinPartitions("g", "b", "past")
+    return sides.mapInArrow(run, "u string, near array<struct<d2: double, v: string>>")
+
+
 def neighbour_graph(points: DataFrame, k: int = 15, leaf: int = 1024, trees: int = 6, most_trees: int = 48,
-                    at_least: float = 0.9) -> tuple[DataFrame, float]:
+                    at_least: float = 0.9, exact: bool = False) -> tuple[DataFrame, float]:
     """(u, near) of all nodes and the measured recall.  ``trees`` at a time are grown until it is ``at_least``; a graph that
-    misses it with ``most_trees`` is an error (larger leaves or more trees reach it)."""
+    misses it with ``most_trees`` is an error (larger leaves or more trees reach it).  With ``exact`` it is none: as soon as the trees so
+    far tell that ``most_trees`` will miss it, all pairs are compared."""
     if k < 1 or leaf <= k:
         raise ValueError("k must be positive and below the size of a leaf")
     truth = _kept(brute_force(points, k), "true-neighbours")
@@ -230,6 +315,13 @@ def neighbour_graph(points: DataFrame, k: int = 15, leaf: int = 1024, trees: int
         pairs = _kept(_best(both, k), "neighbours")
         if (reached := recall(pairs, truth)) >= at_least:
             return pairs, reached
+        # if each tree finds a like share of what is missing
+        if exact and (1 - reached) ** (most_trees / min(first + trees, most_trees)) > 1 - at_least:
+            break
+    if exact:
+        pairs = _kept(all_pairs(short, k), "neighbours")
+        if (reached := recall(pairs, truth)) >= at_least:
+            return pairs, reached
     raise RuntimeError(f"recall {reached:.3f} with {most_trees} trees is below {at_least}")
 
 
@@ -359,7 +451,7 @@ def project_neighbours(df: DataFrame, by: str | Sequence[str] = "class", vec_col
     """M6: id, the group and x, y of every row, near to what its vector is near to.  ``trees`` go to ``neighbour_graph``."""
     by = [by] if isinstance(by, str) else list(by)
     points = _kept(nodes(df, by, vec_col, scale), "nodes")
-    graph, _ = neighbour_graph(points, k, **trees)
+    graph, _ = neighbour_graph(points, k, **{"exact": True} | trees)
     placed = layout(points, graph, k, epochs, many_groups=many_groups).withColumnRenamed("node", "_node")
     rows = _with_node(df.select(F.col(id_col).alias("id"), *by, vec_col), by, vec_col, scale)
     return rows.select("id", *by, "_node").join(placed, "_node", "left").select("id", *by, "x", "y")

@@ -76,6 +76,28 @@ def test_missed_recall_is_an_error(spark):
         N.neighbour_graph(points, k=5, leaf=8, trees=1, most_trees=1)
 
 
+def test_trees_that_miss_the_recall_are_followed_by_all_pairs(spark, monkeypatch):
+    """As in a table of so many nodes that no allowed number of trees reaches it."""
+    monkeypatch.setattr(N, "ALL_CELLS", 300)  # several blocks in a group
+    monkeypatch.setattr(N, "ALL_ROWS", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        rng = np.random.default_rng(2)
+        x = np.unique(np.concatenate((rng.integers(0, 3, (300, 5)) / 4096, rng.normal(size=(200, 5)))), axis=0)  # many ties
+        rows = frame(spark, x, ["a" if i % 3 else None for i in range(len(x))]).collect()
+        rows += [("alone", "b", [1.0] * 5), ("copy", rows[0][1], rows[0][2])]
+        df = spark.createDataFrame(rows, SCHEMA)
+        points = N._kept(N.nodes(df), "t")
+        df = df.union(spark.createDataFrame([("short", "a", [1.0]), ("shorter", "a", [2.0])], SCHEMA))
+        want = {u: near for u, near in true_neighbours(points, 4).items() if near}
+        graph, reached = N.neighbour_graph(points, k=4, leaf=6, trees=1, most_trees=1, exact=True)
+        assert reached == 1.0
+        assert {r.u: [(e.d2, e.v) for e in r.near] for r in graph.collect()} == want
+        assert N.project_neighbours(df, k=4, epochs=2, leaf=6, trees=1, most_trees=1).where("x IS NULL").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_layout_keeps_neighbours_better_than_pca(spark):
     kind, x = clusters(400, kinds=8)
     points = N._kept(N.nodes(frame(spark, x)), "t")
