@@ -5,11 +5,13 @@ import re
 
 import pytest
 import regex
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from conftest import SF_CHECK, SF_SMALL
 from dialoglab.functions import subwords as SW
 from dialoglab.functions import text as T
+from dialoglab.functions import treebank as TB
 from dialoglab.plans import fixtures as fx
 from dialoglab.plans.catalog import QUERIES
 
@@ -65,6 +67,35 @@ def test_treebank_on_conversations(spark):
         T.count_tokens("text", rule="other")
 
 
+SIGNS_AND_WORDS = [
+    "'", "'", "’", "`", "''", ".", ".", "..", "...", "-", "--", "---", ",", ":", "?", "!", ")", "(", '"', "”", "»", "<", "[", "}", "$", "@", "_",
+    " ", " ", "  ", "\n", "\t", "\r", "\x0b", "\f", "s", "S", "m", "d", "ll", "LL", "re", "ve", "n", "N", "t", "T", "n't", "N'T", "'s", "'d", "'ve",
+    "'tis", "'Twas", "cannot", "Cannot", "CANNOT", "gonna", "Gotta", "d'ye", "D’ye", "more'n", "Mr", "e.g", "e.g.", "U.S", "U.S.", "a.m.", "No.",
+    "etc.", "J.", "R.", "A", "x", "word", "1", "23", "é", "É", "日本", "😀", "𝐀", "\u0301", "\x01", "\x02", "\x04", "½", "٣", "Dr.", "\x85",
+]
+
+
+def by_rules(col):
+    """The rules one after the other, each as it is stated."""
+    out = F.concat(F.lit("\n"), F.col(col), F.lit("\n"))
+    for pattern, by in TB.RULES:
+        out = F.regexp_replace(out, pattern, re.sub(r"\\([1-5])", r"$\1", by.replace("$", r"\$")))
+    return F.size(F.regexp_extract_all(out, F.lit(rf"[^{TB.SPACE}\n]+"), 0))
+
+
+def test_treebank_passes_keep_the_rules(spark):
+    r = random.Random(11)
+    texts = ["".join(r.choice(SIGNS_AND_WORDS) + r.choice(["", "", "", " "]) for _ in range(r.randint(0, 14))) for _ in range(8000)]
+    texts += ["a's-'s-'dn't x", "xN'TN'TN'T", "J.R. U.S.A. X.U.S. No", "etc.\n", "a, ", "Mr\x01\n.\x01 \n", "a'b.c-d,e1" * 3000, "'" * 9000, "n't" * 4000, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", T.count_tokens("x", rule="treebank").alias("n"), by_rules("x").alias("want"))
+    assert [x for x in rows.collect() if x.n != (None if x.x is None else x.want)] == []
+
+
+def test_treebank_takes_few_passes(spark):
+    plan = spark.createDataFrame([("a",)], "x string").select(T.count_tokens("x", rule="treebank").alias("n"))._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("regexp_replace(") <= 9  # 18 with a pass for each rule
+
+
 WORDS = ["un", "able", "affable", "believe", "ing", "the", "é", "日本", "x", "don't", "a.b", "$5", "q" * 101, "q" * 100, "naïve", "😀", " ", "—", "«oui»"]
 PIECES = ["[UNK]", "un", "##able", "aff", "##a", "##ffable", "be", "##lie", "##ve", "##ing", "the", "é", "日", "##本", "x", "don", "'", "t", "a", ".", "b",
           "$", "5", "na", "##ï", "—", "oui", "«", "##", "q", "##q", "##qq"]
