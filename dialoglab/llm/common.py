op5_perfect_hash_line_dedup: texts are cut where they are read instead of being shuffled to their lists

Symptom: op5_perfect_hash_line_dedup writes and reads 358 MB of shuffle over 0.51 GB, 0.70 x its input (not more than it reads); 247 MB of it are whole texts.
Evidence: the join of texts with their lists of lines to drop sent 108,398 of 256,410 documents through an exchange, while the lists themselves were 4 MB.
Fix: a bitmap of fixed size with the hashes that the index says to drop goes to every task; only a document of which it lets another line through is still joined with its list.
Effect: at 0.6 GB of input CPU 241 -> 247 s, shuffle 0.57 -> 0.16 GB, spill 0.00 -> 0.00 GB, read 1.90 -> 1.94 GB, longest task 5 -> 6 s, most memory of a task 102 -> 71 MB; at 6 GB of input CPU 762 -> 719 s, shuffle 6.30 -> 1.67 GB, spill 0.00 -> 0.00 GB, read 19.00 -> 19.40 GB, longest task 8 -> 7 s, most memory of a task 268 -> 268 MB; with hot keys, at 0.6 GB of input CPU 198 -> 203 s, shuffle 0.18 -> 0.06 GB, spill 0.00 -> 0.00 GB, read 0.57 -> 0.59 GB, longest task 5 -> 5 s, most memory of a task 68 -> 42 MB.

@@ -66,13 +66,14 @@ def gapless(df: DataFrame, group: str, order: list[Column], spread: Column, slot
 # --- a bounded Bloom bitmap of keys, built by Spark ------------------------------------------------
 
 
-def bitmap(df: DataFrame, key: Column, bits: int = 1 << 23) -> np.ndarray:
+def bitmap(df: DataFrame, key: Column, bits: int = 1 << 23, probes: list[Column] | None = None) -> np.ndarray:
     """Bloom bitmap (two probes) of the values of ``key``: at most ``bits``/8 bytes, whatever the input.
 
     It may let other rows through, so it only goes before an exact join, to keep most texts out of its shuffle.
+    ``probes``: other probe positions than those of ``probe_columns``.
     """
     words = bits // 32
-    probes = F.explode(F.array(*[F.pmod(F.xxhash64(key, F.lit(s)), F.lit(bits)) for s in (1, 2)]))
+    probes = F.explode(F.array(*(probes or probe_columns(key, bits))))
     rows = (
         df.select(probes.alias("p"))
         .groupBy(F.shiftright("p", 5).cast("int").alias("w"))
@@ -98,14 +99,14 @@ def in_bitmap(words: np.ndarray, *probes: np.ndarray) -> np.ndarray:
     return hit
 
 
-def maybe_in(words, key: Column, bits: int = 1 << 23) -> Column:
+def maybe_in(words, key: Column, bits: int = 1 << 23, probes: list[Column] | None = None) -> Column:
     """Whether ``key`` may be in a broadcast bitmap (some others are, too)."""
 
     @F.arrow_udf("boolean")
     def maybe(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array(in_bitmap(words.value, a.to_numpy(), b.to_numpy()))
 
-    return maybe.asNondeterministic()(*probe_columns(key, bits))
+    return maybe.asNondeterministic()(*(probes or probe_columns(key, bits)))
 
 
 # --- hashing in tasks ------------------------------------------------------------------------------

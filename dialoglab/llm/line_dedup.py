@@ -8,8 +8,12 @@ key that is alone on its bit in a level gets the bit's rank as its slot, the oth
 
 The index grows with the corpus, so it is never broadcast.  The documents' line hashes go to their shard and probe its arrays in
 the stream behind the shard's row: no task holds a shard's probes, and a hot line's probes are spread over ``SALTS`` copies of its
-shard.  Every probe is of an indexed line, so the answer is exact.  Hashes to drop come back as one list a document; documents that
-a bitmap of their row keys lets through meet their lists, all others pass as they are, and no line's text is moved.
+shard.  Every probe is of an indexed line, so the answer is exact.  Hashes to drop come back as one list a document.
+
+Lists don't travel to the texts, nor texts to the lists: every task gets a bitmap of the hashes to drop, of a fixed size.  It lets some
+other lines through, which are known, as all lines' hashes are: a document that has one goes by its list in a join, all others are
+cut by the bitmap where they are read, or pass as they are if another bitmap says that they have no list.  So few texts are moved while the
+bitmap has room; a corpus that fills it has all of its texts joined with their lists.
 
 A row's key is a hash of its doc_id and text, so rows without an id, or with one id, are no hot group.  Rows whose keys agree get one
 list; every hash in a list is of a line that many documents have, so the list is right for each of them.
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, bitmap, maybe_in, mix, stage_table, utf8
+from .common import CHUNK_BYTES, SPACE_BYTES, bitmap, in_bitmap, maybe_in, mix, probe_columns, stage_table, utf8
 
 MIN_CHARS = 1
 MIN_DOCS = 10
@@ -183,12 +187,10 @@ def _shard_bits(n: int, shard_keys: int) -> int:
     return max(0, (max(1, n) // shard_keys).bit_length())
 
 
-def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS,
-                 shard_keys: int = SHARD_KEYS, salts: int = SALTS) -> DataFrame:
-    """(row, drop): for each row key with lines to drop, the hashes of their keys."""
+def common_lines(pairs: DataFrame, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, salts: int = SALTS) -> DataFrame:
+    """(row, h): of the lines of ``line_hashes``, those to drop."""
     if not 1 <= min_docs <= 255:
         raise ValueError("counts are kept in 8 bits")
-    pairs = stage_table(line_hashes(docs, min_chars), "lines")
     counts = stage_table(pairs.groupBy("h").agg(F.least(F.count(F.lit(1)), F.lit(255)).alias("n")), "counts")
     bits = _shard_bits(counts.count(), shard_keys)
     index = stage_table(build_index(counts, bits), "index")
@@ -215,8 +217,24 @@ def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
             rows = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([b.column(3).take(rows), b.column(4).take(rows)], ["row", "h"])
 
-    hits = dealt.mapInArrow(probe, "row bigint, h bigint")
-    return stage_table(hits.groupBy("row").agg(F.collect_set("h").alias("drop")), "drops")
+    return stage_table(dealt.mapInArrow(probe, "row bigint, h bigint"), "hits")
+
+
+def _probes(h: Column, bits: int) -> list[Column]:
+    """A line's hash is spread evenly, so its two halves say its places in a bitmap."""
+    return [F.pmod(h, F.lit(bits)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(bits))]
+
+
+def in_lines(words: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """Whether hashes (as long) may be in a bitmap of ``_probes``."""
+    return in_bitmap(words, h % bits, (h.view(np.uint64) >> np.uint64(32)).astype(np.int64) % bits)
+
+
+def unsure_rows(pairs: DataFrame, hits: DataFrame, marks, bits: int) -> DataFrame:
+    """Keys of rows with a line that the broadcast bitmap ``marks`` of the lines to drop lets through, though it stays."""
+    seen = pairs.where(maybe_in(marks, F.col("h"), bits, _probes(F.col("h"), bits))).select("row", F.lit(1).alias("n"))
+    rows = seen.unionByName(hits.select("row", F.lit(-1).alias("n"))).groupBy("row").agg(F.sum("n").alias("n"))
+    return rows.where("n > 0").select("row")
 
 
 _CUT = "struct<text:string,n_lines:bigint,n_dropped:bigint>"
@@ -227,11 +245,40 @@ def _struct(kept: list[bytes], lines: list[int], gone: list[int]) -> pa.Array:
                                       ["text", "n_lines", "n_dropped"])
 
 
+def _cut_by(texts: list[bytes], marks: np.ndarray, bits: int, min_chars: int) -> pa.Array:
+    """Texts without the lines that a bitmap has, which holds for texts of which it lets no other line through."""
+    lines = [t.split(b"\n") for t in texts]
+    drop = iter(in_lines(marks, np.array([key_hash(line_key(x)) for own in lines for x in own], np.uint64).view(np.int64), bits).tolist())
+    # short lines aren't known to be let through or not
+    left = [[x for x, d in zip(own, drop, strict=False) if not (d and _long_enough(line_key(x), min_chars))] for own in lines]
+    return _struct([b"\n".join(x) for x in left], [*map(len, lines)], [len(x) - len(y) for x, y in zip(lines, left, strict=True)])
+
+
 def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, bits: int = 1 << 23,
                       shard_keys: int = SHARD_KEYS, salts: int = SALTS) -> DataFrame:
     """``docs`` with ``__kept_text``, ``__n_lines`` (before) and ``__n_dropped`` appended."""
-    drops = common_lines(docs, min_docs, min_chars, shard_keys, salts)
-    words = docs.sparkSession.sparkContext.broadcast(bitmap(drops, F.col("row"), bits))
+    context = docs.sparkSession.sparkContext
+    pairs = stage_table(line_hashes(docs, min_chars), "lines")
+    hits = common_lines(pairs, min_docs, shard_keys, salts)
+    drops = stage_table(hits.groupBy("row").agg(F.collect_set("h").alias("drop")), "drops")
+    words = context.broadcast(bitmap(drops, F.col("row"), bits))
+    marks = context.broadcast(bitmap(drops.select(F.explode("drop").alias("h")), F.col("h"), bits, _probes(F.col("h"), bits)))
+    unsure = context.broadcast(bitmap(unsure_rows(pairs, hits, marks, bits), F.col("row"), bits))
+
+    @F.arrow_udf("struct<sure:boolean,cut:" + _CUT + ">")
+    def cut_marked(a: pa.Array, b: pa.Array, text: pa.Array) -> pa.Array:
+        """Whether a row needs no list, and what is left of it if it has lines to drop."""
+        rows = a.to_numpy(), b.to_numpy()
+        sure = ~in_bitmap(unsure.value, *rows)
+        at = np.flatnonzero(in_bitmap(words.value, *rows) & sure)
+        cuts = [_struct([], [], [])]
+        for some in np.array_split(at, 1 + text.nbytes // CHUNK_BYTES):
+            cuts.append(_cut_by(utf8(text.take(pa.array(some))), marks.value, bits, min_chars))
+        place = np.zeros(len(text), np.int64)
+        place[at] = np.arange(len(at))
+        mask = np.ones(len(text), bool)
+        mask[at] = False
+        return pa.StructArray.from_arrays([pa.array(sure), pa.concat_arrays(cuts).take(pa.array(place, mask=mask))], ["sure", "cut"])
 
     @F.arrow_udf(_CUT)
     def cut(text: pa.Array, drop: pa.Array) -> pa.Array:
@@ -251,12 +298,12 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     text = _text()
     n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     keyed = docs.withColumn("__row", row_key())
-    marked = keyed.withColumn("__maybe", maybe_in(words, F.col("__row"), bits))
     same = F.struct(text.alias("text"), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    rest = marked.filter("NOT __maybe").select(*docs.columns, same.alias("__cut"))
+    rest = keyed.withColumn("__marked", cut_marked.asNondeterministic()(*probe_columns(F.col("__row"), bits), text)).filter("__marked.sure")
+    rest = rest.select(*docs.columns, F.coalesce("__marked.cut", same).alias("__cut"))
     d = drops.select(F.col("row").alias("__drop_row"), F.col("drop").alias("__drop"))
     # the lists grow with the corpus: one plan at every size
-    hit = marked.filter("__maybe").join(d.hint("merge"), F.col("__row") == F.col("__drop_row"), "left")
+    hit = keyed.filter(maybe_in(unsure, F.col("__row"), bits)).join(d.hint("merge"), F.col("__row") == F.col("__drop_row"), "left")
     hit = hit.withColumn("__cut", cut.asNondeterministic()(text, F.col("__drop")))
     out = rest.unionByName(hit.select(*docs.columns, "__cut"))
     return out.select(*docs.columns, F.col("__cut.text").alias("__kept_text"), F.col("__cut.n_lines").alias("__n_lines"),

@@ -306,6 +306,31 @@ def test_line_dedup(docs, min_docs, min_chars, shard_keys, salts, bits):
     assert kept.columns[: len(docs.columns)] == docs.columns
 
 
+@pytest.mark.parametrize("bits", [1 << 23, 64])
+def test_only_texts_that_the_bitmap_misjudges_meet_their_lists(spark, bits):
+    docs = spark.createDataFrame([(i, f"common {i % 5}\nown {i}\nother {i}") for i in range(300)], "doc_id long, text string")
+    lines = line_dedup.stage_table(line_dedup.line_hashes(docs), "test-lines")
+    hits = line_dedup.common_lines(lines, 3)
+    marks = line_dedup.bitmap(hits, F.col("h"), bits, line_dedup._probes(F.col("h"), bits))
+    found = {r.row for r in line_dedup.unsure_rows(lines, hits, spark.sparkContext.broadcast(marks), bits).collect()}
+    drop = {r.h for r in hits.collect()}
+    rows = [(r.row, r.h) for r in lines.collect()]
+    let = line_dedup.in_lines(marks, np.array([h for _, h in rows], np.int64), bits)
+    assert drop and all(x for x, (_, h) in zip(let, rows, strict=True) if h in drop)
+    assert found == {r for x, (r, h) in zip(let, rows, strict=True) if x and h not in drop}
+    assert bool(found) == (bits < 1 << 23)  # with room in the bitmap no text is moved
+
+
+def test_line_dedup_of_odd_rows(spark):
+    """Ids that are NULL or come twice, rows that come twice, NULL and empty texts, short lines; with a bitmap that is full, too."""
+    rows = [(None, "a\nB \nzz"), (1, "b\nzz"), (1, "b\nzz"), (1, " B\n\nq"), (2, None), (2, ""), (None, None), (3, "\n\nzz\nzz"), (4, "x\u00e9\nX\u00e9")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for min_chars in (0, 1, 2):
+        for bits in (1 << 23, 64):
+            got = line_dedup.line_report(df, min_docs=3, min_chars=min_chars, bits=bits)
+            assert rows_of(got, *got.columns) == sorted(brute.lines(rows, 3, min_chars), key=repr)
+
+
 def test_perfect_hash_is_minimal_and_survives_bytes():
     rng = np.random.default_rng(2)
     for n in (0, 1, 5, 4000):
