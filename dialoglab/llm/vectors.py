@@ -2,7 +2,7 @@
 
 A search index is a table of blocks.  Its rows are range-partitioned by the search's own order, so that one range (``part``)
 holds at most about ``part_rows`` rows whatever the key: a running number breaks ties, so copies of one vector fall into many
-parts.  ``meet`` brings each part's blocks to one task and streams the seekers that have to visit the part past them; neither
+parts.  ``meet`` brings each part's blocks to a task of its own and streams the seekers that have to visit the part past them; neither
 side is ever held whole, and the index isn't copied.
 
 Components become floor(scale * x).  A vector takes no part if it is NULL, holds a NULL or non-finite component, or is longer than
@@ -187,7 +187,8 @@ def meet(blocks: DataFrame, seekers: DataFrame, parts: int, order: list[str], op
     b = blocks.select("part", F.lit(0).alias("kind"), "block", F.struct(*own).alias("b"), F.lit(None).cast(kind).alias("s"))
     s = seekers.select("part", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("block"),
                        F.lit(None).cast(b.schema["b"].dataType).alias("b"), F.struct(*more).alias("s"))
-    dealt = b.union(s).repartition(parts, "part").sortWithinPartitions("part", "kind", "block", *[f"s.{c}" for c in order])
+    # a task for each part: by a hash of the number, some tasks would get several parts and others none
+    dealt = b.union(s).repartitionById(parts, "part").sortWithinPartitions("part", "kind", "block", *[f"s.{c}" for c in order])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []

@@ -5,8 +5,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from messy import empty, messy, small  # noqa: F401
+from pyspark import TaskContext
+from pyspark.sql import functions as F
 
 from dialoglab.llm import bag_search, hard_negatives, pivot_search
 from dialoglab.llm import vectors as V
@@ -215,6 +218,23 @@ def test_lexical_search(spark, docs):
     assert got(bag_search.search(docs, asked, block_bytes=600)) == want
 
 
+def test_each_part_is_met_in_a_task_of_its_own(spark):
+    """Also if a fifth of the seekers visit one part; parts without blocks or seekers give nothing."""
+    parts = 13
+    blocks = spark.range(parts - 1).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("block"), "id")
+    visits = spark.range(1, 200).select(F.when(F.col("id") % 5 == 0, 3).otherwise(F.col("id") % parts).cast("int").alias("part"), F.col("id").alias("key"))
+
+    def search(held, some):
+        n = some.num_rows
+        columns = [pa.array([held[0]["id"]] * n), pa.array([TaskContext.get().partitionId()] * n), some.column("key")]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "task", "key"])
+
+    rows = V.meet(blocks, visits, parts, ["key"], lambda row: row, search, "part bigint, task bigint, key bigint").collect()
+    assert {(r.part, r.task) for r in rows} == {(i, i) for i in range(parts - 1)}
+    want = [(3 if i % 5 == 0 else i % parts, i) for i in range(1, 200)]
+    assert sorted((r.part, r.key) for r in rows) == sorted(x for x in want if x[0] < parts - 1)
+
+
 def test_lexical_search_without_items(spark, small):
     asked = spark.createDataFrame([(3, None)], "item_id bigint, text string")
     assert bag_search.search(small, asked).count() == 0
